@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, mixing, near_dedup
-from tidemark.llm.common import scratch
+from tidemark.llm import chunk_dedup, mixing, near_dedup, packing, quality_cnn
+from tidemark.llm.common import scratch, table
 
-STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: chunk_dedup.dedup(docs)),
-    ("near_dedup", lambda spark, docs, sf_dir: near_dedup.dedup(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mixed(docs)),
-]
 
-#: Two stages score with trained models, which SQL can't express.
+def quality(spark, docs, sf_dir):
+    """Documents that the classifier, trained on the labelled ones outside its held-out fold, accepts."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+
+
+def exact(spark, docs, sf_dir):
+    return chunk_dedup.dedup(docs)
+
+
+def near(spark, docs, sf_dir):
+    return near_dedup.dedup(docs)
+
+
+def mixture(spark, docs, sf_dir):
+    return mixing.mixed(docs)
+
+
+def packed(spark, docs, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("packing", packed)]
+
+#: The first stage scores with a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -93,21 +93,21 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     made = recipes(docs, doc_id, text)
     uses = made.select("row_id", F.posexplode("chunks").alias("seq", "c")).select("row_id", "seq", "c.fp", "c.len", "c.sha")
-    known = uses.join(chunk_store(made).drop("uses"), ["fp", "len", "sha"])
+    known = uses.hint("merge").join(chunk_store(made).drop("uses"), ["fp", "len", "sha"])
     lists = known.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("seq", "fp", "nth"))).alias("l"))
     lists = lists.select("row_id", F.transform("l", lambda x: F.struct(x["fp"].alias("fp"), x["nth"].alias("nth"))).alias("recipe"))
     none = F.array().cast("array<struct<fp:bigint,nth:int>>")
     rows = made.select("row_id", "doc_id", "text_sha256", F.size("chunks").alias("n_chunks")).join(lists, "row_id", "left")
     rows = staged(rows.withColumn("recipe", F.coalesce("recipe", none)).withColumn("digest", F.xxhash64("recipe")), "lists")
     groups = rows.groupBy("digest", "recipe").agg(F.max(F.struct("doc_id", (-F.col("row_id")).alias("back"))).alias("top"), F.count("*").alias("group_size"))
-    out = rows.join(groups, ["digest", "recipe"])
+    out = rows.hint("merge").join(groups, ["digest", "recipe"])
     return out.select("row_id", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == -F.col("top.back")).alias("kept"), "text_sha256", "n_chunks")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that find_copies keeps, with their columns. docs must be read from files, so that its row ids stay."""
     kept = find_copies(docs, doc_id, text).where("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(kept, "__row", "left_semi").drop("__row")
 
 
 def op2(spark, sf_dir):

@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int
     same = marks["source"].eqNullSafe(plan["source"])
     marks = marks.join(plan, same).select(marks["source"].alias("s"), F.col("bucket").alias("b"), "source_size", "target", "whole", "rest", "before", "bucket_size")
 
-    rows = sized.join(marks, sized["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    rows = sized.hint("merge").join(marks, sized["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     cut = (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("bucket_size"))
     clear = rows.where(~cut).withColumn("more", (F.col("rest") >= F.col("before") + F.col("bucket_size")) & (F.col("bucket_size") > 0))
     run = W.partitionBy("source", "bucket").orderBy("unit", F.col("doc_id").asc_nulls_first(), "size", "row_id").rowsBetween(W.unboundedPreceding, -1)
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as mix takes them, with their columns. docs must be read from files, so that its row ids stay."""
     reps = mix(docs, **how).where("reps > 0").select(F.col("row_id").alias("__row"), F.col("reps").cast("int").alias("__reps"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(reps, "__row")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(reps, "__row")
     return rows.withColumn("__rep", F.explode(F.sequence(F.lit(1), "__reps"))).select(*docs.columns)
 
 

@@ -6,9 +6,10 @@ one error, and enumerating that error (leaving out one slot of the chunk) turns
 16 * 4 keys, so every pair within that distance shares a key. At a similarity of 0.75 a slot differs with
 probability 0.25, and more than 31 of 64 do for about one pair in 100,000.
 
-Texts with equal shingle sets are one node. Within a key, all nodes are compared with the least one; only
-nodes that this leaves in different components are compared with each other, in blocks, by their signatures.
-Every pair that is close enough is confirmed on the full shingle sets.
+Texts with equal shingle sets are one node. First each node is compared with one other only, the least that
+shares a key with it. Then the nodes of a key that this leaves in different components are all compared by
+their signatures, in blocks of a key; those with a close partner get their full shingle sets, each once for
+each block, and are compared on them. Only links leave a task, not pairs, and none inside a component.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CHUNKS = SLOTS // SLOTS_IN_CHUNK
 #: The largest distance at which some chunk has at most ERRORS errors.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 WORDS, SIMILARITY = 5, 75
-BLOCK = 512
+BLOCK = 2048
 _RANDOM = np.random.default_rng(7919)
 _TIMES = _RANDOM.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -141,8 +142,8 @@ def close_in_group(first: np.ndarray, second: np.ndarray, key: int) -> np.ndarra
     return near
 
 
-def _within(batches):
-    """Rows (key, i, j, block, node, comp, sig) sorted by key, i, j: pairs in one key whose components differ."""
+def _groups(batches):
+    """Tables of the rows of one or more whole (key, i, j), which the batches are sorted by, and where each begins."""
     held = None
     for batch in _then_none(batches):
         if batch is not None:
@@ -153,22 +154,49 @@ def _within(batches):
         groups = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
         starts = np.flatnonzero(np.r_[True, (groups[:, 1:] != groups[:, :-1]).any(0)])
         done = held.num_rows if batch is None else int(starts[-1])
-        if not done:
-            continue
-        block, node, comp = (held.column(c).to_numpy() for c in ("block", "node", "comp"))
-        sig = _signs(held.column("sig"))
-        a, b = [], []
-        for begin, end in zip(starts, np.r_[starts[1:], held.num_rows]):
-            if end > done:
-                break
-            key, i, j = groups[:, begin]
+        if done:
+            starts = starts[starts < done]
+            yield held.slice(0, done), groups[:, starts].T.tolist(), np.r_[starts, done]
+            held = held.slice(done)
+
+
+def _within(batches):
+    """Of rows (key, i, j, block, node, comp, sig): those with a close signature in another component of the same key."""
+    for rows, groups, starts in _groups(batches):
+        block, comp = (rows.column(c).to_numpy() for c in ("block", "comp"))
+        sig, wanted = _signs(rows.column("sig")), np.zeros(rows.num_rows, bool)
+        for (key, i, j), begin, end in zip(groups, starts, starts[1:]):
             for k in range(begin, end - 1):
                 rest = np.arange(k + 1, end)
                 rest = rest[(comp[rest] != comp[k]) & ((i == j) | (block[rest] != block[k]))]
-                rest = rest[close_in_group(np.broadcast_to(sig[k], (len(rest), SLOTS)), sig[rest], int(key))]
-                a.extend(np.minimum(node[rest], node[k]).tolist())
-                b.extend(np.maximum(node[rest], node[k]).tolist())
-        held = held.slice(done)
+                rest = rest[close_in_group(np.broadcast_to(sig[k], (len(rest), SLOTS)), sig[rest], key)]
+                wanted[rest] = True
+                wanted[k] |= len(rest) > 0
+        yield from rows.drop_columns(["sig"]).filter(pa.array(wanted)).to_batches()
+
+
+def _links(batches):
+    """Of rows (key, i, j, block, node, comp, hashes): links (a, b) that join all components which similar sets join."""
+    for rows, groups, starts in _groups(batches):
+        block, node, comp = (rows.column(c).to_numpy() for c in ("block", "node", "comp"))
+        sets, a, b = rows.column("hashes").combine_chunks(), [], []
+        for (_, i, j), begin, end in zip(groups, starts, starts[1:]):
+            part = sets.slice(begin, end - begin)
+            at = part.offsets.to_numpy()
+            ids = np.unique(part.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1]
+            at = at - at[0]
+            size, root, mark = np.diff(at), comp[begin:end].copy(), np.zeros(len(ids), np.int64)
+            for k in range(end - begin - 1):
+                open_ = (root[k + 1 :] != root[k]) & ((i == j) | (block[begin + k + 1 : end] != block[begin + k]))
+                if not open_.any():
+                    continue
+                mark[ids[at[k] : at[k + 1]]] = 1
+                both = np.add.reduceat(mark[ids[at[k + 1] :]], at[k + 1 : -1] - at[k + 1])
+                mark[ids[at[k] : at[k + 1]]] = 0
+                for r in np.flatnonzero(open_ & (100 * both >= SIMILARITY * (size[k] + size[k + 1 :] - both))) + k + 1:
+                    if root[r] != root[k]:
+                        root[root == root[r]] = root[k]
+                        a.append(node[begin + k]), b.append(node[begin + r])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -187,16 +215,36 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()))], ["node", "hashes"])
 
 
+def sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes, staged. rows: (row_id, text); a node is the row_id of one of its texts."""
+    wanted = nodes.select(F.col("node").alias("row_id")).distinct()
+    return staged(rows.hint("merge").join(wanted, "row_id", "left_semi").mapInArrow(_sets, "node long, hashes array<long>"), "sets")
+
+
 def confirm(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. rows: (row_id, text); a node is the row_id of one of its texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    sets = rows.join(wanted, "row_id", "left_semi").mapInArrow(_sets, "node long, hashes array<long>")
-    sets = staged(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
+    both = pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(100 * shared >= SIMILARITY * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
 
 
+def one_each(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """At most one pair (a, b) for each node b: with the least node a that shares a key with it, if their signatures are close."""
+    pairs = members.where("lead != node").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a"))
+    side = lambda k: sigs.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
+    pairs = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
+    return staged(pairs.mapInArrow(_close, "a long, b long"), "pairs")
+
+
+def unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members, with their component, of the keys whose members are in more than one."""
+    named = members.hint("merge").join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return named.join(several, "key", "left_semi")
+
+
 def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: row_id, doc_id, n_shingles, component_id, first_row.
 
@@ -219,36 +267,30 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     members = staged(keys.join(shared, "key"), "members")
     del keys, shared
     release(spark)
-    side = lambda k: sigs.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
-    stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long")
-    pairs = texts.select("row_id", "text")
-    links = staged(confirm(pairs, staged(stars, "stars")), "links")
+    texts = texts.select("row_id", "text")
+    links = staged(confirm(texts, one_each(members, sigs)), "links")
     release(spark)
-
-    groups = components(links)
-    left = members.where("n > 2 and node != lead").join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = left.join(mixed, "key", "left_semi").join(sigs, "node")
+    left = unsettled(members, components(links)).hint("merge").join(sigs, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
-    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = confirm(pairs, staged(left.mapInArrow(_within, "a long, b long").distinct(), "rest"))
-    groups = components(links.union(more))
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = staged(dealt(left).mapInArrow(_within, "key long, i int, j int, block int, node long, comp long"), "left")
+    left = left.hint("merge").join(sets_of(texts, left), "node").select("key", "i", "j", "block", "node", "comp", "hashes")
+    groups = components(links.union(dealt(left).mapInArrow(_links, "a long, b long")))
     release(spark)
 
     named = nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("set_key", "comp", "low")
     lows = named.groupBy("comp").agg(F.min("low").alias("low"))
     named = named.select("set_key", "comp").join(lows, "comp").select("set_key", F.col("low.doc_id").alias("component_id"), F.col("low.row_id").alias("first_row"))
-    some = rows.where("n_shingles > 0").drop("sig").join(named, "set_key").select("row_id", "doc_id", "n_shingles", "component_id", "first_row")
+    some = rows.where("n_shingles > 0").drop("sig").hint("merge").join(named, "set_key").select("row_id", "doc_id", "n_shingles", "component_id", "first_row")
     return some.union(rows.where("n_shingles = 0").select("row_id", "doc_id", "n_shingles", "doc_id", "row_id"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each group of near-duplicates, the one with the smallest doc_id, with its columns."""
     kept = find_near(docs, doc_id, text).where("row_id = first_row").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(kept, "__row", "left_semi").drop("__row")
 
 
 def op6(spark, sf_dir):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, mixing, near_dedup
+from tidemark.llm import chunk_dedup, mixing, near_dedup, packing, quality_cnn, toxicity_fm
 
 
 def queries() -> dict:
     return {
         "op2_chunk_dedup": chunk_dedup.op2,
         "op4_source_mixing": mixing.op4,
+        "op5_toxicity_fm": toxicity_fm.op5,
         "op6_near_dedup": near_dedup.op6,
+        "op9_best_fit_packing": packing.op9,
+        "op10_quality_cnn": quality_cnn.op10,
     }
 
 
