@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, mixing, near_dedup, packing, quality_cnn, toxicity_fm
+from tidemark.llm import chunk_dedup, line_crf, mixing, near_dedup, packing, quality_cnn, toxicity_fm, url_filter, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_warc_zip": warc_zip.op1,
         "op2_chunk_dedup": chunk_dedup.op2,
+        "op3_line_crf": line_crf.op3,
         "op4_source_mixing": mixing.op4,
         "op5_toxicity_fm": toxicity_fm.op5,
         "op6_near_dedup": near_dedup.op6,
+        "op8_url_filter": url_filter.op8,
         "op9_best_fit_packing": packing.op9,
         "op10_quality_cnn": quality_cnn.op10,
     }
@@ -18,6 +21,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_warc_zip": warc_zip.OP1_SQL,
         "op2_chunk_dedup": chunk_dedup.OP2_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
+        "op8_url_filter": url_filter.OP8_SQL,
     }
