@@ -7,7 +7,6 @@ open sequences held in a segment tree over the remaining capacities.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -18,54 +17,80 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-_PAIR = re.compile(r"\s\s")
+#: Two adjoining characters of white space, as RE2 writes them.
+_PAIR = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]{2}"
 
 
 class Encoder:
-    """Token ids of texts by a tokenizers file.
+    """Token ids, as bytes of little-endian uint32, of texts by a byte-level tokenizers file.
 
-    Its pre-tokenizer never joins what a single space between other characters parts, so a text without
-    adjoining white space is encoded piece by piece and each distinct piece once; any other text as a whole.
+    Its pre-tokenizer never joins what a single space between other characters parts. So a text without
+    adjoining white space is encoded word by word, each with the space before it and each distinct one once,
+    many in one call: the bytes that each token stands for tell where a word's tokens end. Other texts are
+    encoded as a whole. known holds words seen before, at_most of them.
     """
 
-    def __init__(self, path: str, at_most: int = 400_000):
+    def __init__(self, path: str, at_most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.at_most = Tokenizer.from_file(path), {}, at_most
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 500):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 500], add_special_tokens=False)]
+        return out
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        made = dict(zip(new, self.whole(new)))
-        out = [known[p] if p in known else made[p] for p in pieces]
-        if len(known) < self.at_most:
-            known.update(made)
+    def words(self, words: list[str]) -> list[bytes]:
+        """Of " " + word, for words without white space at either end."""
+        out = []
+        for lo in range(0, len(words), 1000):
+            some = words[lo : lo + 1000]
+            joined = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.cumsum(self.n_bytes[ids])
+            ends = np.cumsum([1 + len(w.encode()) for w in some])
+            cuts = np.searchsorted(upto, ends)
+            if cuts[-1] + 1 != len(ids) or (upto[cuts] != ends).any():
+                out += self.each([f" {w}" for w in some])
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         out = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts.to_pylist()) if _PAIR.search(t)]
-        for i, ids in zip(odd, self.whole([texts[i].as_py() for i in odd])):
-            out[i] = ids
-        plain = np.setdiff1d(np.arange(len(texts)), odd)
+        odd = pc.match_substring_regex(texts, _PAIR)
+        for i, ids in zip(np.flatnonzero(odd), self.each(texts.filter(odd).to_pylist())):
+            out[i] = np.frombuffer(ids, "<u4")
+        plain = np.flatnonzero(~np.asarray(odd))
         lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        words = lists.flatten().dictionary_encode()
-        if not len(words):
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
             return out
-        names, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         starts = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy()])
+        known = self.known
+        found = [known.get(n) for n in names]
+        new = [k for k, x in enumerate(found) if x is None]
+        inner = [k for k in new if names[k] and not names[k][0].isspace() and not names[k][-1].isspace()]
+        edges = [k for k in new if not names[k] or names[k][0].isspace() or names[k][-1].isspace()]
+        for k, ids in [*zip(inner, self.words([names[k] for k in inner])), *zip(edges, self.each([f" {names[k]}" for k in edges]))]:
+            found[k] = ids
+            if len(known) < self.at_most:
+                known[names[k]] = ids
         first = np.zeros(len(index), bool)
-        first[starts[:-1]] = True  # the first piece of a text has no space before it
+        first[starts[:-1]] = True  # the first word of a text has no space before it
         begun, nth = np.unique(index[first], return_inverse=True)
         index = index.copy()
         index[first] = len(names) + nth
-        ids = self.pieces([f" {x}" for x in names] + [names[i] for i in begun])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, at = np.concatenate(ids), np.cumsum(np.r_[0, lengths])
-        sizes = lengths[index]
+        found += self.each([names[k] for k in begun])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(np.r_[0, sizes])
+        sizes = sizes[index]
         ends = np.cumsum(np.r_[0, sizes])
         tokens = flat[np.repeat(at[index] - ends[:-1], sizes) + np.arange(ends[-1])]
         for k, i in enumerate(plain):
@@ -82,8 +107,8 @@ def _tokenise(path: str, end_id: int, most: int):
     def run(batches):
         encoder = Encoder(path)
         for whole in batches:
-            for lo in range(0, len(whole), 2000):
-                batch = whole.slice(lo, 2000)
+            for lo in range(0, len(whole), 1000):
+                batch = whole.slice(lo, 1000)
                 texts = pc.fill_null(batch.column(1), "")
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(texts)):
