@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, line_crf, mixing, near_dedup, packing, quality_cnn, toxicity_fm, url_filter, warc_zip
+from tidemark.llm import chunk_dedup, context_mixing, line_crf, mixing, near_dedup, packing, quality_cnn, toxicity_fm, url_filter, warc_zip
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4,
         "op5_toxicity_fm": toxicity_fm.op5,
         "op6_near_dedup": near_dedup.op6,
+        "op7_context_mixing": context_mixing.op7,
         "op8_url_filter": url_filter.op8,
         "op9_best_fit_packing": packing.op9,
         "op10_quality_cnn": quality_cnn.op10,
