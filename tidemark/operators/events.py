@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = W.partitionBy("media_id").orderBy("t", "hit_idx")
+def run():
+    return W.partitionBy("media_id").orderBy("t", "hit_idx")
 
 
 def gaps(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("gap", F.col("t") - F.lag("t").over(RUN))
+    return hits.withColumn("gap", F.col("t") - F.lag("t").over(run()))
 
 
 def clusters(hits: DataFrame, gap: float, least_hits: int = 2, least_span: float = 0.0) -> DataFrame:
     """(media_id, cluster, start, end, n, confidence): a gap longer than gap begins a new one; an equal one does not."""
     flagged = gaps(hits).withColumn("new", F.when(F.col("gap") > gap, 1).otherwise(0))
-    named = flagged.withColumn("cluster", F.sum("new").over(RUN.rowsBetween(W.unboundedPreceding, 0)))
+    named = flagged.withColumn("cluster", F.sum("new").over(run().rowsBetween(W.unboundedPreceding, 0)))
     out = named.groupBy("media_id", "cluster").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
     out = out.where((F.col("n") >= least_hits) & (F.col("end") - F.col("start") >= least_span))
     return out.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.15), F.col("n") / 12)))
@@ -25,7 +26,7 @@ def clusters(hits: DataFrame, gap: float, least_hits: int = 2, least_span: float
 def streaks(hits: DataFrame, gap: float) -> DataFrame:
     """(media_id, streak): the longest run of gaps up to gap, counted in hits; 1 at least."""
     flagged = gaps(hits).withColumn("new", F.when(F.coalesce(F.col("gap") <= gap, F.lit(False)), 0).otherwise(1))
-    named = flagged.withColumn("run", F.sum("new").over(RUN.rowsBetween(W.unboundedPreceding, 0)))
+    named = flagged.withColumn("run", F.sum("new").over(run().rowsBetween(W.unboundedPreceding, 0)))
     return named.groupBy("media_id", "run").agg(F.count("*").alias("n")).groupBy("media_id").agg(F.max("n").alias("streak"))
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = W.partitionBy("media_id").orderBy("start", "rally_id")
+def run():
+    return W.partitionBy("media_id").orderBy("start", "rally_id")
 
 
 def join_abutting(intervals: DataFrame, gap: float) -> DataFrame:
     """Islands of intervals that begin less than gap after the latest end so far."""
-    latest = F.max("end").over(RUN.rowsBetween(W.unboundedPreceding, -1))
+    latest = F.max("end").over(run().rowsBetween(W.unboundedPreceding, -1))
     flagged = intervals.withColumn("new", F.when(F.col("start") - latest < gap, 0).otherwise(1))
-    named = flagged.withColumn("island", F.sum("new").over(RUN.rowsBetween(W.unboundedPreceding, 0)))
+    named = flagged.withColumn("island", F.sum("new").over(run().rowsBetween(W.unboundedPreceding, 0)))
     return named.groupBy("media_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 
@@ -41,8 +42,8 @@ def best_overlap(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
 
 def hits_in_window(intervals: DataFrame, hits: DataFrame, before: float, after: float, width: float) -> DataFrame:
     """(media_id, rally_id, n, strongest): hits in an interval's window, which its neighbours bound; where they cross, their midpoint."""
-    lo = F.greatest(F.col("start") - before, F.coalesce(F.lag("end").over(RUN), F.lit(float("-inf"))))
-    hi = F.least(F.col("end") + after, F.coalesce(F.lead("start").over(RUN), F.lit(float("inf"))))
+    lo = F.greatest(F.col("start") - before, F.coalesce(F.lag("end").over(run()), F.lit(float("-inf"))))
+    hi = F.least(F.col("end") + after, F.coalesce(F.lead("start").over(run()), F.lit(float("inf"))))
     framed = intervals.withColumn("lo", lo).withColumn("hi", hi)
     mid = (F.col("lo") + F.col("hi")) / 2
     crossed = F.col("hi") < F.col("lo")

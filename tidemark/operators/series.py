@@ -8,24 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KEY = W.partitionBy("media_id")
-RUN = KEY.orderBy("idx")
-WHOLE = RUN.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def key():
+    return W.partitionBy("media_id")
+
+
+def run():
+    return key().orderBy("idx")
+
+
+def whole():
+    return run().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
 def smooth(df: DataFrame, width: int, out: str = "smooth") -> DataFrame:
     """Moving average whose edges repeat the first and last value; an even width reaches further back."""
     left, right = width // 2, width - 1 - width // 2
-    n = F.count("*").over(KEY)
+    n = F.count("*").over(key())
     missing_left = F.greatest(F.lit(0), left - F.col("idx"))
     missing_right = F.greatest(F.lit(0), right - (n - 1 - F.col("idx")))
-    inner = F.sum("value").over(RUN.rowsBetween(-left, right))
-    return df.withColumn(out, (inner + missing_left * F.first("value").over(WHOLE) + missing_right * F.last("value").over(WHOLE)) / width)
+    inner = F.sum("value").over(run().rowsBetween(-left, right))
+    return df.withColumn(out, (inner + missing_left * F.first("value").over(whole()) + missing_right * F.last("value").over(whole())) / width)
 
 
 def same_mean(df: DataFrame, width: int, out: str = "same") -> DataFrame:
     """Mean of a centred window, zeros beyond the edges."""
-    return df.withColumn(out, F.sum("value").over(RUN.rowsBetween(-(width // 2), (width - 1) // 2)) / width)
+    return df.withColumn(out, F.sum("value").over(run().rowsBetween(-(width // 2), (width - 1) // 2)) / width)
 
 
 def robust_norm(df: DataFrame, lo: float = 0.05, hi: float = 0.95, out: str = "norm") -> DataFrame:
@@ -38,25 +45,25 @@ def robust_norm(df: DataFrame, lo: float = 0.05, hi: float = 0.95, out: str = "n
 
 def roll_mean(df: DataFrame, width: int, forward: bool, out: str) -> DataFrame:
     """Mean of [idx, idx + width) or of [idx - width, idx), shorter at the edges; of nothing, 0."""
-    frame = RUN.rowsBetween(0, width - 1) if forward else RUN.rowsBetween(-width, -1)
+    frame = run().rowsBetween(0, width - 1) if forward else run().rowsBetween(-width, -1)
     return df.withColumn(out, F.coalesce(F.avg("value").over(frame), F.lit(0.0)))
 
 
 def extent(df: DataFrame, half: int) -> DataFrame:
-    frame = RUN.rowsBetween(-half, half)
+    frame = run().rowsBetween(-half, half)
     return df.withColumn("lowest", F.min("value").over(frame)).withColumn("highest", F.max("value").over(frame))
 
 
 def slope(df: DataFrame, width: int, lag: int, fps: float) -> DataFrame:
     """Change of the smoothed signal over lag samples, a second; 0 for the first lag ones."""
     out = smooth(df, width)
-    return out.withColumn("slope", F.coalesce((F.col("smooth") - F.lag("smooth", lag).over(RUN)) / (lag / fps), F.lit(0.0)))
+    return out.withColumn("slope", F.coalesce((F.col("smooth") - F.lag("smooth", lag).over(run())) / (lag / fps), F.lit(0.0)))
 
 
 def decay(df: DataFrame, rate: float, out: str = "decayed") -> DataFrame:
     """y[i] = max(x[i], rate * y[i - 1]) of x >= 0, in closed form: a running maximum of ln x - i ln rate."""
     lifted = F.when(F.col("value") > 0, F.ln("value") - F.col("idx") * math.log(rate))
-    top = F.max(lifted).over(RUN.rowsBetween(W.unboundedPreceding, 0))
+    top = F.max(lifted).over(run().rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn(out, F.coalesce(F.exp(top + F.col("idx") * math.log(rate)), F.lit(0.0)))
 
 
@@ -65,18 +72,18 @@ def hysteresis(df: DataFrame, lo: float, hi: float, out: str = "on") -> DataFram
     if lo > hi:
         raise ValueError("lo must not be above hi")
     says = F.when(F.col("value") >= hi, 1).when(F.col("value") < lo, 0)
-    return df.withColumn(out, F.coalesce(F.last(says, ignorenulls=True).over(RUN.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    return df.withColumn(out, F.coalesce(F.last(says, ignorenulls=True).over(run().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
 
 
 def runs(df: DataFrame, flag: str) -> DataFrame:
     """(media_id, first, last, n): the runs of samples whose flag is 1."""
-    island = F.col("idx") - F.row_number().over(RUN)
+    island = F.col("idx") - F.row_number().over(run())
     return df.where(F.col(flag) == 1).withColumn("island", island).groupBy("media_id", "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("island")
 
 
 def fill(df: DataFrame, column: str, out: str = "filled") -> DataFrame:
     """Nulls by linear interpolation on idx, the ends by the nearest value."""
-    back, ahead = RUN.rowsBetween(W.unboundedPreceding, 0), RUN.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = run().rowsBetween(W.unboundedPreceding, 0), run().rowsBetween(0, W.unboundedFollowing)
     at = F.when(F.col(column).isNotNull(), F.struct("idx", F.col(column).alias("v")))
     a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
     line = a["v"] + (b["v"] - a["v"]) * (F.col("idx") - a["idx"]) / (b["idx"] - a["idx"])
@@ -100,7 +107,7 @@ def pooled(df: DataFrame, step: int) -> DataFrame:
 
 def subsample(df: DataFrame, most: int) -> DataFrame:
     """At most most samples of each medium, evenly spread, first and last among them."""
-    n = F.count("*").over(KEY)
+    n = F.count("*").over(key())
     nth = lambda i: F.floor(i * (n - 1) / (most - 1))
     k = F.ceil(F.col("idx") * (most - 1) / (n - 1))
     return df.where((n <= most) | (nth(k) == F.col("idx"))) if most > 1 else df.where("idx = 0")

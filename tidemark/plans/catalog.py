@@ -91,8 +91,8 @@ _ALL = {
         _WITH + f", {_SMOOTH} SELECT media_id, idx, value, round(smooth, 6) AS smooth, round(coalesce((smooth - lag(smooth, 3) OVER ({_RUN})) / (3 / 12.0::DOUBLE), 0), 6) AS slope FROM sm",
     ),
     "wn_decay": (
-        _s(lambda x: rounded(se.decay(x.where("idx < 2000"), 0.93), "decayed")),
-        _WITH + f"SELECT media_id, idx, value, round(coalesce(exp(max(CASE WHEN value > 0 THEN ln(value) - idx * ln(0.93::DOUBLE) END) OVER ({_RUN}) + idx * ln(0.93::DOUBLE)), 0), 6) AS decayed FROM signal WHERE idx < 2000",
+        _s(lambda x: rounded(se.decay(x, 0.93), "decayed")),
+        _WITH + f"SELECT media_id, idx, value, round(coalesce(exp(max(CASE WHEN value > 0 THEN ln(value) - idx * ln(0.93::DOUBLE) END) OVER ({_RUN}) + idx * ln(0.93::DOUBLE)), 0), 6) AS decayed FROM signal",
     ),
     "sg_hysteresis": (
         _s(lambda x: se.runs(se.hysteresis(x, 15.0, 40.0), "on")),
