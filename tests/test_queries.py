@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(catalog.queries()))
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_as_sql_says(spark, duck, name):
     got, want = catalog.queries()[name](spark, SF).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
     columns = sorted(want.columns)

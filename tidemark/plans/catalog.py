@@ -9,6 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import scoring as sc
 from tidemark.operators import series as se
+from tidemark.plans import boxes
 from tidemark.sources import tables as tb
 
 FLAGSHIP = "segment_score"
@@ -202,9 +203,13 @@ _ALL = {
 }
 
 
+_ALL |= boxes.ALL
+
+
 def queries() -> dict:
     return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _ALL.items()}
+    """Of the queries that SQL can express; the steps that depend on their order have none."""
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -37,3 +37,11 @@ def rallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.select(F.col("o_custkey").alias("media_id"), F.col("o_orderkey").alias("rally_id"), start.alias("start"), (F.col("o_totalprice") / 10000).alias("duration"))
     out = out.withColumn("end", F.col("start") + F.col("duration"))
     return out.withColumn("shots", F.pmod("rally_id", F.lit(29)).cast("int")).withColumn("speed", F.pmod(F.col("rally_id") * 7, F.lit(101)) / 100.0).withColumn("confidence", F.pmod(F.col("rally_id") * 3, F.lit(97)) / 96.0)
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media_id, frame, track, box_id, x1, y1, x2, y2, conf): four numbers of a vector as corners, some beyond the picture."""
+    rows = read(spark, sf_dir, "embeddings")
+    e = lambda i: F.least(F.lit(1.3), F.greatest(F.lit(-0.3), 0.5 + 1.5 * F.col("embedding")[i].cast("double")))
+    corners = [f(e(i), e(i + 1)).alias(c) for c, f, i in (("x1", F.least, 0), ("y1", F.least, 2), ("x2", F.greatest, 0), ("y2", F.greatest, 2))]
+    return rows.select(F.pmod("vec_id", F.lit(4)).alias("media_id"), F.floor(F.col("vec_id") / 32).alias("frame"), F.col("label").cast("long").alias("track"), F.col("vec_id").alias("box_id"), *corners, F.least(F.lit(1.0), F.greatest(F.lit(0.0), e(4))).alias("conf"))
