@@ -76,3 +76,8 @@ def rank_share(hits: DataFrame) -> DataFrame:
     w = W.partitionBy("media_id").orderBy("strength")
     n, ties = F.count("*").over(W.partitionBy("media_id")), F.count("*").over(W.partitionBy("media_id", "strength"))
     return hits.select("media_id", "hit_idx", F.when(n == 1, 0.5).otherwise((F.rank().over(w) + (ties - 1) / 2 - 1) / (n - 1)).alias("pct_rank"))
+
+
+def bin_share(hits: DataFrame, width: float, duration: float) -> DataFrame:
+    """(media_id, coverage): the share of a duration's bins with a hit."""
+    return hits.groupBy("media_id").agg((F.count_distinct(F.floor(F.col("t") / width)) / (duration / width)).alias("coverage"))
