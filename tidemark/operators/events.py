@@ -14,11 +14,15 @@ def gaps(hits: DataFrame) -> DataFrame:
     return hits.withColumn("gap", F.col("t") - F.lag("t").over(run()))
 
 
-def clusters(hits: DataFrame, gap: float, least_hits: int = 2, least_span: float = 0.0) -> DataFrame:
-    """(media_id, cluster, start, end, n, confidence): a gap longer than gap begins a new one; an equal one does not."""
+def named_clusters(hits: DataFrame, gap: float) -> DataFrame:
+    """hits with their cluster: a gap longer than gap begins a new one; an equal one does not."""
     flagged = gaps(hits).withColumn("new", F.when(F.col("gap") > gap, 1).otherwise(0))
-    named = flagged.withColumn("cluster", F.sum("new").over(run().rowsBetween(W.unboundedPreceding, 0)))
-    out = named.groupBy("media_id", "cluster").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
+    return flagged.withColumn("cluster", F.sum("new").over(run().rowsBetween(W.unboundedPreceding, 0))).drop("new", "gap")
+
+
+def clusters(hits: DataFrame, gap: float, least_hits: int = 2, least_span: float = 0.0) -> DataFrame:
+    """(media_id, cluster, start, end, n, confidence) of the clusters with enough hits and time."""
+    out = named_clusters(hits, gap).groupBy("media_id", "cluster").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"))
     out = out.where((F.col("n") >= least_hits) & (F.col("end") - F.col("start") >= least_span))
     return out.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.15), F.col("n") / 12)))
 

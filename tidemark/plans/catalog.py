@@ -9,7 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import scoring as sc
 from tidemark.operators import series as se
-from tidemark.plans import boxes, labels, records
+from tidemark.plans import boxes, fusion, labels, records
 from tidemark.sources import tables as tb
 
 FLAGSHIP = "segment_score"
@@ -203,7 +203,7 @@ _ALL = {
 }
 
 
-_ALL |= boxes.ALL | labels.ALL | records.ALL
+_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL
 
 
 def queries() -> dict:
