@@ -189,6 +189,17 @@ def test_language_model(docs, none):
     assert len(codes) == 256 and sum(2.0 ** -len(c) for c in codes) == 1
 
 
+def test_a_short_text_refines_its_weights():
+    rnd = np.random.default_rng(1)
+    m = context_mixing.Tables(rnd.normal(0, 1, context_mixing.STARTS[-1]).astype(np.float16), np.zeros(1 << context_mixing.TABLE_BITS[-1], np.uint8), np.full((context_mixing.GATES, context_mixing.ORDERS), 0.25, np.float32))
+    words = context_mixing.Words(m, ["one", "three", context_mixing.END])
+    fixed = lambda own: sum(context_mixing.bit_costs(m.weights, words.x[a:b], words.gate[a:b], words.bits[a:b])[0].sum() for a, b in ((words.at[w], words.at[w + 1]) for w in own)) / np.log(2)
+    short, long = np.array([0, 2]), np.array([0, 1] * 100 + [2])
+    assert words.cost(short) == pytest.approx(fixed(short), rel=1e-5)  # below 64 bits
+    assert words.cost(long) < 0.99 * fixed(long)  # 201 words, fewer than 1024
+    assert (m.weights == 0.25).all()
+
+
 def test_urls(spark):
     made = "page_id long, url string, html string, host string"
     rows = [(1, "http://a.org/x", '<link rel="canonical" href="http://bad.net/q">'), (2, "http://A.org/y?z", '<meta http-equiv="refresh" content="0; url=/x">'), (3, None, None), (4, "nourl", ""), (5, "http://c.org/fr/1", "<LINK href=http://z.org/ rel=canonical>"), (6, "http://k.com/", '<link rel=canonical href="//z.org/">')]

@@ -32,8 +32,9 @@ STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 #: A bit's gate: how many of these counts the whole word so far has reached in training.
 LEVELS = (1, 4, 32, 512)
 GATES, RATE, PART = len(LEVELS) + 1, 0.005, 1 << 16
-#: A text refines its weights each time it has read so many words.
-STEP = 1024
+#: A text refines its weights when it has read its first bits, then after steps twice as long each, up to STEP.
+FIRST, STEP = 64, 2048
+PIECE = 4096  # words whose bits are laid out at once
 END = "\n"  # no word holds it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
@@ -121,9 +122,8 @@ def inputs(model: Tables, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def bit_costs(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each bit's cost in nats, and what it would change of its gate's weights."""
     sign = bits.astype(np.float32) * 2 - 1
-    z = np.einsum("ij,ij->i", x, weights[gate]) * sign
-    away = 1 / (1 + np.exp(np.minimum(z, 60)))  # the probability of the other bit
-    return np.logaddexp(0, -z), (away * sign)[:, None] * x
+    odds = np.exp(np.minimum(np.einsum("ij,ij->i", x, weights[gate]) * -sign, 60))  # of the other bit
+    return np.log1p(odds), (odds / (1 + odds) * sign)[:, None] * x
 
 
 def refine(weights: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
@@ -131,46 +131,32 @@ def refine(weights: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
     weights += RATE * change / np.sqrt(np.maximum(1, n))[:, None].astype(np.float32)
 
 
-def read_step(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, times: np.ndarray) -> float:
-    """The cost in nats of bits that come times times each; weights is refined after it."""
+def read_step(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> float:
+    """The cost in nats of bits; weights is refined after it."""
     costs, change = bit_costs(weights, x, gate, bits)
-    change *= times[:, None]
-    mine = [(gate == g).astype(np.float32) for g in range(GATES)]
-    refine(weights, np.stack([m @ change for m in mine]), np.array([m @ times for m in mine]))
-    return float(costs @ times.astype(np.float64))
+    mine = (gate == np.arange(GATES, dtype=gate.dtype)[:, None]).astype(np.float32)
+    refine(weights, mine @ change, mine.sum(1))
+    return float(costs.sum(dtype=np.float64))
 
 
 class Words:
-    """The bits of some words, and each word's cost and change under the starting weights, with which every text begins."""
+    """The bits of some words, with their inputs and gates, and the weights with which every text begins."""
 
     def __init__(self, model: Tables, words: list[str]):
         slots, self.bits, self.at = coded(words)
         self.x, self.gate = inputs(model, slots)
-        del slots
-        self.start, begins = model.weights, self.at[:-1]
-        self.costs, self.changes, self.gates = np.zeros(len(words)), np.zeros((len(words), GATES, ORDERS), np.float32), np.zeros((len(words), GATES), np.int64)
-        for lo in range(0, len(words), 4000):
-            hi = min(lo + 4000, len(words))
-            part, begin = slice(self.at[lo], self.at[hi]), begins[lo:hi] - self.at[lo]
-            costs, change = bit_costs(self.start, self.x[part], self.gate[part], self.bits[part])
-            self.costs[lo:hi] = np.add.reduceat(costs, begin, dtype=np.float64)
-            for g in range(GATES):
-                mine = self.gate[part] == g
-                self.changes[lo:hi, g] = np.add.reduceat(change * mine[:, None], begin)
-                self.gates[lo:hi, g] = np.add.reduceat(mine, begin, dtype=np.int64)
-
-    def cost(self, own: np.ndarray, weights: np.ndarray | None = None, step: int = STEP) -> float:
-        """The cost in bits of the words own in this order, read step at a time; weights are refined, the starting ones if none are given."""
-        total = 0.0
-        if weights is None:
-            first, own, weights = own[:step], own[step:], self.start.copy()
-            total += float(self.costs[first].sum())
-            refine(weights, self.changes[first].sum(0), self.gates[first].sum(0))
-        for lo in range(0, len(own), step):
-            some, times = np.unique(own[lo : lo + step], return_counts=True)
-            sizes = self.at[some + 1] - self.at[some]
-            which = ranges(self.at[some], sizes)
-            total += read_step(weights, self.x[which], self.gate[which], self.bits[which], np.repeat(times, sizes).astype(np.float32))
+        self.start = model.weights
+
+    def cost(self, own: np.ndarray, weights: np.ndarray | None = None) -> float:
+        """The cost in bits of the words own in this order; weights are refined after each step, a copy of the starting ones if none are given."""
+        total, weights, step = 0.0, self.start.copy() if weights is None else weights, FIRST
+        for lo in range(0, len(own), PIECE):
+            some = own[lo : lo + PIECE]
+            which, at = ranges(self.at[some], self.at[some + 1] - self.at[some]), 0
+            while at < len(which):
+                now = which[at : at + step]
+                total += read_step(weights, self.x[now], self.gate[now], self.bits[now])
+                at, step = at + step, min(2 * step, STEP)
         return total / np.log(2)
 
 
@@ -246,7 +232,7 @@ def build(vocabulary: DataFrame, sample: list[str], words_in_task: int = 500_000
         index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         words, weights = Words(model, list(index)), model.weights.copy()
         for text in texts:
-            words.cost(np.array([index[w] for w in text]), weights, 64)
+            words.cost(np.array([index[w] for w in text]), weights)
         model.weights = weights
     return model
 
