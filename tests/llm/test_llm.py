@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chunk_dedup, context_mixing, line_crf, mixing, near_dedup, packing, quality_cnn, toxicity_fm, url_filter, warc_zip
 from tidemark.llm.graph import components
@@ -189,17 +190,35 @@ def test_language_model(docs, none):
     assert len(codes) == 256 and sum(2.0 ** -len(c) for c in codes) == 1
 
 
-def test_a_short_text_refines_its_weights():
+def test_a_short_text_refines_its_weights(monkeypatch):
     rnd = np.random.default_rng(1)
     m = context_mixing.Tables(rnd.normal(0, 1, context_mixing.STARTS[-1]).astype(np.float16), np.zeros(1 << context_mixing.TABLE_BITS[-1], np.uint8), np.full((context_mixing.GATES, context_mixing.ORDERS), 0.25, np.float32))
     words = context_mixing.Words(m, ["one", "three", context_mixing.END])
-    fixed = lambda own: sum(context_mixing.bit_costs(m.weights, words.x[a:b], words.gate[a:b], words.bits[a:b])[0].sum() for a, b in ((words.at[w], words.at[w + 1]) for w in own)) / np.log(2)
     short, long = np.array([0, 2]), np.array([0, 1] * 100 + [2])
-    assert words.cost(short) == pytest.approx(fixed(short), rel=1e-5)  # below 64 bits
-    assert words.cost(long) < 0.99 * fixed(long)  # 201 words, fewer than 1024
+    got = words.cost(short), words.cost(long)
+    monkeypatch.setattr(context_mixing, "RATE", 0)
+    assert got[0] == words.cost(short)  # below 64 bits
+    assert got[1] < 0.99 * words.cost(long)  # 201 words, fewer than 1024
     assert (m.weights == 0.25).all()
 
 
+def test_shuffled_words_cost_more(spark, tmp_path):
+    rnd = random.Random(3)
+    phrases = [[f"{a}{rnd.randrange(9)}" for a in "ba be bi bo bu ca ce ci".split()] for _ in range(20)]
+    ids = [(r.doc_id, r.held) for r in spark.range(300).select(context_mixing.fold(F.col("id"), 10).alias("f"), F.col("id").alias("doc_id")).selectExpr("doc_id", "f = 0 AS held").collect()]
+    texts = []
+    for i, held in ids:
+        words = [w for _ in range(8) for w in rnd.choice(phrases)]
+        texts.append((i, " ".join(words)))
+        if held:
+            texts.append((i + 1000, " ".join(rnd.sample(words, len(words)))))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.score for r in context_mixing.score(spark.read.parquet(path)).collect()}
+    pairs = [(got[i], got[i + 1000]) for i, held in ids if held]
+    assert len(pairs) > 10 and sum(a for a, _ in pairs) > 0.85 * sum(b for _, b in pairs)  # logarithms, below 0
+
+
 def test_urls(spark):
     made = "page_id long, url string, html string, host string"
     rows = [(1, "http://a.org/x", '<link rel="canonical" href="http://bad.net/q">'), (2, "http://A.org/y?z", '<meta http-equiv="refresh" content="0; url=/x">'), (3, None, None), (4, "nourl", ""), (5, "http://c.org/fr/1", "<LINK href=http://z.org/ rel=canonical>"), (6, "http://k.com/", '<link rel=canonical href="//z.org/">')]

@@ -1,10 +1,11 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words, each ended by a space, and an end. Bytes are written as the bits of a fixed
-prefix code. Each bit is predicted in several contexts (the last 0 to 3 bytes of the word and the whole of it
-so far), each hashed into a table of counts gathered from all training words of the corpus. The predictions'
-logits are added up with weights that a gate picks, by how often the word so far was seen; from the
-weights of a training sample on, each text refines its own as its bits are read. The cost of all bits is the
+prefix code. Each bit is predicted in several contexts (the last 0 to 3 bytes of the word, the whole of it so
+far, and that with the one and the two words before it), each hashed into a table of counts gathered from all
+training texts of the corpus. The predictions' logits are added up with weights that a gate picks, by how often
+the word so far was seen; from the weights of a training sample on, each text refines its own as its bits are
+read. In that sample, a bit is predicted without what it adds itself to the counts. The cost of all bits is the
 text's score.
 
 Words are counted once for each block of texts. A block meets the corpus counts of its own words again by a
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat, fold, staged, table
 
-#: log2 of the slots of each context's table, by the bytes that the context has (the last: the whole word so far).
-TABLE_BITS = (9, 16, 18, 20, 22)
-ORDERS = len(TABLE_BITS)
+#: log2 of the slots of each context's table, by the bytes that the context has ; then the whole word so far, and that after one and two words.
+TABLE_BITS = (9, 16, 18, 20, 22, 22, 22)
+ORDERS, WITHIN = len(TABLE_BITS), len(TABLE_BITS) - 2
 STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 #: A bit's gate: how many of these counts the whole word so far has reached in training.
 LEVELS = (1, 4, 32, 512)
@@ -36,7 +37,7 @@ GATES, RATE, PART = len(LEVELS) + 1, 0.005, 1 << 16
 FIRST, STEP = 64, 2048
 PIECE = 4096  # words whose bits are laid out at once
 END = "\n"  # no word holds it
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
 
 
@@ -76,15 +77,30 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots (bits, ORDERS), bits, where each word's bits begin) of the words with what ends them."""
+def slots_at(k: int, keys: np.ndarray) -> np.ndarray:
+    """The slots of table k for keys of a context and a node."""
+    h = keys * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
+
+
+def after(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the one and the two words before each word of a text add to its bits' keys; names are the hashes of its words."""
+    one = np.r_[np.uint64(0), names[:-1]]
+    two = np.r_[np.uint64(0), one[:-1]]
+    return (one + np.uint64(1)) * _TWO, ((one + np.uint64(3)) * _TWO ^ two) * _MIX
+
+
+def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots (bits, WITHIN), bits, where each word's bits begin, keys of the whole word so far, the words' hashes) of the words with what ends them."""
     raw = [w.encode() + b" " if w != END else b"\n" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(data)) - begin
-    contexts = np.zeros((ORDERS, len(data)), np.uint64)
-    for k in range(1, ORDERS - 1):
+    contexts = np.zeros((WITHIN, len(data)), np.uint64)
+    for k in range(1, WITHIN - 1):
         last = np.zeros(len(data), np.uint64)
         last[k:] = data[:-k] if k < len(data) else 0
         contexts[k] = contexts[k - 1] * np.uint64(257) + np.where(place >= k, last + np.uint64(1), np.uint64(0))
@@ -94,29 +110,31 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_bits = (_AT[1:] - _AT[:-1])[data]
     which = ranges(_AT[data], n_bits)
     nodes = _NODES[which]
-    slots = np.empty((len(which), ORDERS), np.int32)
-    for k, width in enumerate(TABLE_BITS):
-        if k == 0:
-            slots[:, 0] = nodes
-            continue
-        h = (np.repeat(contexts[k] * _MIX, n_bits) + nodes) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        slots[:, k] = (h >> np.uint64(64 - width)).astype(np.int64) + STARTS[k]
+    slots = np.empty((len(which), WITHIN), np.int32)
+    slots[:, 0] = nodes
+    for k in range(1, WITHIN):
+        keys = np.repeat(contexts[k] * _MIX, n_bits) + nodes
+        slots[:, k] = slots_at(k, keys)
     word_ends = np.cumsum(sizes)
     bit_at = np.r_[0, np.cumsum(n_bits)]
-    return slots, _BITS[which], np.r_[0, bit_at[word_ends]].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    names = (sums[word_ends - 1] - before[word_ends - sizes]) * _MIX
+    return slots, _BITS[which], np.r_[0, bit_at[word_ends]].astype(np.int64), keys, names ^ (names >> np.uint64(31))
 
 
 @dataclass
 class Tables:
     logits: np.ndarray  # of all tables' slots, float16
-    level: np.ndarray  # uint8, of the last table's slots
+    level: np.ndarray  # uint8, of the slots of the whole word so far
     weights: np.ndarray  # (GATES, ORDERS)
+    totals: np.ndarray | None = None  # how often each slot was seen, float16; while weights are learned
 
 
-def inputs(model: Tables, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, ORDERS) logits and the gate of each bit."""
-    return model.logits[slots].astype(np.float32), model.level[slots[:, -1] - STARTS[-2]]
+def without(model: Tables, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The logits of slots in which each of bits was counted, as they are without it."""
+    x, n = model.logits[slots].astype(np.float32), np.minimum(model.totals[slots].astype(np.float32), 65504)
+    ones = (n + 0.8) / (1 + np.exp(-x)) - 0.4
+    zeros = n - ones
+    return np.log((np.maximum(ones - bits, 0) + 0.4) / (np.maximum(zeros + bits - 1, 0) + 0.4)).astype(np.float32)
 
 
 def bit_costs(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,22 +158,39 @@ def read_step(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.nda
 
 
 class Words:
-    """The bits of some words, with their inputs and gates, and the weights with which every text begins."""
-
-    def __init__(self, model: Tables, words: list[str]):
-        slots, self.bits, self.at = coded(words)
-        self.x, self.gate = inputs(model, slots)
-        self.start = model.weights
+    """The bits of some words, with their keys, the inputs of contexts within words and gates; of learned ones, without what each bit adds to the counts."""
+
+    def __init__(self, model: Tables, words: list[str], learned: bool = False, at_once: int = 20_000):
+        self.model, self.learned, found, ends = model, learned, [], 0
+        for lo in range(0, len(words), at_once):
+            slots, bits, at, keys, names = coded(words[lo : lo + at_once])
+            last = slots[:, -1]
+            if learned:
+                x = np.stack([without(model, slots[:, k], bits) for k in range(WITHIN)], 1).astype(np.float16)
+                gate = np.searchsorted(LEVELS, model.totals[last].astype(np.float32) - 1, "right").astype(np.uint8)
+            else:
+                x, gate = model.logits[slots], model.level[last - STARTS[WITHIN - 1]]
+            found.append((x, gate, bits, keys, names, at[:-1] + ends))
+            ends += at[-1]
+        self.x, self.gate, self.bits, self.keys, self.names, at = (np.concatenate(c) for c in zip(*found))
+        self.at = np.r_[at, ends]
 
     def cost(self, own: np.ndarray, weights: np.ndarray | None = None) -> float:
         """The cost in bits of the words own in this order; weights are refined after each step, a copy of the starting ones if none are given."""
-        total, weights, step = 0.0, self.start.copy() if weights is None else weights, FIRST
+        total, weights, step = 0.0, self.model.weights.copy() if weights is None else weights, FIRST
+        before = after(self.names[own])
         for lo in range(0, len(own), PIECE):
             some = own[lo : lo + PIECE]
-            which, at = ranges(self.at[some], self.at[some + 1] - self.at[some]), 0
+            sizes = self.at[some + 1] - self.at[some]
+            which, at, added = ranges(self.at[some], sizes), 0, [np.repeat(c[lo : lo + PIECE], sizes) for c in before]
             while at < len(which):
                 now = which[at : at + step]
-                total += read_step(weights, self.x[now], self.gate[now], self.bits[now])
+                x, bits, keys = np.empty((len(now), ORDERS), np.float32), self.bits[now], self.keys[now]
+                x[:, :WITHIN] = self.x[now]
+                for k, c in enumerate(added, WITHIN):
+                    slots = slots_at(k, keys + c[at : at + step])
+                    x[:, k] = without(self.model, slots, bits) if self.learned else self.model.logits[slots]
+                total += read_step(weights, x, self.gate[now], bits)
                 at, step = at + step, min(2 * step, STEP)
         return total / np.log(2)
 
@@ -189,51 +224,109 @@ def _count_words(batches):
         yield out()
 
 
+def _pieces(counts: np.ndarray, begin: int):
+    """The counts (zeros, ones) of slots from begin on, in parts of PART slots."""
+    for k in range(0, counts.shape[1], PART):
+        piece = np.ascontiguousarray(counts[:, k : k + PART])
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([begin + k], pa.int64()), pa.array([piece.shape[1]], pa.int64()), pa.array([pa.compress(piece.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
+
+
 def _gather(batches):
-    """The counts (zeros, ones) of each slot over the words (word, c) of a task, in parts of PART slots."""
-    counts = np.zeros((2, STARTS[-1]), np.float32)
+    """The counts of each slot of the contexts within words over the words (word, c) of a task."""
+    counts = np.zeros((2, STARTS[WITHIN]), np.float32)
     for batch in batches:
         for lo in range(0, len(batch), 5000):
             part = batch.slice(lo, 5000)
-            slots, bits, at = coded(part.column(0).to_pylist())
+            slots, bits, at, _, _ = coded(part.column(0).to_pylist())
             c = np.repeat(part.column(1).to_numpy().astype(np.float32), np.diff(at))
             for bit in (0, 1):
                 mine = bits == bit
-                for k in range(ORDERS):
+                for k in range(WITHIN):
                     begin = STARTS[k]
                     counts[bit, begin : STARTS[k + 1]] += np.bincount(slots[mine, k] - begin, c[mine], STARTS[k + 1] - begin).astype(np.float32)
-    for k in range(0, STARTS[-1], PART):
-        piece = np.ascontiguousarray(counts[:, k : k + PART])
-        if piece.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["part", "counts"])
+    yield from _pieces(counts, 0)
 
 
-def _add(key, rows):
-    total = 0
+def _gather_across(batches, at_once: int = 100_000):
+    """The counts of each slot of the contexts that hold words before, over the texts of a task; a word after the same words is laid out once for at_once words."""
+    begin = int(STARTS[WITHIN])
+    counts = np.zeros((2, STARTS[-1] - begin), np.float32)
+    flatly, width = counts.reshape(-1), counts.shape[1]
+
+    def add(texts):
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        _, bits, at, keys, names = coded(list(index))
+        own = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in texts]
+        before, own = [np.concatenate(c) for c in zip(*(after(names[t]) for t in own))], np.concatenate(own)
+        for k, c in enumerate(before, WITHIN):
+            _, first, times = np.unique(c + names[own] * _TWO, return_index=True, return_counts=True)
+            for lo in range(0, len(first), 5000):
+                some = own[first[lo : lo + 5000]]
+                sizes = at[some + 1] - at[some]
+                which = ranges(at[some], sizes)
+                slots = slots_at(k, keys[which] + np.repeat(c[first[lo : lo + 5000]], sizes)) - begin
+                np.add.at(flatly, slots + bits[which].astype(np.int64) * width, np.repeat(times[lo : lo + 5000].astype(np.float32), sizes))
+
+    texts, n = [], 0
+    for batch in batches:
+        raw, ends = flat(batch.column(0))
+        data = memoryview(raw)
+        for a, b in zip(ends, ends[1:]):
+            texts.append([*(w.decode() for w in bytes(data[a:b]).lower().split()), END])
+            n += len(texts[-1])
+            if n >= at_once:
+                add(texts)
+                texts, n = [], 0
+    if texts:
+        add(texts)
+    yield from _pieces(counts, begin)
+
+
+def _total(rows) -> np.ndarray:
+    total, size = 0, 8 * rows.column("size")[0].as_py()
     for piece in rows.column("counts"):
-        total = total + np.frombuffer(piece.as_buffer(), np.float32)
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+        total = total + np.frombuffer(pa.decompress(piece.as_buffer(), size, "zstd"), np.float32)
+    return total
+
 
+def _add(key, rows):
+    total = pa.compress(_total(rows).tobytes(), "zstd", asbytes=True)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), rows.column("size")[:1], pa.array([total], pa.binary())], ["part", "size", "counts"])
 
-def build(vocabulary: DataFrame, sample: list[str], words_in_task: int = 500_000) -> Tables:
-    """The tables, whose size is fixed, from all words (word, c), and the weights from a sample of texts."""
+
+def _finish(key, rows):
+    """The logits and totals of a part's slots."""
+    zeros, ones = _total(rows).reshape(2, -1)
+    logits = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -12, 12).astype(np.float16)
+    totals = np.minimum(zeros + ones, 65504).astype(np.float16)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([logits.tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary())], ["part", "logits", "totals"])
+
+
+def build(vocabulary: DataFrame, texts: DataFrame, tokens: int, sample: list[str], words_in_task: int = 500_000, tokens_in_task: int = 4_000_000) -> Tables:
+    """The tables, whose size is fixed, from all words (word, c) and all training texts (text) with their count of tokens, and the weights from a sample of texts.
+
+    A task's counts take up to the whole tables' room, so small partitions of texts are read together.
+    """
     parts = 1 + vocabulary.count() // words_in_task
-    made = "part long, counts binary"
-    some = vocabulary.repartition(parts, "word").mapInArrow(_gather, made).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = some.groupBy("part", "salt").applyInArrow(_add, made).groupBy("part").applyInArrow(_add, made)
-    counts = np.zeros((2, STARTS[-1]), np.float32)
+    made = "part long, size long, counts binary"
+    some = vocabulary.repartition(parts, "word").mapInArrow(_gather, made).unionAll(texts.coalesce(1 + tokens // tokens_in_task).mapInArrow(_gather_across, made)).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = some.groupBy("part", "salt").applyInArrow(_add, made).groupBy("part").applyInArrow(_finish, "part long, logits binary, totals binary")
+    logits, totals = np.zeros((2, STARTS[-1]), np.float16)
     for row in some.collect():
-        piece = np.frombuffer(row.counts, np.float32).reshape(2, -1)
-        counts[:, row.part : row.part + piece.shape[1]] = piece
-    logits = np.log((counts[1] + 0.4) / (counts[0] + 0.4))
-    model = Tables(np.clip(logits, -12, 12).astype(np.float16), np.searchsorted(LEVELS, counts[:, STARTS[-2] :].sum(0), 'right').astype(np.uint8), np.full((GATES, ORDERS), 0.25, np.float32))
+        for all_slots, piece in ((logits, row.logits), (totals, row.totals)):
+            piece = np.frombuffer(piece, np.float16)
+            all_slots[row.part : row.part + len(piece)] = piece
+    level = np.searchsorted(LEVELS, totals[STARTS[WITHIN - 1] : STARTS[WITHIN]], "right").astype(np.uint8)
+    model = Tables(logits, level, np.full((GATES, ORDERS), 0.25, np.float32), totals)
     if sample:
         texts = [[*(w.decode() for w in text.encode().lower().split()), END] for text in sample]
         index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        words, weights = Words(model, list(index)), model.weights.copy()
+        words, weights = Words(model, list(index), learned=True), model.weights.copy()
         for text in texts:
             words.cost(np.array([index[w] for w in text]), weights)
         model.weights = weights
+    model.totals = None
     return model
 
 
@@ -273,7 +366,7 @@ def score(docs: DataFrame, block_texts: int = 1500, sample_texts: int = 300, lon
     total = found.agg(F.sum("n").alias("n"), F.count_if(F.expr("once and c > 0")).alias("v")).first()
     sample = rows.where("not held_out").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "text").limit(sample_texts)
     sample = [r.text for r in sample.select(F.substring("text", 1, longest).alias("text")).collect()]
-    model = build(found.where("once and c > 0").select("word", "c"), sample)
+    model = build(found.where("once and c > 0").select("word", "c"), rows.where("not held_out").select("text"), total.n or 0, sample)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     made = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     words = found.select("block", "word", "c")
