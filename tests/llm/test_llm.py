@@ -3,6 +3,7 @@ import io
 import random
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,17 @@ def test_shuffled_words_cost_more(spark, tmp_path):
     assert len(pairs) > 10 and sum(a for a, _ in pairs) > 0.85 * sum(b for _, b in pairs)  # logarithms, below 0
 
 
+def test_weights_are_learned_from_all_training_texts(spark, tmp_path, monkeypatch):
+    texts = [(i, f"word{i % 50} and more") for i in range(600)] + [(600 + i, "first part " * 600 + f"last{i} " * 50) for i in range(9)]
+    path, read, learn = str(tmp_path / "d"), [], context_mixing.learn
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    monkeypatch.setattr(context_mixing, "learn", lambda *a: read.append(learn(*a).where("context = 0").agg(F.sum("n")).first()[0]) or learn(*a))
+    context_mixing.score(docs, block_texts=100)
+    own = [r.text.split() + [context_mixing.END] for r in docs.where(context_mixing.fold(F.col("doc_id"), 10) != 0).collect()]
+    assert read == [sum(len(context_mixing.coded([w])[1]) * n for w, n in Counter(w for t in own for w in t).items())]
+
+
 def test_urls(spark):
     made = "page_id long, url string, html string, host string"
     rows = [(1, "http://a.org/x", '<link rel="canonical" href="http://bad.net/q">'), (2, "http://A.org/y?z", '<meta http-equiv="refresh" content="0; url=/x">'), (3, None, None), (4, "nourl", ""), (5, "http://c.org/fr/1", "<LINK href=http://z.org/ rel=canonical>"), (6, "http://k.com/", '<link rel=canonical href="//z.org/">')]

@@ -4,9 +4,9 @@ A text is its lower-cased words, each ended by a space, and an end. Bytes are wr
 prefix code. Each bit is predicted in several contexts (the last 0 to 3 bytes of the word, the whole of it so
 far, and that with the one and the two words before it), each hashed into a table of counts gathered from all
 training texts of the corpus. The predictions' logits are added up with weights that a gate picks, by how often
-the word so far was seen; from the weights of a training sample on, each text refines its own as its bits are
-read. In that sample, a bit is predicted without what it adds itself to the counts. The cost of all bits is the
-text's score.
+the word so far was seen; from weights that all training texts have taught, each text refines its own as its
+bits are read. While weights are learned, a bit is predicted without what it adds itself to the counts. The cost
+of all bits is the text's score.
 
 Words are counted once for each block of texts. A block meets the corpus counts of its own words again by a
 shuffle on words and one on blocks, so neither the vocabulary nor its counts are ever held in one place.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -303,8 +304,8 @@ def _finish(key, rows):
     return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([logits.tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary())], ["part", "logits", "totals"])
 
 
-def build(vocabulary: DataFrame, texts: DataFrame, tokens: int, sample: list[str], words_in_task: int = 500_000, tokens_in_task: int = 4_000_000) -> Tables:
-    """The tables, whose size is fixed, from all words (word, c) and all training texts (text) with their count of tokens, and the weights from a sample of texts.
+def build(vocabulary: DataFrame, texts: DataFrame, tokens: int, words_in_task: int = 500_000, tokens_in_task: int = 4_000_000) -> Tables:
+    """The tables, whose size is fixed, from all words (word, c) and all training texts (text) with their count of tokens; weights are equal.
 
     A task's counts take up to the whole tables' room, so small partitions of texts are read together.
     """
@@ -318,16 +319,30 @@ def build(vocabulary: DataFrame, texts: DataFrame, tokens: int, sample: list[str
             piece = np.frombuffer(piece, np.float16)
             all_slots[row.part : row.part + len(piece)] = piece
     level = np.searchsorted(LEVELS, totals[STARTS[WITHIN - 1] : STARTS[WITHIN]], "right").astype(np.uint8)
-    model = Tables(logits, level, np.full((GATES, ORDERS), 0.25, np.float32), totals)
-    if sample:
-        texts = [[*(w.decode() for w in text.encode().lower().split()), END] for text in sample]
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        words, weights = Words(model, list(index), learned=True), model.weights.copy()
-        for text in texts:
-            words.cost(np.array([index[w] for w in text]), weights)
-        model.weights = weights
-    model.totals = None
-    return model
+    return Tables(logits, level, np.full((GATES, ORDERS), 0.25, np.float32), totals)
+
+
+def _learn(sent):
+    def run(docs, words):
+        names, texts = words.column("word").to_pylist(), docs.filter(pc.invert(docs.column("held_out"))).column("text").to_pylist()
+        n, weights = np.zeros(GATES), sent.value.weights.copy()
+        if texts:
+            index, known_words = {w.encode(): i for i, w in enumerate(names)}, Words(sent.value, names, learned=True)
+            per_word = np.stack([np.add.reduceat(known_words.gate == g, known_words.at[:-1], dtype=np.int64) for g in range(GATES)], 1)
+            for text in sorted(texts):
+                own = np.fromiter(map(index.__getitem__, [*text.encode().lower().split(), END.encode()]), np.int64)
+                known_words.cost(own, weights)
+                n += per_word[own].sum(0)
+        gate, order = np.divmod(np.arange(GATES * ORDERS), ORDERS)
+        return pa.table([pa.array(gate, pa.int64()), pa.array(order, pa.int64()), pa.array(weights.reshape(-1).astype(float)), pa.array(n[gate])], names=["gate", "context", "weight", "n"])
+
+    return run
+
+
+def learn(docs: DataFrame, words: DataFrame, sent) -> DataFrame:
+    """(gate, context, weight, n): the weights after all training texts of each block of docs, read whole and one after the other from equal weights, averaged by the n bits that had the gate."""
+    some = docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_learn(sent), "gate long, context long, weight double, n double")
+    return some.where("n > 0").groupBy("gate", "context").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight"), F.sum("n").alias("n"))
 
 
 def _score(sent, train_tokens: int, distinct: int):
@@ -348,12 +363,11 @@ def _score(sent, train_tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, block_texts: int = 1500, sample_texts: int = 300, longest: int = 5000) -> DataFrame:
+def score(docs: DataFrame, block_texts: int = 1500) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     All texts are scored as a whole, a null one as empty; an empty text is its end alone. Those whose fold of 10
-    is not 0 are learned from. The starting weights are learned from sample_texts of them, of each up to longest
-    characters. Repeated rows are scored each for itself and learned from as often. An empty table gives no rows.
+    is not 0 are learned from, whole: the counts and the starting weights. Repeated rows are scored each for itself and learned from as often. An empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"))
     # neighbours in the input share a block
@@ -364,12 +378,15 @@ def score(docs: DataFrame, block_texts: int = 1500, sample_texts: int = 300, lon
     found = found.withColumn("c", F.sum("n").over(same)).withColumn("once", F.col("block") == F.min("block").over(same))
     found = staged(found, "words")
     total = found.agg(F.sum("n").alias("n"), F.count_if(F.expr("once and c > 0")).alias("v")).first()
-    sample = rows.where("not held_out").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "text").limit(sample_texts)
-    sample = [r.text for r in sample.select(F.substring("text", 1, longest).alias("text")).collect()]
-    model = build(found.where("once and c > 0").select("word", "c"), rows.where("not held_out").select("text"), total.n or 0, sample)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = build(found.where("once and c > 0").select("word", "c"), rows.where("not held_out").select("text"), total.n or 0)
+    words, sc = found.select("block", "word", "c"), docs.sparkSession.sparkContext
+    counted = sc.broadcast(model)
+    for row in learn(rows.drop("row_id"), words, counted).collect():
+        model.weights[row.gate, row.context] = row.weight
+    model.totals = None
+    counted.destroy()
+    sent = sc.broadcast(model)
     made = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    words = found.select("block", "word", "c")
     return rows.drop("row_id").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score(sent, total.n or 0, total.v or 0), made)
 
 
