@@ -182,6 +182,15 @@ def test_pair_term_of_the_machine():
     assert z.tolist() == [0.5 + 3 + 2, 0.5, 4.5]
 
 
+def test_machine_learns_a_label_of_a_pair_alone():
+    rnd = np.random.default_rng(5)
+    a, b = rnd.integers(0, 2, (2, 3000))
+    texts = [np.unique(np.r_[10 + x, 20 + y, rnd.integers(100, 130, 4)]) for x, y in zip(a, b)]
+    m = toxicity_fm.train(texts[:2400], (a ^ b)[:2400])
+    p = toxicity_fm.logit(m, np.concatenate(texts[2400:]), np.cumsum([0, *map(len, texts[2400:])]))
+    assert ((p > 0) == (a ^ b)[2400:]).mean() > 0.95
+
+
 def test_language_model(docs, none):
     got = {r.doc_id: r for r in context_mixing.score(docs).collect()}
     assert got[4].n_tokens == 1 and got[9].n_tokens == 30_001 and all(np.isfinite(r.score) and r.score < 0 for r in got.values())

@@ -50,14 +50,44 @@ def logit(m: Machine, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return m.bias + np.where(empty, 0, np.add.reduceat(m.weights[slots], at) + pairs)
 
 
+def paired(texts: list[np.ndarray], y: np.ndarray, frequent: np.ndarray, alone: np.ndarray, least: int) -> np.ndarray:
+    """The frequent slots of pairs that tell of the label what neither does alone.
+
+    Among the texts with one slot, those that also have the other (not in alone) differ in label from the rest's
+    share by more than chance gives any of all pairs (the bound of Chernoff for each).
+    """
+    slots, found = np.flatnonzero(frequent), np.zeros(len(frequent), bool)
+    place = np.cumsum(frequent) - 1
+    own = [place[t[frequent[t]]] for t in texts]
+    owner, flat_own = np.repeat(np.arange(len(own)), [len(t) for t in own]), np.concatenate(own)
+    order = np.argsort(flat_own, kind="stable")
+    docs = np.split(owner[order], np.cumsum(np.bincount(flat_own, minlength=len(slots)))[:-1])
+    bound, others = 4 * np.log(max(2, len(slots))), ~alone[slots]
+    for i, some in enumerate(docs):
+        share = y[some].mean()
+        if not 0 < share < 1:
+            continue
+        n = np.bincount(np.concatenate([own[d] for d in some]), minlength=len(slots))
+        t = np.bincount(np.concatenate([own[d] for d in some if y[d]]), minlength=len(slots))
+        js = np.flatnonzero((n >= least) & others)
+        p = t[js] / n[js]
+        g = 2 * n[js] * (p * np.log(np.maximum(p, 1e-12) / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)))
+        js = js[g >= bound]
+        found[slots[js]] = True
+        found[slots[i]] |= len(js) > 0
+    return found
+
+
 def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, least: int = 5, least_chi2: float = 15.0, seed: int = 3) -> Machine:
-    """Adagrad on the log loss, both labels of equal weight. Slots that fewer than least texts have, or whose chi-square with the label is less than least_chi2, stay at zero, as unseen ones do."""
+    """Adagrad on the log loss, both labels of equal weight. Slots that fewer than least texts have, or whose chi-square with the label is less than least_chi2 and which no pair needs (paired), stay at zero, as unseen ones do."""
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate(texts), minlength=1 << BITS) if texts else np.zeros(1 << BITS)
     toxic = np.bincount(np.concatenate([t for t, one in zip(texts, y) if one]), minlength=1 << BITS) if y.any() else np.zeros(1 << BITS)
     share = y.mean() if len(y) else 0.0
     expected = np.maximum(seen * share * (1 - share) * (1 - seen / max(1, len(y))), 1e-9)
     known = (seen >= least) & ((toxic - seen * share) ** 2 / expected >= least_chi2)
+    if (seen >= least).any():
+        known |= paired(texts, y, seen >= least, known, least)
     texts = [t[known[t]] for t in texts]
     m = Machine(0.0, np.zeros(1 << BITS), np.where(known[:, None], rng.normal(0, 0.01, (1 << BITS, FACTORS)), 0))
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))
