@@ -1,45 +1,51 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words, each ended by a space, and an end. Bytes are written as the bits of a fixed
-prefix code. Each bit is predicted in several contexts (the last 0 to 3 bytes of the word, the whole of it so
-far, and that with the one and the two words before it), each hashed into a table of counts gathered from all
-training texts of the corpus. The predictions' logits are added up with weights that a gate picks, by how often
-the word so far was seen; from weights that all training texts have taught, each text refines its own as its
-bits are read. While weights are learned, a bit is predicted without what it adds itself to the counts. The cost
-of all bits is the text's score.
-
-Words are counted once for each block of texts. A block meets the corpus counts of its own words again by a
-shuffle on words and one on blocks, so neither the vocabulary nor its counts are ever held in one place.
+A text is its lower-cased words and an end. Each word of the training texts has a binary code, as short as the
+word is frequent: a tree over all words, cut at each node where the training counts halve. Every bit of a
+text's codes is predicted in several contexts: the node alone (its exact training count), the node after the
+last word and after the last two (counts of all training texts, hashed into tables), and the node, alone and
+after the last word, in what has been read of this text. Their logits are added up with weights that a gate
+picks, by the bit's depth and whether the text had this word pair before. The weights start as all training
+texts have taught them, and each text refines its own as its bits are read. Words that training texts don't
+have cost an escape and are spelled in bits of their bytes, predicted after the last one to three bytes.
+
+Everything grows with the corpus but the hashed tables, whose size is a parameter. Rows are read once, into
+blocks of bounded bytes that hold each text as the numbers of its words; blocks meet the codes of their own
+words by a shuffle on words, so neither the vocabulary nor its counts are ever held in one place.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat, fold, staged, table
+from tidemark.llm.common import flat, fold, release, staged, table
 
-#: log2 of the slots of each context's table, by the bytes that the context has ; then the whole word so far, and that after one and two words.
-TABLE_BITS = (9, 16, 18, 20, 22, 22, 22)
-ORDERS, WITHIN = len(TABLE_BITS), len(TABLE_BITS) - 2
+#: log2 of the slots of each hashed table: after one and two words; then, to spell, after one, two and three bytes.
+TABLE_BITS = (22, 22, 14, 18, 20)
 STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-#: A bit's gate: how many of these counts the whole word so far has reached in training.
-LEVELS = (1, 4, 32, 512)
-GATES, RATE, PART = len(LEVELS) + 1, 0.005, 1 << 16
+INPUTS = 6  # the node, after one word, after two, in this text, in this text after one word, a constant
+#: Gates of a code's bits: by depth, the second half if the text had the node after the same word before; then two to spell with.
+DEPTHS = (3, 7, 11, 15)
+CODE_GATES = 2 * (len(DEPTHS) + 1)
+GATES = CODE_GATES + 2
+RATE, PART = 0.02, 1 << 16
 #: A text refines its weights when it has read its first bits, then after steps twice as long each, up to STEP.
 FIRST, STEP = 64, 2048
-PIECE = 4096  # words whose bits are laid out at once
+PIECE = 40_000  # tokens read at once
+HISTORY = 18  # log2 of the slots in which a text longer than PIECE keeps what has been read of it
+ESCAPE = 20.0  # tokens that the corpus's share of unknown words counts for in each text
 END = "\n"  # no word holds it
-_MIX, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PLACE = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+_STRETCH = np.log((np.arange(64)[None, :] + 0.4) / (np.arange(64)[:, None] + 0.4)).astype(np.float32)  # [zeros, ones]
+
+
+# Codes
 
 
 def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,328 +72,564 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nodes += [n - 256 for n, _ in reversed(path)]
         bits += [b for _, b in reversed(path)]
         starts.append(len(nodes))
-    return np.array(starts), np.array(nodes, np.uint64), np.array(bits, np.uint8)
+    return np.array(starts), np.array(nodes, np.uint32), np.array(bits, np.uint8)
 
 
 _AT, _NODES, _BITS = prefix_code()
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ..., then the same from starts[1] on."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def slots_at(k: int, keys: np.ndarray) -> np.ndarray:
-    """The slots of table k for keys of a context and a node."""
-    h = keys * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
-
-
-def after(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the one and the two words before each word of a text add to its bits' keys; names are the hashes of its words."""
-    one = np.r_[np.uint64(0), names[:-1]]
-    two = np.r_[np.uint64(0), one[:-1]]
-    return (one + np.uint64(1)) * _TWO, ((one + np.uint64(3)) * _TWO ^ two) * _MIX
-
-
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slots (bits, WITHIN), bits, where each word's bits begin, keys of the whole word so far, the words' hashes) of the words with what ends them."""
-    raw = [w.encode() + b" " if w != END else b"\n" for w in words]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(data)) - begin
-    contexts = np.zeros((WITHIN, len(data)), np.uint64)
-    for k in range(1, WITHIN - 1):
-        last = np.zeros(len(data), np.uint64)
-        last[k:] = data[:-k] if k < len(data) else 0
-        contexts[k] = contexts[k - 1] * np.uint64(257) + np.where(place >= k, last + np.uint64(1), np.uint64(0))
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _PLACE[place % len(_PLACE)])
-    before = np.r_[np.uint64(0), sums[:-1]]
-    contexts[-1] = before - before[begin] + place.astype(np.uint64)
-    n_bits = (_AT[1:] - _AT[:-1])[data]
-    which = ranges(_AT[data], n_bits)
-    nodes = _NODES[which]
-    slots = np.empty((len(which), WITHIN), np.int32)
-    slots[:, 0] = nodes
-    for k in range(1, WITHIN):
-        keys = np.repeat(contexts[k] * _MIX, n_bits) + nodes
-        slots[:, k] = slots_at(k, keys)
-    word_ends = np.cumsum(sizes)
-    bit_at = np.r_[0, np.cumsum(n_bits)]
-    names = (sums[word_ends - 1] - before[word_ends - sizes]) * _MIX
-    return slots, _BITS[which], np.r_[0, bit_at[word_ends]].astype(np.int64), keys, names ^ (names >> np.uint64(31))
+def quantised(logits: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(logits * 16), -127, 127).astype(np.int8)
+
+
+def halving_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(codes, lengths, logits of a 1 along the way, in sixteenths) of a tree that cuts each set of words where the counts halve."""
+    n = len(counts)
+    total = np.r_[0, np.cumsum(counts, dtype=np.float64)]
+    lo, hi = np.zeros(n, np.int64), np.full(n, n, np.int64)
+    code, length, way = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 64), np.int8)
+    at = np.arange(n)
+    while len(at := at[hi[at] - lo[at] > 1]):
+        a, b = lo[at], hi[at]
+        middle = (total[a] + total[b]) / 2
+        cut = np.clip(np.searchsorted(total, middle), a + 1, b - 1)
+        cut -= (cut - 1 > a) & (middle - total[cut - 1] < total[cut] - middle)
+        way[at, length[at]] = quantised(np.log((total[b] - total[cut]) / (total[cut] - total[a])))
+        right = at >= cut
+        code[at] = code[at] * 2 + right
+        length[at] += 1
+        lo[at], hi[at] = np.where(right, cut, a), np.where(right, b, cut)
+    return code, length, [way[i, :k] for i, k in enumerate(length)]
+
+
+def slice_of(bits: int) -> Column:
+    """The slice of a word: the first bits of its hash."""
+    return F.pmod(F.xxhash64("word"), F.lit(1 << bits))
+
+
+def slice_ways(masses: np.ndarray) -> np.ndarray:
+    """(slices, bits): the logits, in sixteenths, on the way from the root to each slice of the words."""
+    bits = len(masses).bit_length() - 1
+    out, which = np.zeros((len(masses), bits), np.int8), np.arange(len(masses))
+    for depth in range(bits):
+        halves = masses.reshape(2 << depth, -1).sum(1).reshape(-1, 2) + 1e-9
+        out[:, depth] = quantised(np.log(halves[:, 1] / halves[:, 0]))[which >> (bits - depth)]
+    return out
+
+
+def _code(ways: np.ndarray):
+    def run(key, rows):
+        rows, k = rows.sort_by("word"), key[0].as_py()
+        code, length, inner = halving_code(rows.column("c").to_numpy())
+        bits = ways.shape[1]
+        code, way = code + (np.int64(k) << length), [ways[k].tobytes() + w.tobytes() for w in inner]
+        # a leading 1 tells codes of different lengths apart
+        return pa.table([rows.column("word"), rows.column("c"), pa.array(code + (np.int64(1) << (length + bits))), pa.array(way, pa.binary())], names=["word", "c", "code", "way"])
 
+    return run
 
-@dataclass
-class Tables:
-    logits: np.ndarray  # of all tables' slots, float16
-    level: np.ndarray  # uint8, of the slots of the whole word so far
-    weights: np.ndarray  # (GATES, ORDERS)
-    totals: np.ndarray | None = None  # how often each slot was seen, float16; while weights are learned
 
+# Blocks of texts
+
+
+def _blocks(most_bytes: int, doc_type: pa.DataType):
+    """Rows of two kinds: (block, doc_id, held_out, n_bytes, ids) of a text, and (block, word, i, n) of a word that block's texts have, n times in training ones."""
+    names = ["block", "doc_id", "held_out", "n_bytes", "ids", "word", "i", "n"]
+    kinds = [pa.int64(), doc_type, pa.bool_(), pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
+
+    def some(size, **columns):
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, k)).cast(k) for c, k in zip(names, kinds)], names)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block, index, counts, size = TaskContext.get().partitionId() << 32, {END.encode(): 0}, np.zeros(1 << 16, np.int64), 0
+
+        def words():
+            w = list(index)
+            for lo in range(0, len(w), 20_000):
+                k = len(w[lo : lo + 20_000])
+                yield some(k, block=pa.array(np.full(k, block)), word=pa.array([x.decode() for x in w[lo : lo + k]]), i=pa.array(np.arange(lo, lo + k)), n=pa.array(counts[lo : lo + k]))
+
+        for whole in batches:
+            for first in range(0, len(whole), 200):
+                batch = whole.slice(first, 200)
+                raw, ends = flat(batch.column(1))
+                data, held, packed = memoryview(raw), batch.column(2).to_pylist(), []
+                for a, b, out in zip(ends, ends[1:], held):
+                    own = bytes(data[a:b]).lower().split()
+                    own.append(b"\n")
+                    for w in dict.fromkeys(own):
+                        if w not in index:
+                            index[w] = len(index)
+                    ids = np.fromiter(map(index.__getitem__, own), np.uint32, len(own))
+                    if len(index) > len(counts):
+                        counts = np.r_[counts, np.zeros(len(counts) + len(index), np.int64)]
+                    if not out:
+                        counts[: len(index)] += np.bincount(ids, minlength=len(index))
+                    packed.append(pack(ids))
+                size += int(ends[-1] - ends[0])
+                yield some(len(batch), block=pa.array(np.full(len(batch), block)), doc_id=batch.column(0), held_out=batch.column(2), n_bytes=pa.array(np.diff(ends)), ids=pa.array(packed, pa.binary()))
+                if size >= most_bytes:
+                    yield from words()
+                    block, index, counts, size = block + 1, {END.encode(): 0}, np.zeros(1 << 16, np.int64), 0
+        if len(index) > 1 or counts.any() or size:
+            yield from words()
 
-def without(model: Tables, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The logits of slots in which each of bits was counted, as they are without it."""
-    x, n = model.logits[slots].astype(np.float32), np.minimum(model.totals[slots].astype(np.float32), 65504)
-    ones = (n + 0.8) / (1 + np.exp(-x)) - 0.4
-    zeros = n - ones
-    return np.log((np.maximum(ones - bits, 0) + 0.4) / (np.maximum(zeros + bits - 1, 0) + 0.4)).astype(np.float32)
+    return run
 
 
-def bit_costs(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bit's cost in nats, and what it would change of its gate's weights."""
-    sign = bits.astype(np.float32) * 2 - 1
-    odds = np.exp(np.minimum(np.einsum("ij,ij->i", x, weights[gate]) * -sign, 60))  # of the other bit
-    return np.log1p(odds), (odds / (1 + odds) * sign)[:, None] * x
+def pack(ids: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def refine(weights: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
-    """change (GATES, ORDERS): the sum over the n bits of each gate."""
-    weights += RATE * change / np.sqrt(np.maximum(1, n))[:, None].astype(np.float32)
+def unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def read_step(weights: np.ndarray, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> float:
-    """The cost in nats of bits; weights is refined after it."""
-    costs, change = bit_costs(weights, x, gate, bits)
-    mine = (gate == np.arange(GATES, dtype=gate.dtype)[:, None]).astype(np.float32)
-    refine(weights, mine @ change, mine.sum(1))
-    return float(costs.sum(dtype=np.float64))
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., then the same from starts[1] on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Words:
-    """The bits of some words, with their keys, the inputs of contexts within words and gates; of learned ones, without what each bit adds to the counts."""
-
-    def __init__(self, model: Tables, words: list[str], learned: bool = False, at_once: int = 20_000):
-        self.model, self.learned, found, ends = model, learned, [], 0
-        for lo in range(0, len(words), at_once):
-            slots, bits, at, keys, names = coded(words[lo : lo + at_once])
-            last = slots[:, -1]
-            if learned:
-                x = np.stack([without(model, slots[:, k], bits) for k in range(WITHIN)], 1).astype(np.float16)
-                gate = np.searchsorted(LEVELS, model.totals[last].astype(np.float32) - 1, "right").astype(np.uint8)
-            else:
-                x, gate = model.logits[slots], model.level[last - STARTS[WITHIN - 1]]
-            found.append((x, gate, bits, keys, names, at[:-1] + ends))
-            ends += at[-1]
-        self.x, self.gate, self.bits, self.keys, self.names, at = (np.concatenate(c) for c in zip(*found))
-        self.at = np.r_[at, ends]
-
-    def cost(self, own: np.ndarray, weights: np.ndarray | None = None) -> float:
-        """The cost in bits of the words own in this order; weights are refined after each step, a copy of the starting ones if none are given."""
-        total, weights, step = 0.0, self.model.weights.copy() if weights is None else weights, FIRST
-        before = after(self.names[own])
-        for lo in range(0, len(own), PIECE):
-            some = own[lo : lo + PIECE]
-            sizes = self.at[some + 1] - self.at[some]
-            which, at, added = ranges(self.at[some], sizes), 0, [np.repeat(c[lo : lo + PIECE], sizes) for c in before]
-            while at < len(which):
-                now = which[at : at + step]
-                x, bits, keys = np.empty((len(now), ORDERS), np.float32), self.bits[now], self.keys[now]
-                x[:, :WITHIN] = self.x[now]
-                for k, c in enumerate(added, WITHIN):
-                    slots = slots_at(k, keys + c[at : at + step])
-                    x[:, k] = without(self.model, slots, bits) if self.learned else self.model.logits[slots]
-                total += read_step(weights, x, self.gate[now], bits)
-                at, step = at + step, min(2 * step, STEP)
-        return total / np.log(2)
-
-
-def _count_words(batches):
-    """(block, word, n): how often the training texts of a block have each of its words, those of the held-out ones too."""
-    now, counts, others = None, Counter(), set()
-
-    def out():
-        words = [*counts, *others.difference(counts)]
-        columns = [pa.array([now] * len(words), pa.int64()), pa.array(words, pa.string()), pa.array([counts.get(w, 0) for w in words], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "word", "n"])
-
-    for batch in batches:
-        raw, ends = flat(batch.column(2))
-        data, blocks, held = memoryview(raw), batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, block in enumerate(blocks):
-            if block != now:
-                if now is not None:
-                    yield out()
-                now, counts, others = block, Counter(), set()
-            words = bytes(data[ends[i] : ends[i + 1]]).lower().split()
-            if held[i]:
-                others.update(w.decode() for w in set(words))
-                others.add(END)
-            else:
-                for w, n in Counter(words).items():
-                    counts[w.decode()] += n
-                counts[END] += 1
-    if now is not None:
-        yield out()
+    """What a block knows of its words: c, their names' hashes, and the nodes, bits, logits and gates of all their codes, one after another."""
+
+    def __init__(self, parts: list[pa.Table]):
+        t = pa.concat_tables(parts)
+        i, code, way = (t.column(c).combine_chunks() for c in ("i", "code", "way"))
+        i, code = i.to_numpy(), code.to_numpy(zero_copy_only=False)
+        code = np.where(np.isnan(code), 0, code).astype(np.int64) if code.dtype.kind == "f" else code
+        raw, ends = flat(way)
+        size = np.diff(ends)
+        order = np.argsort(i)
+        self.c = t.column("c").to_numpy()[order]
+        self.sizes, code = size[order], code[order]
+        which = ranges(ends[:-1][order], self.sizes)
+        self.at = np.r_[0, np.cumsum(self.sizes)]
+        owner_code, depth = np.repeat(code, self.sizes), ranges(np.zeros(len(order), np.int64), self.sizes)
+        rest = np.repeat(self.sizes, self.sizes) - depth
+        self.logit = raw.view(np.int8)[which]
+        self.bits = ((owner_code >> (rest - 1)) & 1).astype(np.uint8)
+        self.nodes = hashed(owner_code >> rest)
+        self.gate = np.searchsorted(DEPTHS, depth, "left").astype(np.uint8)
+        self.names = hashed(code * 2 + 1)
+        self.text = dict(zip(i.tolist(), t.column("text").to_pylist()))  # of those that may be spelled
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """32 bits of whole numbers."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _pieces(counts: np.ndarray, begin: int):
-    """The counts (zeros, ones) of slots from begin on, in parts of PART slots."""
-    for k in range(0, counts.shape[1], PART):
-        piece = np.ascontiguousarray(counts[:, k : k + PART])
-        if piece.any():
-            yield pa.RecordBatch.from_arrays([pa.array([begin + k], pa.int64()), pa.array([piece.shape[1]], pa.int64()), pa.array([pa.compress(piece.tobytes(), "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
-
-
-def _gather(batches):
-    """The counts of each slot of the contexts within words over the words (word, c) of a task."""
-    counts = np.zeros((2, STARTS[WITHIN]), np.float32)
-    for batch in batches:
-        for lo in range(0, len(batch), 5000):
-            part = batch.slice(lo, 5000)
-            slots, bits, at, _, _ = coded(part.column(0).to_pylist())
-            c = np.repeat(part.column(1).to_numpy().astype(np.float32), np.diff(at))
-            for bit in (0, 1):
-                mine = bits == bit
-                for k in range(WITHIN):
-                    begin = STARTS[k]
-                    counts[bit, begin : STARTS[k + 1]] += np.bincount(slots[mine, k] - begin, c[mine], STARTS[k + 1] - begin).astype(np.float32)
-    yield from _pieces(counts, 0)
-
-
-def _gather_across(batches, at_once: int = 100_000):
-    """The counts of each slot of the contexts that hold words before, over the texts of a task; a word after the same words is laid out once for at_once words."""
-    begin = int(STARTS[WITHIN])
-    counts = np.zeros((2, STARTS[-1] - begin), np.float32)
-    flatly, width = counts.reshape(-1), counts.shape[1]
-
-    def add(texts):
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        _, bits, at, keys, names = coded(list(index))
-        own = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in texts]
-        before, own = [np.concatenate(c) for c in zip(*(after(names[t]) for t in own))], np.concatenate(own)
-        for k, c in enumerate(before, WITHIN):
-            _, first, times = np.unique(c + names[own] * _TWO, return_index=True, return_counts=True)
-            for lo in range(0, len(first), 5000):
-                some = own[first[lo : lo + 5000]]
-                sizes = at[some + 1] - at[some]
-                which = ranges(at[some], sizes)
-                slots = slots_at(k, keys[which] + np.repeat(c[first[lo : lo + 5000]], sizes)) - begin
-                np.add.at(flatly, slots + bits[which].astype(np.int64) * width, np.repeat(times[lo : lo + 5000].astype(np.float32), sizes))
-
-    texts, n = [], 0
-    for batch in batches:
-        raw, ends = flat(batch.column(0))
-        data = memoryview(raw)
-        for a, b in zip(ends, ends[1:]):
-            texts.append([*(w.decode() for w in bytes(data[a:b]).lower().split()), END])
-            n += len(texts[-1])
-            if n >= at_once:
-                add(texts)
-                texts, n = [], 0
-    if texts:
-        add(texts)
-    yield from _pieces(counts, begin)
-
-
-def _total(rows) -> np.ndarray:
-    total, size = 0, 8 * rows.column("size")[0].as_py()
-    for piece in rows.column("counts"):
-        total = total + np.frombuffer(pa.decompress(piece.as_buffer(), size, "zstd"), np.float32)
-    return total
-
+def slots_at(k: int, keys: np.ndarray) -> np.ndarray:
+    """The slots of table k for keys of a context and a node."""
+    keys = (keys ^ (keys >> np.uint32(15))) * _C
+    return (keys >> np.uint32(32 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
 
-def _add(key, rows):
-    total = pa.compress(_total(rows).tobytes(), "zstd", asbytes=True)
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), rows.column("size")[:1], pa.array([total], pa.binary())], ["part", "size", "counts"])
 
+def before_in_text(keys: np.ndarray, text_no: np.ndarray, bits: np.ndarray, so_far: np.ndarray | None) -> np.ndarray:
+    """The logit of a 1 after what the same text has had under the same key before each bit; 0 if nothing.
 
-def _finish(key, rows):
-    """The logits and totals of a part's slots."""
-    zeros, ones = _total(rows).reshape(2, -1)
-    logits = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -12, 12).astype(np.float16)
-    totals = np.minimum(zeros + ones, 65504).astype(np.float16)
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([logits.tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary())], ["part", "logits", "totals"])
+    so_far (slots, 2): the counts before all these bits of one text; they are added to it.
+    """
+    n = len(keys)
+    slot = (keys >> np.uint32(32 - HISTORY)).astype(np.uint64)
+    order = np.sort((((text_no.astype(np.uint64) << np.uint64(HISTORY)) | slot) << np.uint64(24)) | np.arange(n, dtype=np.uint64))
+    pos, groups = (order & np.uint64((1 << 24) - 1)).astype(np.int32), order >> np.uint64(24)
+    new = np.empty(n, bool)
+    new[:1] = True
+    np.not_equal(groups[1:], groups[:-1], out=new[1:])
+    ones = bits[pos].astype(np.int32)
+    before = np.cumsum(ones, dtype=np.int32) - ones
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.r_[begin, n])
+    had = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
+    had_ones = before - np.repeat(before[begin], sizes)
+    zeros = had - had_ones
+    if so_far is not None:
+        s = slot.astype(np.int64)[pos]
+        zeros, had_ones = zeros + so_far[s, 0], had_ones + so_far[s, 1]
+        np.add.at(so_far.reshape(-1), s * 2 + ones, 1)
+    out = np.empty(n, np.float32)
+    out[pos] = _STRETCH[np.minimum(zeros, 63), np.minimum(had_ones, 63)]
+    return out
 
 
-def build(vocabulary: DataFrame, texts: DataFrame, tokens: int, words_in_task: int = 500_000, tokens_in_task: int = 4_000_000) -> Tables:
-    """The tables, whose size is fixed, from all words (word, c) and all training texts (text) with their count of tokens; weights are equal.
+@dataclass
+class State:
+    """Of a text that is read in pieces: what has been read of it, and its own weights."""
+
+    seen: np.ndarray
+    seen_after: np.ndarray
+    last: tuple[int, int] = (0, 0)
+    tokens: int = 0
+    escapes: int = 0
+    step: int = FIRST
+    weights: np.ndarray | None = None
+
+
+class Reader:
+    """Lays out the bits of texts of one block; of tables either the logits (of all texts) or the counts (while they are gathered)."""
+
+    def __init__(self, words: Words, logits: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.words, self.logits, self.counts, self.spelled = words, logits, counts, {}
+
+    def of_slots(self, slots: np.ndarray) -> np.ndarray:
+        if self.counts is None:
+            return self.logits[slots] * np.float32(1 / 16)
+        seen = self.counts[slots].astype(np.float32)
+        return np.log((seen[:, 1] + np.float32(0.4)) / (seen[:, 0] + np.float32(0.4)))
+
+    def spelling(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots (bits, 3), bits, gates) of an unknown word's bytes and the space that ends it."""
+        if i not in self.spelled:
+            data = np.frombuffer(self.words.text[i].encode() + b" ", np.uint8).astype(np.uint32)
+            n_bits = (_AT[1:] - _AT[:-1])[data]
+            which = ranges(_AT[data], n_bits)
+            slots, key = np.empty((len(which), 3), np.int64), np.zeros(len(data), np.uint32)
+            for k in range(3):
+                last = np.zeros(len(data), np.uint32)
+                last[k + 1 :] = data[: -(k + 1)] + np.uint32(1)
+                key = key * _B + last + np.uint32(k)
+                slots[:, k] = slots_at(2 + k, (np.repeat(key, n_bits) * _A + _NODES[which]) * _B)
+            gates = np.full(len(which), CODE_GATES + 1, np.uint8)
+            gates[: n_bits[0]] = CODE_GATES
+            self.spelled[i] = slots, _BITS[which], gates
+        return self.spelled[i]
+
+    def spell(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, gates, bits, slots) of unknown words, one after another."""
+        slots, bits, gates = (np.concatenate(c) for c in zip(*map(self.spelling, ids)))
+        x = np.zeros((len(bits), INPUTS), np.float32)
+        for k in range(3):
+            x[:, k] = self.of_slots(slots[:, k])
+        x[:, -1] = 0.3
+        return x, gates, bits, slots
+
+    def lay_out(self, ids: np.ndarray, text_no: np.ndarray, state: State | None = None):
+        """(inputs, gates, bits, bits of each token, slots after one and two words) of the codes of tokens; unknown words have none."""
+        w = self.words
+        names = w.names[ids]
+        new = np.r_[True, text_no[1:] != text_no[:-1]]
+        one, two = np.r_[names[:1], names[:-1]], np.r_[names[:2], names[:-2]]
+        one, two = np.where(new, np.uint32(0), one), np.where(new | np.r_[True, new[:-1]][: len(new)], np.uint32(0), two)
+        if state is not None:
+            one[0] = state.last[0]
+            two[0] = state.last[1]
+            two[1:2] = state.last[0]
+            state.last = (names[-1], one[-1])
+        n_bits = w.sizes[ids]
+        which = ranges(w.at[ids], n_bits)
+        nodes, bits, gates = w.nodes[which], w.bits[which], w.gate[which]
+        after = (np.repeat(one * _A, n_bits) + nodes) * _B
+        slots = slots_at(0, after), slots_at(1, (np.repeat((two * _B + one) * _A + np.uint32(7), n_bits) + nodes) * _B)
+        owner = np.repeat(text_no.astype(np.int32), n_bits)
+        x = np.empty((len(which), INPUTS), np.float32)
+        x[:, 0] = w.logit[which] * np.float32(1 / 16)
+        x[:, 1], x[:, 2] = self.of_slots(slots[0]), self.of_slots(slots[1])
+        x[:, 3] = before_in_text(nodes, owner, bits, state and state.seen)
+        x[:, 4] = before_in_text(after, owner, bits, state and state.seen_after)
+        x[:, 5] = 0.3
+        gates = gates + np.where(x[:, 4] != 0, np.uint8(CODE_GATES // 2), np.uint8(0))
+        return x, gates, bits, n_bits, slots
+
+
+# Mixing
+
+
+def mix(weights: np.ndarray, which: np.ndarray, x: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cost in nats of each bit under the row which of weights, and the sum over the bits of each row of what they would change of it."""
+    z = np.einsum("ij,ij->i", x, weights[which])
+    sign = bits.astype(np.float32) * 2 - 1
+    odds = np.exp(np.minimum(z * -sign, 60))  # of the other bit
+    off = odds / (1 + odds) * sign
+    change = np.empty(weights.shape, np.float64)
+    for k in range(x.shape[1]):
+        change[:, k] = np.bincount(which, off * x[:, k], len(weights))
+    return np.log1p(odds), change
 
-    A task's counts take up to the whole tables' room, so small partitions of texts are read together.
-    """
-    parts = 1 + vocabulary.count() // words_in_task
-    made = "part long, size long, counts binary"
-    some = vocabulary.repartition(parts, "word").mapInArrow(_gather, made).unionAll(texts.coalesce(1 + tokens // tokens_in_task).mapInArrow(_gather_across, made)).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = some.groupBy("part", "salt").applyInArrow(_add, made).groupBy("part").applyInArrow(_finish, "part long, logits binary, totals binary")
-    logits, totals = np.zeros((2, STARTS[-1]), np.float16)
-    for row in some.collect():
-        for all_slots, piece in ((logits, row.logits), (totals, row.totals)):
-            piece = np.frombuffer(piece, np.float16)
-            all_slots[row.part : row.part + len(piece)] = piece
-    level = np.searchsorted(LEVELS, totals[STARTS[WITHIN - 1] : STARTS[WITHIN]], "right").astype(np.uint8)
-    return Tables(logits, level, np.full((GATES, ORDERS), 0.25, np.float32), totals)
-
-
-def _learn(sent):
-    def run(docs, words):
-        names, texts = words.column("word").to_pylist(), docs.filter(pc.invert(docs.column("held_out"))).column("text").to_pylist()
-        n, weights = np.zeros(GATES), sent.value.weights.copy()
-        if texts:
-            index, known_words = {w.encode(): i for i, w in enumerate(names)}, Words(sent.value, names, learned=True)
-            per_word = np.stack([np.add.reduceat(known_words.gate == g, known_words.at[:-1], dtype=np.int64) for g in range(GATES)], 1)
-            for text in sorted(texts):
-                own = np.fromiter(map(index.__getitem__, [*text.encode().lower().split(), END.encode()]), np.int64)
-                known_words.cost(own, weights)
-                n += per_word[own].sum(0)
-        gate, order = np.divmod(np.arange(GATES * ORDERS), ORDERS)
-        return pa.table([pa.array(gate, pa.int64()), pa.array(order, pa.int64()), pa.array(weights.reshape(-1).astype(float)), pa.array(n[gate])], names=["gate", "context", "weight", "n"])
 
-    return run
+def refine(weights: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
+    """change: the sums over the n bits of each row of weights."""
+    weights += (RATE * change / np.sqrt(np.maximum(1, n))[:, None]).astype(np.float32)
+
+
+def read_texts(start: np.ndarray, x: np.ndarray, gates: np.ndarray, bits: np.ndarray, sizes: np.ndarray, state: State | None = None) -> np.ndarray:
+    """The cost in bits of texts of sizes bits each, which lie one after another; each refines its own copy of the starting weights after each of its steps. With a state there is one text."""
+    own = np.repeat(start[None], len(sizes), 0) if state is None or state.weights is None else state.weights
+    rows, begin = own.reshape(-1, INPUTS), np.cumsum(sizes) - sizes
+    cost, lo, step = np.zeros(len(sizes)), 0, FIRST if state is None else state.step
+    while len(alive := np.flatnonzero(sizes > lo)):
+        n = np.minimum(sizes[alive] - lo, step)
+        at, text = ranges(begin[alive] + lo, n), np.repeat(alive, n)
+        which = text * GATES + gates[at]
+        nats, change = mix(rows, which, x[at], bits[at])
+        cost += np.bincount(text, nats, len(sizes))
+        refine(rows, change, np.bincount(which, minlength=len(rows)))
+        lo, step = lo + step, min(2 * step, STEP)
+    if state is not None:
+        state.weights, state.step = own, step
+    return cost / np.log(2)
+
+
+def read_stream(weights: np.ndarray, x: np.ndarray, gates: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many bits had each gate; weights are refined after every STEP bits."""
+    for lo in range(0, len(bits), STEP):
+        g = gates[lo : lo + STEP]
+        refine(weights, mix(weights, g, x[lo : lo + STEP], bits[lo : lo + STEP])[1], np.bincount(g, minlength=GATES))
+    return np.bincount(gates, minlength=GATES)
+
+
+def batches_of(texts, most: int = PIECE):
+    """Lists of (row, ids, whether it ends there) of about most tokens each; a longer text comes alone, piece by piece."""
+    held, n = [], 0
+    for row, ids in texts:
+        if held and n + len(ids) > most:
+            yield held
+            held, n = [], 0
+        if len(ids) > most:
+            for lo in range(0, len(ids), most):
+                yield [(row, ids[lo : lo + most], lo + most >= len(ids))]
+            continue
+        held.append((row, ids, True))
+        n += len(ids)
+    if held:
+        yield held
+
+
+def by_block(batches):
+    """(words, texts) of each block of rows (block, kind, ...) that are sorted by both; texts is an iterator over tables, to be used up before the next."""
+    waiting, block, parts = None, None, []
+
+    def tables():
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            blocks, kinds = t.column("block").to_numpy(), t.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(t)]):
+                if b > a:
+                    yield blocks[a], kinds[a], t.slice(a, b - a)
+
+    source = tables()
+
+    def texts():
+        nonlocal waiting
+        for k, kind, t in source:
+            if k != block or kind == 0:
+                waiting = k, t
+                return
+            yield t
+
+    for k, _, t in source:
+        waiting = k, t
+        break
+    while waiting:
+        block, parts, waiting = waiting[0], [waiting[1]], None
+        first = None
+        for k, kind, t in source:
+            if k == block and kind == 0:
+                parts.append(t)
+            elif k == block:
+                first = t
+                break
+            else:
+                waiting = k, t
+                break
+        own = texts()
+        yield Words(parts), (x for some in ([first] if first is not None else [], own) for x in some)
+        for _ in own:
+            pass
+
+
+# What all training texts teach
+
+
+def _learn(batches):
+    """The counts of the hashed tables and the weights that the training texts of a task teach, each text before it is counted itself; a word that they have once is also spelled."""
+    counts = np.zeros((STARTS[-1], 2), np.uint32)
+    weights, n = np.full((GATES, INPUTS), 0.3, np.float32), np.zeros(GATES)
+    weights[:, -1] = 0
+    flatly = counts.reshape(-1)
+    for words, tables in by_block(batches):
+        reader, state = Reader(words, counts=counts), None
+        texts = ((None, unpack(x)) for t in tables for x in t.column("ids").to_pylist())
+        for some in batches_of(texts):
+            ids = np.concatenate([x for _, x, _ in some])
+            if len(ids) == PIECE and state is None and not some[0][2]:
+                state = State(*np.zeros((2, 1 << HISTORY, 2), np.int32))
+            x, gates, bits, _, slots = reader.lay_out(ids, np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), state)
+            n += read_stream(weights, x, gates, bits)
+            for s in slots:
+                np.add.at(flatly, s * 2 + bits, np.uint32(1))
+            rare = ids[words.c[ids] == 1].tolist()
+            if rare:
+                x, gates, bits, slots = reader.spell(rare)
+                n += read_stream(weights, x, gates, bits)
+                np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
+            if some[-1][2]:
+                state = None
+    yield from _pieces(counts)
+    if n.any():
+        packed = np.c_[weights * n[:, None], n].astype(np.float64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([len(packed)], pa.int64()), pa.array([pa.compress(packed, "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
+
+
+def _pieces(counts: np.ndarray):
+    for k in range(0, len(counts), PART):
+        piece = counts[k : k + PART]
+        if piece.any():
+            raw = np.ascontiguousarray(piece.view(np.uint8).reshape(len(piece), 2, 4).transpose(2, 1, 0)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
 
 
-def learn(docs: DataFrame, words: DataFrame, sent) -> DataFrame:
-    """(gate, context, weight, n): the weights after all training texts of each block of docs, read whole and one after the other from equal weights, averaged by the n bits that had the gate."""
-    some = docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_learn(sent), "gate long, context long, weight double, n double")
-    return some.where("n > 0").groupBy("gate", "context").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight"), F.sum("n").alias("n"))
+def _total(key, rows):
+    """(part, data): the logits in sixteenths of a part's slots; of part -1 the weights and their n."""
+    size, part, total = rows.column("size")[0].as_py(), key[0].as_py(), 0
+    for piece in rows.column("counts"):
+        raw = pa.decompress(piece.as_buffer(), size, "zstd", asbytes=True)
+        if part < 0:
+            total = total + np.frombuffer(raw, np.float64)
+        else:
+            total = total + np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, 2, -1).transpose(2, 1, 0)).view(np.uint32).astype(np.float64)
+    data = total if part < 0 else quantised(np.log((total[:, 1] + 0.4) / (total[:, 0] + 0.4))).reshape(-1)
+    return pa.table([pa.array([part], pa.int64()), pa.array([data.tobytes()], pa.binary())], ["part", "data"])
 
 
-def _score(sent, train_tokens: int, distinct: int):
-    def run(docs, words):
-        names = words.column("word").to_pylist()
-        index, known_words = {w.encode(): i for i, w in enumerate(names)}, Words(sent.value, names)
-        c = words.column("c").to_numpy()
-        base = np.log10((c + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-        rows = []
-        for text in docs.column("text"):
-            text = text.as_py() or ""
-            own = np.fromiter(map(index.__getitem__, [*text.encode().lower().split(), END.encode()]), np.int64)
-            spent = known_words.cost(own)
-            rows.append((len(own), int((c[own] > 0).sum()), float(base[own].sum()), -spent * float(np.log10(2))))
-        n, known, base_score, score = zip(*rows) if rows else ((), (), (), ())
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * len(n), pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+@dataclass
+class Model:
+    logits: np.ndarray  # of all tables' slots, int8, in sixteenths
+    weights: np.ndarray  # (GATES, INPUTS)
+    train_tokens: int
+    distinct: int
+    once: int  # words that training texts have once
+
+
+def learn(rows: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(logits, weights) from the training texts of rows (block, kind, ...), all of them and whole; the weights of tasks are averaged by the bits that had a gate. The tables' size is fixed."""
+    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_learn, "part long, size long, counts binary")
+    logits, weights = np.zeros(STARTS[-1], np.int8), np.full((GATES, INPUTS), 0.3, np.float32)
+    weights[:, -1] = 0
+    for row in found.groupBy("part").applyInArrow(_total, "part long, data binary").collect():
+        if row.part < 0:
+            w = np.frombuffer(row.data, np.float64).reshape(GATES, -1)
+            weights = np.where(w[:, -1:] > 0, w[:, :-1] / np.maximum(1, w[:, -1:]), weights).astype(np.float32)
+        else:
+            piece = np.frombuffer(row.data, np.int8)
+            logits[row.part : row.part + len(piece)] = piece
+    return logits, weights
+
+
+def escape_bits(unknown: np.ndarray, text_no: np.ndarray, texts: int, share: float, state: State | None) -> np.ndarray:
+    """What each text pays to tell known from unknown words, whose share is estimated from the corpus and what has been read of it."""
+    begin = np.searchsorted(text_no, np.arange(texts))
+    before = np.cumsum(unknown) - unknown
+    before, nth = before - before[begin][text_no], np.arange(len(unknown)) - begin[text_no]
+    if state is not None:
+        before, nth = before + state.escapes, nth + state.tokens
+        state.escapes, state.tokens = state.escapes + int(unknown.sum()), state.tokens + len(unknown)
+    p = (before + ESCAPE * share) / (nth + ESCAPE)
+    return np.bincount(text_no, -np.log2(np.where(unknown, p, 1 - p)), texts)
+
+
+def score_batch(reader: Reader, m: Model, some: list, state: State | None) -> np.ndarray:
+    """The cost in bits of the texts of a batch."""
+    lengths = [len(x) for _, x, _ in some]
+    ids, text_no = np.concatenate([x for _, x, _ in some]), np.repeat(np.arange(len(some)), lengths)
+    unknown = reader.words.c[ids] == 0
+    total = escape_bits(unknown, text_no, len(some), (m.once + 0.5) / (m.train_tokens + 1), state)
+    x, gates, bits, n_bits, _ = reader.lay_out(ids, text_no, state)
+    if unknown.any():
+        at = np.flatnonzero(unknown)
+        sx, sg, sb, _ = reader.spell(ids[at].tolist())
+        sizes = np.array([len(reader.spelling(i)[1]) for i in ids[at].tolist()])
+        place = np.repeat((np.cumsum(n_bits) - n_bits)[at], sizes)  # a known word's bits and a spelled one's lie in reading order
+        x, gates, bits = np.insert(x, place, sx, 0), np.insert(gates, place, sg), np.insert(bits, place, sb)
+        n_bits = n_bits.copy()
+        n_bits[at] = sizes
+    sizes = np.bincount(text_no, n_bits, len(some)).astype(np.int64)
+    return total + read_texts(m.weights, x, gates, bits, sizes, state)
+
+
+def _score(sent, kind: pa.DataType):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    kinds = [kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+    def run(batches):
+        m = sent.value
+        for words, tables in by_block(batches):
+            reader = Reader(words, logits=m.logits)
+            base = np.log10((words.c + 0.1) / (m.train_tokens + 0.1 * (m.distinct + 1)))
+            rows, state, spent = [], None, 0.0
+            texts = (((i, h, b), unpack(x)) for t in tables for i, h, b, x in zip(*(t.column(c).to_pylist() for c in ("doc_id", "held_out", "n_bytes", "ids"))))
+            known, base_score, n = 0, 0.0, 0
+            for some in batches_of(texts):
+                if state is None and not some[0][2]:
+                    state, spent, known, base_score, n = State(*np.zeros((2, 1 << HISTORY, 2), np.int32)), 0.0, 0, 0.0, 0
+                costs = score_batch(reader, m, some, state)
+                for ((doc_id, held, n_bytes), ids, ends), cost in zip(some, costs):
+                    parts = int((words.c[ids] > 0).sum()), float(base[ids].sum())
+                    if state is not None:
+                        spent, known, base_score, n = spent + cost, known + parts[0], base_score + parts[1], n + len(ids)
+                        cost, parts, total = spent, (known, base_score), n
+                    else:
+                        total = len(ids)
+                    if ends:
+                        rows.append((doc_id, held, total, *parts[:1], m.train_tokens, parts[1], float(-cost * np.log10(2)), float(cost / max(1, n_bytes))))
+                        state = None
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
 
-def score(docs: DataFrame, block_texts: int = 1500) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, block_bytes: int = 12 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     All texts are scored as a whole, a null one as empty; an empty text is its end alone. Those whose fold of 10
-    is not 0 are learned from, whole: the counts and the starting weights. Repeated rows are scored each for itself and learned from as often. An empty table gives no rows.
+    is not 0 are learned from, whole: the codes, the counts and the starting weights. score is the log10
+    probability of the text, bits_per_byte the same in bits, by its UTF-8 bytes (1 at least). Repeated rows are
+    scored each for itself and learned from as often; without training texts all words are spelled. An empty
+    table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"))
-    # neighbours in the input share a block
-    block = F.shiftright("row_id", 33) * (1 << 33) + F.floor(F.col("row_id").bitwiseAND((1 << 33) - 1) / block_texts)
-    rows = rows.withColumn("block", block)
-    found = rows.select("block", "held_out", "text").mapInArrow(_count_words, "block long, word string, n long")
-    same = W.partitionBy("word")
-    found = found.withColumn("c", F.sum("n").over(same)).withColumn("once", F.col("block") == F.min("block").over(same))
-    found = staged(found, "words")
-    total = found.agg(F.sum("n").alias("n"), F.count_if(F.expr("once and c > 0")).alias("v")).first()
-    model = build(found.where("once and c > 0").select("word", "c"), rows.where("not held_out").select("text"), total.n or 0)
-    words, sc = found.select("block", "word", "c"), docs.sparkSession.sparkContext
-    counted = sc.broadcast(model)
-    for row in learn(rows.drop("row_id"), words, counted).collect():
-        model.weights[row.gate, row.context] = row.weight
-    model.totals = None
-    counted.destroy()
-    sent = sc.broadcast(model)
-    made = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.drop("row_id").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score(sent, total.n or 0, total.v or 0), made)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"))
+    kind = slim.schema["doc_id"].dataType
+    arrow_kind = to_arrow_type(kind)
+    read = staged(slim.mapInArrow(_blocks(block_bytes, arrow_kind), f"block long, doc_id {kind.simpleString()}, held_out boolean, n_bytes long, ids binary, word string, i int, n long"), "blocks")
+    words, texts = read.where("word is not null").select("block", "word", "i", "n"), read.where("ids is not null").select("block", "doc_id", "held_out", "n_bytes", "ids")
+
+    vocabulary = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
+    tokens, distinct, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    bits = min(16, max(0, (distinct // words_in_slice).bit_length()))
+    masses = np.zeros(1 << bits)
+    for row in vocabulary.groupBy(slice_of(bits).alias("s")).agg(F.sum("c").alias("c")).collect():
+        masses[row.s] = row.c
+    coded = vocabulary.withColumn("s", slice_of(bits)).groupBy("s").applyInArrow(_code(slice_ways(masses)), "word string, c long, code long, way binary")
+    own = words.join(coded, "word", "left").select("block", "i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), F.when(F.coalesce("c", F.lit(0)) <= 1, F.col("word")).alias("text"))
+    own = staged(own, "coded")
+    release(spark)
+
+    word_rows = own.withColumn("kind", F.lit(0))
+    rows = lambda t: word_rows.unionByName(t.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    logits, weights = learn(rows(texts.where("not held_out").select("block", "ids")), 1 + tokens // tokens_in_task)
+    release(spark)
+    sent = spark.sparkContext.broadcast(Model(logits, weights, tokens, distinct, once))
+    blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
+    made = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return rows(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_score(sent, arrow_kind), made)
 
 
 def op7(spark, sf_dir):
