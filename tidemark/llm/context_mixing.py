@@ -3,11 +3,12 @@
 A text is its lower-cased words and an end. Each word of the training texts has a binary code, as short as the
 word is frequent: a tree over all words, cut at each node where the training counts halve. Every bit of a
 text's codes is predicted in several contexts: the node alone (its exact training count), the node after the
-last word and after the last two (counts of all training texts, hashed into tables), and the node, alone and
-after the last word, in what has been read of this text. Their logits are added up with weights that a gate
-picks, by the bit's depth and whether the text had this word pair before. The weights start as all training
-texts have taught them, and each text refines its own as its bits are read. Words that training texts don't
-have cost an escape and are spelled in bits of their bytes, predicted after the last one to three bytes.
+last word and after the last two (counts of all training texts, hashed into tables), and the node in what has
+been read of this text. Their logits are added up with weights that a gate picks, by the bit's depth and how
+sure the last word makes it. Each text refines its own copy of the weights as its bits are read, and every
+training text moves those with which the next texts of its block start. A training text is predicted without
+what it adds itself to the tables. Words that training texts don't have cost an escape and are spelled in bits
+of their bytes, predicted after the last one to three bytes.
 
 Everything grows with the corpus but the hashed tables, whose size is a parameter. Rows are read once, into
 blocks of bounded bytes that hold each text as the numbers of its words; blocks meet the codes of their own
@@ -17,7 +18,9 @@ words by a shuffle on words, so neither the vocabulary nor its counts are ever h
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +32,32 @@ from tidemark.llm.common import flat, fold, release, staged, table
 #: log2 of the slots of each hashed table: after one and two words; then, to spell, after one, two and three bytes.
 TABLE_BITS = (22, 22, 14, 18, 20)
 STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-INPUTS = 6  # the node, after one word, after two, in this text, in this text after one word, a constant
-#: Gates of a code's bits: by depth, the second half if the text had the node after the same word before; then two to spell with.
+#: The node, after one word, after two, in this text, a constant; to spell: in this text, after one byte, two and three, a constant.
+INPUTS = 5
+#: Gates of a code's bits: by depth, the second half if the last word makes them likely or unlikely; then two to spell with.
 DEPTHS = (3, 7, 11, 15)
 CODE_GATES = 2 * (len(DEPTHS) + 1)
 GATES = CODE_GATES + 2
-RATE, PART = 0.02, 1 << 16
+#: Weights before any text: of the gates of codes, and of those to spell with.
+PRIOR, PRIOR_TO_SPELL = (1.0, 0.35, 0.2, 0.6, 0.1), (0.5, 0.11, 0.17, 0.35, 0.0)
+RATE, TEACH, PART = 0.02, 0.04, 1 << 16
 #: A text refines its weights when it has read its first bits, then after steps twice as long each, up to STEP.
 FIRST, STEP = 64, 2048
-PIECE = 40_000  # tokens read at once
+PIECE = 12_000  # tokens read at once
 HISTORY = 18  # log2 of the slots in which a text longer than PIECE keeps what has been read of it
 ESCAPE = 20.0  # tokens that the corpus's share of unknown words counts for in each text
 END = "\n"  # no word holds it
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
-_STRETCH = np.log((np.arange(64)[None, :] + 0.4) / (np.arange(64)[:, None] + 0.4)).astype(np.float32)  # [zeros, ones]
+
+
+def stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+
+
+_N = np.arange(256)
+#: The logit of a slot's (zeros, ones); then without one zero, and without one 1.
+_OF_PAIR = np.concatenate([stretch(_N[:, None], _N).ravel(), stretch(np.maximum(_N - 1, 0)[:, None], _N).ravel(), stretch(_N[:, None], np.maximum(_N - 1, 0)).ravel()])
+_OF_FEW = stretch(_N[:64, None], _N[:64]).ravel()
 
 
 # Codes
@@ -143,10 +158,14 @@ def _blocks(most_bytes: int, doc_type: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
-        block, index, counts, size = TaskContext.get().partitionId() << 32, {END.encode(): 0}, np.zeros(1 << 16, np.int64), 0
+        def empty():
+            index = defaultdict(count().__next__)  # a new word gets the next number
+            return index, index[END.encode()], 0, []
+
+        block, (index, _, size, learned) = TaskContext.get().partitionId() << 32, empty()
 
         def words():
-            w = list(index)
+            w, counts = list(index), np.bincount(np.concatenate([np.zeros(0, np.int64), *learned]), minlength=len(index))
             for lo in range(0, len(w), 20_000):
                 k = len(w[lo : lo + 20_000])
                 yield some(k, block=pa.array(np.full(k, block)), word=pa.array([x.decode() for x in w[lo : lo + k]]), i=pa.array(np.arange(lo, lo + k)), n=pa.array(counts[lo : lo + k]))
@@ -159,22 +178,16 @@ def _blocks(most_bytes: int, doc_type: pa.DataType):
                 for a, b, out in zip(ends, ends[1:], held):
                     own = bytes(data[a:b]).lower().split()
                     own.append(b"\n")
-                    for w in dict.fromkeys(own):
-                        if w not in index:
-                            index[w] = len(index)
                     ids = np.fromiter(map(index.__getitem__, own), np.uint32, len(own))
-                    if len(index) > len(counts):
-                        counts = np.r_[counts, np.zeros(len(counts) + len(index), np.int64)]
                     if not out:
-                        counts[: len(index)] += np.bincount(ids, minlength=len(index))
+                        learned.append(ids)
                     packed.append(pack(ids))
                 size += int(ends[-1] - ends[0])
                 yield some(len(batch), block=pa.array(np.full(len(batch), block)), doc_id=batch.column(0), held_out=batch.column(2), n_bytes=pa.array(np.diff(ends)), ids=pa.array(packed, pa.binary()))
                 if size >= most_bytes:
                     yield from words()
-                    block, index, counts, size = block + 1, {END.encode(): 0}, np.zeros(1 << 16, np.int64), 0
-        if len(index) > 1 or counts.any() or size:
-            yield from words()
+                    block, (index, _, size, learned) = block + 1, empty()
+        yield from words()
 
     return run
 
@@ -197,31 +210,6 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class Words:
-    """What a block knows of its words: c, their names' hashes, and the nodes, bits, logits and gates of all their codes, one after another."""
-
-    def __init__(self, parts: list[pa.Table]):
-        t = pa.concat_tables(parts)
-        i, code, way = (t.column(c).combine_chunks() for c in ("i", "code", "way"))
-        i, code = i.to_numpy(), code.to_numpy(zero_copy_only=False)
-        code = np.where(np.isnan(code), 0, code).astype(np.int64) if code.dtype.kind == "f" else code
-        raw, ends = flat(way)
-        size = np.diff(ends)
-        order = np.argsort(i)
-        self.c = t.column("c").to_numpy()[order]
-        self.sizes, code = size[order], code[order]
-        which = ranges(ends[:-1][order], self.sizes)
-        self.at = np.r_[0, np.cumsum(self.sizes)]
-        owner_code, depth = np.repeat(code, self.sizes), ranges(np.zeros(len(order), np.int64), self.sizes)
-        rest = np.repeat(self.sizes, self.sizes) - depth
-        self.logit = raw.view(np.int8)[which]
-        self.bits = ((owner_code >> (rest - 1)) & 1).astype(np.uint8)
-        self.nodes = hashed(owner_code >> rest)
-        self.gate = np.searchsorted(DEPTHS, depth, "left").astype(np.uint8)
-        self.names = hashed(code * 2 + 1)
-        self.text = dict(zip(i.tolist(), t.column("text").to_pylist()))  # of those that may be spelled
-
-
 def hashed(x: np.ndarray) -> np.ndarray:
     """32 bits of whole numbers."""
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -235,31 +223,80 @@ def slots_at(k: int, keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint32(32 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
 
 
-def before_in_text(keys: np.ndarray, text_no: np.ndarray, bits: np.ndarray, so_far: np.ndarray | None) -> np.ndarray:
-    """The logit of a 1 after what the same text has had under the same key before each bit; 0 if nothing.
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots (bits, 3), bits, gates, how many bits each has) of words' bytes with the space that ends each."""
+    raw = [w.encode() + b" " for w in words]
+    data, sizes = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32), np.fromiter(map(len, raw), np.int64, len(raw))
+    place = ranges(np.zeros(len(sizes), np.int64), sizes)
+    n_bits = (_AT[1:] - _AT[:-1])[data]
+    which, keys = ranges(_AT[data], n_bits), np.zeros(len(data), np.uint32)
+    slots = np.empty((len(which), 3), np.int64)
+    for k in range(3):
+        last = np.zeros(len(data), np.uint32)
+        last[k + 1 :] = data[: max(0, len(data) - k - 1)]
+        keys = keys * _B + np.where(place > k, last + np.uint32(1), np.uint32(0))
+        slots[:, k] = slots_at(2 + k, (np.repeat(keys, n_bits) * _A + _NODES[which]) * _B)
+    gates = np.repeat(np.where(place == 0, CODE_GATES, CODE_GATES + 1).astype(np.uint8), n_bits)
+    of_word = np.bincount(np.repeat(np.arange(len(sizes)), sizes), n_bits, len(sizes)).astype(np.int64)
+    return slots, _BITS[which], gates, of_word
+
+
+class Words:
+    """What a block knows of its words: c, their names' hashes, and where each one's bits lie in packed: node << 32, gate << 16, logit << 8, bit.
+
+    The bits of unknown words are those of their spelling; they lie from known on, with their slots in spelling.
+    """
+
+    def __init__(self, parts: list[pa.Table], at_once: int = 50_000):
+        t = pa.concat_tables(parts).sort_by("i")
+        self.c, code = t.column("c").to_numpy(), t.column("code").to_numpy()
+        self.names = hashed(code * 2 + 1)
+        raw, ends = flat(t.column("way").combine_chunks())
+        self.sizes, made = np.diff(ends), []
+        for lo in range(0, len(code), at_once):
+            some, begin = self.sizes[lo : lo + at_once], ends[:-1][lo : lo + at_once]
+            owner, depth = np.repeat(code[lo : lo + at_once], some), ranges(np.zeros(len(some), np.int64), some)
+            rest = np.repeat(some, some) - depth
+            logit = (raw[ranges(begin, some)].view(np.int8).astype(np.int16) + 128).astype(np.uint64)
+            made.append(pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), logit, (owner >> (rest - 1)) & 1))
+        self.known = sum(map(len, made))
+        unknown = np.flatnonzero(self.c == 0)
+        self.spelling, bits, gates, n = spelled(t.column("text").take(pa.array(unknown)).to_pylist())
+        made.append(pack_bits(hashed(self.spelling[:, 2]), gates, np.full(len(bits), 128, np.uint64), bits))
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.at[unknown], self.sizes[unknown] = self.known + np.cumsum(n) - n, n
+        self.packed = np.concatenate(made)
+        once = np.flatnonzero(t.column("once").to_numpy(zero_copy_only=False))
+        self.once = t.column("text").take(pa.array(once)).to_pylist()
+
+
+def pack_bits(nodes, gates, logits, bits) -> np.ndarray:
+    u = np.uint64
+    return (nodes.astype(u) << u(32)) | (gates.astype(u) << u(16)) | (logits.astype(u) << u(8)) | bits.astype(u)
+
+
+def before_in_text(nodes: np.ndarray, text_no: np.ndarray, bits: np.ndarray, so_far: np.ndarray | None) -> np.ndarray:
+    """The logit of a 1 after what the same text has had at the same node before each bit; 0 if nothing. Bits of a text are in reading order.
 
     so_far (slots, 2): the counts before all these bits of one text; they are added to it.
     """
-    n = len(keys)
-    slot = (keys >> np.uint32(32 - HISTORY)).astype(np.uint64)
-    order = np.sort((((text_no.astype(np.uint64) << np.uint64(HISTORY)) | slot) << np.uint64(24)) | np.arange(n, dtype=np.uint64))
-    pos, groups = (order & np.uint64((1 << 24) - 1)).astype(np.int32), order >> np.uint64(24)
-    new = np.empty(n, bool)
-    new[:1] = True
-    np.not_equal(groups[1:], groups[:-1], out=new[1:])
-    ones = bits[pos].astype(np.int32)
-    before = np.cumsum(ones, dtype=np.int32) - ones
-    begin = np.flatnonzero(new)
+    u, n = np.uint64, len(nodes)
+    order = (text_no.astype(u) << u(HISTORY + 25)) | ((nodes >> np.uint32(32 - HISTORY)).astype(u) << u(25)) | (np.arange(0, 2 * n, 2, dtype=u) + bits.astype(u))
+    order.sort()
+    low = order.view(np.int32)[::2] & np.int32((1 << 25) - 1)  # the lower halves
+    pos, ones = low >> 1, low & 1
+    order >>= u(25)
+    begin = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
     sizes = np.diff(np.r_[begin, n])
-    had = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
+    before = np.cumsum(ones, dtype=np.int32) - ones
     had_ones = before - np.repeat(before[begin], sizes)
-    zeros = had - had_ones
+    zeros = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes) - had_ones
     if so_far is not None:
-        s = slot.astype(np.int64)[pos]
+        s = (order & u((1 << HISTORY) - 1)).astype(np.int64)
         zeros, had_ones = zeros + so_far[s, 0], had_ones + so_far[s, 1]
         np.add.at(so_far.reshape(-1), s * 2 + ones, 1)
     out = np.empty(n, np.float32)
-    out[pos] = _STRETCH[np.minimum(zeros, 63), np.minimum(had_ones, 63)]
+    out[pos] = _OF_FEW[np.minimum(zeros, 63) * 64 + np.minimum(had_ones, 63)]
     return out
 
 
@@ -268,7 +305,6 @@ class State:
     """Of a text that is read in pieces: what has been read of it, and its own weights."""
 
     seen: np.ndarray
-    seen_after: np.ndarray
     last: tuple[int, int] = (0, 0)
     tokens: int = 0
     escapes: int = 0
@@ -276,116 +312,75 @@ class State:
     weights: np.ndarray | None = None
 
 
-class Reader:
-    """Lays out the bits of texts of one block; of tables either the logits (of all texts) or the counts (while they are gathered)."""
-
-    def __init__(self, words: Words, logits: np.ndarray | None = None, counts: np.ndarray | None = None):
-        self.words, self.logits, self.counts, self.spelled = words, logits, counts, {}
-
-    def of_slots(self, slots: np.ndarray) -> np.ndarray:
-        if self.counts is None:
-            return self.logits[slots] * np.float32(1 / 16)
-        seen = self.counts[slots].astype(np.float32)
-        return np.log((seen[:, 1] + np.float32(0.4)) / (seen[:, 0] + np.float32(0.4)))
-
-    def spelling(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slots (bits, 3), bits, gates) of an unknown word's bytes and the space that ends it."""
-        if i not in self.spelled:
-            data = np.frombuffer(self.words.text[i].encode() + b" ", np.uint8).astype(np.uint32)
-            n_bits = (_AT[1:] - _AT[:-1])[data]
-            which = ranges(_AT[data], n_bits)
-            slots, key = np.empty((len(which), 3), np.int64), np.zeros(len(data), np.uint32)
-            for k in range(3):
-                last = np.zeros(len(data), np.uint32)
-                last[k + 1 :] = data[: -(k + 1)] + np.uint32(1)
-                key = key * _B + last + np.uint32(k)
-                slots[:, k] = slots_at(2 + k, (np.repeat(key, n_bits) * _A + _NODES[which]) * _B)
-            gates = np.full(len(which), CODE_GATES + 1, np.uint8)
-            gates[: n_bits[0]] = CODE_GATES
-            self.spelled[i] = slots, _BITS[which], gates
-        return self.spelled[i]
-
-    def spell(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gates, bits, slots) of unknown words, one after another."""
-        slots, bits, gates = (np.concatenate(c) for c in zip(*map(self.spelling, ids)))
-        x = np.zeros((len(bits), INPUTS), np.float32)
-        for k in range(3):
-            x[:, k] = self.of_slots(slots[:, k])
-        x[:, -1] = 0.3
-        return x, gates, bits, slots
-
-    def lay_out(self, ids: np.ndarray, text_no: np.ndarray, state: State | None = None):
-        """(inputs, gates, bits, bits of each token, slots after one and two words) of the codes of tokens; unknown words have none."""
-        w = self.words
-        names = w.names[ids]
-        new = np.r_[True, text_no[1:] != text_no[:-1]]
-        one, two = np.r_[names[:1], names[:-1]], np.r_[names[:2], names[:-2]]
-        one, two = np.where(new, np.uint32(0), one), np.where(new | np.r_[True, new[:-1]][: len(new)], np.uint32(0), two)
-        if state is not None:
-            one[0] = state.last[0]
-            two[0] = state.last[1]
-            two[1:2] = state.last[0]
-            state.last = (names[-1], one[-1])
-        n_bits = w.sizes[ids]
-        which = ranges(w.at[ids], n_bits)
-        nodes, bits, gates = w.nodes[which], w.bits[which], w.gate[which]
-        after = (np.repeat(one * _A, n_bits) + nodes) * _B
-        slots = slots_at(0, after), slots_at(1, (np.repeat((two * _B + one) * _A + np.uint32(7), n_bits) + nodes) * _B)
-        owner = np.repeat(text_no.astype(np.int32), n_bits)
-        x = np.empty((len(which), INPUTS), np.float32)
-        x[:, 0] = w.logit[which] * np.float32(1 / 16)
-        x[:, 1], x[:, 2] = self.of_slots(slots[0]), self.of_slots(slots[1])
-        x[:, 3] = before_in_text(nodes, owner, bits, state and state.seen)
-        x[:, 4] = before_in_text(after, owner, bits, state and state.seen_after)
-        x[:, 5] = 0.3
-        gates = gates + np.where(x[:, 4] != 0, np.uint8(CODE_GATES // 2), np.uint8(0))
-        return x, gates, bits, n_bits, slots
-
-
-# Mixing
-
-
-def mix(weights: np.ndarray, which: np.ndarray, x: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cost in nats of each bit under the row which of weights, and the sum over the bits of each row of what they would change of it."""
-    z = np.einsum("ij,ij->i", x, weights[which])
-    sign = bits.astype(np.float32) * 2 - 1
-    odds = np.exp(np.minimum(z * -sign, 60))  # of the other bit
-    off = odds / (1 + odds) * sign
-    change = np.empty(weights.shape, np.float64)
-    for k in range(x.shape[1]):
-        change[:, k] = np.bincount(which, off * x[:, k], len(weights))
-    return np.log1p(odds), change
-
-
-def refine(weights: np.ndarray, change: np.ndarray, n: np.ndarray) -> None:
-    """change: the sums over the n bits of each row of weights."""
-    weights += (RATE * change / np.sqrt(np.maximum(1, n))[:, None]).astype(np.float32)
-
-
-def read_texts(start: np.ndarray, x: np.ndarray, gates: np.ndarray, bits: np.ndarray, sizes: np.ndarray, state: State | None = None) -> np.ndarray:
-    """The cost in bits of texts of sizes bits each, which lie one after another; each refines its own copy of the starting weights after each of its steps. With a state there is one text."""
-    own = np.repeat(start[None], len(sizes), 0) if state is None or state.weights is None else state.weights
-    rows, begin = own.reshape(-1, INPUTS), np.cumsum(sizes) - sizes
-    cost, lo, step = np.zeros(len(sizes)), 0, FIRST if state is None else state.step
+def contexts(words: Words, ids: np.ndarray, text_no: np.ndarray, state: State | None) -> tuple[np.ndarray, np.ndarray]:
+    """What the one and the two words before each token add to its bits' keys."""
+    names = words.names[ids]
+    one, two = np.r_[names[:1], names[:-1]], np.r_[names[:2], names[:-2]]
+    first = np.r_[True, text_no[1:] != text_no[:-1]]
+    one[first] = 0
+    two[first] = 0
+    two[1:][first[:-1]] = 0
+    if state is not None:
+        one[0], two[:2] = state.last[0], [state.last[1], state.last[0]][: len(two)]
+        state.last = names[-1], one[-1]
+    return one * _A, (two * _B + one) * _A + np.uint32(7)
+
+
+def steps_of(sizes: np.ndarray, step: int) -> tuple[list, np.ndarray, int]:
+    """The steps in which texts of sizes bits, one after another, are read: ([(texts, bits of each)], the bits in that order, the next step)."""
+    begin, lo, steps, order = np.cumsum(sizes) - sizes, 0, [], []
     while len(alive := np.flatnonzero(sizes > lo)):
         n = np.minimum(sizes[alive] - lo, step)
-        at, text = ranges(begin[alive] + lo, n), np.repeat(alive, n)
-        which = text * GATES + gates[at]
-        nats, change = mix(rows, which, x[at], bits[at])
-        cost += np.bincount(text, nats, len(sizes))
-        refine(rows, change, np.bincount(which, minlength=len(rows)))
+        steps.append((alive, n))
+        order.append(ranges(begin[alive] + lo, n))
         lo, step = lo + step, min(2 * step, STEP)
-    if state is not None:
-        state.weights, state.step = own, step
-    return cost / np.log(2)
+    return steps, np.concatenate(order), step
 
 
-def read_stream(weights: np.ndarray, x: np.ndarray, gates: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """How many bits had each gate; weights are refined after every STEP bits."""
-    for lo in range(0, len(bits), STEP):
-        g = gates[lo : lo + STEP]
-        refine(weights, mix(weights, g, x[lo : lo + STEP], bits[lo : lo + STEP])[1], np.bincount(g, minlength=GATES))
-    return np.bincount(gates, minlength=GATES)
+def read_texts(words: Words, pairs: np.ndarray, start: np.ndarray, ids: np.ndarray, text_no: np.ndarray, trains: np.ndarray, state: State | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cost in bits, weights (GATES * INPUTS) in the end) of each text: the bits of its tokens, mixed with its own weights, which begin as start and are refined after each step.
+
+    trains: is the text one of those that pairs (of the tables' slots: zeros << 8, ones) were counted from? With a state there is one text.
+    """
+    n_bits = words.sizes[ids]
+    sizes = np.bincount(text_no, n_bits, len(trains)).astype(np.int64)
+    steps, order, after = steps_of(sizes, FIRST if state is None else state.step)
+    token = np.repeat(np.arange(len(ids), dtype=np.int32), n_bits)[order]
+    which = ranges(words.at[ids], n_bits)[order]
+    packed = words.packed[which]
+    parts, nodes = packed.view(np.uint8).reshape(-1, 8), (packed >> np.uint64(32)).astype(np.uint32)
+    bits, gates, owner = parts[:, 0].astype(np.int32), parts[:, 2].astype(np.int64), text_no[token]
+    x, own = np.empty((INPUTS, len(which)), np.float32), np.where(trains[owner], bits + 1, 0) << 16
+    x[0] = (parts[:, 1].astype(np.float32) - 128) / 16
+    for k, c in enumerate(contexts(words, ids, text_no, state)):
+        x[1 + k] = _OF_PAIR[pairs[slots_at(k, (c[token] + nodes) * _B)] | own]
+    x[3] = before_in_text(nodes, owner, bits, state and state.seen)
+    x[4] = 0.3
+    gates += (np.abs(x[1]) > 1) * (CODE_GATES // 2)
+    if words.sizes[ids].max(initial=0) and (at := np.flatnonzero(which >= words.known)).size:
+        x[0, at] = x[3, at]
+        x[1:4, at] = _OF_PAIR[pairs[words.spelling[which[at] - words.known]]].T
+        gates[at] = parts[at, 2]
+    weights = np.repeat(start.reshape(-1, 1, GATES), len(trains), 1) if state is None or state.weights is None else state.weights
+    rows, cost, lo = weights.reshape(INPUTS, -1), np.zeros(len(trains)), 0
+    cell = owner * GATES + gates
+    x *= bits * np.float32(2) - 1
+    for alive, n in steps:
+        hi = lo + int(n.sum())
+        now, w = x[:, lo:hi], cell[lo:hi]
+        z = now[0] * rows[0][w]
+        for k in range(1, INPUTS):
+            z += now[k] * rows[k][w]
+        odds = np.exp(np.minimum(-z, 60))  # of the other bit
+        cost[alive] += np.add.reduceat(np.log1p(odds), np.cumsum(n) - n, dtype=np.float64)
+        off = odds / (1 + odds)
+        rate = RATE / np.sqrt(np.maximum(1, np.bincount(w, minlength=rows.shape[1])))
+        for k in range(INPUTS):
+            rows[k] += (rate * np.bincount(w, off * now[k], rows.shape[1])).astype(np.float32)
+        lo = hi
+    if state is not None:
+        state.weights, state.step = weights, after
+    return cost / np.log(2), weights
 
 
 def batches_of(texts, most: int = PIECE):
@@ -443,7 +438,7 @@ def by_block(batches):
             else:
                 waiting = k, t
                 break
-        own = texts()
+        own = texts() if first is not None else iter(())
         yield Words(parts), (x for some in ([first] if first is not None else [], own) for x in some)
         for _ in own:
             pass
@@ -452,37 +447,23 @@ def by_block(batches):
 # What all training texts teach
 
 
-def _learn(batches):
-    """The counts of the hashed tables and the weights that the training texts of a task teach, each text before it is counted itself; a word that they have once is also spelled."""
+def _count(batches):
+    """The counts of the hashed tables over the training texts of a task; those to spell with from the words that training texts have once."""
     counts = np.zeros((STARTS[-1], 2), np.uint32)
-    weights, n = np.full((GATES, INPUTS), 0.3, np.float32), np.zeros(GATES)
-    weights[:, -1] = 0
     flatly = counts.reshape(-1)
     for words, tables in by_block(batches):
-        reader, state = Reader(words, counts=counts), None
-        texts = ((None, unpack(x)) for t in tables for x in t.column("ids").to_pylist())
-        for some in batches_of(texts):
+        state = None
+        for some in batches_of((None, unpack(x)) for t in tables for x in t.column("ids").to_pylist()):
             ids = np.concatenate([x for _, x, _ in some])
-            if len(ids) == PIECE and state is None and not some[0][2]:
-                state = State(*np.zeros((2, 1 << HISTORY, 2), np.int32))
-            x, gates, bits, _, slots = reader.lay_out(ids, np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), state)
-            n += read_stream(weights, x, gates, bits)
-            for s in slots:
-                np.add.at(flatly, s * 2 + bits, np.uint32(1))
-            rare = ids[words.c[ids] == 1].tolist()
-            if rare:
-                x, gates, bits, slots = reader.spell(rare)
-                n += read_stream(weights, x, gates, bits)
-                np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
-            if some[-1][2]:
-                state = None
-    yield from _pieces(counts)
-    if n.any():
-        packed = np.c_[weights * n[:, None], n].astype(np.float64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([len(packed)], pa.int64()), pa.array([pa.compress(packed, "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
-
-
-def _pieces(counts: np.ndarray):
+            state = state or (None if some[0][2] else State(None))
+            n_bits = words.sizes[ids]
+            packed, token = words.packed[ranges(words.at[ids], n_bits)], np.repeat(np.arange(len(ids), dtype=np.int32), n_bits)
+            nodes, bits = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(1)).astype(np.int64)
+            for k, c in enumerate(contexts(words, ids, np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), state)):
+                np.add.at(flatly, slots_at(k, (c[token] + nodes) * _B) * 2 + bits, np.uint32(1))
+            state = None if some[-1][2] else state
+        slots, bits, _, _ = spelled(words.once)
+        np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
     for k in range(0, len(counts), PART):
         piece = counts[k : k + PART]
         if piece.any():
@@ -490,41 +471,38 @@ def _pieces(counts: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["part", "size", "counts"])
 
 
+def as_pairs(counts: np.ndarray) -> np.ndarray:
+    """zeros << 8 | ones of counts (slots, 2); larger ones than 255 are scaled down together."""
+    scale = np.maximum(1, counts.max(1, keepdims=True) / 255)
+    small = np.ceil(counts / scale).astype(np.uint16)
+    return (small[:, 0] << 8) | small[:, 1]
+
+
 def _total(key, rows):
-    """(part, data): the logits in sixteenths of a part's slots; of part -1 the weights and their n."""
-    size, part, total = rows.column("size")[0].as_py(), key[0].as_py(), 0
+    """(part, pairs) of a part's slots."""
+    size, total = rows.column("size")[0].as_py(), 0
     for piece in rows.column("counts"):
         raw = pa.decompress(piece.as_buffer(), size, "zstd", asbytes=True)
-        if part < 0:
-            total = total + np.frombuffer(raw, np.float64)
-        else:
-            total = total + np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, 2, -1).transpose(2, 1, 0)).view(np.uint32).astype(np.float64)
-    data = total if part < 0 else quantised(np.log((total[:, 1] + 0.4) / (total[:, 0] + 0.4))).reshape(-1)
-    return pa.table([pa.array([part], pa.int64()), pa.array([data.tobytes()], pa.binary())], ["part", "data"])
+        total = total + np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, 2, -1).transpose(2, 1, 0)).view(np.uint32)[..., 0].astype(np.int64)
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([as_pairs(total).tobytes()], pa.binary())], ["part", "pairs"])
 
 
 @dataclass
 class Model:
-    logits: np.ndarray  # of all tables' slots, int8, in sixteenths
-    weights: np.ndarray  # (GATES, INPUTS)
+    pairs: np.ndarray  # of all tables' slots, uint16: zeros << 8, ones
     train_tokens: int
     distinct: int
     once: int  # words that training texts have once
 
 
-def learn(rows: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(logits, weights) from the training texts of rows (block, kind, ...), all of them and whole; the weights of tasks are averaged by the bits that had a gate. The tables' size is fixed."""
-    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_learn, "part long, size long, counts binary")
-    logits, weights = np.zeros(STARTS[-1], np.int8), np.full((GATES, INPUTS), 0.3, np.float32)
-    weights[:, -1] = 0
-    for row in found.groupBy("part").applyInArrow(_total, "part long, data binary").collect():
-        if row.part < 0:
-            w = np.frombuffer(row.data, np.float64).reshape(GATES, -1)
-            weights = np.where(w[:, -1:] > 0, w[:, :-1] / np.maximum(1, w[:, -1:]), weights).astype(np.float32)
-        else:
-            piece = np.frombuffer(row.data, np.int8)
-            logits[row.part : row.part + len(piece)] = piece
-    return logits, weights
+def gather(rows: DataFrame, tasks: int) -> np.ndarray:
+    """The tables' pairs from the training texts of rows (block, kind, ...), all of them and whole. The tables' size is fixed."""
+    found = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_count, "part long, size long, counts binary")
+    pairs = np.zeros(STARTS[-1], np.uint16)
+    for row in found.groupBy("part").applyInArrow(_total, "part long, pairs binary").collect():
+        piece = np.frombuffer(row.pairs, np.uint16)
+        pairs[row.part : row.part + len(piece)] = piece
+    return pairs
 
 
 def escape_bits(unknown: np.ndarray, text_no: np.ndarray, texts: int, share: float, state: State | None) -> np.ndarray:
@@ -539,23 +517,22 @@ def escape_bits(unknown: np.ndarray, text_no: np.ndarray, texts: int, share: flo
     return np.bincount(text_no, -np.log2(np.where(unknown, p, 1 - p)), texts)
 
 
-def score_batch(reader: Reader, m: Model, some: list, state: State | None) -> np.ndarray:
-    """The cost in bits of the texts of a batch."""
-    lengths = [len(x) for _, x, _ in some]
-    ids, text_no = np.concatenate([x for _, x, _ in some]), np.repeat(np.arange(len(some)), lengths)
-    unknown = reader.words.c[ids] == 0
-    total = escape_bits(unknown, text_no, len(some), (m.once + 0.5) / (m.train_tokens + 1), state)
-    x, gates, bits, n_bits, _ = reader.lay_out(ids, text_no, state)
-    if unknown.any():
-        at = np.flatnonzero(unknown)
-        sx, sg, sb, _ = reader.spell(ids[at].tolist())
-        sizes = np.array([len(reader.spelling(i)[1]) for i in ids[at].tolist()])
-        place = np.repeat((np.cumsum(n_bits) - n_bits)[at], sizes)  # a known word's bits and a spelled one's lie in reading order
-        x, gates, bits = np.insert(x, place, sx, 0), np.insert(gates, place, sg), np.insert(bits, place, sb)
-        n_bits = n_bits.copy()
-        n_bits[at] = sizes
-    sizes = np.bincount(text_no, n_bits, len(some)).astype(np.int64)
-    return total + read_texts(m.weights, x, gates, bits, sizes, state)
+class Scorer:
+    """Scores the texts of a block, one batch after another; every training text moves the weights that those after it start with."""
+
+    def __init__(self, words: Words, m: Model):
+        self.words, self.m = words, m
+        self.start = np.array([PRIOR] * CODE_GATES + [PRIOR_TO_SPELL] * (GATES - CODE_GATES), np.float32).T
+
+    def costs(self, some: list, trains: np.ndarray, state: State | None = None) -> np.ndarray:
+        """The cost in bits of the texts of a batch."""
+        ids, text_no = np.concatenate([x for _, x, _ in some]), np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some])
+        total = escape_bits(self.words.c[ids] == 0, text_no, len(some), (self.m.once + 0.5) / (self.m.train_tokens + 1), state)
+        cost, ends = read_texts(self.words, self.m.pairs, self.start, ids, text_no, trains, state)
+        taught = ends.reshape(INPUTS, -1, GATES)[:, np.flatnonzero(trains & np.array([e for _, _, e in some]))]
+        if taught.shape[1]:
+            self.start = self.start + min(0.5, TEACH * taught.shape[1]) * (taught.mean(1) - self.start)
+        return total + cost
 
 
 def _score(sent, kind: pa.DataType):
@@ -565,15 +542,15 @@ def _score(sent, kind: pa.DataType):
     def run(batches):
         m = sent.value
         for words, tables in by_block(batches):
-            reader = Reader(words, logits=m.logits)
+            scorer = Scorer(words, m)
             base = np.log10((words.c + 0.1) / (m.train_tokens + 0.1 * (m.distinct + 1)))
             rows, state, spent = [], None, 0.0
             texts = (((i, h, b), unpack(x)) for t in tables for i, h, b, x in zip(*(t.column(c).to_pylist() for c in ("doc_id", "held_out", "n_bytes", "ids"))))
             known, base_score, n = 0, 0.0, 0
             for some in batches_of(texts):
                 if state is None and not some[0][2]:
-                    state, spent, known, base_score, n = State(*np.zeros((2, 1 << HISTORY, 2), np.int32)), 0.0, 0, 0.0, 0
-                costs = score_batch(reader, m, some, state)
+                    state, spent, known, base_score, n = State(np.zeros((1 << HISTORY, 2), np.int32)), 0.0, 0, 0.0, 0
+                costs = scorer.costs(some, np.array([not row[1] for row, _, _ in some]), state)
                 for ((doc_id, held, n_bytes), ids, ends), cost in zip(some, costs):
                     parts = int((words.c[ids] > 0).sum()), float(base[ids].sum())
                     if state is not None:
@@ -593,11 +570,11 @@ def _score(sent, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = 12 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     All texts are scored as a whole, a null one as empty; an empty text is its end alone. Those whose fold of 10
-    is not 0 are learned from, whole: the codes, the counts and the starting weights. score is the log10
+    is not 0 are learned from, whole: the codes, the counts and, in their block, the starting weights. score is the log10
     probability of the text, bits_per_byte the same in bits, by its UTF-8 bytes (1 at least). Repeated rows are
     scored each for itself and learned from as often; without training texts all words are spelled. An empty
     table gives no rows. Other columns are not read.
@@ -618,15 +595,15 @@ def score(docs: DataFrame, block_bytes: int = 12 << 20, tokens_in_task: int = 8_
     for row in vocabulary.groupBy(slice_of(bits).alias("s")).agg(F.sum("c").alias("c")).collect():
         masses[row.s] = row.c
     coded = vocabulary.withColumn("s", slice_of(bits)).groupBy("s").applyInArrow(_code(slice_ways(masses)), "word string, c long, code long, way binary")
-    own = words.join(coded, "word", "left").select("block", "i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), F.when(F.coalesce("c", F.lit(0)) <= 1, F.col("word")).alias("text"))
+    own = words.join(coded, "word", "left").select("block", "i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), F.when(F.coalesce("c", F.lit(0)) <= 1, F.col("word")).alias("text"), F.coalesce((F.col("c") == 1) & (F.col("n") == 1), F.lit(False)).alias("once"))
     own = staged(own, "coded")
     release(spark)
 
     word_rows = own.withColumn("kind", F.lit(0))
     rows = lambda t: word_rows.unionByName(t.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    logits, weights = learn(rows(texts.where("not held_out").select("block", "ids")), 1 + tokens // tokens_in_task)
+    pairs = gather(rows(texts.where("not held_out").select("block", "ids")), 1 + tokens // tokens_in_task)
     release(spark)
-    sent = spark.sparkContext.broadcast(Model(logits, weights, tokens, distinct, once))
+    sent = spark.sparkContext.broadcast(Model(pairs, tokens, distinct, once))
     blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
     made = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_score(sent, arrow_kind), made)
