@@ -241,33 +241,71 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return slots, _BITS[which], gates, of_word
 
 
+def pack_words(first: int, c: np.ndarray, code: np.ndarray, once: np.ndarray, ways: list[bytes], texts: list[str]) -> bytes:
+    """Some words of a block, from number first on; texts are those of the words with c <= 1."""
+    sizes = np.fromiter(map(len, ways), np.uint8, len(ways))
+    planes = np.ascontiguousarray(np.concatenate([c, code]).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    raw = planes.tobytes() + sizes.tobytes() + once.astype(np.uint8).tobytes() + b"".join(ways)
+    spelled_out = " ".join(texts).encode()  # no word holds a space
+    head = np.array([first, len(c), len(raw), len(spelled_out)], "<i8").tobytes()
+    return head + pa.compress(raw + spelled_out, "zstd", asbytes=True)
+
+
+def unpack_words(blob: bytes) -> tuple:
+    first, n, n_raw, n_text = np.frombuffer(blob, "<i8", 4).tolist()
+    raw = pa.decompress(blob[32:], n_raw + n_text, "zstd", asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 16 * n).reshape(8, -1).T).view("<i8").reshape(2, n)
+    sizes, once = np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(2, n)
+    return first, numbers[0], numbers[1], sizes.astype(np.int64), once == 1, np.frombuffer(raw, np.int8, n_raw - 18 * n, 18 * n), raw[n_raw:].decode()
+
+
+def _pack_words(batches, at_once: int = 20_000):
+    """(block, ids): the words of blocks, of rows (block, i, c, code, way, once, text) that are sorted by block and i."""
+
+    def some(block, t):
+        c, texts = t.column("c").to_numpy(), t.column("text").to_pylist()
+        few = np.flatnonzero(c <= 1).tolist()
+        blob = pack_words(t.column("i")[0].as_py(), c, t.column("code").to_numpy(), t.column("once").to_numpy(zero_copy_only=False), t.column("way").to_pylist(), [texts[k] for k in few])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["block", "ids"])
+
+    held, block = [], None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        blocks = t.column("block").to_numpy()
+        for lo, hi in zip(*(lambda cuts: ([0, *cuts], [*cuts, len(t)]))(np.flatnonzero(np.diff(blocks)) + 1)):
+            if lo == hi:
+                continue
+            if held and (blocks[lo] != block or sum(map(len, held)) >= at_once):
+                yield some(block, pa.concat_tables(held))
+                held = []
+            block = blocks[lo]
+            held.append(t.slice(lo, hi - lo))
+    if held:
+        yield some(block, pa.concat_tables(held))
+
+
 class Words:
     """What a block knows of its words: c, their names' hashes, and where each one's bits lie in packed: node << 32, gate << 16, logit << 8, bit.
 
     The bits of unknown words are those of their spelling; they lie from known on, with their slots in spelling.
     """
 
-    def __init__(self, parts: list[pa.Table], at_once: int = 50_000):
-        t = pa.concat_tables(parts).sort_by("i")
-        self.c, code = t.column("c").to_numpy(), t.column("code").to_numpy()
-        self.names = hashed(code * 2 + 1)
-        raw, ends = flat(t.column("way").combine_chunks())
-        self.sizes, made = np.diff(ends), []
-        for lo in range(0, len(code), at_once):
-            some, begin = self.sizes[lo : lo + at_once], ends[:-1][lo : lo + at_once]
-            owner, depth = np.repeat(code[lo : lo + at_once], some), ranges(np.zeros(len(some), np.int64), some)
-            rest = np.repeat(some, some) - depth
-            logit = (raw[ranges(begin, some)].view(np.int8).astype(np.int16) + 128).astype(np.uint64)
-            made.append(pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), logit, (owner >> (rest - 1)) & 1))
-        self.known = sum(map(len, made))
-        unknown = np.flatnonzero(self.c == 0)
-        self.spelling, bits, gates, n = spelled(t.column("text").take(pa.array(unknown)).to_pylist())
-        made.append(pack_bits(hashed(self.spelling[:, 2]), gates, np.full(len(bits), 128, np.uint64), bits))
-        self.at = np.cumsum(self.sizes) - self.sizes
+    def __init__(self, blobs: list[bytes]):
+        parts = sorted(map(unpack_words, blobs), key=lambda x: x[0])
+        self.c, code, self.sizes, once = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3, 4))
+        texts = np.full(len(self.c), None, object)
+        texts[self.c <= 1] = [w for x in parts if (x[1] <= 1).any() for w in x[6].split(" ")]
+        self.names, self.once, unknown = hashed(code * 2 + 1), texts[once].tolist(), np.flatnonzero(self.c == 0)
+        self.spelling, bits, gates, n = spelled(texts[unknown].tolist())
+        self.known, self.at = int(self.sizes.sum()), np.cumsum(self.sizes) - self.sizes
+        self.packed, at = np.empty(self.known + len(bits), np.uint64), 0
+        for _, _, code, sizes, _, way, _ in parts:
+            owner, depth = np.repeat(code, sizes), ranges(np.zeros(len(sizes), np.int64), sizes)
+            rest = np.repeat(sizes, sizes) - depth
+            self.packed[at : at + len(way)] = pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), way.astype(np.int16) + 128, (owner >> (rest - 1)) & 1)
+            at += len(way)
+        self.packed[at:] = pack_bits(hashed(self.spelling[:, 2]), gates, np.full(len(bits), 128), bits)
         self.at[unknown], self.sizes[unknown] = self.known + np.cumsum(n) - n, n
-        self.packed = np.concatenate(made)
-        once = np.flatnonzero(t.column("once").to_numpy(zero_copy_only=False))
-        self.once = t.column("text").take(pa.array(once)).to_pylist()
 
 
 def pack_bits(nodes, gates, logits, bits) -> np.ndarray:
@@ -427,11 +465,11 @@ def by_block(batches):
         waiting = k, t
         break
     while waiting:
-        block, parts, waiting = waiting[0], [waiting[1]], None
+        block, parts, waiting = waiting[0], waiting[1].column("ids").to_pylist(), None
         first = None
         for k, kind, t in source:
             if k == block and kind == 0:
-                parts.append(t)
+                parts += t.column("ids").to_pylist()
             elif k == block:
                 first = t
                 break
@@ -570,7 +608,7 @@ def _score(sent, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = 16 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     All texts are scored as a whole, a null one as empty; an empty text is its end alone. Those whose fold of 10
@@ -595,8 +633,10 @@ def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_
     for row in vocabulary.groupBy(slice_of(bits).alias("s")).agg(F.sum("c").alias("c")).collect():
         masses[row.s] = row.c
     coded = vocabulary.withColumn("s", slice_of(bits)).groupBy("s").applyInArrow(_code(slice_ways(masses)), "word string, c long, code long, way binary")
-    own = words.join(coded, "word", "left").select("block", "i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), F.when(F.coalesce("c", F.lit(0)) <= 1, F.col("word")).alias("text"), F.coalesce((F.col("c") == 1) & (F.col("n") == 1), F.lit(False)).alias("once"))
-    own = staged(own, "coded")
+    c = F.coalesce("c", F.lit(0))
+    own = words.join(coded, "word", "left").select("block", "i", c.alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), ((c == 1) & (F.col("n") == 1)).alias("once"), F.when(c <= 1, F.col("word")).alias("text"))
+    blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
+    own = staged(own.repartition(blocks, "block").sortWithinPartitions("block", "i").mapInArrow(_pack_words, "block long, ids binary"), "words")
     release(spark)
 
     word_rows = own.withColumn("kind", F.lit(0))
@@ -604,7 +644,6 @@ def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_
     pairs = gather(rows(texts.where("not held_out").select("block", "ids")), 1 + tokens // tokens_in_task)
     release(spark)
     sent = spark.sparkContext.broadcast(Model(pairs, tokens, distinct, once))
-    blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
     made = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_score(sent, arrow_kind), made)
 
