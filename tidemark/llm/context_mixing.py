@@ -241,31 +241,30 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return slots, _BITS[which], gates, of_word
 
 
-def pack_words(first: int, c: np.ndarray, code: np.ndarray, once: np.ndarray, ways: list[bytes], texts: list[str]) -> bytes:
-    """Some words of a block, from number first on; texts are those of the words with c <= 1."""
+def pack_words(i: np.ndarray, c: np.ndarray, code: np.ndarray, once: np.ndarray, ways: list[bytes], texts: list[str]) -> bytes:
+    """Some words of a block, with their numbers; texts are those of the words with c <= 1."""
     sizes = np.fromiter(map(len, ways), np.uint8, len(ways))
-    planes = np.ascontiguousarray(np.concatenate([c, code]).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    planes = np.ascontiguousarray(np.concatenate([i, c, code]).astype("<i8").view(np.uint8).reshape(-1, 8).T)
     raw = planes.tobytes() + sizes.tobytes() + once.astype(np.uint8).tobytes() + b"".join(ways)
     spelled_out = " ".join(texts).encode()  # no word holds a space
-    head = np.array([first, len(c), len(raw), len(spelled_out)], "<i8").tobytes()
-    return head + pa.compress(raw + spelled_out, "zstd", asbytes=True)
+    return np.array([len(c), len(raw), len(spelled_out)], "<i8").tobytes() + pa.compress(raw + spelled_out, "zstd", asbytes=True)
 
 
 def unpack_words(blob: bytes) -> tuple:
-    first, n, n_raw, n_text = np.frombuffer(blob, "<i8", 4).tolist()
-    raw = pa.decompress(blob[32:], n_raw + n_text, "zstd", asbytes=True)
-    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 16 * n).reshape(8, -1).T).view("<i8").reshape(2, n)
-    sizes, once = np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(2, n)
-    return first, numbers[0], numbers[1], sizes.astype(np.int64), once == 1, np.frombuffer(raw, np.int8, n_raw - 18 * n, 18 * n), raw[n_raw:].decode()
+    n, n_raw, n_text = np.frombuffer(blob, "<i8", 3).tolist()
+    raw = pa.decompress(blob[24:], n_raw + n_text, "zstd", asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 24 * n).reshape(8, -1).T).view("<i8").reshape(3, n)
+    sizes, once = np.frombuffer(raw, np.uint8, 2 * n, 24 * n).reshape(2, n)
+    return *numbers, sizes.astype(np.int64), once == 1, np.frombuffer(raw, np.int8, n_raw - 26 * n, 26 * n), raw[n_raw:].decode()
 
 
 def _pack_words(batches, at_once: int = 20_000):
-    """(block, ids): the words of blocks, of rows (block, i, c, code, way, once, text) that are sorted by block and i."""
+    """(block, ids): the words of blocks, of rows (block, i, c, code, way, once, text) that are sorted by block."""
 
     def some(block, t):
         c, texts = t.column("c").to_numpy(), t.column("text").to_pylist()
         few = np.flatnonzero(c <= 1).tolist()
-        blob = pack_words(t.column("i")[0].as_py(), c, t.column("code").to_numpy(), t.column("once").to_numpy(zero_copy_only=False), t.column("way").to_pylist(), [texts[k] for k in few])
+        blob = pack_words(t.column("i").to_numpy(), c, t.column("code").to_numpy(), t.column("once").to_numpy(zero_copy_only=False), t.column("way").to_pylist(), [texts[k] for k in few])
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["block", "ids"])
 
     held, block = [], None
@@ -291,21 +290,33 @@ class Words:
     """
 
     def __init__(self, blobs: list[bytes]):
-        parts = sorted(map(unpack_words, blobs), key=lambda x: x[0])
-        self.c, code, self.sizes, once = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3, 4))
-        texts = np.full(len(self.c), None, object)
-        texts[self.c <= 1] = [w for x in parts if (x[1] <= 1).any() for w in x[6].split(" ")]
-        self.names, self.once, unknown = hashed(code * 2 + 1), texts[once].tolist(), np.flatnonzero(self.c == 0)
-        self.spelling, bits, gates, n = spelled(texts[unknown].tolist())
-        self.known, self.at = int(self.sizes.sum()), np.cumsum(self.sizes) - self.sizes
-        self.packed, at = np.empty(self.known + len(bits), np.uint64), 0
-        for _, _, code, sizes, _, way, _ in parts:
-            owner, depth = np.repeat(code, sizes), ranges(np.zeros(len(sizes), np.int64), sizes)
-            rest = np.repeat(sizes, sizes) - depth
+        parts = list(map(unpack_words, blobs))
+        i, c, code, sizes, once = (np.concatenate([x[k] for x in parts]) for k in range(5))
+        texts, begin = np.full(len(i), None, object), np.cumsum(sizes) - sizes
+        texts[c <= 1] = [w for x in parts if (x[1] <= 1).any() for w in x[6].split(" ")]
+        self.once, unknown = texts[once].tolist(), np.flatnonzero(c == 0)
+        found = list(in_slices(texts[unknown].tolist()))
+        self.spelling = np.concatenate([x[0].astype(np.int32) for x in found] or [np.zeros((0, 3), np.int32)])
+        self.known, at = int(sizes.sum()), 0
+        self.packed = np.empty(self.known + len(self.spelling), np.uint64)
+        for _, _, of, n, _, way, _ in parts:
+            owner, depth = np.repeat(of, n), ranges(np.zeros(len(n), np.int64), n)
+            rest = np.repeat(n, n) - depth
             self.packed[at : at + len(way)] = pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), way.astype(np.int16) + 128, (owner >> (rest - 1)) & 1)
             at += len(way)
-        self.packed[at:] = pack_bits(hashed(self.spelling[:, 2]), gates, np.full(len(bits), 128), bits)
-        self.at[unknown], self.sizes[unknown] = self.known + np.cumsum(n) - n, n
+        for slots, bits, gates, _ in found:
+            self.packed[at : at + len(bits)] = pack_bits(hashed(slots[:, 2]), gates, np.full(len(bits), 128), bits)
+            at += len(bits)
+        if found:
+            sizes[unknown] = np.concatenate([x[3] for x in found])
+            begin[unknown] = self.known + np.cumsum(sizes[unknown]) - sizes[unknown]
+        order = np.argsort(i)
+        self.c, self.sizes, self.at, self.names = c[order], sizes[order], begin[order], hashed(code * 2 + 1)[order]
+
+
+def in_slices(words: list[str], at_once: int = 4000):
+    """What spelled makes of some of the words, then of the next."""
+    return (spelled(words[lo : lo + at_once]) for lo in range(0, len(words), at_once))
 
 
 def pack_bits(nodes, gates, logits, bits) -> np.ndarray:
@@ -500,8 +511,8 @@ def _count(batches):
             for k, c in enumerate(contexts(words, ids, np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), state)):
                 np.add.at(flatly, slots_at(k, (c[token] + nodes) * _B) * 2 + bits, np.uint32(1))
             state = None if some[-1][2] else state
-        slots, bits, _, _ = spelled(words.once)
-        np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
+        for slots, bits, _, _ in in_slices(words.once):
+            np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
     for k in range(0, len(counts), PART):
         piece = counts[k : k + PART]
         if piece.any():
@@ -608,7 +619,7 @@ def _score(sent, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = 16 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_000_000, words_in_slice: int = 20_000) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     All texts are scored as a whole, a null one as empty; an empty text is its end alone. Those whose fold of 10
@@ -627,6 +638,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, tokens_in_task: int = 8_
     words, texts = read.where("word is not null").select("block", "word", "i", "n"), read.where("ids is not null").select("block", "doc_id", "held_out", "n_bytes", "ids")
 
     vocabulary = staged(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
+    release(spark)
     tokens, distinct, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     bits = min(16, max(0, (distinct // words_in_slice).bit_length()))
     masses = np.zeros(1 << bits)
@@ -636,7 +648,7 @@ def score(docs: DataFrame, block_bytes: int = 16 << 20, tokens_in_task: int = 8_
     c = F.coalesce("c", F.lit(0))
     own = words.join(coded, "word", "left").select("block", "i", c.alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), ((c == 1) & (F.col("n") == 1)).alias("once"), F.when(c <= 1, F.col("word")).alias("text"))
     blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
-    own = staged(own.repartition(blocks, "block").sortWithinPartitions("block", "i").mapInArrow(_pack_words, "block long, ids binary"), "words")
+    own = staged(own.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_pack_words, "block long, ids binary"), "words")
     release(spark)
 
     word_rows = own.withColumn("kind", F.lit(0))
