@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -19,9 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; unset (as in tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir, which all executors share; unset, on a local master (as in tests), below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -32,13 +35,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and its row ids stay as they are."""
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes the folders of staged frames that nothing needs any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referred to; it does so when the JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of frames that are no longer referred to; it does so when the JVM collects garbage, a second time for what the first one has let go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +66,7 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, skip: int, at_most: int) -> DataFrame:
     """(text, y) of up to at_most labelled documents whose fold of n is not skip: those with the smallest md5 of their id."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.where(fold(F.col("doc_id"), n) != skip).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(at_most)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 

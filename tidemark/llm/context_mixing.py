@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat, fold, release, staged, table
+from tidemark.llm.common import flat, fold, release, staged, table, unstage
 
 #: log2 of the slots of each hashed table: after one and two words; then, to spell, after one, two and three bytes.
 TABLE_BITS = (22, 22, 14, 18, 20)
@@ -219,8 +219,8 @@ def hashed(x: np.ndarray) -> np.ndarray:
 
 def slots_at(k: int, keys: np.ndarray) -> np.ndarray:
     """The slots of table k for keys of a context and a node."""
-    keys = (keys ^ (keys >> np.uint32(15))) * _C
-    return (keys >> np.uint32(32 - TABLE_BITS[k])).astype(np.int64) + STARTS[k]
+    slots = (keys * _B >> np.uint32(32 - TABLE_BITS[k])).astype(np.int64)
+    return slots + STARTS[k] if k else slots
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +235,7 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         last = np.zeros(len(data), np.uint32)
         last[k + 1 :] = data[: max(0, len(data) - k - 1)]
         keys = keys * _B + np.where(place > k, last + np.uint32(1), np.uint32(0))
-        slots[:, k] = slots_at(2 + k, (np.repeat(keys, n_bits) * _A + _NODES[which]) * _B)
+        slots[:, k] = slots_at(2 + k, np.repeat(keys, n_bits) * _A + _NODES[which] * _C)
     gates = np.repeat(np.where(place == 0, CODE_GATES, CODE_GATES + 1).astype(np.uint8), n_bits)
     of_word = np.bincount(np.repeat(np.arange(len(sizes)), sizes), n_bits, len(sizes)).astype(np.int64)
     return slots, _BITS[which], gates, of_word
@@ -399,10 +399,10 @@ def read_texts(words: Words, pairs: np.ndarray, start: np.ndarray, ids: np.ndarr
     packed = words.packed[which]
     parts, nodes = packed.view(np.uint8).reshape(-1, 8), (packed >> np.uint64(32)).astype(np.uint32)
     bits, gates, owner = parts[:, 0].astype(np.int32), parts[:, 2].astype(np.int64), text_no[token]
-    x, own = np.empty((INPUTS, len(which)), np.float32), np.where(trains[owner], bits + 1, 0) << 16
+    x, own = np.empty((INPUTS, len(which)), np.float32), (trains.astype(np.int64) << 16)[owner] * (bits + 1)
     x[0] = (parts[:, 1].astype(np.float32) - 128) / 16
     for k, c in enumerate(contexts(words, ids, text_no, state)):
-        x[1 + k] = _OF_PAIR[pairs[slots_at(k, (c[token] + nodes) * _B)] | own]
+        x[1 + k] = _OF_PAIR[pairs[slots_at(k, c[token] + nodes)] | own]
     x[3] = before_in_text(nodes, owner, bits, state and state.seen)
     x[4] = 0.3
     gates += (np.abs(x[1]) > 1) * (CODE_GATES // 2)
@@ -509,7 +509,7 @@ def _count(batches):
             packed, token = words.packed[ranges(words.at[ids], n_bits)], np.repeat(np.arange(len(ids), dtype=np.int32), n_bits)
             nodes, bits = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(1)).astype(np.int64)
             for k, c in enumerate(contexts(words, ids, np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), state)):
-                np.add.at(flatly, slots_at(k, (c[token] + nodes) * _B) * 2 + bits, np.uint32(1))
+                np.add.at(flatly, slots_at(k, c[token] + nodes) * 2 + bits, np.uint32(1))
             state = None if some[-1][2] else state
         for slots, bits, _, _ in in_slices(words.once):
             np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
@@ -649,6 +649,7 @@ def score(docs: DataFrame, block_bytes: int = 32 << 20, tokens_in_task: int = 8_
     own = words.join(coded, "word", "left").select("block", "i", c.alias("c"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("way", F.lit(b"")).alias("way"), ((c == 1) & (F.col("n") == 1)).alias("once"), F.when(c <= 1, F.col("word")).alias("text"))
     blocks = max(1, texts.agg(F.count_distinct("block")).first()[0])
     own = staged(own.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_pack_words, "block long, ids binary"), "words")
+    unstage(vocabulary)
     release(spark)
 
     word_rows = own.withColumn("kind", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import staged, unstage
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(last)
     else:
         raise RuntimeError("the components have not settled")
     stars = now.groupBy("u").agg(F.min("v").alias("v"))
