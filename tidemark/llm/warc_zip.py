@@ -1,17 +1,21 @@
 """WARC records in ZIP packages: written by tasks, and read back by ranges without unpacking.
 
-A package holds two stored members, archive/data.warc.gz, in which each record is a gzip member of its own,
-and indexes/index.cdxj, which says where each record lies. The reader parses the central directory (and its
-ZIP64 form) at the package's end, finds the stored members, and reads indexes and records by range.
+A package holds stored members: archives, in which each record is a gzip member of its own or lies as it is,
+and indexes, whose lines say where each record lies. The reader parses the central directory (and its ZIP64
+form) at the package's end, finds all archives and indexes, whatever their names, and reads indexes and
+records by range. The writer makes one archive and one index.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import os
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from dataclasses import dataclass
@@ -24,6 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import scratch, staged, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = re.compile(r"\.warc(\.gz)?$", re.I), re.compile(r"\.cdxj?(\.gz)?$", re.I)
+#: Pages have no time of capture.
+DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -124,17 +131,26 @@ def stored_at(f, member: Member) -> int:
 # Records
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def urn(kind: str, page_id, nth: int = 0) -> str:
+    """A record's id; a page's response has the same one wherever it is written."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{nth}').urn}>"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, nth: int = 0) -> bytes:
+    kind = "response" if refers_to is None else "revisit"
     lines = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", urn(kind, page_id, nth * (kind == "revisit"))),
+        ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Payload-Length", len(payload)),
     ]
+    if page_id is not None:
+        lines.append(("Page-ID", page_id))
     if url is not None:
         lines.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
-        lines += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", REVISIT)]
+        lines += [("WARC-Refers-To", urn("response", refers_to)), ("Refers-To-Page", refers_to), ("WARC-Profile", REVISIT)]
     body = payload if refers_to is None else b""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*lines, ("Content-Length", len(body))])
     return f"WARC/1.1\r\n{head}\r\n".encode() + body + b"\r\n\r\n"
@@ -142,15 +158,33 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("no WARC record where the index says")
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
     return fields, rest[: int(fields["content-length"])]
 
 
-def page_of(urn: str | None) -> int | None:
-    return int(n) if urn and (n := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+def page_of(n: str | None) -> int | None:
+    return int(n) if n and n.lstrip("-").isdigit() else None
+
+
+def sort_key(url: str | None) -> str:
+    """A URL with its host's labels turned round, as indexes are sorted by; one without a host is its own key."""
+    at = urlparse(url or "-")
+    return (f"{','.join(reversed(at.netloc.lower().split('.')))}){at.path or '/'}{'?' + at.query if at.query else ''}" if at.netloc else url or "-").replace(" ", "%20").replace("\n", "%0A")
+
+
+def index_line(url: str | None, page_id, at: int, n: int, digest: str) -> str:
+    said = {"url": url, "digest": f"sha1:{digest}", "length": n, "offset": at, "filename": DATA.rpartition("/")[2], "page": page_id}
+    return f"{sort_key(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(said)}"
+
+
+def entries_of(raw: bytes, name: str) -> list[tuple[str, int, int]]:
+    """(archive's file name, offset, length) of the lines of an index; empty, comment and header lines hold none."""
+    text = (gzip.decompress(raw) if name.lower().endswith(".gz") else raw).decode("utf-8", "replace")
+    found = [json.loads(line[line.index("{") :]) for line in text.split("\n") if "{" in line and not line.startswith("!")]
+    return [(e.get("filename") or "", int(e["offset"]), int(e["length"])) for e in found if "offset" in e and "length" in e]
 
 
 def digest_of(payload: bytes) -> str:
@@ -165,17 +199,17 @@ class Package:
         self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(DATA, "w", force_zip64=True)
 
-    def add(self, page_id, raw: bytes) -> None:
+    def add(self, page_id, url: str | None, raw: bytes, digest: str) -> None:
         packer = zlib.compressobj(3, zlib.DEFLATED, 31)
         packed = packer.compress(raw) + packer.flush()
         self.data.write(packed)
-        self.index.append(json.dumps({"page": page_id, "offset": self.at, "length": len(packed)}))
+        self.index.append(index_line(url, page_id, self.at, len(packed), digest))
         self.at += len(packed)
         self.n += 1
 
     def close(self) -> tuple[str, int]:
         self.data.close()
-        self.zip.writestr(INDEX, "\n".join(self.index))
+        self.zip.writestr(INDEX, "\n".join(sorted(self.index)))
         self.zip.close()
         self.file.close()
         return self.uri, self.n
@@ -191,7 +225,8 @@ def _write(folder: str, most: int):
                 if package is None:
                     package, n = Package(f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{n}.wacz"), n + 1
                 payload = (html or "").encode()
-                package.add(page_id, record(page_id, url, payload, digest_of(payload), refers_to))
+                digest = digest_of(payload)
+                package.add(page_id, url, record(page_id, url, payload, digest, refers_to, package.n), digest)
                 if package.at >= most:
                     done.append(package.close())
                     package = None
@@ -219,28 +254,45 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, most: in
     return staged(rows.mapInArrow(_write(folder, most), "path string, records long"), "packages")
 
 
+def located(f) -> list[tuple[int, int]]:
+    """(begin, length) in the package of every record that its indexes name, once each and in order."""
+    every = members(f)
+    archives = {m.name.rpartition("/")[2]: m for m in every if ARCHIVES.search(m.name)}
+    starts, found = {name: stored_at(f, m) for name, m in archives.items()}, set()
+    for m in every:
+        if INDEXES.search(m.name):
+            for name, at, n in entries_of(read_range(f, stored_at(f, m), m.size), m.name):
+                name = name.rpartition("/")[2] or (next(iter(archives)) if len(archives) == 1 else "")
+                if name not in archives:
+                    raise ValueError(f"{m.name} names the archive {name!r}, which the package doesn't have")
+                found.add((starts[name] + at, n))
+    return sorted(found)
+
+
 def _blocks(most: int):
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_ranges(path) as f:
-                    found = {m.name: m for m in members(f)}
-                    base, index = stored_at(f, found[DATA]), found[INDEX]
-                    raw = read_range(f, stored_at(f, index), index.size)
-                    entries = sorted((e["offset"], e["length"]) for e in map(json.loads, raw.decode().split("\n") if raw else []))
-                blocks, used = [], most
+                    entries = located(f)
+                blocks, used, last = [], most, None
                 for at, n in entries:
-                    if used + n > most:
+                    if used + n > most or at - last > most:
                         blocks.append({"path": path, "at": [], "n": []})
                         used = 0
-                    blocks[-1]["at"].append(base + at)
+                    blocks[-1]["at"].append(at)
                     blocks[-1]["n"].append(n)
-                    used += n
+                    used, last = used + n, at + n
                 yield pa.RecordBatch.from_pylist(blocks, pa.schema([("path", pa.string()), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
     return run
 
 
+def opened(raw: bytes) -> bytes:
+    """A record as it is, or out of its gzip member."""
+    return zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+
+
 def _read(with_payload: bool):
     def run(batches):
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
@@ -250,11 +302,12 @@ def _read(with_payload: bool):
                     block = read_range(f, at[0], at[-1] + n[-1] - at[0])
                 rows = []
                 for a, size in zip(at, n):
-                    fields, payload = parse_record(zlib.decompress(block[a - at[0] : a - at[0] + size], 31))
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (digest_of(payload) != digest or len(payload) != int(fields["payload-length"])):
+                    fields, payload = parse_record(opened(block[a - at[0] : a - at[0] + size]))
+                    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                    length = int(fields.get("payload-length", len(payload)))
+                    if kind == "response" and "payload-length" in fields and (digest_of(payload) != digest or len(payload) != length):
                         raise ValueError(f"{path}, {a}: the payload isn't the one that was written")
-                    row = (page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, int(fields["payload-length"]), digest, page_of(fields.get("warc-refers-to")), payload)
+                    row = (page_of(fields.get("page-id")), fields.get("warc-target-uri"), kind, length, digest, page_of(fields.get("refers-to-page")), payload)
                     rows.append(row[: 6 + with_payload])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 6 + with_payload])
 
@@ -264,7 +317,10 @@ def _read(with_payload: bool):
 def read_packages(packages: DataFrame, with_payload: bool = False, most: int = 4 << 20) -> DataFrame:
     """One row per record of the packages whose paths are given: page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload if asked for.
 
-    Indexes are read first; then ranges of about most bytes, dealt evenly over the tasks, whatever package they lie in.
+    Indexes are read first; then ranges of about most bytes, dealt evenly over the tasks, whatever package they
+    lie in. Packages of other writers do too: what a record doesn't say (its page, a revisit's) is null, and its
+    payload is what follows its head. No packages, or packages without records, give no rows; records that
+    repeat are rows each; a null path fails.
     """
     n = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as rows this small would be coalesced
     blocks = packages.select("path").repartition(n, "path").mapInArrow(_blocks(most), "path string, at array<long>, n array<long>")
