@@ -78,8 +78,8 @@ def paired(texts: list[np.ndarray], y: np.ndarray, frequent: np.ndarray, alone:
     return found
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, least: int = 5, least_chi2: float = 15.0, seed: int = 3) -> Machine:
-    """Adagrad on the log loss, both labels of equal weight. Slots that fewer than least texts have, or whose chi-square with the label is less than least_chi2 and which no pair needs (paired), stay at zero, as unseen ones do."""
+def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, least: int = 5, least_chi2: float = 15.0, pair_rows: int = 3000, seed: int = 3) -> Machine:
+    """Adagrad on the log loss, both labels of equal weight. Slots that fewer than least texts have, or whose chi-square with the label is less than least_chi2 and which no pair needs (paired, over the first pair_rows texts of the sample), stay at zero, as unseen ones do."""
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate(texts), minlength=1 << BITS) if texts else np.zeros(1 << BITS)
     toxic = np.bincount(np.concatenate([t for t, one in zip(texts, y) if one]), minlength=1 << BITS) if y.any() else np.zeros(1 << BITS)
@@ -87,9 +87,10 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int =
     expected = np.maximum(seen * share * (1 - share) * (1 - seen / max(1, len(y))), 1e-9)
     known = (seen >= least) & ((toxic - seen * share) ** 2 / expected >= least_chi2)
     if (seen >= least).any():
-        known |= paired(texts, y, seen >= least, known, least)
+        some = rng.permutation(len(y))[:pair_rows]
+        known |= paired([texts[i] for i in some], y[some], seen >= least, known, least)
     texts = [t[known[t]] for t in texts]
-    m = Machine(0.0, np.zeros(1 << BITS), np.where(known[:, None], rng.normal(0, 0.01, (1 << BITS, FACTORS)), 0))
+    m = Machine(0.0, np.zeros(1 << BITS), np.where(known[:, None], rng.normal(0, 0.05, (1 << BITS, FACTORS)), 0))
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))
     gw, gv, gb = np.full(1 << BITS, 1e-2), np.full((1 << BITS, FACTORS), 1e-2), 1.0
     for _ in range(epochs):
@@ -109,7 +110,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int =
             gv[uniq] += dv**2
             gb += off.mean() ** 2
             m.weights[uniq] -= rate * dw / np.sqrt(gw[uniq])
-            m.factors[uniq] -= 0.1 * rate * dv / np.sqrt(gv[uniq])
+            m.factors[uniq] -= 0.3 * rate * dv / np.sqrt(gv[uniq])
             m.bias -= rate * off.mean() / gb**0.5
     return m
 
@@ -131,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = 8000) -> Machine | No
 
 
 def classify(docs: DataFrame, m: Machine | None, cut: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row: whole texts, a null one as empty. Without a machine the score is 0.5."""
+    """(doc_id, held_out, score, predicted) of every row: whole texts, a null one as empty. Without a machine the score is 0.5.
+
+    Repeated rows are scored each for itself; an empty table gives no rows. Other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
