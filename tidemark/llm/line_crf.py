@@ -1,8 +1,10 @@
 """Quality rules: a linear-chain conditional random field labels a text's lines, and its share of content decides.
 
 The field has two labels, boilerplate (0) and content (1), weights of each line's features, and weights of
-neighbouring labels. Lines are not labelled in any table, so it learns them weakly: a line of a document of
-good quality counts as content, of a poor one as boilerplate. Viterbi decoding gives the most probable labels.
+neighbouring labels. Lines are not labelled in any table, so it learns from evidence about each line of a
+bounded sample of documents with a quality label (weak_labels): lines that several of them share or that a
+text repeats, menus and lines of symbols are boilerplate; sentences are content, as is the rest of a document
+of good quality, while the rest of a poor one is boilerplate. Viterbi decoding gives the most probable labels.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat, labelled_sample, table
 
@@ -96,12 +98,21 @@ def viterbi(scores: list[list[float]], move: list[list[float]]) -> list[int]:
     return labels[::-1]
 
 
-def train(texts: list[np.ndarray], y: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> Field:
-    """Adam on the mean log likelihood of a text's labels, by forward-backward; texts: (lines, FEATURES) each, y: their lines' one label."""
+def weak_labels(x: np.ndarray, shared: np.ndarray, quality: int) -> np.ndarray:
+    """The labels that a text's lines are taught with. x: their features; shared: is the line one that other documents have too?"""
+    again, short, ends, words = x[:, 11] > 0, x[:, 13] > 0, x[:, 8] > 0, np.expm1(4 * x[:, 1])
+    boilerplate = shared | again | (x[:, 2] > 0.2) | (short & ~ends)
+    sentence = ends & (words >= 5)
+    return (~boilerplate & (sentence | (quality == 1))).astype(np.int64)
+
+
+def train(texts: list[np.ndarray], y: list[np.ndarray], epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> Field:
+    """Adam on the mean log likelihood of a text's labels, by forward-backward; texts: (lines, FEATURES) each, y: their lines' labels."""
     rng = np.random.default_rng(seed)
     emit, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     first, second, t = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)], 0
-    weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
+    share = np.bincount(np.concatenate(y), minlength=2)
+    weight = share.sum() / (2 * np.maximum(1, share))
     for _ in range(epochs):
         for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             some = sorted(some, key=lambda i: -len(texts[i]))
@@ -110,7 +121,10 @@ def train(texts: list[np.ndarray], y: list[int], epochs: int = 8, batch: int = 6
             x = np.zeros((long, len(some), FEATURES))
             for k, i in enumerate(some):
                 x[: size[k], k] = texts[i]
-            gold, own = np.array([y[i] for i in some]), np.array([weight[y[i]] for i in some]) / size / len(some)
+            gold = np.zeros((long, len(some)), np.int64)
+            for k, i in enumerate(some):
+                gold[: size[k], k] = y[i]
+            own = np.array([weight[y[i]].mean() for i in some]) / size / len(some)
             scores = x @ emit
             ahead, behind = np.zeros((long, len(some), 2)), np.zeros((long, len(some), 2))
             ahead[0] = scores[0]
@@ -126,7 +140,7 @@ def train(texts: list[np.ndarray], y: list[int], epochs: int = 8, batch: int = 6
             g_emit = np.einsum("nkf,nkl->fl", x, off) + decay * emit
             both = np.exp(ahead[:-1, :, :, None] + move + (scores + behind)[1:, :, None, :] - total[:, None, None]) * alive[1:, :, None, None]
             g_move = np.einsum("nkij,k->ij", both, own) + decay * move
-            np.subtract.at(g_move, (gold, gold), own * (size - 1))
+            np.subtract.at(g_move, (gold[:-1], gold[1:]), own * alive[1:])
             t += 1
             for q, g, m, v in zip((emit, move), (g_emit, g_move), first, second):
                 m += 0.1 * (g - m)
@@ -142,19 +156,36 @@ def content_share(field: Field, features: list[list[float]], weights: list[int])
     return sum(w for w, l in zip(weights, labels) if l) / sum(weights)  # noqa: E741
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = 3000, longest: int = 20_000) -> Field | None:
-    """Trained on up to at_most labelled documents, of each up to longest characters; None without any."""
-    sample = labelled_sample(docs, labels, "quality", 1, -1, at_most).select("doc_id", F.substring("text", 1, longest).alias("text"), "y")
-    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text, r.y))
-    read = [(np.array(f), r.y) for r in rows if (f := read_text(r.text.encode())[0])]
-    return train([f for f, _ in read], [y for _, y in read]) if read else None
+def _lines(batches):
+    """(doc_id, y, features, lines): of each text its lines' features and hashes."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):
+            features = read_text(text.encode())[0]
+            lines = [xxhash.xxh64_intdigest(line.strip(SPACES)) >> 1 for line in text.encode().split(b"\n") if line.split()]
+            rows.append((doc_id, y, np.array(features, np.float32).tobytes(), np.array(lines, np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, [batch.column(0).type, pa.int32(), pa.binary(), pa.binary()])], ["doc_id", "y", "features", "lines"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = 3000, shared_by: int = 3) -> Field | None:
+    """Trained on the lines of up to at_most labelled documents, whole; None without any. A line that shared_by of them have is shared. Features, not texts, go to the driver."""
+    sample = labelled_sample(docs, labels, "quality", 1, -1, at_most)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sorted((tuple(r) for r in sample.mapInArrow(_lines, f"doc_id {kind}, y int, features binary, lines binary").collect()), key=lambda r: (r[0], r[2]))
+    read = [(np.frombuffer(f, np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(h, np.int64), y) for _, y, f, h in rows if f]
+    if not read:
+        return None
+    lines, n = np.unique(np.concatenate([np.unique(h) for _, h, _ in read]), return_counts=True)
+    shared = lines[n >= shared_by]
+    return train([x for x, _, _ in read], [weak_labels(x, np.isin(h, shared), y) for x, h, y in read])
 
 
 def apply_rules(docs: DataFrame, field: Field | None, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share.
 
     Whole texts are read; a null one has no words, and neither has an empty one: both fail the base rules.
-    Without a field (no labels) all lines count as content. An empty table gives no rows.
+    Without a field (no labels) all lines count as content. Repeated rows are judged each for itself; an empty
+    table gives no rows. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
