@@ -115,15 +115,18 @@ def score(net: Net, raw: np.ndarray, ends: np.ndarray, at_once: int = 64) -> np.
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, np.bincount(owner, minlength=len(starts))), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = 4000, longest: int = 20_000) -> Net | None:
-    """Trained on up to at_most labelled documents outside the held-out fold, of each up to longest characters; None without any."""
-    sample = labelled_sample(docs, labels, "quality", 4, 2, at_most).select("doc_id", F.substring("text", 1, longest).alias("text"), "y")
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = 4000) -> Net | None:
+    """Trained on up to at_most labelled documents outside the held-out fold, on chunks from all over each; None without any."""
+    sample = labelled_sample(docs, labels, "quality", 4, 2, at_most)
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text, r.y))
     return train([r.text.encode() for r in rows], np.array([r.y for r in rows])) if rows else None
 
 
 def classify(docs: DataFrame, net: Net | None, cut: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row: whole texts, a null one as empty. Without a net the score is 0.5."""
+    """(doc_id, held_out, score, predicted) of every row: whole texts, a null one as empty. Without a net the score is 0.5.
+
+    Repeated rows are scored each for itself; an empty table gives no rows. Other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
