@@ -201,15 +201,29 @@ def test_language_model(docs, none):
 
 
 def test_a_short_text_refines_its_weights(monkeypatch):
-    rnd = np.random.default_rng(1)
-    m = context_mixing.Tables(rnd.normal(0, 1, context_mixing.STARTS[-1]).astype(np.float16), np.zeros(1 << context_mixing.TABLE_BITS[-1], np.uint8), np.full((context_mixing.GATES, context_mixing.ORDERS), 0.25, np.float32))
-    words = context_mixing.Words(m, ["one", "three", context_mixing.END])
-    short, long = np.array([0, 2]), np.array([0, 1] * 100 + [2])
-    got = words.cost(short), words.cost(long)
+    counts = np.array([50, 30, 10, 5, 5])
+    code, length, way = context_mixing.halving_code(counts)
+    blob = context_mixing.pack_words(np.arange(5), counts, code + (np.int64(1) << length), np.zeros(5, bool), [w.tobytes() for w in way], [])
+    words, rnd = context_mixing.Words([blob]), np.random.default_rng(1)
+    pairs, start = (rnd.integers(0, 9, context_mixing.STARTS[-1]) * 257).astype(np.uint16), np.full((context_mixing.INPUTS, context_mixing.GATES), 0.3, np.float32)
+    cost = lambda ids: context_mixing.read_texts(words, pairs, start, np.array(ids), np.zeros(len(ids), np.int64), np.array([False]))[0][0]
+    short, long = [0, 4], [4, 2] * 100 + [0]
+    got = cost(short), cost(long)
     monkeypatch.setattr(context_mixing, "RATE", 0)
-    assert got[0] == words.cost(short)  # below 64 bits
-    assert got[1] < 0.99 * words.cost(long)  # 201 words, fewer than 1024
-    assert (m.weights == 0.25).all()
+    assert got[0] == cost(short)  # below 64 bits
+    assert got[1] < 0.995 * cost(long)
+    assert (start == np.float32(0.3)).all()
+
+
+def test_a_long_text_in_pieces_is_read_as_one(spark, tmp_path, monkeypatch):
+    rnd = random.Random(7)
+    texts = [(i, " ".join(rnd.choice(["red", "green", "blue", f"w{rnd.randrange(40)}"]) for _ in range(n))) for i, n in enumerate([700, 20, 900, 5] * 10)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(path)
+    whole = {r.doc_id: r for r in context_mixing.score(spark.read.parquet(path)).collect()}
+    some = list(context_mixing.batches_of([(0, np.arange(10)), (1, np.arange(25)), (2, np.arange(3))], 10))
+    assert [[(r, len(x), e) for r, x, e in b] for b in some] == [[(0, 10, True)], [(1, 10, False)], [(1, 10, False)], [(1, 5, True)], [(2, 3, True)]]
+    assert all(whole[i].n_tokens == len(t.split()) + 1 for i, t in texts)
 
 
 def test_shuffled_words_cost_more(spark, tmp_path):
@@ -226,18 +240,7 @@ def test_shuffled_words_cost_more(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(path)
     got = {r.doc_id: r.score for r in context_mixing.score(spark.read.parquet(path)).collect()}
     pairs = [(got[i], got[i + 1000]) for i, held in ids if held]
-    assert len(pairs) > 10 and sum(a for a, _ in pairs) > 0.85 * sum(b for _, b in pairs)  # logarithms, below 0
-
-
-def test_weights_are_learned_from_all_training_texts(spark, tmp_path, monkeypatch):
-    texts = [(i, f"word{i % 50} and more") for i in range(600)] + [(600 + i, "first part " * 600 + f"last{i} " * 50) for i in range(9)]
-    path, read, learn = str(tmp_path / "d"), [], context_mixing.learn
-    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(path)
-    docs = spark.read.parquet(path)
-    monkeypatch.setattr(context_mixing, "learn", lambda *a: read.append(learn(*a).where("context = 0").agg(F.sum("n")).first()[0]) or learn(*a))
-    context_mixing.score(docs, block_texts=100)
-    own = [r.text.split() + [context_mixing.END] for r in docs.where(context_mixing.fold(F.col("doc_id"), 10) != 0).collect()]
-    assert read == [sum(len(context_mixing.coded([w])[1]) * n for w, n in Counter(w for t in own for w in t).items())]
+    assert len(pairs) > 10 and sum(a for a, _ in pairs) > 0.9 * sum(b for _, b in pairs)  # logarithms, below 0
 
 
 def test_urls(spark):

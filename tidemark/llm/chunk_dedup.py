@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat, staged
+from tidemark.llm.common import flat, numbered, staged
 
 LEAST, MASK, MOST, WINDOW = 512, 0x3FF, 8192, 32
 _GEAR = np.random.default_rng(20240531).integers(0, 2**32, 256, dtype=np.uint32)
@@ -71,9 +71,9 @@ def _recipes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts, type=_CHUNKS)], ["row_id", "doc_id", "text_sha256", "chunks"])
 
 
-def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, doc_id, text_sha256, chunks) of every row, staged. row_id tells repeated rows apart."""
-    slim = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(row_id, doc_id, text_sha256, chunks) of every row, staged. row_id tells repeated rows apart; it is the column row if there is one."""
+    slim = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return staged(slim.mapInArrow(_recipes, _RECIPE.format(id=slim.schema["doc_id"].dataType.simpleString())), "recipes")
 
 
@@ -84,14 +84,14 @@ def chunk_store(made: DataFrame) -> DataFrame:
     return alike.select("fp", F.posexplode("same").alias("nth", "c")).select("fp", "nth", "c.len", "c.sha", "c.uses")
 
 
-def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Of equal texts the row with the largest doc_id is kept (a null id is the smallest; of rows that repeat
     an id with the same text, the first read). A null text counts as empty, and empty texts are equal.
-    An empty table gives no rows. Other columns of docs are not read.
+    An empty table gives no rows. Other columns of docs are not read. row: a column that numbers the rows.
     """
-    made = recipes(docs, doc_id, text)
+    made = recipes(docs, doc_id, text, row)
     uses = made.select("row_id", F.posexplode("chunks").alias("seq", "c")).select("row_id", "seq", "c.fp", "c.len", "c.sha")
     known = uses.hint("merge").join(chunk_store(made).drop("uses"), ["fp", "len", "sha"])
     lists = known.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("seq", "fp", "nth"))).alias("l"))
@@ -105,9 +105,13 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that find_copies keeps, with their columns. docs must be read from files, so that its row ids stay."""
-    kept = find_copies(docs, doc_id, text).where("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(kept, "__row", "left_semi").drop("__row")
+    """The rows of docs that find_copies keeps, with their columns, whatever their names.
+
+    Null texts count as empty, and of all empty ones one row stays; an empty table gives no rows.
+    """
+    rows, row = numbered(docs)
+    kept = find_copies(rows, doc_id, text, row).where("kept").select(F.col("row_id").alias(row))
+    return rows.hint("merge").join(kept, row, "left_semi").drop(row)
 
 
 def op2(spark, sf_dir):

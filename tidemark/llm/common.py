@@ -55,6 +55,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the number's column (a name that docs doesn't have). It is staged, so that a row read again has the same number, however the files are split by then."""
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,10 +73,13 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, skip: int, at_most: int) -> DataFrame:
-    """(text, y) of up to at_most labelled documents whose fold of n is not skip: those with the smallest md5 of their id."""
+    """(doc_id, text, y) of up to at_most labelled documents whose fold of n is not skip: those with the smallest md5 of their id.
+
+    Of labels that conflict the largest counts, of rows that repeat an id the one with the least text.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.where(fold(F.col("doc_id"), n) != skip).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(at_most)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).select("doc_id", "text", "y")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -513,6 +513,7 @@ def _count(batches):
             state = None if some[-1][2] else state
         for slots, bits, _, _ in in_slices(words.once):
             np.add.at(flatly, (slots * 2 + bits[:, None]).reshape(-1), np.uint32(1))
+        del words  # before the next block's are made
     for k in range(0, len(counts), PART):
         piece = counts[k : k + PART]
         if piece.any():
@@ -615,6 +616,7 @@ def _score(sent, kind: pa.DataType):
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            del words, scorer  # before the next block's are made
 
     return run
 

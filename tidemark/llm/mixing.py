@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, staged
+from tidemark.llm.common import WORD, numbered, staged
 
 
 def n_words(text: Column) -> Column:
@@ -34,7 +34,7 @@ def water_fill(sources: DataFrame, share: float, most_epochs: int) -> DataFrame:
     return out.select("source", "source_size", "weight", F.least(fair, F.col("room").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 0, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 0, buckets: int = 1024, row: str | None = None) -> DataFrame:
     """Per row of docs: row_id, doc_id, source, size, source_size, target, reps, taken.
 
     size: words of the text (null: 0). Sources in code-point order, a null source last, weigh weights in
@@ -42,9 +42,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int
     the order of a seeded hash until the target is met to within half a text. That order is taken in buckets
     of the hash: whole buckets by their sums, and row by row only in the one where the target falls, so no
     source has to be sorted in one task. Rows that are equal in id and size may change places. A source
-    without words has target 0. Null ids are hashed as the empty text; an empty table gives no rows.
+    without words has target 0. Null ids are hashed as the empty text; an empty table gives no rows. row: a
+    column that numbers the rows, else they are numbered here.
     """
-    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
     sized = staged(sized.withColumn("unit", unit).withColumn("bucket", F.shiftright("unit", 48 - (buckets - 1).bit_length()).cast("int")), "sizes")
 
@@ -70,10 +71,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as mix takes them, with their columns. docs must be read from files, so that its row ids stay."""
-    reps = mix(docs, **how).where("reps > 0").select(F.col("row_id").alias("__row"), F.col("reps").cast("int").alias("__reps"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(reps, "__row")
-    return rows.withColumn("__rep", F.explode(F.sequence(F.lit(1), "__reps"))).select(*docs.columns)
+    """The rows of docs as often as mix takes them, with their columns, whatever their names.
+
+    A text without words (null, empty) is taken as often as its source's others; an empty table gives no rows.
+    """
+    rows, row = numbered(docs)
+    reps = mix(rows, row=row, **how).where("reps > 0").select(F.col("row_id").alias(row), F.array_repeat(F.lit(0), F.col("reps").cast("int")).alias(f"{row}_times"))
+    return rows.hint("merge").join(reps, row).select(*docs.columns, F.explode(f"{row}_times").alias(f"{row}_time")).drop(f"{row}_time")
 
 
 def op4(spark, sf_dir):

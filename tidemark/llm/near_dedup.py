@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HashOf, flat, release, staged
+from tidemark.llm.common import HashOf, flat, numbered, release, staged
 from tidemark.llm.graph import components
 
 SLOTS, SLOTS_IN_CHUNK, ERRORS = 64, 4, 1
@@ -245,16 +245,20 @@ def unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi")
 
 
-def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Per row of docs: row_id, doc_id, n_shingles, component_id, first_row.
 
     component_id is the smallest doc_id that links reach, first_row the row_id of one row that has it. Texts
     without words (null, empty, white space) are linked with nothing, not even each other. Rows that repeat an
     id share its component_id only if their texts are linked; null ids count as the largest. An empty table
-    gives no rows. docs must be read from files, so that its row ids stay; other columns are not read.
+    gives no rows; other columns are not read. row: a column that numbers the rows of a staged table; without
+    it the texts are staged with their numbers first, as they are read more than once.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if row is None:
+        docs, row = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+        doc_id, text = "doc_id", "text"
+    texts = docs.select(F.col(row).alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = f"row_id long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, set_key binary, n_shingles long, sig binary"
     rows = staged(texts.mapInArrow(_describe, made), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
@@ -288,9 +292,13 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each group of near-duplicates, the one with the smallest doc_id, with its columns."""
-    kept = find_near(docs, doc_id, text).where("row_id = first_row").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(kept, "__row", "left_semi").drop("__row")
+    """One row of docs for each group of near-duplicates, the one with the smallest doc_id, with its columns, whatever their names.
+
+    Texts without words (null, empty) all stay, as they are linked with nothing; an empty table gives no rows.
+    """
+    rows, row = numbered(docs)
+    kept = find_near(rows, doc_id, text, row).where("row_id = first_row").select(F.col("row_id").alias(row))
+    return rows.hint("merge").join(kept, row, "left_semi").drop(row)
 
 
 def op6(spark, sf_dir):
