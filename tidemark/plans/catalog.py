@@ -9,7 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import scoring as sc
 from tidemark.operators import series as se
-from tidemark.plans import boxes, fusion, labels, records
+from tidemark.plans import boxes, fusion, labels, records, scores, spans
 from tidemark.sources import tables as tb
 
 FLAGSHIP = "segment_score"
@@ -172,14 +172,6 @@ _ALL = {
         _r(_clip_metrics),
         _WITH + ", h AS (SELECT a.media_id, count(DISTINCT a.rally_id) AS tp FROM rallies a JOIN rallies b ON a.media_id = b.media_id AND a.rally_id % 2 = 0 AND b.rally_id % 2 = 1 WHERE least(a.end_, b.end_) - greatest(a.start, b.start) > 0 AND (least(a.end_, b.end_) - greatest(a.start, b.start)) / (greatest(a.end_, b.end_) - least(a.start, b.start)) >= 0.3 GROUP BY 1), n AS (SELECT r.media_id, count_if(rally_id % 2 = 0) AS preds, count_if(rally_id % 2 = 1) AS golds, coalesce(any_value(tp), 0) AS tp FROM rallies r LEFT JOIN h USING (media_id) GROUP BY 1), t AS (SELECT media_id, sum(tp)::BIGINT AS tp, sum(preds) AS preds, sum(golds) AS golds FROM n GROUP BY ROLLUP (media_id)), m AS (SELECT media_id, tp, coalesce(tp / nullif(preds, 0), 0)::DOUBLE AS p, coalesce(tp / nullif(tp + greatest(0, golds - tp), 0), 0)::DOUBLE AS r FROM t) SELECT media_id, tp, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM m",
     ),
-    "segment_score": (
-        _r(lambda x: rounded(sc.scores(x, ["media_id"]).select("media_id", "rally_id", "preset", "length", "intensity", "total"), "length", "intensity", "total")),
-        _WITH + ", pre(preset, wl, wi, wp, ss, ds) AS (VALUES " + ", ".join(str(p) for p in sc.PRESETS) + "), q AS (SELECT media_id, quantile_cont(speed, 0.85) AS p85 FROM rallies GROUP BY 1), x AS (SELECT media_id, rally_id, preset, confidence, wl::DOUBLE AS wl, wi::DOUBLE AS wi, wp::DOUBLE AS wp, 100 * least(1, greatest(0, 0.62::DOUBLE * (1 - exp(-shots / greatest(0.55::DOUBLE * ss, 1))) + 0.38::DOUBLE * (1 - exp(-duration / greatest(0.55::DOUBLE * ds, 1)))))::DOUBLE AS length, 100 * least(1.2::DOUBLE, greatest(0, speed / (p85 + 1e-9))) / 1.2::DOUBLE AS intensity FROM rallies JOIN q USING (media_id), pre) SELECT media_id, rally_id, preset, round(length, 6) AS length, round(intensity, 6) AS intensity, round(least(100, greatest(0, (wl * length + wi * intensity + wp * 70) * (0.75::DOUBLE + 0.25::DOUBLE * confidence))), 6)::DOUBLE AS total FROM x",
-    ),
-    "ag_tagcounts": (
-        _r(lambda x: sc.tagged(x).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))),
-        _WITH + ", t AS (SELECT unnest(list_filter([CASE WHEN shots >= 20 THEN 'marathon' END, CASE WHEN shots >= 12 AND shots < 20 THEN 'long' END, CASE WHEN speed >= 0.72 THEN 'fast' END, CASE WHEN duration >= 25 THEN 'lasting' END, CASE WHEN duration <= 5.5 THEN 'short' END, CASE WHEN confidence < 0.35 THEN 'unsure' END], lambda x: x IS NOT NULL)) AS tag FROM rallies) SELECT tag, count(*) AS n FROM t GROUP BY 1",
-    ),
     "ag_stats": (
         _r(lambda x: rounded(sc.statistics(x), "total", "mean", "median", "longest", "p90", to=10)),
         _WITH + "SELECT media_id, count(*) AS n, round(sum(duration), 10) AS total, round(avg(duration), 10) AS mean, round(quantile_cont(duration, 0.5), 10) AS median, round(max(duration), 10) AS longest, round(quantile_cont(speed, 0.9), 10) AS p90, count_if(speed >= 0.7)::BIGINT AS fast FROM rallies GROUP BY 1",
@@ -188,10 +180,6 @@ _ALL = {
         _r(lambda x: sc.histogram(x, "duration", 10, 30.0)),
         _WITH + ", t AS (SELECT greatest(30, max(duration))::DOUBLE AS top FROM rallies) SELECT least(floor(duration / top * 10), 9)::INT AS bin, count(*) AS n FROM rallies, t GROUP BY 1",
     ),
-    "flt_rally": (
-        _r(lambda x: rounded(sc.tagged(x).where(F.col("duration").between(3, 30) & (F.col("shots") >= 4) & (F.col("confidence") >= 0.2) & F.arrays_overlap("tags", F.array(F.lit("fast"), F.lit("marathon")))).select("media_id", "rally_id", "duration", "shots"), "duration")),
-        _WITH + "SELECT media_id, rally_id, round(duration, 6) AS duration, shots FROM rallies WHERE duration BETWEEN 3 AND 30 AND shots >= 4 AND confidence >= 0.2 AND (speed >= 0.72 OR shots >= 20)",
-    ),
     "src_stable_id": (
         lambda s, d: tb.read(s, d, "part").select("p_partkey", F.concat(F.lit("m_"), F.substring(F.sha1(F.concat_ws("|", F.lower("p_name"), F.col("p_size").cast("string")).cast("binary")), 1, 12)).alias("media_id")),
         "SELECT p_partkey, 'm_' || substr(sha1(lower(p_name) || '|' || p_size::VARCHAR), 1, 12) AS media_id FROM part",
@@ -203,7 +191,7 @@ _ALL = {
 }
 
 
-_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL
+_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL | scores.ALL | spans.ALL
 
 
 def queries() -> dict:

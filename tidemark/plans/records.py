@@ -197,11 +197,6 @@ ALL = {
     "en_batch": (_read("events", lambda e: e.groupBy("user_id").agg(F.min("event_id").alias("first"))), "SELECT user_id, min(event_id) AS first FROM events GROUP BY 1"),
     "en_jobs": (_read("orders", lambda o: o.where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("active"))), "SELECT o_custkey, count(*) AS active FROM orders WHERE o_orderstatus = 'O' GROUP BY 1"),
     "en_draft": (_r(lambda r: r.select("media_id", "rally_id", F.row_number().over(W.partitionBy("media_id").orderBy("start", "rally_id")).alias("index"), "shots")), f"WITH {_RALLIES} SELECT media_id, rally_id, row_number() OVER (PARTITION BY media_id ORDER BY start, rally_id)::INT AS index, shots FROM rallies"),
-    "sc_tags": (_r(lambda r: sc.tagged(r).select("media_id", "rally_id", F.array_join("tags", ",").alias("tags"))), f"WITH {_RALLIES} SELECT media_id, rally_id, concat_ws(',', CASE WHEN shots >= 20 THEN 'marathon' END, CASE WHEN shots >= 12 AND shots < 20 THEN 'long' END, CASE WHEN speed >= 0.72 THEN 'fast' END, CASE WHEN duration >= 25 THEN 'lasting' END, CASE WHEN duration <= 5.5 THEN 'short' END, CASE WHEN confidence < 0.35 THEN 'unsure' END) AS tags FROM rallies"),
-    "sc_rescore_cross": (
-        _r(lambda r: rounded(sc.scores(r, []).where("preset = 'balanced'").select("rally_id", "intensity"), "intensity")),
-        f"WITH {_RALLIES}, q AS (SELECT quantile_cont(speed, 0.85) AS p FROM rallies) SELECT rally_id, round(100 * least(1.2::DOUBLE, greatest(0, speed / (p + 1e-9))) / 1.2::DOUBLE, 6) AS intensity FROM rallies, q",
-    ),
     "ag_threshold": (_r(lambda r: rounded(r.groupBy("media_id").agg(F.percentile("speed", F.lit(0.6)).alias("threshold")), "threshold")), f"WITH {_RALLIES} SELECT media_id, round(quantile_cont(speed, 0.6), 6) AS threshold FROM rallies GROUP BY 1"),
     "ag_coverage": (
         lambda s, d: rounded(ev.bin_share(tb.hits(s, d), 24.0, 24.0 * 365), "coverage"),
