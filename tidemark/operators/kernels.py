@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.operators.events import named_clusters
+
 HIT = "media_id long, hit_idx long, t double, strength double, confidence double"
 
 
@@ -53,7 +55,9 @@ def thinned(hits: DataFrame, least_gap: float) -> DataFrame:
                 rows.append(i)
         return g.iloc[sorted(rows)]
 
-    return hits.select("media_id", "hit_idx", "t", "strength", "confidence").groupBy("media_id").applyInPandas(run, HIT)
+    rows = hits.select("media_id", "hit_idx", "t", "strength", "confidence")
+    islands = named_clusters(rows, float(np.nextafter(least_gap, 0)))  # hits of two islands are least_gap apart at least
+    return islands.groupBy("media_id", "cluster").applyInPandas(lambda g: run(g.drop(columns="cluster")), HIT)
 
 
 def found_peaks(signal: DataFrame, distance: int, prominence: float, valleys: bool = False) -> DataFrame:
@@ -67,28 +71,41 @@ def found_peaks(signal: DataFrame, distance: int, prominence: float, valleys: bo
     return signal.select("media_id", "idx", "value").groupBy("media_id").applyInPandas(run, "media_id long, idx long, value double")
 
 
-def quiet_spans(signal: DataFrame, fps: float, least: float, most: float, ratio: float) -> DataFrame:
-    """(media_id, first, last): stretches around a signal's valleys that stay below p20 + 0.35 (p95 - p20)."""
+def quiet_around(x: np.ndarray, fps: float, apart: float, longest: float, ratio: float) -> list[tuple[int, int, int]]:
+    """(first, last, bottom) of the quiet stretches around a signal's valleys, at least apart seconds apart and as prominent as ratio of (p95 - p20).
+
+    A stretch is what stays at or below p20 + 0.35 (p95 - p20) around the bottom; one of less than a quarter second
+    reaches 0.15 s to both sides of it, one longer than longest (0: no limit) is cut to that around its middle.
+    """
+    if len(x) < max(8, int(fps)):
+        return []
+    base, top = np.percentile(x, [20, 95])
+    span = max(top - base, 1e-9)
+    loud, out = np.flatnonzero(x > base + 0.35 * span), []
+    for p in peaks(-x, max(1, round(apart * fps)), ratio * span):
+        k = np.searchsorted(loud, p)
+        a = loud[k - 1] + 1 if k else 0
+        after = loud[k:][loud[k:] > p]
+        b = after[0] - 1 if len(after) else len(x) - 1
+        a, b = min(a, p), max(b, p)
+        if b - a < max(1, int(0.25 * fps)):
+            a, b = max(0, p - int(0.15 * fps)), min(len(x) - 1, p + int(0.15 * fps))
+        limit = round(longest * fps)
+        if longest > 0 and b - a > limit:
+            middle = (a + b) // 2
+            a, b = middle - limit // 2, middle + limit // 2
+        out.append((int(a), int(b), int(p)))
+    return out
+
+
+def quiet_spans(signal: DataFrame, fps: float, apart: float, longest: float, ratio: float) -> DataFrame:
+    """(media_id, first, last, bottom): the quiet stretches of each medium's signal (quiet_around)."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        x = g.value.to_numpy()
-        lo, hi = np.percentile(x, [20, 95])
-        level, spans = lo + 0.35 * (hi - lo), []
-        for p in peaks(-x, max(1, int(least * fps)), ratio * (hi - lo)):
-            if x[p] > level:
-                continue
-            a, b = p, p
-            while a > 0 and x[a - 1] <= level:
-                a -= 1
-            while b < len(x) - 1 and x[b + 1] <= level:
-                b += 1
-            if least <= (b - a + 1) / fps <= most and (not spans or spans[-1] != (a, b)):
-                spans.append((a, b))
-        media = g.media_id.iat[0]
-        return pd.DataFrame([(media, a, b) for a, b in spans], columns=["media_id", "first", "last"])
-
-    return signal.select("media_id", "idx", "value").groupBy("media_id").applyInPandas(run, "media_id long, first long, last long")
+        found = quiet_around(g.sort_values("idx").value.to_numpy(), fps, apart, longest, ratio)
+        return pd.DataFrame([(g.media_id.iat[0], *f) for f in found], columns=["media_id", "first", "last", "bottom"])
+
+    return signal.select("media_id", "idx", "value").groupBy("media_id").applyInPandas(run, "media_id long, first long, last long, bottom long")
 
 
 def split_long(times: list[float], longest: float, least_gap: float) -> list[list[float]]:

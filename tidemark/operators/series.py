@@ -107,10 +107,12 @@ def pooled(df: DataFrame, step: int) -> DataFrame:
 
 def subsample(df: DataFrame, most: int) -> DataFrame:
     """At most most samples of each medium, evenly spread, first and last among them."""
-    n = F.count("*").over(key())
+    if most < 2:
+        return df.where("idx = 0")
+    rows, n = df.withColumn("n", F.count("*").over(key())), F.col("n")
     nth = lambda i: F.floor(i * (n - 1) / (most - 1))
-    k = F.ceil(F.col("idx") * (most - 1) / (n - 1))
-    return df.where((n <= most) | (nth(k) == F.col("idx"))) if most > 1 else df.where("idx = 0")
+    k = F.ceil(F.col("idx") * (most - 1) / F.greatest(n - 1, F.lit(1)))
+    return rows.where((n <= most) | (nth(k) == F.col("idx"))).drop("n")
 
 
 def discrimination(df: DataFrame) -> DataFrame:
