@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import flat, fold, release, staged, table, unstage
 
 #: log2 of the slots of each hashed table: after one and two words; then, to spell, after one, two and three bytes.
-TABLE_BITS = (22, 22, 14, 18, 20)
+TABLE_BITS = (21, 21, 14, 18, 20)
 STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 #: The node, after one word, after two, in this text, a constant; to spell: in this text, after one byte, two and three, a constant.
 INPUTS = 5
@@ -290,20 +290,23 @@ class Words:
     """
 
     def __init__(self, blobs: list[bytes]):
-        parts = list(map(unpack_words, blobs))
-        i, c, code, sizes, once = (np.concatenate([x[k] for x in parts]) for k in range(5))
-        texts, begin = np.full(len(i), None, object), np.cumsum(sizes) - sizes
-        texts[c <= 1] = [w for x in parts if (x[1] <= 1).any() for w in x[6].split(" ")]
-        self.once, unknown = texts[once].tolist(), np.flatnonzero(c == 0)
-        found = list(in_slices(texts[unknown].tolist()))
-        self.spelling = np.concatenate([x[0].astype(np.int32) for x in found] or [np.zeros((0, 3), np.int32)])
-        self.known, at = int(sizes.sum()), 0
-        self.packed = np.empty(self.known + len(self.spelling), np.uint64)
-        for _, _, of, n, _, way, _ in parts:
+        heads = np.array([np.frombuffer(blob, "<i8", 3) for blob in blobs])
+        self.known, at, columns, words = int((heads[:, 1] - 26 * heads[:, 0]).sum()), 0, [], []
+        packed = np.empty(self.known, np.uint64)
+        while blobs:  # each one goes when it has been read
+            i, c, of, n, once, way, text = unpack_words(blobs.pop())
             owner, depth = np.repeat(of, n), ranges(np.zeros(len(n), np.int64), n)
             rest = np.repeat(n, n) - depth
-            self.packed[at : at + len(way)] = pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), way.astype(np.int16) + 128, (owner >> (rest - 1)) & 1)
+            packed[at : at + len(way)] = pack_bits(hashed(owner >> rest), np.searchsorted(DEPTHS, depth, "left"), way.astype(np.int16) + 128, (owner >> (rest - 1)) & 1)
             at += len(way)
+            columns.append((i, c, of, n, once))
+            words += text.split(" ") if (c <= 1).any() else []
+        i, c, code, sizes, once = (np.concatenate(x) for x in zip(*columns))
+        begin, few = np.cumsum(sizes) - sizes, np.cumsum(c <= 1) - 1
+        self.once, unknown = [words[k] for k in few[once].tolist()], np.flatnonzero(c == 0)
+        found = list(in_slices([words[k] for k in few[unknown].tolist()]))
+        self.spelling = np.concatenate([x[0].astype(np.int32) for x in found] or [np.zeros((0, 3), np.int32)])
+        self.packed = np.r_[packed, np.empty(len(self.spelling), np.uint64)] if found else packed
         for slots, bits, gates, _ in found:
             self.packed[at : at + len(bits)] = pack_bits(hashed(slots[:, 2]), gates, np.full(len(bits), 128), bits)
             at += len(bits)
