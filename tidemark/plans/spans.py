@@ -59,7 +59,7 @@ def _fit(p):
 
 def _patches(r):
     side = F.element_at(F.array(F.lit("start"), F.lit("end"), F.lit("no")), (F.col("rally_id") % 3 + 1).cast("int"))
-    snap = F.col("start") + F.col("duration") * (F.col("rally_id") % 5) / 4.0
+    snap = F.col("start") + (F.col("end") - F.col("start")) * (F.col("rally_id") % 5) / 4.0
     p = r.select("rally_id", sp.snap_patch(F.col("start"), F.col("end"), side, snap).alias("p"))
     return rounded(p.select("rally_id", "p.start", "p.end"), "start", "end")
 
