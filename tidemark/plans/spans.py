@@ -61,7 +61,7 @@ def _patches(r):
     side = F.element_at(F.array(F.lit("start"), F.lit("end"), F.lit("no")), (F.col("rally_id") % 3 + 1).cast("int"))
     snap = F.col("start") + (F.col("end") - F.col("start")) * (F.col("rally_id") % 5) / 4.0
     p = r.select("rally_id", sp.snap_patch(F.col("start"), F.col("end"), side, snap).alias("p"))
-    return rounded(p.select("rally_id", "p.start", "p.end"), "start", "end")
+    return rounded(p.select("rally_id", "p.start", "p.end"), "start", "end", to=9)
 
 
 def _anchors(s, d, **how):
@@ -160,6 +160,6 @@ ALL = {
     ),
     "opt_snap_patch": (
         lambda s, d: _patches(tb.rallies(s, d)),
-        _LABELS + ", q AS (SELECT rally_id, start, end_, rally_id % 3 AS side, start + (end_ - start) * (rally_id % 5) / 4.0::DOUBLE AS snap FROM rallies) SELECT rally_id, CASE WHEN side = 0 AND snap < end_ - 0.5 THEN round(snap, 6) END AS start, CASE WHEN side = 1 AND snap > start + 0.5 THEN round(snap, 6) END AS \"end\" FROM q",
+        _LABELS + ", q AS (SELECT rally_id, start, end_, rally_id % 3 AS side, start + (end_ - start) * (rally_id % 5) / 4.0::DOUBLE AS snap FROM rallies) SELECT rally_id, CASE WHEN side = 0 AND snap < end_ - 0.5 THEN round(snap, 9) END AS start, CASE WHEN side = 1 AND snap > start + 0.5 THEN round(snap, 9) END AS \"end\" FROM q",
     ),
 }
