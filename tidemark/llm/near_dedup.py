@@ -7,8 +7,8 @@ one error, and enumerating that error (leaving out one slot of the chunk) turns
 probability 0.25, and more than 31 of 64 do for about one pair in 100,000.
 
 Texts with equal shingle sets are one node. First each node is compared with one other only, the least that
-shares a key with it. Then the nodes of a key that this leaves in different components are all compared by
-their signatures, in blocks of a key; those with a close partner get their full shingle sets, each once for
+shares a key with it. Then the nodes of a key that this leaves in different components are compared by their
+signatures, in blocks of a key, but those of its largest component only with the others; those with a close partner get their full shingle sets, each once for
 each block, and are compared on them. Only links leave a task, not pairs, and none inside a component.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import HashOf, flat, numbered, release, staged
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, with_least
 
 SLOTS, SLOTS_IN_CHUNK, ERRORS = 64, 4, 1
 CHUNKS = SLOTS // SLOTS_IN_CHUNK
@@ -239,10 +239,28 @@ def one_each(members: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members, with their component, of the keys whose members are in more than one."""
+    """The members of the keys whose members are in more than one component, with theirs (comp) and the key's largest (most)."""
     named = members.hint("merge").join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return named.join(several, "key", "left_semi")
+    named = staged(named.join(several, "key", "left_semi"), "unsettled")
+    most = named.groupBy("key", "comp").agg(F.count("*").alias("n_comp")).groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("most"))
+    return named.hint("merge").join(most, "key")
+
+
+def dealt_out(left: DataFrame) -> DataFrame:
+    """(key, i, j, block, node, comp, sig): copies of a key's members, so that any two of different components meet in one (i, j).
+
+    Members of the key's largest component aren't compared with each other: they are dealt into blocks of their
+    own, each of which meets only the blocks of the other members, so their copies grow with the number of those.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    left = left.withColumn("inside", F.col("comp") == F.col("most.comp"))
+    left = left.withColumns({"n_out": blocks(F.col("n") - F.col("most.n_comp")), "n_in": blocks(F.col("most.n_comp"))})
+    left = left.withColumn("block", F.when(F.col("inside"), F.col("n_out") + part(F.col("n_in"))).otherwise(part(F.col("n_out"))))
+    others = F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_out") + F.col("n_in"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
 
 
 def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -274,10 +292,7 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row:
     texts = texts.select("row_id", "text")
     links = staged(confirm(texts, one_each(members, sigs)), "links")
     release(spark)
-    left = unsettled(members, components(links)).hint("merge").join(sigs, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
+    left = dealt_out(unsettled(members, components(links)).hint("merge").join(sigs, "node"))
     dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     left = staged(dealt(left).mapInArrow(_within, "key long, i int, j int, block int, node long, comp long"), "left")
     left = left.hint("merge").join(sets_of(texts, left), "node").select("key", "i", "j", "block", "node", "comp", "hashes")
@@ -285,8 +300,7 @@ def find_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row:
     release(spark)
 
     named = nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("set_key", "comp", "low")
-    lows = named.groupBy("comp").agg(F.min("low").alias("low"))
-    named = named.select("set_key", "comp").join(lows, "comp").select("set_key", F.col("low.doc_id").alias("component_id"), F.col("low.row_id").alias("first_row"))
+    named = with_least(named, "comp", "low").select("set_key", F.col("least.doc_id").alias("component_id"), F.col("least.row_id").alias("first_row"))
     some = rows.where("n_shingles > 0").drop("sig").hint("merge").join(named, "set_key").select("row_id", "doc_id", "n_shingles", "component_id", "first_row")
     return some.union(rows.where("n_shingles = 0").select("row_id", "doc_id", "n_shingles", "doc_id", "row_id"))
 
