@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, context_mixing, line_crf, mixing, near_dedup, packing, quality_cnn, source_audit, toxicity_fm, url_filter, warc_zip
+from tidemark.llm import chunk_dedup, context_mixing, decontamination, line_crf, mixing, near_dedup, packing, quality_cnn, source_audit, toxicity_fm, url_filter, warc_zip
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_best_fit_packing": packing.op9,
         "op10_quality_cnn": quality_cnn.op10,
         "op11_source_audit": source_audit.op11,
+        "op12_decontamination": decontamination.op12,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
         "op4_source_mixing": mixing.OP4_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op11_source_audit": source_audit.OP11_SQL,
+        "op12_decontamination": decontamination.OP12_SQL,
     }
