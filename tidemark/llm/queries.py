@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, context_mixing, decontamination, line_crf, mixing, near_dedup, packing, quality_cnn, source_audit, toxicity_fm, url_filter, warc_zip
+from tidemark.llm import chunk_dedup, collocations, context_mixing, decontamination, line_crf, mixing, near_dedup, packing, quality_cnn, source_audit, toxicity_fm, url_filter, warc_zip
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_cnn": quality_cnn.op10,
         "op11_source_audit": source_audit.op11,
         "op12_decontamination": decontamination.op12,
+        "op13_collocations": collocations.op13,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op8_url_filter": url_filter.OP8_SQL,
         "op11_source_audit": source_audit.OP11_SQL,
         "op12_decontamination": decontamination.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
