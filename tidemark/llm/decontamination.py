@@ -64,7 +64,7 @@ def occurrences(texts: DataFrame, items: DataFrame, length: int) -> DataFrame:
     """(row, start, window): where a window of so many words of the items (row, words) occurs in the texts (row, words), each place once."""
     every = items.select(F.explode(windows_at(F.col("words"), F.sequence(F.lit(0), F.size("words") - length), length)).alias("w")).select("w.window").distinct()
     known = staged(fingerprints(items, length).select("print").distinct(), "prints")
-    seeds = fingerprints(texts, length).join(known, "print").groupBy("row").agg(F.collect_list("at").alias("seeds"))
+    seeds = staged(fingerprints(texts, length).join(known, "print").groupBy("row").agg(F.collect_list("at").alias("seeds")), "seeds")
     reach = length - gram(length)
     starts = F.array_distinct(F.flatten(F.transform("seeds", lambda at: F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at, F.size("words") - length)))))
     around = texts.join(seeds, "row").withColumn("starts", starts)
