@@ -25,7 +25,7 @@ from tidemark.llm.common import staged, table, unstage
 #: Words of the longest phrase, occurrences of the rarest, phrases reported of a language, and 100 times the share of a phrase that a longer one may hold.
 MOST_WORDS, LEAST, REPORTED, ABSORBED = 5, 100, 2000, 100
 #: Positions of a shard (a text begins in one and ends in it), set bits of a block of first words, parts a language's phrases are dealt into to find the first.
-SHARD, BLOCK, PARTS = 1 << 20, 1 << 18, 64
+SHARD, BLOCK, PARTS = 1 << 22, 1 << 18, 64
 #: ASCII letters in lower case; what ends a piece becomes a byte that UTF-8 doesn't have.
 _PIECES = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = b"\xff"
@@ -56,11 +56,11 @@ def packed(owner: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def unpacked(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The owners and places of the set bits of bitmaps as `packed` writes them; one container of each bitmap is read at a time."""
-    owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    who, cursor = np.arange(len(begins) - 1), begins[:-1].copy()
+    owners, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    who, cursor = np.arange(len(begins) - 1, dtype=np.int32), begins[:-1].copy()
     while len(who := who[(more := cursor < begins[who + 1])]):
         cursor = cursor[more]
-        high, count = words[cursor].astype(np.int64), words[cursor + 1].astype(np.int64) + 1
+        high, count = words[cursor].astype(np.int32), words[cursor + 1].astype(np.int64) + 1
         sparse = count <= SPARSE
         n = count[sparse]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -68,8 +68,8 @@ def unpacked(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
         places.append(np.repeat(high[sparse] << 16, n) | words[np.repeat(cursor[sparse] + 2, n) + inner])
         for c in np.flatnonzero(~sparse):
             low = np.flatnonzero(np.unpackbits(words[cursor[c] + 2 : cursor[c] + 2 + SPARSE].view(np.uint8), bitorder="little"))
-            owners.append(np.full(len(low), who[c]))
-            places.append(high[c] << 16 | low)
+            owners.append(np.full(len(low), who[c], np.int32))
+            places.append((high[c] << 16 | low).astype(np.int32))
         cursor = cursor + 2 + np.minimum(count, SPARSE)
     return np.concatenate(owners), np.concatenate(places)
 
@@ -86,30 +86,28 @@ _BITS = "shard long, lang string, word string, n long, bits binary"
 
 
 def _bitmaps(shard: int, langs: dict):
-    """One batch per language of a shard's texts."""
+    """One batch per language of a shard's words."""
     at = 0
-    for lang, texts in langs.items():
-        index = _Index({_END: -1})
-        words = np.array([index[w] for w in (_END + _END.join(texts) + _END).replace(_END, b" \xff ").split()], np.int64)
+    for lang, (index, words) in langs.items():
+        words, n = np.concatenate([*words, np.full(1, -1, np.int32)]), len(index) - 1
         place = np.flatnonzero(words >= 0)
         order = place[np.argsort(words[place], kind="stable")]
-        bits, begins = packed(words[order], order + at, len(index) - 1)
+        bits, begins = packed(words[order], order + at, n)
         at += len(words)
-        if len(place):
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins * 2), pa.py_buffer(bits)]).cast(pa.binary())
-            n = len(index) - 1
-            which = pa.array(np.zeros(n, np.int32))
+        if n:
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(begins * 2), pa.py_buffer(bits)]).cast(pa.binary())
+            lang = pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(n, np.int32)))
             names = pa.array(list(index)[1:], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang], pa.binary()).cast(pa.string()).take(which), names, pa.array(np.bincount(words[place], minlength=n)), data], ["shard", "lang", "word", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), lang, names, pa.array(np.bincount(words[place], minlength=n)), data], ["shard", "lang", "word", "n", "bits"])
 
 
 def _shards(batches):
     made, held, langs = TaskContext.get().partitionId() << 32, 0, {}
     for batch in batches:
         for lang, text in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True):
-            text = text.translate(_PIECES)
-            langs.setdefault(lang, []).append(text)
-            held += text.count(b" ") + text.count(b"\t") + 2 * text.count(_END) + 2
+            index, words = langs.setdefault(lang, (_Index({_END: -1}), []))
+            words.append(np.array([index[w] for w in (_END + text.translate(_PIECES)).replace(_END, b" \xff ").split()], np.int32))
+            held += len(words[-1])
             if held >= SHARD:
                 yield from _bitmaps(made, langs)
                 made, held, langs = made + 1, 0, {}
@@ -127,7 +125,7 @@ def _opened(alive: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, offsets, data = bits.buffers()
     begins = np.frombuffer(offsets, np.int64, len(bits) + 1, bits.offset * 8) // 2 if len(bits) else np.zeros(1, np.int64)
     owner, at = unpacked(np.frombuffer(data, np.uint16) if len(bits) else np.zeros(0, np.uint16), begins)
-    word = np.full(int(at.max()) + MOST_WORDS + 1 if len(at) else MOST_WORDS + 1, -1, np.int64)
+    word = np.full(int(at.max()) + MOST_WORDS + 1 if len(at) else MOST_WORDS + 1, -1, np.int32)
     word[at] = owner
     return alive.column("id").to_numpy(), word, np.sort(at)
 
@@ -139,7 +137,7 @@ def _pairs(key, alive):
     """The popcount of every frequent word's bitmap, shifted by one, AND every other's."""
     ids, word, at = _opened(alive)
     at = at[word[at + 1] >= 0]
-    pair, n = np.unique(word[at] * max(1, len(ids)) + word[at + 1], return_counts=True)
+    pair, n = np.unique(word[at].astype(np.int64) * max(1, len(ids)) + word[at + 1], return_counts=True)
     a, b = np.divmod(pair, max(1, len(ids)))
     return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(n.astype(np.int64))})
 
@@ -154,7 +152,7 @@ def _longer(key, alive, pairs):
     many = max(1, len(ids))
     known = np.sort(np.array([row[a] * many + row[b] for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)], np.int64))
     at = at[word[at + 1] >= 0]
-    pair = word[at] * many + word[at + 1]
+    pair = word[at].astype(np.int64) * many + word[at + 1]
     slot = np.searchsorted(known, pair)
     fits = slot < len(known)
     fits[fits] = known[slot[fits]] == pair[fits]
@@ -180,7 +178,7 @@ def _longer(key, alive, pairs):
     cuts = np.unique(np.r_[0, first[np.searchsorted(first, np.arange(BLOCK, len(at), BLOCK), "right") - 1], len(at)]).astype(np.int64) if len(at) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         begin = at[lo:hi]
-        pair, which = np.unique(word[begin] * many + word[begin + 1], return_inverse=True)
+        pair, which = np.unique(word[begin].astype(np.int64) * many + word[begin + 1], return_inverse=True)
         grow(np.c_[pair // many, pair % many], which, begin + 1)
     lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(ids[p.ravel()])) for p, _ in found]
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64())])
@@ -195,12 +193,12 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     langs = staged(bits.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
     alive = staged(bits.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "bits"), "alive")
     unstage(bits)
-    pairs = staged(alive.groupBy("shard").applyInArrow(_pairs, _PAIRS), "pairs")
-    often = staged(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent-pairs")
-    in_shard = pairs.join(often.select("a", "b"), ["a", "b"]).select("shard", "a", "b")
-    longer = alive.groupBy("shard").cogroup(in_shard.groupBy("shard")).applyInArrow(_longer, _LONGER)
+    pairs = alive.groupBy("shard").applyInArrow(_pairs, _PAIRS).withColumn("f", F.sum("n").over(W.partitionBy("a", "b")))
+    often = staged(pairs.where(F.col("f") >= least).select("shard", "a", "b", "f"), "frequent-pairs")
+    longer = alive.groupBy("shard").cogroup(often.select("shard", "a", "b").groupBy("shard")).applyInArrow(_longer, _LONGER)
     longer = longer.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return words, langs, staged(often.select(F.array("a", "b").alias("ids"), "f").union(longer), "phrases")
+    two = often.groupBy("a", "b").agg(F.first("f").alias("f")).select(F.array("a", "b").alias("ids"), "f")
+    return words, langs, staged(two.union(longer), "phrases")
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
