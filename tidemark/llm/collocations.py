@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, table, unstage
+from tidemark.llm.common import staged, table
 
 #: Words of the longest phrase, occurrences of the rarest, phrases reported of a language, and 100 times the share of a phrase that a longer one may hold.
 MOST_WORDS, LEAST, REPORTED, ABSORBED = 5, 100, 2000, 100
-#: Positions of a shard (a text begins in one and ends in it), set bits of a block of first words, parts a language's phrases are dealt into to find the first.
+#: Positions of a shard (a text begins in one and ends in it), places or set bits looked at in one go, parts a language's phrases are dealt into to find the first.
 SHARD, BLOCK, PARTS = 1 << 22, 1 << 18, 64
 #: ASCII letters in lower case; what ends a piece becomes a byte that UTF-8 doesn't have.
 _PIECES = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -54,24 +55,20 @@ def packed(owner: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out, np.r_[0, np.cumsum(np.bincount(owner[first], np.minimum(count, SPARSE) + 2, n))].astype(np.int64)
 
 
-def unpacked(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The owners and places of the set bits of bitmaps as `packed` writes them; one container of each bitmap is read at a time."""
-    owners, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    who, cursor = np.arange(len(begins) - 1, dtype=np.int32), begins[:-1].copy()
-    while len(who := who[(more := cursor < begins[who + 1])]):
+def unpacked(words: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+    """(owners, places) of the set bits of bitmaps as `packed` writes them, from begins to ends; one container of each bitmap is read at a time."""
+    who, cursor = np.arange(len(begins), dtype=np.int32), begins.copy()
+    while len(who := who[(more := cursor < ends[who])]):
         cursor = cursor[more]
-        high, count = words[cursor].astype(np.int32), words[cursor + 1].astype(np.int64) + 1
+        high, count = words[cursor].astype(np.int32), words[cursor + 1].astype(np.int32) + 1
         sparse = count <= SPARSE
         n = count[sparse]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owners.append(np.repeat(who[sparse], n))
-        places.append(np.repeat(high[sparse] << 16, n) | words[np.repeat(cursor[sparse] + 2, n) + inner])
+        yield np.repeat(who[sparse], n), np.repeat(high[sparse] << 16, n) | words[np.repeat(cursor[sparse] + 2, n) + inner]
         for c in np.flatnonzero(~sparse):
             low = np.flatnonzero(np.unpackbits(words[cursor[c] + 2 : cursor[c] + 2 + SPARSE].view(np.uint8), bitorder="little"))
-            owners.append(np.full(len(low), who[c], np.int32))
-            places.append((high[c] << 16 | low).astype(np.int32))
+            yield np.full(len(low), who[c], np.int32), (high[c] << 16 | low).astype(np.int32)
         cursor = cursor + 2 + np.minimum(count, SPARSE)
-    return np.concatenate(owners), np.concatenate(places)
 
 
 class _Index(dict):
@@ -82,83 +79,100 @@ class _Index(dict):
         return out
 
 
-_BITS = "shard long, lang string, word string, n long, bits binary"
+_ROW = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("rid", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("begins", pa.binary()), ("bits", pa.binary())])
+_ROWS = "shard long, row long, rid long, lang string, word string, n long, begins binary, bits binary"
 
 
-def _bitmaps(shard: int, langs: dict):
-    """One batch per language of a shard's words."""
-    at = 0
+def _bitmaps(shard: int, rid: int, langs: dict):
+    """A shard's words, a batch per language, numbered on from rid, and then all their bitmaps in one row."""
+    at, rows, begins, bits = 0, 0, [np.zeros(1, np.int64)], []
     for lang, (index, words) in langs.items():
         words, n = np.concatenate([*words, np.full(1, -1, np.int32)]), len(index) - 1
-        place = np.flatnonzero(words >= 0)
+        place = np.flatnonzero(words >= 0).astype(np.int32)
         order = place[np.argsort(words[place], kind="stable")]
-        bits, begins = packed(words[order], order + at, n)
+        own, ends = packed(words[order], order + np.int32(at), n)
+        begins.append(ends[1:] + begins[-1][-1])
+        bits.append(own)
         at += len(words)
         if n:
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(begins * 2), pa.py_buffer(bits)]).cast(pa.binary())
-            lang = pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(n, np.int32)))
+            number = np.arange(rows, rows + n)
             names = pa.array(list(index)[1:], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), lang, names, pa.array(np.bincount(words[place], minlength=n)), data], ["shard", "lang", "word", "n", "bits"])
+            lang = pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(n, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(number), pa.array(number + rid), lang, names, pa.array(np.bincount(words[place], minlength=n)), *[pa.nulls(n, pa.binary())] * 2], schema=_ROW)
+            rows += n
+    if rows:
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "begins": np.concatenate(begins).tobytes(), "bits": np.concatenate(bits).tobytes()}], schema=_ROW)
 
 
 def _shards(batches):
-    made, held, langs = TaskContext.get().partitionId() << 32, 0, {}
+    part, made, rid, held, langs = TaskContext.get().partitionId(), 0, 0, 0, {}
     for batch in batches:
         for lang, text in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True):
             index, words = langs.setdefault(lang, (_Index({_END: -1}), []))
             words.append(np.array([index[w] for w in (_END + text.translate(_PIECES)).replace(_END, b" \xff ").split()], np.int32))
             held += len(words[-1])
             if held >= SHARD:
-                yield from _bitmaps(made, langs)
-                made, held, langs = made + 1, 0, {}
-    yield from _bitmaps(made, langs)
+                yield from _bitmaps(part << 32 | made, part << 40 | rid, langs)
+                made, rid, held, langs = made + 1, rid + sum(len(index) for index, _ in langs.values()), 0, {}
+    yield from _bitmaps(part << 32 | made, part << 40 | rid, langs)
+
+
+def bitmaps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shard, row, rid, lang, word, n) of every word of each shard, rid being a number of its own; and (shard, begins, bits), the shards' bitmaps. Staged."""
+    made = staged(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_shards, _ROWS), "bitmaps")
+    return made.where("word is not null").select("shard", "row", "rid", "lang", "word", "n"), made.where("bits is not null").select("shard", "begins", "bits")
 
 
-def bitmaps(docs: DataFrame) -> DataFrame:
-    """(shard, lang, word, n, bits), staged: every word's bitmap in each shard that has it."""
-    return staged(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_shards, _BITS), "bitmaps")
+def _opened(shard: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard's frequent words (row, id): their ids, and at each place of the shard which of them it is, else -1."""
+    row = words.column("row").to_numpy()
+    begins, bits = np.frombuffer(shard.column("begins")[0].as_buffer(), np.int64), np.frombuffer(shard.column("bits")[0].as_buffer(), np.uint16)
+    found = list(unpacked(bits, begins[row], begins[row + 1]))
+    word = np.full(max((int(at.max()) for _, at in found if len(at)), default=0) + MOST_WORDS + 1, -1, np.int32)
+    for owner, at in found:
+        word[at] = owner
+    return words.column("id").to_numpy(), word
 
 
-def _opened(alive: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's bitmaps: the words' ids, and at each place the word's row, -1 where no frequent word stands; and the places that have one."""
-    bits = pa.concat_arrays(alive.column("bits").cast(pa.large_binary()).chunks or [pa.array([], pa.large_binary())])
-    _, offsets, data = bits.buffers()
-    begins = np.frombuffer(offsets, np.int64, len(bits) + 1, bits.offset * 8) // 2 if len(bits) else np.zeros(1, np.int64)
-    owner, at = unpacked(np.frombuffer(data, np.uint16) if len(bits) else np.zeros(0, np.uint16), begins)
-    word = np.full(int(at.max()) + MOST_WORDS + 1 if len(at) else MOST_WORDS + 1, -1, np.int32)
-    word[at] = owner
-    return alive.column("id").to_numpy(), word, np.sort(at)
+def _met(word: np.ndarray, many: int):
+    """Per block of places: those of a frequent word that another follows, and their pair as one number."""
+    for lo in range(0, len(word) - 1, BLOCK):
+        here, there = word[lo : lo + BLOCK], word[lo + 1 : lo + BLOCK + 1]
+        at = np.flatnonzero((here[: len(there)] >= 0) & (there >= 0))
+        yield at + lo, here[at].astype(np.int64) * many + there[at]
 
 
 _PAIRS = "shard long, a long, b long, n long"
 
 
-def _pairs(key, alive):
+def _pairs(key, shard, words):
     """The popcount of every frequent word's bitmap, shifted by one, AND every other's."""
-    ids, word, at = _opened(alive)
-    at = at[word[at + 1] >= 0]
-    pair, n = np.unique(word[at].astype(np.int64) * max(1, len(ids)) + word[at + 1], return_counts=True)
+    ids, word = _opened(shard, words) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    counts = [np.unique(pair, return_counts=True) for _, pair in _met(word, len(ids))] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    pair, which = np.unique(np.concatenate([p for p, _ in counts]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([n for _, n in counts]), len(pair)).astype(np.int64)
     a, b = np.divmod(pair, max(1, len(ids)))
-    return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(n.astype(np.int64))})
+    return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(n)})
 
 
 _LONGER = "ids array<long>, n long"
 
 
-def _longer(key, alive, pairs):
-    """Phrases of three words and more along frequent pairs (a, b), with their popcounts."""
-    ids, word, at = _opened(alive)
-    row = {int(x): i for i, x in enumerate(ids)}
-    many = max(1, len(ids))
-    known = np.sort(np.array([row[a] * many + row[b] for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)], np.int64))
-    at = at[word[at + 1] >= 0]
-    pair = word[at].astype(np.int64) * many + word[at + 1]
-    slot = np.searchsorted(known, pair)
-    fits = slot < len(known)
-    fits[fits] = known[slot[fits]] == pair[fits]
-    joins = np.zeros(len(word), bool)  # whether a frequent pair begins here
-    joins[at[fits]] = True
-    at, found = at[fits], []
+def _longer(key, shard, told):
+    """Phrases of three words and more along frequent pairs, with their popcounts. told: frequent words (row, id), and where row is null frequent pairs (id, b)."""
+    pairs, words = told.filter(pc.is_null(told.column("row"))), told.filter(pc.is_valid(told.column("row")))
+    ids, word = _opened(shard, words) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    many, by_id = max(1, len(ids)), np.argsort(ids)
+    where = lambda column: by_id[np.searchsorted(ids, pairs.column(column).to_numpy(), sorter=by_id)]
+    known = np.sort(where("id") * many + where("b"))
+    joins, begin = np.zeros(len(word), bool), [np.zeros(0, np.int64)]  # whether a frequent pair begins at a place
+    for at, pair in _met(word, many):
+        slot = np.searchsorted(known, pair)
+        fits = slot < len(known)
+        fits[fits] = known[slot[fits]] == pair[fits]
+        begin.append(at[fits])
+        joins[at[fits]] = True
+    at, found = np.concatenate(begin), []
 
     def grow(phrases: np.ndarray, phrase: np.ndarray, at: np.ndarray) -> None:
         """phrases: rows of words; phrase: which of them ends at each place `at`. The bitmaps are shifted by one, met with all words', and grown on."""
@@ -166,7 +180,7 @@ def _longer(key, alive, pairs):
         phrase, at = phrase[ends], at[ends] + 1
         if not len(at):
             return
-        grown, phrase, n = np.unique(phrase * many + word[at], return_inverse=True, return_counts=True)
+        grown, phrase, n = np.unique(phrase.astype(np.int64) * many + word[at], return_inverse=True, return_counts=True)
         phrases = np.c_[phrases[grown // many], grown % many]
         found.append((phrases, n))
         if phrases.shape[1] < MOST_WORDS:
@@ -187,15 +201,17 @@ def _longer(key, alive, pairs):
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, id, word, f) of the frequent words, (lang, n) of all words, and (ids, f) of the frequent phrases of two words and more."""
-    bits = bitmaps(docs)
-    counts = bits.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    words = staged(counts.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "words")
-    langs = staged(bits.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
-    alive = staged(bits.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "bits"), "alive")
-    unstage(bits)
-    pairs = alive.groupBy("shard").applyInArrow(_pairs, _PAIRS).withColumn("f", F.sum("n").over(W.partitionBy("a", "b")))
-    often = staged(pairs.where(F.col("f") >= least).select("shard", "a", "b", "f"), "frequent-pairs")
-    longer = alive.groupBy("shard").cogroup(often.select("shard", "a", "b").groupBy("shard")).applyInArrow(_longer, _LONGER)
+    every, bits = bitmaps(docs)
+    of_word = W.partitionBy("lang", "word")
+    known = every.withColumn("f", F.sum("n").over(of_word)).withColumn("id", F.min("rid").over(of_word)).where(F.col("f") >= least)
+    known = staged(known.select("shard", "row", "rid", "id", "lang", "word", "f"), "words")
+    words = known.where("rid = id").select("lang", "id", "word", "f")
+    langs = staged(every.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
+    pairs = bits.groupBy("shard").cogroup(known.select("shard", "row", "id").groupBy("shard")).applyInArrow(_pairs, _PAIRS)
+    often = pairs.withColumn("f", F.sum("n").over(W.partitionBy("a", "b"))).where(F.col("f") >= least)
+    often = staged(often.select("shard", "a", "b", "f"), "frequent-pairs")
+    told = known.select("shard", "row", "id", F.lit(None).cast("long").alias("b")).union(often.select("shard", F.lit(None).cast("long"), "a", "b"))
+    longer = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer, _LONGER)
     longer = longer.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = often.groupBy("a", "b").agg(F.first("f").alias("f")).select(F.array("a", "b").alias("ids"), "f")
     return words, langs, staged(two.union(longer), "phrases")
