@@ -4,8 +4,9 @@ A shard is a block of texts whose word positions are numbered; a position betwee
 joins across it. Of each word of a shard there is a compressed bitmap of its positions: containers of 2^16
 positions, as sorted 16-bit numbers where these are the shorter, else as bits. A bitmap shifted by one position
 and combined by AND with another word's holds the ends of the phrase that the two make, and its popcount is how
-often the shard has it. Popcounts are summed over the shards, words first, then pairs of frequent words; longer
-phrases are grown depth-first, one block of first words after another, along pairs that are frequent.
+often the shard has it. Popcounts are summed over the shards: of words first, then of pairs of frequent words and
+of triples of frequent pairs, and what is frequent is told to the shards that have it; longer phrases are grown
+depth-first, one block of triples after another, along frequent triples.
 
 At any position stands at most one word, so a shifted bitmap meets those of all words at once: what a set bit meets
 is the word that has the bit.
@@ -134,12 +135,16 @@ def _opened(shard: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return words.column("id").to_numpy(), word
 
 
-def _met(word: np.ndarray, many: int):
-    """Per block of places: those of a frequent word that another follows, and their pair as one number."""
-    for lo in range(0, len(word) - 1, BLOCK):
-        here, there = word[lo : lo + BLOCK], word[lo + 1 : lo + BLOCK + 1]
-        at = np.flatnonzero((here[: len(there)] >= 0) & (there >= 0))
-        yield at + lo, here[at].astype(np.int64) * many + there[at]
+def _met(word: np.ndarray, many: int, k: int):
+    """Per block of places: those where k frequent words follow each other, and the words as one number."""
+    for lo in range(0, len(word) - k + 1, BLOCK):
+        block = word[lo : lo + BLOCK + k - 1]
+        n, number = len(block) - k + 1, np.zeros(len(block) - k + 1, np.int64)
+        stands = np.ones(n, bool)
+        for i in range(k):
+            stands &= block[i : n + i] >= 0
+            number = number * many + block[i : n + i]
+        yield np.flatnonzero(stands) + lo, number[stands]
 
 
 _PAIRS = "shard long, a long, b long, n long"
@@ -148,55 +153,63 @@ _PAIRS = "shard long, a long, b long, n long"
 def _pairs(key, shard, words):
     """The popcount of every frequent word's bitmap, shifted by one, AND every other's."""
     ids, word = _opened(shard, words) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-    counts = [np.unique(pair, return_counts=True) for _, pair in _met(word, len(ids))] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    counts = [np.unique(pair, return_counts=True) for _, pair in _met(word, len(ids), 2)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     pair, which = np.unique(np.concatenate([p for p, _ in counts]), return_inverse=True)
     n = np.bincount(which, np.concatenate([n for _, n in counts]), len(pair)).astype(np.int64)
     a, b = np.divmod(pair, max(1, len(ids)))
     return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(n)})
 
 
-_LONGER = "ids array<long>, n long"
-
-
-def _longer(key, shard, told):
-    """Phrases of three words and more along frequent pairs, with their popcounts. told: frequent words (row, id), and where row is null frequent pairs (id, b)."""
-    pairs, words = told.filter(pc.is_null(told.column("row"))), told.filter(pc.is_valid(told.column("row")))
-    ids, word = _opened(shard, words) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-    many, by_id = max(1, len(ids)), np.argsort(ids)
-    where = lambda column: by_id[np.searchsorted(ids, pairs.column(column).to_numpy(), sorter=by_id)]
-    known = np.sort(where("id") * many + where("b"))
-    joins, begin = np.zeros(len(word), bool), [np.zeros(0, np.int64)]  # whether a frequent pair begins at a place
-    for at, pair in _met(word, many):
-        slot = np.searchsorted(known, pair)
-        fits = slot < len(known)
-        fits[fits] = known[slot[fits]] == pair[fits]
-        begin.append(at[fits])
-        joins[at[fits]] = True
-    at, found = np.concatenate(begin), []
-
-    def grow(phrases: np.ndarray, phrase: np.ndarray, at: np.ndarray) -> None:
-        """phrases: rows of words; phrase: which of them ends at each place `at`. The bitmaps are shifted by one, met with all words', and grown on."""
-        ends = joins[at]
-        phrase, at = phrase[ends], at[ends] + 1
-        if not len(at):
-            return
-        grown, phrase, n = np.unique(phrase.astype(np.int64) * many + word[at], return_inverse=True, return_counts=True)
-        phrases = np.c_[phrases[grown // many], grown % many]
-        found.append((phrases, n))
-        if phrases.shape[1] < MOST_WORDS:
-            grow(phrases, phrase, at)
-
-    order = np.argsort(word[at], kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.r_[True, word[at][1:] != word[at][:-1]]) if len(at) else np.zeros(0, np.int64)
-    cuts = np.unique(np.r_[0, first[np.searchsorted(first, np.arange(BLOCK, len(at), BLOCK), "right") - 1], len(at)]).astype(np.int64) if len(at) else np.zeros(1, np.int64)
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        begin = at[lo:hi]
-        pair, which = np.unique(word[begin].astype(np.int64) * many + word[begin + 1], return_inverse=True)
-        grow(np.c_[pair // many, pair % many], which, begin + 1)
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(ids[p.ravel()])) for p, _ in found]
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64())])
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64))], schema=schema) for ids, (_, n) in zip(lists, found, strict=True)], schema=schema)
+_LONGER = "shard long, ids array<long>, n long"
+_GROWN = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
+
+
+def _longer(k: int, most: int):
+    """The function that grows a shard's frequent phrases of k words to `most`. told: its frequent words (row, id), and where row is null phrases (id, b, c, ...)."""
+
+    def grown(key, shard, told):
+        phrases, words = told.filter(pc.is_null(told.column("row"))), told.filter(pc.is_valid(told.column("row")))
+        if not len(phrases):
+            return _GROWN.empty_table()
+        ids, word = _opened(shard, words)
+        many, by_id = len(ids), np.argsort(ids)
+        known = np.zeros(len(phrases), np.int64)
+        for column in ("id", "b", "c")[:k]:
+            known = known * many + by_id[np.searchsorted(ids, phrases.column(column).to_numpy(), sorter=by_id)]
+        known = np.sort(known)
+        joins, begin, which = np.zeros(len(word), bool), [], []  # whether a frequent phrase begins at a place
+        for at, number in _met(word, many, k):
+            slot = np.searchsorted(known, number)
+            fits = slot < len(known)
+            fits[fits] = known[slot[fits]] == number[fits]
+            begin.append(at[fits])
+            which.append(slot[fits])
+            joins[at[fits]] = True
+        at, which, found = np.concatenate(begin), np.concatenate(which), []
+        first = [known // many ** (k - 1 - i) % many for i in range(k)]
+
+        def grow(phrases: np.ndarray, phrase: np.ndarray, at: np.ndarray) -> None:
+            """phrases: rows of words; phrase: which of them ends at each place `at`. The bitmaps are shifted by one, met with all words', and grown on."""
+            ends = joins[at - k + 2]
+            phrase, at = phrase[ends], at[ends] + 1
+            if not len(at):
+                return
+            made, phrase, n = np.unique(phrase.astype(np.int64) * many + word[at], return_inverse=True, return_counts=True)
+            phrases = np.c_[phrases[made // many], made % many]
+            found.append((phrases, n))
+            if phrases.shape[1] < most:
+                grow(phrases, phrase, at)
+
+        order = np.argsort(which, kind="stable")
+        at, which = at[order], which[order]
+        for lo in range(0, len(known), step := max(1, BLOCK * len(known) // max(1, len(at)))):
+            a, b = np.searchsorted(which, [lo, lo + step])
+            grow(np.c_[*first][lo : lo + step], which[a:b] - lo, at[a:b] + k - 1)
+        batches = [pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(ids[p.ravel()])) for p, _ in found]
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key[0].as_py())), lists, pa.array(n.astype(np.int64))], schema=_GROWN) for lists, (_, n) in zip(batches, found, strict=True)]
+        return pa.Table.from_batches(batches, schema=_GROWN)
+
+    return grown
 
 
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,11 +223,16 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     pairs = bits.groupBy("shard").cogroup(known.select("shard", "row", "id").groupBy("shard")).applyInArrow(_pairs, _PAIRS)
     often = pairs.withColumn("f", F.sum("n").over(W.partitionBy("a", "b"))).where(F.col("f") >= least)
     often = staged(often.select("shard", "a", "b", "f"), "frequent-pairs")
-    told = known.select("shard", "row", "id", F.lit(None).cast("long").alias("b")).union(often.select("shard", F.lit(None).cast("long"), "a", "b"))
-    longer = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer, _LONGER)
+    none, heard = F.lit(None).cast("long"), known.select("shard", "row", "id", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("c"))
+    told = heard.union(often.select("shard", none, "a", "b", none))
+    three = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer(2, 3), _LONGER)
+    three = three.withColumn("f", F.sum("n").over(W.partitionBy("ids"))).where(F.col("f") >= least)
+    three = staged(three.select("shard", "ids", "f"), "frequent-triples")
+    told = heard.union(three.select("shard", none, *(F.col("ids")[i] for i in range(3))))
+    longer = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer(3, MOST_WORDS), _LONGER)
     longer = longer.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = often.groupBy("a", "b").agg(F.first("f").alias("f")).select(F.array("a", "b").alias("ids"), "f")
-    return words, langs, staged(two.union(longer), "phrases")
+    return words, langs, staged(two.union(three.groupBy("ids").agg(F.first("f").alias("f"))).union(longer), "phrases")
 
 
 def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
