@@ -5,17 +5,33 @@ Each visits its rows in a total order, named in its docstring, so equal inputs g
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tidemark.operators.events import named_clusters
 
 HIT = "media_id long, hit_idx long, t double, strength double, confidence double"
 
 
-def peaks(x: np.ndarray, distance: int, prominence: float) -> list[int]:
-    """Indexes of local maxima (a plateau's middle), the higher of two nearer than distance, that stand out by prominence."""
+def _low_before(x: np.ndarray) -> np.ndarray:
+    """The least value after the last one before it that is higher, up to it, for each."""
+    out, stack = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((v, low))
+    return out
+
+
+def standing_out(x: np.ndarray, distance: int, prominence: float) -> list[tuple[int, float]]:
+    """(index, prominence) of local maxima (a plateau's middle), the higher of two nearer than distance, that stand out by prominence."""
     n, tops, i = len(x), [], 1
     while i < n - 1:
         j = i
@@ -26,18 +42,18 @@ def peaks(x: np.ndarray, distance: int, prominence: float) -> list[int]:
         i = j + 1
     taken: list[int] = []
     for p in sorted(tops, key=lambda p: (-x[p], -p)):
-        if all(abs(p - q) >= distance for q in taken):
-            taken.append(p)
-    out = []
-    for p in sorted(taken):
-        sides = []
-        for side in (x[:p][::-1], x[p + 1 :]):
-            above = np.flatnonzero(side > x[p])
-            reach = side[: above[0]] if len(above) else side
-            sides.append(reach.min() if len(reach) else x[p])
-        if x[p] - max(sides) >= prominence:
-            out.append(p)
-    return out
+        k = bisect_left(taken, p)
+        if (k == 0 or p - taken[k - 1] >= distance) and (k == len(taken) or taken[k] - p >= distance):
+            taken.insert(k, p)
+    if not taken:
+        return []
+    rises = x - np.maximum(_low_before(x), _low_before(x[::-1])[::-1])
+    return [(p, float(rises[p])) for p in taken if rises[p] >= prominence]
+
+
+def peaks(x: np.ndarray, distance: int, prominence: float) -> list[int]:
+    """The indexes of standing_out."""
+    return [p for p, _ in standing_out(x, distance, prominence)]
 
 
 def thinned(hits: DataFrame, least_gap: float) -> DataFrame:
@@ -71,22 +87,23 @@ def found_peaks(signal: DataFrame, distance: int, prominence: float, valleys: bo
     return signal.select("media_id", "idx", "value").groupBy("media_id").applyInPandas(run, "media_id long, idx long, value double")
 
 
-def quiet_around(x: np.ndarray, fps: float, apart: float, longest: float, ratio: float) -> list[tuple[int, int, int]]:
-    """(first, last, bottom) of the quiet stretches around a signal's valleys, at least apart seconds apart and as prominent as ratio of (p95 - p20).
+def quiet_depths(x: np.ndarray, fps: float, apart: float, longest: float, ratio: float) -> list[tuple[int, int, int, float]]:
+    """(first, last, bottom, depth) of the quiet stretches around a signal's valleys, at least apart seconds apart and as prominent as ratio of (p95 - p20).
 
     A stretch is what stays at or below p20 + 0.35 (p95 - p20) around the bottom; one of less than a quarter second
-    reaches 0.15 s to both sides of it, one longer than longest (0: no limit) is cut to that around its middle.
+    reaches 0.15 s to both sides of it, one longer than longest (0: no limit) is cut to that around its middle. Its
+    depth is its prominence over (p95 - p20), up to 1.5.
     """
     if len(x) < max(8, int(fps)):
         return []
     base, top = np.percentile(x, [20, 95])
     span = max(top - base, 1e-9)
     loud, out = np.flatnonzero(x > base + 0.35 * span), []
-    for p in peaks(-x, max(1, round(apart * fps)), ratio * span):
+    for p, rise in standing_out(-x, max(1, round(apart * fps)), ratio * span):
         k = np.searchsorted(loud, p)
         a = loud[k - 1] + 1 if k else 0
-        after = loud[k:][loud[k:] > p]
-        b = after[0] - 1 if len(after) else len(x) - 1
+        k += np.searchsorted(loud[k:], p, "right")
+        b = loud[k] - 1 if k < len(loud) else len(x) - 1
         a, b = min(a, p), max(b, p)
         if b - a < max(1, int(0.25 * fps)):
             a, b = max(0, p - int(0.15 * fps)), min(len(x) - 1, p + int(0.15 * fps))
@@ -94,10 +111,43 @@ def quiet_around(x: np.ndarray, fps: float, apart: float, longest: float, ratio:
         if longest > 0 and b - a > limit:
             middle = (a + b) // 2
             a, b = middle - limit // 2, middle + limit // 2
-        out.append((int(a), int(b), int(p)))
+        out.append((int(a), int(b), int(p), min(1.5, max(0.0, rise / span))))
     return out
 
 
+def quiet_around(x: np.ndarray, fps: float, apart: float, longest: float, ratio: float) -> list[tuple[int, int, int]]:
+    """(first, last, bottom) of quiet_depths."""
+    return [q[:3] for q in quiet_depths(x, fps, apart, longest, ratio)]
+
+
+def quietest_cuts(x: np.ndarray, at: int, start: float, end: float, fps: float, apart: float, ratio: float, core: float) -> list[tuple[float, float]]:
+    """start to end in pieces, cut in the middle of the deepest quiet stretch (of equal ones the first), again and again, while that leaves a core on both sides. x begins at sample at."""
+    todo, out = [(start, end)], []
+    while todo:
+        start, end = todo.pop()
+        a, b, cut = int(start * fps), int(end * fps), -1
+        if b - a >= int(2 * core * fps) and (found := quiet_depths(x[a - at : b - at], fps, apart, 0.0, ratio)):
+            deepest = max(found, key=lambda q: q[3])
+            cut = (deepest[0] + deepest[1]) // 2
+        if cut < max(1, int(core * fps)) or b - a - cut < max(1, int(core * fps)):
+            out.append((start, end))
+        else:
+            todo += [(start, (a + cut) / fps), ((a + cut) / fps, end)]
+    return sorted(out)
+
+
+def split_at_quiet(samples: DataFrame, fps: float, apart: float, ratio: float, core: float) -> DataFrame:
+    """(media_id, span, start, end): quietest_cuts of each span (media_id, span, start, end) in its samples (idx, value)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        cuts = quietest_cuts(g.value.to_numpy(), int(g.idx.iat[0]), g.start.iat[0], g.end.iat[0], fps, apart, ratio, core)
+        return pd.DataFrame([(g.media_id.iat[0], g.span.iat[0], *c) for c in cuts], columns=["media_id", "span", "start", "end"])
+
+    rows = samples.select("media_id", "span", "start", "end", "idx", "value")
+    return rows.groupBy("media_id", "span").applyInPandas(run, "media_id long, span int, start double, end double")
+
+
 def quiet_spans(signal: DataFrame, fps: float, apart: float, longest: float, ratio: float) -> DataFrame:
     """(media_id, first, last, bottom): the quiet stretches of each medium's signal (quiet_around)."""
 
@@ -197,7 +247,11 @@ def cut_overlaps(intervals: DataFrame, hits: DataFrame, least: float = 0.5) -> D
 
 
 def longest_of_overlapping(intervals: DataFrame) -> DataFrame:
-    """Intervals by (start, longest first): one that overlaps the last kept by over 0.05 replaces it if longer, else goes."""
+    """Intervals by (start, longest first): one that overlaps the last kept by over 0.05 replaces it if longer, else goes.
+
+    Those that follow each other without such an overlap with any before don't meet, so each group of overlapping
+    ones is chosen from by itself.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.assign(size=g.start - g.end).sort_values(["start", "size", "rally_id"])
@@ -210,7 +264,11 @@ def longest_of_overlapping(intervals: DataFrame) -> DataFrame:
                 kept[-1] = i
         return g.iloc[kept][["media_id", "rally_id", "start", "end"]]
 
-    return intervals.select("media_id", "rally_id", "start", "end").groupBy("media_id").applyInPandas(run, "media_id long, rally_id long, start double, end double")
+    order = W.partitionBy("media_id").orderBy("start", "rally_id")
+    apart = F.col("start") >= F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)) - 0.05
+    rows = intervals.select("media_id", "rally_id", "start", "end").withColumn("new", F.when(apart, 1).otherwise(0))
+    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+    return rows.groupBy("media_id", "island").applyInPandas(run, "media_id long, rally_id long, start double, end double")
 
 
 def matched(pairs: DataFrame) -> DataFrame:

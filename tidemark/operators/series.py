@@ -35,6 +35,12 @@ def same_mean(df: DataFrame, width: int, out: str = "same") -> DataFrame:
     return df.withColumn(out, F.sum("value").over(run().rowsBetween(-(width // 2), (width - 1) // 2)) / width)
 
 
+def spread(df: DataFrame, lo: float, hi: float) -> DataFrame:
+    """(media_id, base, width): a percentile of each medium, and how far the higher one is above it (at least 1e-9)."""
+    ends = df.groupBy("media_id").agg(F.percentile("value", F.array(F.lit(lo), F.lit(hi))).alias("p"))
+    return ends.select("media_id", F.col("p")[0].alias("base"), F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-9)).alias("width"))
+
+
 def robust_norm(df: DataFrame, lo: float = 0.05, hi: float = 0.95, out: str = "norm") -> DataFrame:
     """Clipped to [0, 1] between two percentiles of the medium; a flat signal is 0. The percentiles are aggregated, not windowed."""
     ends = df.groupBy("media_id").agg(F.percentile("value", F.lit(lo)).alias("p_lo"), F.percentile("value", F.lit(hi)).alias("p_hi"))
