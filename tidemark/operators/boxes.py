@@ -133,7 +133,7 @@ def speeds(boxes: DataFrame, fps: float, aspect: float, limit: float = 4.0, reac
     rows = rows.select("media_id", "track", "frame", x.alias("x"), y.alias("y"))
     dt = (F.col("frame") - F.lag("frame").over(back)) / fps
     rows = rows.withColumns({"sx": (F.col("x") - F.lag("x").over(back)) / dt, "sy": (F.col("y") - F.lag("y").over(back)) / dt})
-    step = lambda c: F.coalesce(F.least(F.lit(limit), F.greatest(F.lit(-limit), F.col(c))), F.lit(0.0))
+    step = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(F.least(F.lit(limit), F.greatest(F.lit(-limit), F.col(c))))
     near = back.rowsBetween(-reach, 0)
     eased = lambda c: F.aggregate(F.collect_list(step(c)).over(near), F.lit(0.0), lambda v, s: 0.5 * v + 0.5 * s)
     speed = F.coalesce(F.hypot(F.col("sx") * aspect, F.col("sy")), F.lit(0.0))

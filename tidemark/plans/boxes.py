@@ -72,7 +72,7 @@ ALL = {
         _b(lambda b: rounded(bx.speeds(b, FPS, 1.78), "speed", "vx", "vy")),
         _WITH + """, f AS (SELECT *, row_number() OVER (PARTITION BY media_id, track, frame ORDER BY conf DESC, box_id) AS rn FROM m),
 l AS (SELECT *, row_number() OVER w AS n, (x - lag(x) OVER w) / ((frame - lag(frame) OVER w) / 12.0::DOUBLE) AS sx, (y - lag(y) OVER w) / ((frame - lag(frame) OVER w) / 12.0::DOUBLE) AS sy FROM f WHERE rn = 1 WINDOW w AS (PARTITION BY media_id, track ORDER BY frame)),
-e AS (SELECT *, sum(coalesce(least(4, greatest(-4, sx)), 0) * pow(2, n - 1)) OVER w / pow(2, n) AS vx, sum(coalesce(least(4, greatest(-4, sy)), 0) * pow(2, n - 1)) OVER w / pow(2, n) AS vy FROM l WINDOW w AS (PARTITION BY media_id, track ORDER BY frame ROWS UNBOUNDED PRECEDING))
+e AS (SELECT *, sum(CASE WHEN sx IS NULL THEN 0 ELSE least(4, greatest(-4, sx)) END * pow(2, n - 1)) OVER w / pow(2, n) AS vx, sum(CASE WHEN sy IS NULL THEN 0 ELSE least(4, greatest(-4, sy)) END * pow(2, n - 1)) OVER w / pow(2, n) AS vy FROM l WINDOW w AS (PARTITION BY media_id, track ORDER BY frame ROWS UNBOUNDED PRECEDING))
 SELECT media_id, frame, track, round(coalesce(sqrt((sx * 1.78::DOUBLE) ^ 2 + sy ^ 2), 0), 6)::DOUBLE AS speed, round(vx, 6)::DOUBLE AS vx, round(vy, 6)::DOUBLE AS vy FROM e""",
     ),
     "ag_frame": (_b(lambda b: rounded(bx.frame_counts(b), "mean_height")), _WITH + f", {_DENSE} SELECT media_id, frame, active, round(mh, 6)::DOUBLE AS mean_height FROM d"),

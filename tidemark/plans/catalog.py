@@ -9,7 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import scoring as sc
 from tidemark.operators import series as se
-from tidemark.plans import boxes, evidence, fusion, labels, records, scores, segmentation, spans
+from tidemark.plans import boxes, evidence, fusion, labels, records, scores, segmentation, spans, tracks
 from tidemark.sources import tables as tb
 
 FLAGSHIP = "segment_score"
@@ -191,7 +191,7 @@ _ALL = {
 }
 
 
-_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL | scores.ALL | spans.ALL | evidence.ALL | segmentation.ALL
+_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL | scores.ALL | spans.ALL | evidence.ALL | segmentation.ALL | tracks.ALL
 
 
 def queries() -> dict:
