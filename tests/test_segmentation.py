@@ -43,19 +43,19 @@ def clump(on, lo, hi, gap):
     return max(runs, key=lambda r: r[-1] - r[0]) if runs else None
 
 
-def cut(x, start, end, ratio):
+def cut(x, start, end, ratio, apart=0.7, core=1.0):
     a, b = int(start * FPS), int(end * FPS)
-    if b - a < int(2 * FPS):
+    if b - a < int(2 * core * FPS):
         return [(start, end)]
-    found = kernels.quiet_depths(x[a:b], FPS, 0.7, 0.0, ratio)
+    found = kernels.quiet_depths(x[a:b], FPS, apart, 0.0, ratio)
     if not found:
         return [(start, end)]
     top = max(q[3] for q in found)
     q = next(q for q in found if q[3] == top)
     c = (q[0] + q[1]) // 2
-    if c < int(FPS) or b - a - c < int(FPS):
+    if c < int(core * FPS) or b - a - c < int(core * FPS):
         return [(start, end)]
-    return cut(x, start, (a + c) / FPS, ratio) + cut(x, (a + c) / FPS, end, ratio)
+    return cut(x, start, (a + c) / FPS, ratio, apart, core) + cut(x, (a + c) / FPS, end, ratio, apart, core)
 
 
 def longest(segs):
@@ -68,14 +68,15 @@ def longest(segs):
     return kept
 
 
-def rolled(x, first, last, score, most, segs):
-    start, end = max(0.0, first / FPS - 1.0), min(len(x) / FPS, (last + 1) / FPS + 1.6)
-    if end - start >= 2.0:
-        segs += [(*c, 0.0) for c in cut(x, start, end, 0.18 * 0.7)] if end - start > most else [(start, end, score)]
+def rolled(x, first, last, score, o, segs):
+    start, end = max(0.0, first / FPS - o["pre"]), min(len(x) / FPS, (last + 1) / FPS + o["post"])
+    if end - start >= o["least"]:
+        segs += [(*c, 0.0) for c in cut(x, start, end, o["ratio"] * 0.7, o["apart"], o["core"])] if end - start > o["most"] else [(start, end, score)]
 
 
-def motion_by_loops(x, cov, most):
-    quiet, n, segs = kernels.quiet_depths(x, FPS, 0.7, 0.0, 0.18), len(x), []
+def motion_by_loops(x, cov, most=120.0, **settings):
+    o = sg.SETTINGS | {"most": most} | settings
+    quiet, n, segs = kernels.quiet_depths(x, FPS, o["apart"], 0.0, o["ratio"]), len(x), []
     if not quiet:
         return []
     known = [i for i in range(n) if cov is None or cov[i] >= 0.5]
@@ -89,18 +90,18 @@ def motion_by_loops(x, cov, most):
         if hi <= lo or not near(lo) or not near(hi - 1):
             return
         run = clump(on, lo, hi, 4)
-        if run is None or len(run) / (run[-1] - run[0] + 1) < 0.35 or (run[-1] - run[0]) / FPS < 1.0 or not near(run[0]) or not near(run[-1]):
+        if run is None or len(run) / (run[-1] - run[0] + 1) < 0.35 or (run[-1] - run[0]) / FPS < o["core"] or not near(run[0]) or not near(run[-1]):
             return
         part = x[run[0] : run[-1] + 1]
         b, t = np.percentile(part, [20, 95])
-        rolled(x, run[0], run[-1], float(np.clip((part.mean() - b) / max(t - b, 1e-9), 0, 1)), most, segs)
+        rolled(x, run[0], run[-1], float(np.clip((part.mean() - b) / max(t - b, 1e-9), 0, 1)), o, segs)
 
     for p, q in zip(quiet, quiet[1:]):
-        if q[0] > p[1] and (p[1] - p[0]) / FPS >= 0.8 and q[0] - p[1] >= int(FPS):
+        if q[0] > p[1] and (p[1] - p[0]) / FPS >= o["rest"] and q[0] - p[1] >= int(o["core"] * FPS):
             add(p[1], q[0])
-    if quiet[0][0] / FPS > 1.0 and quiet[0][0] > known[0]:
+    if quiet[0][0] / FPS > o["core"] and quiet[0][0] > known[0]:
         add(known[0], quiet[0][0])
-    if n / FPS - quiet[-1][1] / FPS > 1.0:
+    if n / FPS - quiet[-1][1] / FPS > o["core"]:
         add(quiet[-1][1], n)
     return longest(segs)
 
@@ -120,7 +121,7 @@ def activity_by_loops(x, most):
     for lo, hi in spans:
         run = clump(x >= base + 0.3 * width, lo, hi, 10) if hi - lo >= least else None
         if run and (run[-1] - run[0]) / FPS >= 1.0:
-            rolled(x, run[0], run[-1], float(np.clip((x[run[0] : run[-1] + 1].mean() - base) / width, 0, 1)), most, segs)
+            rolled(x, run[0], run[-1], float(np.clip((x[run[0] : run[-1] + 1].mean() - base) / width, 0, 1)), sg.SETTINGS | {"most": most}, segs)
     return longest(segs)
 
 

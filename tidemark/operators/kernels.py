@@ -136,16 +136,29 @@ def quietest_cuts(x: np.ndarray, at: int, start: float, end: float, fps: float,
     return sorted(out)
 
 
-def split_at_quiet(samples: DataFrame, fps: float, apart: float, ratio: float, core: float) -> DataFrame:
-    """(media_id, span, start, end): quietest_cuts of each span (media_id, span, start, end) in its samples (idx, value)."""
+def split_at_quiet(samples: DataFrame, fps: float) -> DataFrame:
+    """(media_id, span, start, end): quietest_cuts of each span (media_id, span, start, end, apart, ratio, core) in its samples (idx, value)."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
-        cuts = quietest_cuts(g.value.to_numpy(), int(g.idx.iat[0]), g.start.iat[0], g.end.iat[0], fps, apart, ratio, core)
+        one = g.iloc[0]
+        cuts = quietest_cuts(g.value.to_numpy(), int(one.idx), one.start, one.end, fps, one.apart, one.ratio, one.core)
         return pd.DataFrame([(g.media_id.iat[0], g.span.iat[0], *c) for c in cuts], columns=["media_id", "span", "start", "end"])
 
-    rows = samples.select("media_id", "span", "start", "end", "idx", "value")
-    return rows.groupBy("media_id", "span").applyInPandas(run, "media_id long, span int, start double, end double")
+    rows = samples.select("media_id", "span", "start", "end", "apart", "ratio", "core", "idx", "value")
+    return rows.groupBy("media_id", "span").applyInPandas(run, "media_id long, span long, start double, end double")
+
+
+def quiet_by(signal: DataFrame, marks: DataFrame, fps: float) -> DataFrame:
+    """(media_id, apart, ratio, first, last, bottom): the quiet stretches of each medium for each of its marks (media_id, apart, ratio)."""
+
+    def run(key, g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("idx").value.to_numpy()
+        rows = [(key[0], a, r, *q[:3]) for a, r in zip(m.apart, m.ratio) for q in quiet_depths(x, fps, a, 0.0, r)]
+        return pd.DataFrame(rows, columns=["media_id", "apart", "ratio", "first", "last", "bottom"])
+
+    wanted = marks.select(F.col("media_id").alias("of"), "apart", "ratio").distinct().groupBy("of")
+    return signal.select("media_id", "idx", "value").groupBy("media_id").cogroup(wanted).applyInPandas(run, "media_id long, apart double, ratio double, first long, last long, bottom long")
 
 
 def quiet_spans(signal: DataFrame, fps: float, apart: float, longest: float, ratio: float) -> DataFrame:
@@ -246,8 +259,8 @@ def cut_overlaps(intervals: DataFrame, hits: DataFrame, least: float = 0.5) -> D
     return left.cogroup(hits.select("media_id", "t").groupBy("media_id")).applyInPandas(run, "media_id long, rally_id long, start double, end double")
 
 
-def longest_of_overlapping(intervals: DataFrame) -> DataFrame:
-    """Intervals by (start, longest first): one that overlaps the last kept by over 0.05 replaces it if longer, else goes.
+def longest_of_overlapping(intervals: DataFrame, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
+    """Intervals of the same keys by (start, longest first): one that overlaps the last kept by over 0.05 replaces it if longer, else goes.
 
     Those that follow each other without such an overlap with any before don't meet, so each group of overlapping
     ones is chosen from by itself.
@@ -262,17 +275,18 @@ def longest_of_overlapping(intervals: DataFrame) -> DataFrame:
                 kept.append(i)
             elif end[i] - start[i] > end[kept[-1]] - start[kept[-1]]:
                 kept[-1] = i
-        return g.iloc[kept][["media_id", "rally_id", "start", "end"]]
+        return g.iloc[kept].drop(columns=["island", "size"])
 
-    order = W.partitionBy("media_id").orderBy("start", "rally_id")
+    order = W.partitionBy(*keys).orderBy("start", "rally_id")
     apart = F.col("start") >= F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)) - 0.05
-    rows = intervals.select("media_id", "rally_id", "start", "end").withColumn("new", F.when(apart, 1).otherwise(0))
+    slim = intervals.select(*keys, "rally_id", "start", "end")
+    rows = slim.withColumn("new", F.when(apart, 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
-    return rows.groupBy("media_id", "island").applyInPandas(run, "media_id long, rally_id long, start double, end double")
+    return rows.groupBy(*keys, "island").applyInPandas(run, slim.schema)
 
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """(media_id, rally_id, other_id, iou): one-to-one, greedily by iou, of equal ones the larger ids first."""
+def matched(pairs: DataFrame, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
+    """(keys, rally_id, other_id, iou): one-to-one, greedily by iou, of equal ones the larger ids first."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b, rows = set(), set(), []
@@ -282,7 +296,8 @@ def matched(pairs: DataFrame) -> DataFrame:
                 a.add(x), b.add(y), rows.append(i)
         return g.iloc[rows]
 
-    return pairs.select("media_id", "rally_id", "other_id", "iou").groupBy("media_id").applyInPandas(run, "media_id long, rally_id long, other_id long, iou double")
+    rows = pairs.select(*keys, "rally_id", "other_id", "iou")
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
 
 def merged_events(events: DataFrame, within: float) -> DataFrame:

@@ -41,33 +41,52 @@ def longest_clumps(spans: DataFrame, samples: DataFrame, gap: int) -> DataFrame:
     return best.select("media_id", "span", (-F.col("b.back")).alias("first"), "b.last", "b.n")
 
 
-def between_quiet(quiet: DataFrame, media: DataFrame, fps: float, core: float, rest: float | None) -> DataFrame:
-    """(media_id, span, lo, hi): samples from a quiet stretch (media_id, first, last, bottom) to the next, before the first and after the last.
+#: Bits of a span's number within its medium and parameters.
+BITS = 24
+#: What a segmentation is steered by: seconds before and after a core, the least and most of an interval (0: no limit), the least of a core and of a rest, seconds between quiet stretches and how far they stand out.
+SETTINGS = {"pre": 1.0, "post": 1.6, "least": 2.0, "most": 120.0, "core": 1.0, "rest": 0.8, "apart": 0.7, "ratio": 0.18}
+OWN = ("media_id", "param_id")
 
-    media: (media_id, n, duration, known), known being the first sample that can be trusted. With a rest, a stretch
-    shorter than it begins no span, spans have a core's samples at least, and the first is longer than a core and
-    begins at known; without one, all stretches begin spans, the first begins at 0, and a medium without quiet
-    stretches is one span.
+
+def settled(media: DataFrame, **settings: float) -> DataFrame:
+    """media with param_id 0 and the settings as columns, defaults where none are given."""
+    return media.withColumns({"param_id": F.lit(0).cast("long")} | {k: F.lit(float(settings.get(k, v))) for k, v in SETTINGS.items()})
+
+
+def between_quiet(quiet: DataFrame, media: DataFrame, fps: float, resting: bool) -> DataFrame:
+    """(media_id, span, lo, hi): samples from a quiet stretch (media_id, apart, ratio, first, last, bottom) to the next, before the first and after the last.
+
+    media: (media_id, param_id, n, duration, known, settings), known being the first sample that can be trusted;
+    param_id stands in the upper bits of span. Resting, a stretch shorter than the rest begins no span, spans have a
+    core's samples at least, and the first is longer than a core and begins at known; else all stretches begin
+    spans, the first begins at 0, and a medium without quiet stretches is one span.
     """
-    order = W.partitionBy("media_id").orderBy("bottom", "first")
-    rows = quiet.withColumn("next", F.lead("first").over(order)).withColumn("nth", F.row_number().over(order)).join(media, "media_id")
-    least = int(core * fps)
+    rows = quiet.join(media, ["media_id", "apart", "ratio"])
+    order = W.partitionBy(*OWN).orderBy("bottom", "first")
+    rows = rows.withColumns({"next": F.lead("first").over(order), "nth": F.row_number().over(order).cast("long")})
+    least = F.floor(F.col("core") * fps)
     between = F.col("next") > F.col("last")
-    if rest is not None:
-        between &= ((F.col("last") - F.col("first")) / fps >= rest) & (F.col("next") - F.col("last") >= least)
-        head = (F.col("first") / fps > core) & (F.col("first") > F.col("known"))
-        tail = F.col("duration") - F.col("last") / fps > core
+    if resting:
+        between &= ((F.col("last") - F.col("first")) / fps >= F.col("rest")) & (F.col("next") - F.col("last") >= least)
+        head = (F.col("first") / fps > F.col("core")) & (F.col("first") > F.col("known"))
+        tail = F.col("duration") - F.col("last") / fps > F.col("core")
     else:
         head, tail = F.col("first") > least, F.col("n") - F.col("last") > least
+    none, own = F.lit(0).cast("long"), F.shiftleft("param_id", BITS)
     spans = F.array(
-        F.when(between, F.struct(F.col("nth").alias("span"), F.col("last").alias("lo"), F.col("next").alias("hi"))),
-        F.when(head & (F.col("nth") == 1), F.struct(F.lit(0).alias("span"), (F.col("known") if rest is not None else F.lit(0).cast("long")).alias("lo"), F.col("first").alias("hi"))),
-        F.when(tail & F.col("next").isNull(), F.struct(F.col("nth").alias("span"), F.col("last").alias("lo"), F.col("n").alias("hi"))),
+        F.when(between, F.struct((own + F.col("nth")).alias("span"), F.col("last").alias("lo"), F.col("next").alias("hi"))),
+        F.when(head & (F.col("nth") == 1), F.struct(own.alias("span"), (F.col("known") if resting else none).alias("lo"), F.col("first").alias("hi"))),
+        F.when(tail & F.col("next").isNull(), F.struct((own + F.col("nth")).alias("span"), F.col("last").alias("lo"), F.col("n").alias("hi"))),
     )
     found = rows.select("media_id", F.explode(spans).alias("s")).where("s is not null").select("media_id", "s.span", "s.lo", "s.hi")
-    if rest is not None:
+    if resting:
         return found
-    return found.union(media.join(quiet.select("media_id").distinct(), "media_id", "left_anti").select("media_id", F.lit(0), F.lit(0).cast("long"), "n"))
+    return found.union(media.join(quiet.select("media_id", "apart", "ratio").distinct(), ["media_id", "apart", "ratio"], "left_anti").select("media_id", own, none, "n"))
+
+
+def with_settings(spans: DataFrame, media: DataFrame, *columns: str) -> DataFrame:
+    """spans with param_id and some columns of media."""
+    return spans.withColumn("param_id", F.shiftright("span", BITS)).join(media.select(*OWN, *columns), list(OWN))
 
 
 def near_known(spans: DataFrame, known: DataFrame, reach: int, places: list[Column]) -> DataFrame:
@@ -78,67 +97,82 @@ def near_known(spans: DataFrame, known: DataFrame, reach: int, places: list[Colu
     return spans.join(fine.select("media_id", "span"), ["media_id", "span"], "left_semi")
 
 
-def rolled_out(cores: DataFrame, signal: DataFrame, media: DataFrame, fps: float, pre: float, post: float, least: float, most: float, apart: float, ratio: float, core: float) -> DataFrame:
-    """Intervals around cores (media_id, span, first, last, score), pre before and post after them, within the medium.
-
-    Those shorter than least go, those longer than most (0: no limit) are cut where they are quietest, and of those
-    that overlap by over 0.05 the longest stay.
-    """
-    rows = cores.join(media.select("media_id", "duration"), "media_id")
-    rows = rows.withColumn("start", F.greatest(F.lit(0.0), F.col("first") / fps - pre)).withColumn("end", F.least("duration", (F.col("last") + 1) / fps + post))
-    rows = rows.where(F.col("end") - F.col("start") >= least).select("media_id", "span", "start", "end", "score")
-    if most > 0:
-        long = rows.where(F.col("end") - F.col("start") > most)
-        cut = split_at_quiet(samples_in(long.select("media_id", "span", "start", "end", (F.col("start") * fps).cast("long").alias("lo"), (F.col("end") * fps).cast("long").alias("hi")), signal), fps, apart, ratio * 0.7, core)
-        rows = rows.where(F.col("end") - F.col("start") <= most).union(cut.select("media_id", "span", "start", "end", F.lit(0.0)))
-    rows = rows.withColumn("rally_id", F.row_number().over(W.partitionBy("media_id").orderBy("start", F.desc("end"), "span")).cast("long"))
-    return longest_of_overlapping(rows).join(rows.select("media_id", "rally_id", "score"), ["media_id", "rally_id"])
-
-
-def by_motion(signal: DataFrame, quiet: DataFrame, durations: DataFrame, fps: float, coverage: DataFrame | None = None, pre: float = 1.0, post: float = 1.6, least: float = 2.0, most: float = 120.0, core: float = 1.0, rest: float = 0.8, apart: float = 0.7, ratio: float = 0.18) -> DataFrame:
-    """Intervals (media_id, rally_id, start, end, score) in which somebody moves, between the quiet stretches of a motion signal.
+def rolled_out(cores: DataFrame, signal: DataFrame, media: DataFrame, fps: float) -> DataFrame:
+    """(media_id, param_id, rally_id, start, end, score) around cores (media_id, span, first, last, score), pre before and post after them, within the medium.
 
-    A span between two stretches shrinks to its longest clump of samples above p20 + (p95 - p20) / 4 of the medium
-    (at most 0.35 s apart); it must last a core and hold such samples to 35 %. Its score is how far its mean stands
-    between its own 20th and 95th percentile. Ends of spans and clumps need a sample of coverage (media_id, idx,
-    value) of 0.5 or more within 0.75 s; a medium of a coverage without any gives nothing. durations: (media_id, duration).
-    A medium without quiet stretches gives nothing.
+    Those shorter than least go, those longer than most are cut where they are quietest, and of those that overlap
+    by over 0.05 the longest stay.
     """
-    levels = spread(signal, 0.2, 0.95)
-    media = signal.groupBy("media_id").agg(F.max("idx").cast("long").alias("top")).select("media_id", (F.col("top") + 1).alias("n")).join(durations, "media_id")
+    rows = with_settings(cores, media, "duration", "pre", "post", "least", "most", "core", "apart", "ratio")
+    rows = rows.withColumns({"start": F.greatest(F.lit(0.0), F.col("first") / fps - F.col("pre")), "end": F.least("duration", (F.col("last") + 1) / fps + F.col("post"))})
+    rows = rows.where(F.col("end") - F.col("start") >= F.col("least"))
+    fits = (F.col("most") <= 0) | (F.col("end") - F.col("start") <= F.col("most"))
+    long = rows.where(~fits).select("media_id", "span", "start", "end", "apart", (F.col("ratio") * 0.7).alias("ratio"), "core", (F.col("start") * fps).cast("long").alias("lo"), (F.col("end") * fps).cast("long").alias("hi"))
+    cut = split_at_quiet(samples_in(long, signal), fps)
+    rows = rows.where(fits).select("media_id", "span", "start", "end", "score").union(cut.select("media_id", "span", "start", "end", F.lit(0.0)))
+    rows = rows.withColumn("param_id", F.shiftright("span", BITS))
+    rows = rows.withColumn("rally_id", F.row_number().over(W.partitionBy(*OWN).orderBy("start", F.desc("end"), "span")).cast("long"))
+    return longest_of_overlapping(rows, OWN).join(rows.select(*OWN, "rally_id", "score"), [*OWN, "rally_id"])
+
+
+def cut_by_motion(signal: DataFrame, quiet: DataFrame, media: DataFrame, fps: float, coverage: DataFrame | None = None) -> DataFrame:
+    """(media_id, param_id, rally_id, start, end, score): by_motion of each row of media (media_id, param_id, n, duration, settings), the samples being read once for all."""
     if coverage is None:
         media = media.withColumn("known", F.lit(0).cast("long"))
     else:
         known = coverage.where("value >= 0.5")
         media = media.join(known.groupBy("media_id").agg(F.min("idx").cast("long").alias("known")), "media_id")
-    spans = between_quiet(quiet, media, fps, core, rest).where("hi > lo")
-    moving = signal.join(levels, "media_id").where(F.col("value") >= F.col("base") + 0.25 * F.col("width")).select("media_id", "idx")
-    tight = spans.join(longest_clumps(spans, moving, max(1, round(0.35 * fps))), ["media_id", "span"])
-    tight = tight.where((F.col("n") / (F.col("last") - F.col("first") + 1) >= 0.35) & ((F.col("last") - F.col("first")) / fps >= core))
+    spans = between_quiet(quiet, media, fps, True).where("hi > lo")
+    moving = signal.join(spread(signal, 0.2, 0.95), "media_id").where(F.col("value") >= F.col("base") + 0.25 * F.col("width")).select("media_id", "idx")
+    tight = with_settings(spans.join(longest_clumps(spans, moving, max(1, round(0.35 * fps))), ["media_id", "span"]), media, "core")
+    tight = tight.where((F.col("n") / (F.col("last") - F.col("first") + 1) >= 0.35) & ((F.col("last") - F.col("first")) / fps >= F.col("core")))
     if coverage is not None:
         tight = near_known(tight, known, round(0.75 * fps), [F.col("lo"), F.col("hi") - 1, F.col("first"), F.col("last")])
     inside = samples_in(tight.select("media_id", "span", "first", "last", F.col("first").alias("lo"), (F.col("last") + 1).alias("hi")), signal)
     cores = inside.groupBy("media_id", "span", "first", "last").agg(F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.2), F.lit(0.95))).alias("p"))
     score = clipped((F.col("mean") - F.col("p")[0]) / F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-9)), 0.0, 1.0)
-    return rolled_out(cores.select("media_id", "span", "first", "last", score.alias("score")), signal, media, fps, pre, post, least, most, apart, ratio, core)
+    return rolled_out(cores.select("media_id", "span", "first", "last", score.alias("score")), signal, media, fps)
+
+
+def by_motion(signal: DataFrame, quiet: DataFrame, durations: DataFrame, fps: float, coverage: DataFrame | None = None, **settings: float) -> DataFrame:
+    """Intervals (media_id, rally_id, start, end, score) in which somebody moves, between the quiet stretches of a motion signal.
+
+    A span between two stretches shrinks to its longest clump of samples above p20 + (p95 - p20) / 4 of the medium
+    (at most 0.35 s apart); it must last a core and hold such samples to 35 %. Its score is how far its mean stands
+    between its own 20th and 95th percentile. Ends of spans and clumps need a sample of coverage (media_id, idx,
+    value) of 0.5 or more within 0.75 s; a medium of a coverage without any gives nothing. durations: (media_id, duration).
+    A medium without quiet stretches gives nothing. settings: those of SETTINGS.
+    """
+    media = settled(lengths(signal).join(durations, "media_id"), **settings)
+    return cut_by_motion(signal, marked(quiet, **settings), media, fps, coverage).drop("param_id")
+
+
+def lengths(signal: DataFrame) -> DataFrame:
+    """(media_id, n): a medium's samples, up to its last."""
+    return signal.groupBy("media_id").agg((F.max("idx") + 1).cast("long").alias("n"))
+
+
+def marked(quiet: DataFrame, **settings: float) -> DataFrame:
+    """quiet with the settings that it was found with."""
+    return quiet.withColumns({k: F.lit(float(settings.get(k, SETTINGS[k]))) for k in ("apart", "ratio")})
 
 
-def by_activity(signal: DataFrame, quiet: DataFrame, durations: DataFrame, fps: float, pre: float = 1.0, post: float = 1.6, least: float = 2.0, most: float = 120.0, core: float = 1.0, apart: float = 0.7, ratio: float = 0.18) -> DataFrame:
+def by_activity(signal: DataFrame, quiet: DataFrame, durations: DataFrame, fps: float, **settings: float) -> DataFrame:
     """Intervals (media_id, rally_id, start, end, score) of activity, between the quiet stretches of its signal.
 
     A span shrinks to its longest clump of samples above p20 + 0.3 (p95 - p20) of the medium (at most 0.8 s apart),
     which must last a core; its score is how far its mean stands between these percentiles. Media of under two
-    seconds or eight samples give nothing.
+    seconds or eight samples give nothing. settings: those of SETTINGS; there is no rest.
     """
     levels = spread(signal, 0.2, 0.95)
-    media = signal.groupBy("media_id").agg(F.max("idx").cast("long").alias("top")).select("media_id", (F.col("top") + 1).alias("n")).where(F.col("n") >= max(8, int(fps * 2))).join(durations, "media_id")
-    spans = between_quiet(quiet, media, fps, core, None).where(F.col("hi") - F.col("lo") >= max(1, int(core * fps)))
+    media = settled(lengths(signal).where(F.col("n") >= max(8, int(fps * 2))).join(durations, "media_id"), **settings)
+    spans = with_settings(between_quiet(marked(quiet, **settings), media, fps, False), media, "core").where(F.col("hi") - F.col("lo") >= F.greatest(F.lit(1), F.floor(F.col("core") * fps)))
     live = signal.join(levels, "media_id").where(F.col("value") >= F.col("base") + 0.3 * F.col("width")).select("media_id", "idx")
-    tight = longest_clumps(spans, live, max(1, round(0.8 * fps))).where((F.col("last") - F.col("first")) / fps >= core)
+    tight = with_settings(longest_clumps(spans, live, max(1, round(0.8 * fps))), media, "core").where((F.col("last") - F.col("first")) / fps >= F.col("core"))
     inside = samples_in(tight.select("media_id", "span", "first", "last", F.col("first").alias("lo"), (F.col("last") + 1).alias("hi")), signal)
     cores = inside.groupBy("media_id", "span", "first", "last").agg(F.avg("value").alias("mean")).join(levels, "media_id")
     score = clipped((F.col("mean") - F.col("base")) / F.col("width"), 0.0, 1.0)
-    return rolled_out(cores.select("media_id", "span", "first", "last", score.alias("score")), signal, media, fps, pre, post, least, most, apart, ratio, core)
+    return rolled_out(cores.select("media_id", "span", "first", "last", score.alias("score")), signal, media, fps).drop("param_id")
 
 
 def sample_range(start: Column, end: Column, n: Column, fps: float) -> list[Column]:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import evidence as be
 from tidemark.operators import kernels
+from tidemark.operators import optimise as op
+from tidemark.operators import refine as rf
 from tidemark.operators import segmentation as sg
 from tidemark.operators import series as se
+from tidemark.plans import evidence as pe
 from tidemark.sources import tables as tb
 
 #: Samples a second of a signal that is only cut, and of one whose windows are chosen from.
@@ -53,6 +57,38 @@ def _chosen(f):
     return query
 
 
+#: What the search tries, and what its descent varies.
+VALUES, FIELDS = {"core": [0.5, 1.0], "ratio": [0.1, 0.18], "least": [1.5, 2.5]}, {"rest": (0.2, 2.0)}
+
+
+def _search(f):
+    """Stretches above a mark are the labels that the settings are to fit."""
+
+    def query(s, d):
+        x = smoothed(s, d, 9)
+        runs = se.runs(x.withColumn("on", (F.col("value") >= SEEN).cast("int")), "on").where("n >= 12")
+        labels = runs.select("media_id", F.col("first").alias("rally_id"), (F.col("first") / FPS).alias("start"), ((F.col("last") + 1) / FPS).alias("end"))
+        return f(op.Search(x, media(x, FPS).select("media_id", "duration"), labels, FPS, width=8.0))
+
+    return query
+
+
+def _refined(s, d):
+    rows, sides = pe._motion(s, d), []
+    points = rows.select("media_id", "idx", (F.col("idx") / pe.FPS).alias("t"))
+    hits = rows.where("swing > 0.9").select("media_id", (F.col("idx") / pe.FPS).alias("t"))
+    for side in ("start", "end"):
+        scores = rf.joint_scores(be.side_channels(rows, side, pe.FPS, 0.2), be.hit_feature(points, hits, side, 4.0), pe.RANGES | {"hit": (0.25, 1.0)}, pe.WEIGHTS | {"hit": 1.0})
+        sides.append(scores.withColumn("side", F.lit(side)))
+    covered = rf.well_covered(rows.select("media_id", "idx", (F.col("overhead") + 0.3).alias("value")), pe.FPS)
+    evidence = sides[0].unionByName(sides[1]).join(covered, ["media_id", "idx"])
+    signal = rows.select("media_id", "idx", "value")
+    valleys = kernels.quiet_spans(signal, pe.FPS, 0.6, 0.0, 0.10)
+    pose = media(signal, pe.FPS).withColumn("pose", F.when(F.col("media_id") % 5 == 0, 0.2).otherwise(0.9))
+    out = rf.refined(pe._span_intervals(s, d), valleys, evidence, pose, pe.FPS, 3.0, 0.05, {"start": 0.4, "end": 0.4})
+    return out.select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "start_gain", "end_gain")))
+
+
 _WITH = f"""WITH signal AS (
   SELECT l_suppkey AS media_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx, l_quantity AS value FROM lineitem),
 nn AS (SELECT media_id, count(*) AS n, count(*) / {SLOW}::DOUBLE AS duration FROM signal GROUP BY 1),
@@ -84,6 +120,10 @@ ch AS (SELECT media_id, span, w0, w1, CASE WHEN s IS NULL THEN 'empty' ELSE sour
 ALL = {
     "sg_player": (_cut(sg.by_motion, coverage=True), None),
     "sg_activity": (_cut(sg.by_activity), None),
+    "sg_refine": (_refined, None),
+    "opt_predict": (_search(lambda x: x.predicted(x.base(least=1.5, core=0.5)).select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "score")))), None),
+    "opt_stages": (_search(lambda x: op.optimised(x, VALUES, FIELDS)), None),
+    "en_sweep": (_search(lambda x: op.swept(x, VALUES | {"rest": [0.4, 0.8], "apart": [0.6, 1.0]})), None),
     "sg_avail_windows": (
         _chosen(lambda *a: sg.chosen_windows(*a).groupBy("media_id", "source").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w1") - F.col("w0")), 6).alias("seconds"))),
         _WITH + "SELECT media_id, source, count(*) AS n, round(sum(w1 - w0), 6) AS seconds FROM ch GROUP BY 1, 2",
