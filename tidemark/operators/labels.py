@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import prf
+from tidemark.operators.series import spread
 
 KEYS = ("media_id", "rally_id")
 
@@ -79,21 +80,67 @@ def error_classes(preds: DataFrame, golds: DataFrame, overlapping: DataFrame, ta
     return both.groupBy("media_id", "class").agg(F.count("*").alias("n"))
 
 
-def audit(intervals: DataFrame, close: float = 0.5, far: float = 3.5, least: int = 5) -> DataFrame:
-    """(media_id, rally_id, code, severity): overlaps, neighbours closer than close, durations whose robust z is above far."""
+def around(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """points (media_id, rally_id, side, at) with the last mark (media_id, u) at or before each and the first at or after it."""
+    both = points.select("media_id", "rally_id", "side", "at", F.lit(None).cast("double").alias("u")).union(marks.select("media_id", F.lit(None).cast("long"), F.lit(None).cast("string"), F.col("u"), F.col("u")))
+    order = W.partitionBy("media_id").orderBy("at")
+    rows = both.withColumns({"last": F.max("u").over(order.rangeBetween(W.unboundedPreceding, 0)), "next": F.min("u").over(order.rangeBetween(0, W.unboundedFollowing))})
+    return rows.where("rally_id is not null").drop("u")
+
+
+def audit(intervals: DataFrame, valleys: DataFrame, hits: DataFrame, activity: DataFrame, fps: float, close: float = 0.5, far: float = 3.5, least: int = 5, quiet: float = 2.0, radius: float = 3.0, hit_far: float = 2.5, contrast: float = 1.0) -> DataFrame:
+    """(media_id, rally_id, code, severity, side, distance, snap, nearest_hit): what is doubtful about labelled intervals.
+
+    overlap, too_close: by how much a neighbour, by start and id, overlaps a side, or the gap to it below close.
+    duration_outlier: a robust z (0.6745 of the distance from the median over the median distance) above far, of
+    `least` intervals or more that are not all alike. evidence_contradiction: the mean of activity (media_id, idx, value) is higher by
+    a tenth of its spread (p95 - p20) outside than inside of a side, each over contrast seconds. boundary_off_quiet:
+    the nearest valley (media_id, u, depth) in the gap to the neighbour is more than quiet off; snap is the deepest,
+    then nearest, of those within radius. boundary_no_hit: there is none, and the nearest hit (media_id, u) is more
+    than hit_far off. Without such signals the last three are silent. Intervals that do not end after they start count for nothing.
+    """
     run = W.partitionBy("media_id").orderBy("start", "rally_id")
-    rows = intervals.withColumn("gap", F.lead("start").over(run) - F.col("end")).withColumn("d", F.col("end") - F.col("start"))
+    rows = intervals.where("end > start").select("media_id", "rally_id", "start", "end").withColumns({"before": F.lag("end").over(run), "after": F.lead("start").over(run), "d": F.col("end") - F.col("start")})
+    note = lambda code, severity, side, distance: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(side).cast("string").alias("side"), F.round(distance, 3).alias("distance"))
+    gaps = {"start": F.col("start") - F.col("before"), "end": F.col("after") - F.col("end")}
+    found = [F.when(g < -1e-9, note("overlap", "warn", side, -g)).when((g >= 0) & (g < close), note("too_close", "info", side, g)) for side, g in gaps.items()]
     mid = rows.groupBy("media_id").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("mid"))
-    rows = rows.join(mid, "media_id")
-    spread = rows.groupBy("media_id").agg(F.percentile(F.abs(F.col("d") - F.col("mid")), F.lit(0.5)).alias("mad"))
-    rows = rows.join(spread, "media_id")
-    z = F.abs(F.col("d") - F.col("mid")) / (1.4826 * F.greatest("mad", F.lit(1e-9)))
-    found = F.array(
-        F.when(F.col("gap") < 0, F.struct(F.lit("overlap").alias("code"), F.lit("error").alias("severity"))),
-        F.when(F.col("gap").between(0, close), F.struct(F.lit("too_close").alias("code"), F.lit("warn").alias("severity"))),
-        F.when((F.col("n") >= least) & (z > far), F.struct(F.lit("duration_outlier").alias("code"), F.lit("warn").alias("severity"))),
-    )
-    return rows.select(*KEYS, F.inline(F.filter(found, lambda x: x.isNotNull())))
+    mad = rows.join(mid, "media_id").groupBy("media_id", "n", "mid").agg(F.percentile(F.abs(F.col("d") - F.col("mid")), F.lit(0.5)).alias("mad"))
+    z = 0.6745 * F.abs(F.col("d") - F.col("mid")) / F.col("mad")
+    found.append(F.when((F.col("n") >= least) & (F.col("mad") > 1e-9) & (z > far), note("duration_outlier", "warn", None, z)))
+    shape = rows.join(mad, "media_id").select(*KEYS, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+    sides = F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("end").alias("at")))
+    ends = rows.select(*KEYS, "before", "after", F.inline(sides))
+    rising = F.col("side") == "start"
+    # activity before and after each side: its few samples by number
+    step = lambda lo, hi: F.sequence(F.bround((F.col("at") + lo) * fps).cast("long"), F.bround((F.col("at") + hi) * fps).cast("long") - 1)
+    some = lambda s: F.filter(F.when(F.element_at(s, -1) >= F.element_at(s, 1), s).otherwise(F.array().cast("array<bigint>")), lambda i: i >= 0)
+    windows = F.array(F.struct(F.lit("pre").alias("part"), some(step(-contrast, 0.0)).alias("i")), F.struct(F.lit("post").alias("part"), some(step(0.0, contrast)).alias("i")))
+    read = ends.select(*KEYS, "side", F.inline(windows)).select(*KEYS, "side", "part", F.explode("i").alias("idx")).join(activity.select("media_id", "idx", "value"), ["media_id", "idx"])
+    mean = lambda part: F.avg(F.when(F.col("part") == part, F.col("value")))
+    turn = read.groupBy(*KEYS, "side").agg(mean("pre").alias("pre"), mean("post").alias("post")).join(spread(activity, 0.2, 0.95), "media_id")
+    rise = F.when(rising, F.col("post") - F.col("pre")).otherwise(F.col("pre") - F.col("post")) / F.col("width")
+    against = turn.where(rise < -0.1).select(*KEYS, F.lit("evidence_contradiction").alias("code"), F.lit("warn").alias("severity"), "side", F.round(rise, 3).alias("distance"))
+
+    near = around(ends, valleys).join(ends.select(*KEYS, "side", "before", "after"), [*KEYS, "side"])
+    valley = F.when(rising & (F.col("before").isNull() | (F.col("last") > F.col("before"))), F.col("at") - F.col("last")).when(~rising & (F.col("after").isNull() | (F.col("next") < F.col("after"))), F.col("next") - F.col("at"))
+    near = near.select(*KEYS, "side", "at", "before", "after", valley.alias("valley")).join(around(ends, hits).select(*KEYS, "side", F.least(F.col("at") - F.col("last"), F.col("next") - F.col("at")).alias("hit")), [*KEYS, "side"])
+    bins = valleys.withColumn("bin", F.floor(F.col("u") / radius))
+    reach = near.where(F.col("valley") > quiet).withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / radius) - 1, F.floor(F.col("at") / radius) + 1))).join(bins, ["media_id", "bin"])
+    inside = F.when(rising, (F.col("u") <= F.col("at")) & (F.col("before").isNull() | (F.col("u") > F.col("before")))).otherwise((F.col("u") >= F.col("at")) & (F.col("after").isNull() | (F.col("u") < F.col("after"))))
+    snap = reach.where(inside & (F.abs(F.col("u") - F.col("at")) <= radius)).groupBy(*KEYS, "side").agg(F.max(F.struct("depth", (-F.abs(F.col("u") - F.col("at"))).alias("near"), "u")).alias("s"))
+    off = near.where(F.col("valley") > quiet).join(snap, [*KEYS, "side"], "left").select(*KEYS, F.lit("boundary_off_quiet").alias("code"), F.lit("warn").alias("severity"), "side", F.round("valley", 3).alias("distance"), F.round("s.u", 3).alias("snap"), F.round("hit", 3).alias("nearest_hit"))
+    silent = near.where(F.col("valley").isNull() & (F.col("hit") > hit_far)).select(*KEYS, F.lit("boundary_no_hit").alias("code"), F.lit("info").alias("severity"), "side", F.round("hit", 3).alias("distance"))
+    none = F.lit(None).cast("double")
+    plain = shape.select(*KEYS, "code", "severity", "side", "distance").union(against).union(silent)
+    return plain.select("*", none.alias("snap"), none.alias("nearest_hit")).union(off)
+
+
+def severities(intervals: DataFrame, notes: DataFrame) -> DataFrame:
+    """(severity, n): the intervals by their worst note: warn, info, or ok without any."""
+    worst = notes.groupBy(*KEYS).agg(F.max("severity").alias("severity"))
+    return intervals.where("end > start").select(*KEYS).join(worst, list(KEYS), "left").groupBy(F.coalesce("severity", F.lit("ok")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 def snapped(intervals: DataFrame, valleys: DataFrame, radius: float) -> DataFrame:

@@ -107,6 +107,40 @@ def _prf(labels):
 _CLEAN = "q AS (SELECT media_id, rally_id, greatest(0, start - 9500) AS s, (start - 9500) + CASE WHEN rally_id % 7 = 0 THEN -2 * duration ELSE duration END AS e FROM rallies)"
 _CLUSTERS = "ga AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t, hit_idx) AS gap FROM hits)"
 
+def _audited(f):
+    """Labels, valleys, hits and activity of media that share the last digits of their ids, on one scale of time."""
+
+    def query(s, d):
+        media = F.pmod("media_id", F.lit(100)).alias("media_id")
+        r = tb.rallies(s, d).select(media, "rally_id", (F.col("start") - 9000).alias("start"), (F.col("end") - 9000).alias("end"))
+        marks = tb.hits(s, d).select(media, "hit_idx", F.pmod(F.col("t") / 24 * 100, F.lit(2000.0)).alias("u"), (1 - F.col("strength")).alias("depth"))
+        return f(r, lb.audit(r, marks.where("hit_idx % 3 = 0"), marks.where("hit_idx % 3 = 1"), tb.signal(s, d).withColumn("media_id", F.pmod("media_id", F.lit(100))), 0.25, contrast=8.0))
+
+    return query
+
+
+_AUDIT = _WITH + """, r AS (SELECT media_id % 100 AS media_id, rally_id, start - 9000 AS start, end_ - 9000 AS end_ FROM rallies WHERE end_ > start),
+mk AS (SELECT media_id % 100 AS media_id, hit_idx, (t / 24 * 100) % 2000 AS u, 1 - strength AS depth FROM hits), va AS (SELECT * FROM mk WHERE hit_idx % 3 = 0), hi AS (SELECT * FROM mk WHERE hit_idx % 3 = 1),
+ac AS (SELECT media_id % 100 AS media_id, idx, value FROM signal), wd AS (SELECT media_id, greatest(quantile_cont(value, 0.95) - quantile_cont(value, 0.2), 1e-9) AS width FROM ac GROUP BY 1),
+bb AS (SELECT *, end_ - start AS d, lag(end_) OVER w AS before, lead(start) OVER w AS after FROM r WINDOW w AS (PARTITION BY media_id ORDER BY start, rally_id)),
+md AS (SELECT media_id, count(*) AS n, quantile_cont(d, 0.5) AS mid FROM bb GROUP BY 1), ma AS (SELECT media_id, n, mid, quantile_cont(abs(d - mid), 0.5) AS mad FROM bb JOIN md USING (media_id) GROUP BY 1, 2, 3),
+ed AS (SELECT media_id, rally_id, before, after, unnest(['start', 'end']) AS side, unnest([start, end_]) AS at_, unnest([start - before, after - end_]) AS gap FROM bb),
+rd AS (SELECT e.media_id, rally_id, side, part, avg(value) AS m FROM (SELECT media_id, rally_id, side, unnest(['pre', 'post']) AS part, unnest([round_even((at_ - 8) * 0.25, 0), round_even(at_ * 0.25, 0)])::BIGINT AS lo, unnest([round_even(at_ * 0.25, 0), round_even((at_ + 8) * 0.25, 0)])::BIGINT AS hi FROM ed) e
+  JOIN ac ON ac.media_id = e.media_id AND idx >= lo AND idx < hi GROUP BY 1, 2, 3, 4),
+tn AS (SELECT a.media_id, a.rally_id, a.side, CASE a.side WHEN 'start' THEN b.m - a.m ELSE a.m - b.m END / width AS rise FROM rd a JOIN rd b ON a.media_id = b.media_id AND a.rally_id = b.rally_id AND a.side = b.side AND a.part = 'pre' AND b.part = 'post' JOIN wd ON wd.media_id = a.media_id),
+vd AS (SELECT ed.media_id, rally_id, side, min(abs(u - at_)) AS valley FROM ed JOIN va ON va.media_id = ed.media_id AND CASE side WHEN 'start' THEN u <= at_ AND (before IS NULL OR u > before) ELSE u >= at_ AND (after IS NULL OR u < after) END GROUP BY 1, 2, 3),
+hd AS (SELECT ed.media_id, rally_id, side, min(abs(u - at_)) AS hit FROM ed JOIN hi ON hi.media_id = ed.media_id GROUP BY 1, 2, 3),
+nr AS (SELECT ed.*, valley, hit FROM ed LEFT JOIN vd USING (media_id, rally_id, side) LEFT JOIN hd USING (media_id, rally_id, side)),
+sn AS (SELECT nr.media_id, rally_id, side, u FROM nr JOIN va ON va.media_id = nr.media_id AND abs(u - at_) <= 3 AND CASE side WHEN 'start' THEN u <= at_ AND (before IS NULL OR u > before) ELSE u >= at_ AND (after IS NULL OR u < after) END WHERE valley > 2
+  QUALIFY row_number() OVER (PARTITION BY nr.media_id, rally_id, side ORDER BY depth DESC, abs(u - at_), u DESC) = 1),
+notes AS (SELECT media_id, rally_id, 'overlap' AS code, 'warn' AS severity, side, round(-gap, 3) AS distance, NULL::DOUBLE AS snap, NULL::DOUBLE AS nearest_hit FROM ed WHERE gap < -1e-9
+  UNION ALL SELECT media_id, rally_id, 'too_close', 'info', side, round(gap, 3), NULL, NULL FROM ed WHERE gap >= 0 AND gap < 0.5
+  UNION ALL SELECT bb.media_id, rally_id, 'duration_outlier', 'warn', NULL, round(0.6745::DOUBLE * abs(d - mid) / mad, 3), NULL, NULL FROM bb JOIN ma USING (media_id) WHERE n >= 5 AND mad > 1e-9 AND 0.6745::DOUBLE * abs(d - mid) / mad > 3.5
+  UNION ALL SELECT media_id, rally_id, 'evidence_contradiction', 'warn', side, round(rise, 3), NULL, NULL FROM tn WHERE rise < -0.1
+  UNION ALL SELECT nr.media_id, nr.rally_id, 'boundary_off_quiet', 'warn', nr.side, round(valley, 3), round(u, 3), round(hit, 3) FROM nr LEFT JOIN sn ON sn.media_id = nr.media_id AND sn.rally_id = nr.rally_id AND sn.side = nr.side WHERE valley > 2
+  UNION ALL SELECT media_id, rally_id, 'boundary_no_hit', 'info', side, round(hit, 3), NULL, NULL FROM nr WHERE valley IS NULL AND hit > 2.5)
+"""
+
 ALL = {
     "flt_normalize_labels": (
         _r(lambda r: lb.normalized(_dirty(r)).select("media_id", "rally_id", "start", "end")),
@@ -141,13 +175,10 @@ ALL = {
         _r(_classes),
         _WITH + ", best AS (SELECT * FROM (SELECT *, (least(end_, e) - greatest(start, s)) AS o, row_number() OVER (PARTITION BY media_id, rally_id ORDER BY least(end_, e) - greatest(start, s) DESC, other_id) AS rn FROM pairs) WHERE rn = 1 AND o >= 0.5 * greatest(0.1, end_ - start)), ov AS (SELECT * FROM pairs WHERE iou >= 0.05), c AS (SELECT r.media_id, count(o.iou) AS k, true AS gold, r.rally_id FROM rallies r LEFT JOIN ov o ON o.media_id = r.media_id AND o.other_id = r.rally_id WHERE r.rally_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.media_id = r.media_id AND b.other_id = r.rally_id) GROUP BY r.media_id, r.rally_id UNION ALL SELECT r.media_id, count(o.iou), false, r.rally_id FROM rallies r LEFT JOIN ov o ON o.media_id = r.media_id AND o.rally_id = r.rally_id WHERE r.rally_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.media_id = r.media_id AND b.rally_id = r.rally_id) GROUP BY r.media_id, r.rally_id) SELECT media_id, CASE WHEN gold THEN CASE WHEN k >= 2 THEN 'over_split' WHEN k = 1 THEN 'shifted' ELSE 'missed' END ELSE CASE WHEN k >= 2 THEN 'under_split' ELSE 'spurious' END END AS class, count(*) AS n FROM c WHERE gold OR k <> 1 GROUP BY 1, 2",
     ),
-    "opt_quality": (
-        _r(lambda r: lb.audit(r)),
-        _WITH + ", m AS (SELECT media_id, count(*) AS n, quantile_cont(d, 0.5) AS mid FROM g GROUP BY 1), s AS (SELECT g.media_id, quantile_cont(abs(d - mid), 0.5) AS mad FROM g JOIN m ON g.media_id = m.media_id GROUP BY 1) SELECT g.media_id, rally_id, 'overlap' AS code, 'error' AS severity FROM g WHERE gap < 0 UNION ALL SELECT media_id, rally_id, 'too_close', 'warn' FROM g WHERE gap BETWEEN 0 AND 0.5 UNION ALL SELECT g.media_id, rally_id, 'duration_outlier', 'warn' FROM g JOIN m ON g.media_id = m.media_id JOIN s ON g.media_id = s.media_id WHERE n >= 5 AND abs(d - mid) / (1.4826 * greatest(mad, 1e-9)) > 3.5",
-    ),
+    "opt_quality": (_audited(lambda r, notes: notes), _AUDIT + "SELECT * FROM notes"),
     "ag_label_sev": (
-        _r(lambda r: lb.audit(r).groupBy("severity").agg(F.count("*").alias("n"))),
-        _WITH + ", m AS (SELECT media_id, count(*) AS n, quantile_cont(d, 0.5) AS mid FROM g GROUP BY 1), s AS (SELECT g.media_id, quantile_cont(abs(d - mid), 0.5) AS mad FROM g JOIN m ON g.media_id = m.media_id GROUP BY 1), a AS (SELECT 'error' AS severity FROM g WHERE gap < 0 UNION ALL SELECT 'warn' FROM g WHERE gap BETWEEN 0 AND 0.5 UNION ALL SELECT 'warn' FROM g JOIN m ON g.media_id = m.media_id JOIN s ON g.media_id = s.media_id WHERE n >= 5 AND abs(d - mid) / (1.4826 * greatest(mad, 1e-9)) > 3.5) SELECT severity, count(*) AS n FROM a GROUP BY 1",
+        _audited(lb.severities),
+        _AUDIT + ", w AS (SELECT media_id, rally_id, max(severity) AS severity FROM notes GROUP BY 1, 2) SELECT coalesce(severity, 'ok') AS severity, count(*) AS n FROM r LEFT JOIN w USING (media_id, rally_id) GROUP BY 1",
     ),
     "jn_snap": (
         lambda s, d: rounded(lb.snapped(tb.rallies(s, d).withColumn("media_id", F.pmod("media_id", F.lit(100))).withColumn("start", F.col("start") - 9000).withColumn("end", F.col("end") - 9000), _valleys(tb.hits(s, d)).withColumn("media_id", F.pmod("media_id", F.lit(100))).withColumn("u", F.pmod(F.col("u") * 100, F.lit(2000.0))), 3.0), "snap"),
