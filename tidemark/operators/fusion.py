@@ -70,15 +70,6 @@ def sliced(signal: DataFrame, intervals: DataFrame, fps: float, width: int) -> D
     return found.groupBy("media_id", "rally_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"), F.percentile("value", F.lit(0.9)).alias("p90"))
 
 
-def verified(intervals: DataFrame, presence: DataFrame, fps: float, width: int, least: float = 0.02) -> DataFrame:
-    """Intervals in which a presence signal (0 or 1) is set in least of the samples; all of a medium where it is set in under 5 % or over 90 %."""
-    cover = presence.groupBy("media_id").agg(F.avg("value").alias("cover"))
-    shares = sliced(presence, intervals, fps, width).select("media_id", "rally_id", F.col("mean").alias("share"))
-    rows = intervals.join(cover, "media_id", "left").join(shares, ["media_id", "rally_id"], "left")
-    usable = F.coalesce(F.col("cover").between(0.05, 0.9), F.lit(False))
-    return rows.where(~usable | (F.coalesce("share", F.lit(0.0)) >= least)).drop("cover", "share")
-
-
 def gated(hits: DataFrame, evidence: str, threshold: float, least_keep: float = 0.12, most_keep: float = 0.97) -> DataFrame:
     """Hits whose evidence reaches the threshold; all of a medium where that keeps a share outside [least_keep, most_keep]."""
     kept = (F.coalesce(evidence, F.lit(0.0)) >= threshold).cast("double")

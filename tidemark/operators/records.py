@@ -49,11 +49,6 @@ def filtered(rallies: DataFrame, **bounds) -> DataFrame:
     return rallies.where(holds)
 
 
-def searched(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
-    """Rows one of whose columns holds needle, whatever the case; tags and numbers as text."""
-    return df.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])), F.lit(needle.lower())))
-
-
 def top_share(df: DataFrame, by: str, share: float, key: list[str], tie: str) -> DataFrame:
     """kept: the best share of each group's rows, rounded up."""
     group = W.partitionBy(*key)
@@ -92,11 +87,16 @@ def byte_range(size: Column, spec: Column) -> tuple[Column, Column, Column]:
     return F.when(status == 206, first), F.when(status == 206, last), status
 
 
-def free_suffix(names: DataFrame, most: int) -> DataFrame:
-    """(base, suffix): the least number that no taken name (base, taken) of the base has."""
-    grid = names.select("base").distinct().withColumn("suffix", F.explode(F.sequence(F.lit(0), F.lit(most))))
-    free = grid.join(names.select("base", F.col("taken").cast("int").alias("suffix")), ["base", "suffix"], "left_anti")
-    return free.groupBy("base").agg(F.min("suffix").alias("suffix"))
+def free_suffix(names: DataFrame) -> DataFrame:
+    """(base, suffix): the least number, from 0, that no taken name (base, taken) of the base has; a base without numbers, or with negative ones alone, gets 0.
+
+    The n distinct numbers of a base that are not their own rank from 0 leave that rank free first.
+    """
+    taken = names.select("base", F.when(F.col("taken") >= 0, F.col("taken").cast("long")).alias("taken")).distinct()
+    rank = F.row_number().over(W.partitionBy("base").orderBy(F.col("taken").asc_nulls_last())) - 1
+    rows = taken.withColumn("rank", rank.cast("long"))
+    hole = F.min(F.when(F.col("taken").isNull() | (F.col("taken") != F.col("rank")), F.col("rank")))
+    return rows.groupBy("base").agg(F.coalesce(hole, F.max("rank") + 1).alias("suffix"))
 
 
 def shoelace(polygon: Column) -> Column:

@@ -196,3 +196,29 @@ def dense_density(hits: DataFrame, slot: float, window: int, least_confidence: f
     dense = grid.join(n, ["media_id", "slot"], "left").select("media_id", (F.col("slot") - F.col("lo")).alias("idx"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
     smooth = se.smooth(dense, window).select("media_id", "idx", F.col("smooth").alias("value"))
     return se.robust_norm(smooth).select("media_id", "idx", F.col("norm").alias("value"))
+
+
+def strong_or_all(hits: DataFrame, least: float, enough: int = 2) -> DataFrame:
+    """The hits of a strength of at least `least`; all of a medium that has fewer than `enough` such."""
+    strong = hits.where(F.col("strength") >= least)
+    many = strong.groupBy("media_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("media_id")
+    return strong.join(many, "media_id", "left_semi").unionByName(hits.join(many, "media_id", "left_anti").select(*strong.columns))
+
+
+def over_short_gaps(intervals: DataFrame, hits: DataFrame, longest: float = 4.0, side: float = 1.0, slack: float = 0.3) -> DataFrame:
+    """(media_id, rally_id, start, end, n): intervals, by start and id, joined over a gap of up to longest with a hit (media_id, t) on each side of it.
+
+    One lies from side before the gap's beginning to slack after it, the other from slack before its end to side
+    after it. A joined interval has the first one's id and ends where its last one does. Intervals that overlap or touch stay apart.
+    """
+    order = W.partitionBy("media_id").orderBy("start", "rally_id")
+    rows = intervals.select("media_id", "rally_id", "start", "end").withColumn("before", F.lag("end").over(order))
+    gaps = rows.where((F.col("start") - F.col("before") > 0) & (F.col("start") - F.col("before") <= longest))
+    width = side + slack
+    marks = hits.select("media_id", "t", F.floor(F.col("t") / width).alias("bin")).distinct()
+    sides = F.array(F.struct((F.col("before") - side).alias("lo"), (F.col("before") + slack).alias("hi"), F.lit(0).alias("k")), F.struct((F.col("start") - slack).alias("lo"), (F.col("start") + side).alias("hi"), F.lit(1).alias("k")))
+    near = binned(gaps.select("media_id", "rally_id", F.inline(sides)), width, "lo", "hi").join(marks, ["media_id", "bin"]).where("t >= lo and t <= hi")
+    both = near.groupBy("media_id", "rally_id").agg(F.count_distinct("k").alias("k")).where("k = 2").select("media_id", "rally_id", F.lit(0).alias("new"))
+    rows = rows.join(both, ["media_id", "rally_id"], "left").withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    out = rows.groupBy("media_id", "island").agg(F.min(F.struct("start", "rally_id")).alias("a"), F.max(F.struct("start", "rally_id", "end")).alias("b"), F.count("*").alias("n"))
+    return out.select("media_id", "a.rally_id", "a.start", "b.end", "n")

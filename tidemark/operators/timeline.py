@@ -60,14 +60,6 @@ def midpoints(signal: DataFrame, n: int) -> DataFrame:
     return grid.join(signal.select("media_id", "idx", "value"), ["media_id", "idx"]).select("media_id", "i", "idx", "value")
 
 
-def every(signal: DataFrame, most: int) -> DataFrame:
-    """(media_id, idx, value): at most `most` samples of each medium, evenly spread from the first to the last."""
-    sizes = signal.groupBy("media_id").agg(F.count("*").alias("n"))
-    grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    grid = grid.select("media_id", F.floor(F.col("i") * (F.col("n") - 1) / float(most - 1)).alias("idx")).distinct()
-    return signal.select("media_id", "idx", "value").join(grid, ["media_id", "idx"])
-
-
 def hopping(intervals: DataFrame, width: float, hop: float) -> DataFrame:
     """(..., lo, hi): windows from each interval's start, hop apart, until one reaches its end."""
     n = F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("start") - width) / hop) + 1).cast("int")

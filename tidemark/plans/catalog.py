@@ -132,10 +132,6 @@ _ALL = {
         _h(lambda x: rounded(ev.local_percentile(x, 12.0), "local_pct")),
         _WITH + ", p AS (SELECT a.media_id, a.hit_idx, count(*) AS n, count_if(b.strength <= a.strength) AS below, max(b.strength) - min(b.strength) AS spread FROM hits a JOIN hits b ON a.media_id = b.media_id AND abs(a.t - b.t) <= 12 GROUP BY 1, 2) SELECT media_id, hit_idx, round(CASE WHEN n = 1 THEN 1.0 WHEN spread < 1e-6 THEN 0.0 ELSE below / n END, 6)::DOUBLE AS local_pct FROM p",
     ),
-    "wn_density": (
-        _h(lambda x: ev.density(x, 24.0, 0.15)),
-        _WITH + ", k AS (SELECT *, max((confidence >= 0.15)::INT) OVER (PARTITION BY media_id) AS o FROM hits) SELECT media_id, floor(t / 24)::BIGINT AS slot, count(*) AS n FROM k WHERE confidence >= 0.15 OR o = 0 GROUP BY 1, 2",
-    ),
     "ag_reliability": (
         _h(lambda x: rounded(ev.reliability(x, 24.0, 2.0), "coverage", "bursts")),
         _WITH + f", {_GAPS}, q AS (SELECT media_id, count(*) AS n, count(DISTINCT floor(t / 24)) AS bins, max(t) - min(t) AS span, avg((gap < 2)::INT) AS bursts FROM gaps GROUP BY 1) SELECT media_id, n, round(CASE WHEN n < 8 THEN 0 ELSE least(1, bins / greatest(1, ceil(span / 24))) END, 6)::DOUBLE AS coverage, round(CASE WHEN n < 8 THEN 0 ELSE bursts END, 6)::DOUBLE AS bursts FROM q",
@@ -191,7 +187,10 @@ _ALL = {
 }
 
 
-_ALL |= boxes.ALL | labels.ALL | records.ALL | fusion.ALL | scores.ALL | spans.ALL | evidence.ALL | segmentation.ALL | tracks.ALL
+for _more in (boxes, labels, records, fusion, scores, spans, evidence, segmentation, tracks):
+    if _twice := _ALL.keys() & _more.ALL.keys():
+        raise ValueError(f"queries of the same name: {sorted(_twice)}")
+    _ALL |= _more.ALL
 
 
 def queries() -> dict:

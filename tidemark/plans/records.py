@@ -9,6 +9,7 @@ from tidemark.functions import scalars as sf
 from tidemark.operators import events as ev
 from tidemark.operators import records as rc
 from tidemark.operators import scoring as sc
+from tidemark.operators import series as se
 from tidemark.operators import timeline as tl
 from tidemark.plans.labels import rounded
 from tidemark.sources import tables as tb
@@ -120,7 +121,7 @@ ALL = {
     "snk_clear_paths": (_read("part", lambda p: rc.cleared(p, F.col("p_size") > 30, ["p_brand", "p_type"]).select("p_partkey", "p_brand", "p_type")), "SELECT p_partkey, CASE WHEN p_size > 30 THEN NULL ELSE p_brand END AS p_brand, CASE WHEN p_size > 30 THEN NULL ELSE p_type END AS p_type FROM part"),
     "snk_cache": (_read("documents", lambda d: d.groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))), "SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1"),
     "snk_pack": (
-        lambda s, d: tl.every(tb.signal(s, d), 50),
+        lambda s, d: se.subsample(tb.signal(s, d), 50),
         "WITH signal AS (SELECT l_suppkey AS media_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx, l_quantity AS value FROM lineitem), n AS (SELECT media_id, count(*) AS n FROM signal GROUP BY 1), g AS (SELECT DISTINCT media_id, floor(i * (n - 1) / 49.0::DOUBLE)::BIGINT AS idx FROM n, range(50) t(i)) SELECT s.media_id, s.idx, s.value FROM signal s JOIN g ON s.media_id = g.media_id AND s.idx = g.idx",
     ),
     "snk_preset": (lambda s, d: _polygon(tb.boxes(s, d)), "WITH u AS (SELECT vec_id, [least(1.3, greatest(-0.3, 0.5 + 1.5 * e::DOUBLE))::DOUBLE for e in embedding] AS e FROM embeddings), b AS (SELECT vec_id AS box_id, abs((e[1] - e[2]) * (e[3] - e[4])) AS a FROM u) SELECT box_id, round(a, 6) AS area, a >= 0.02 AS good FROM b"),
@@ -132,10 +133,6 @@ ALL = {
         _r(lambda r: rc.patched(r.withColumn("keep", F.lit(True)).withColumn("note", F.lit("")), (F.col("speed") < 0.2) & (F.col("shots") < 5), {"keep": False, "speed": 0}).groupBy("media_id").agg(F.count_if("updated").alias("updated"), F.count_if("keep").alias("kept"))),
         f"WITH {_RALLIES} SELECT media_id, count_if(speed < 0.2 AND shots < 5)::BIGINT AS updated, count_if(NOT (speed < 0.2 AND shots < 5))::BIGINT AS kept FROM rallies GROUP BY 1",
     ),
-    "flt_client": (
-        lambda s, d: rc.searched(tb.read(s, d, "orders"), "4-not", ["o_orderkey", "o_orderpriority", "o_orderstatus"]).select("o_orderkey", "o_custkey"),
-        "SELECT o_orderkey, o_custkey FROM orders WHERE contains(lower(concat_ws(' ', o_orderkey, o_orderpriority, o_orderstatus)), '4-not')",
-    ),
     "prj_id_check": (_read("customer", lambda c: c.where(F.col("c_mktsegment").rlike("^[A-Za-z0-9_]+$")).select("c_custkey")), "SELECT c_custkey FROM customer WHERE regexp_matches(c_mktsegment, '^[A-Za-z0-9_]+$')"),
     "prj_phrases": (
         _read("conversations", lambda c: c.select("conv_id", "turn", F.array_join(sf.phrases(F.split("text", ","), 2, 3), "|").alias("phrases"))),
@@ -187,8 +184,8 @@ ALL = {
     ),
     "en_timeline": (_c(lambda c: rounded(tl.durations(c), "duration")), f"WITH {_CLIPS} SELECT track_id, round(max(tl_start + dur), 6) AS duration FROM len GROUP BY 1"),
     "en_path": (
-        _read("orders", lambda o: rc.free_suffix(o.select(F.col("o_custkey").alias("base"), F.pmod("o_orderkey", F.lit(4)).alias("taken")), 4)),
-        "WITH g AS (SELECT DISTINCT o_custkey AS base, s::INT AS suffix FROM orders, range(5) t(s)), t AS (SELECT DISTINCT o_custkey, o_orderkey % 4 AS k FROM orders) SELECT base, min(suffix) AS suffix FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE o_custkey = base AND k = suffix) GROUP BY 1",
+        _read("orders", lambda o: rc.free_suffix(o.select(F.col("o_custkey").alias("base"), F.pmod("o_orderkey", F.lit(4)).alias("taken")))),
+        "WITH g AS (SELECT DISTINCT o_custkey AS base, s AS suffix FROM orders, range(5) t(s)), t AS (SELECT DISTINCT o_custkey, o_orderkey % 4 AS k FROM orders) SELECT base, min(suffix) AS suffix FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE o_custkey = base AND k = suffix) GROUP BY 1",
     ),
     "en_proxy": (
         _read("part", lambda p: p.select("p_partkey", *[c.alias(n) for n, c in zip(("w", "h"), sf.proxy_size(F.col("p_size") * 100, F.col("p_size") * 50 + 31, 960))])),

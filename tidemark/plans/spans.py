@@ -13,7 +13,7 @@ from tidemark.plans.labels import _WITH as _LABELS
 from tidemark.plans.labels import rounded
 from tidemark.sources import tables as tb
 
-MARGIN, GAP, LIMIT = 0.04, 24.0, 30.0
+MARGIN, GAP, LIMIT, STRONG = 0.04, 24.0, 30.0, 0.9
 
 
 def _edges():
@@ -66,7 +66,7 @@ def _patches(r):
 
 def _anchors(s, d, **how):
     hits = tb.hits(s, d)
-    strong = hits.where("strength >= 0.3") if how.get("strong") else hits
+    strong = sp.strong_or_all(hits, STRONG) if how.get("strong") else hits
     out = sp.anchored(_intervals(hits), strong, LIMIT, 48.0, clamped=not how.get("strong"), trim_start=not how.get("strong"))
     return rounded(out, "start", "end", "tail_gap", "serve", "receive")
 
@@ -90,6 +90,14 @@ _FILM = "film AS (SELECT media_id, rally_id AS clip_id, start + rally_id % 5 AS
 _AREA = "abs((x2 - x1) * (y2 - y1))"
 
 ALL = {
+    "en_exp_merge": (
+        lambda s, d: rounded(sp.over_short_gaps(_intervals(tb.hits(s, d)), tb.hits(s, d).where("strength >= 0.5"), 36.0, 12.0, 6.5), "start", "end"),
+        _LABELS + """, cl AS (SELECT media_id, cluster AS rally_id, min(t) + 0.5::DOUBLE AS start, max(t) + 6.0::DOUBLE AS end_ FROM (SELECT *, sum(CASE WHEN gap > 24.0 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, hit_idx ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t, hit_idx) AS gap FROM hits)) GROUP BY 1, 2 HAVING count(*) >= 2),
+lg AS (SELECT *, lag(end_) OVER (PARTITION BY media_id ORDER BY start, rally_id) AS before FROM cl), st AS (SELECT media_id, t FROM hits WHERE strength >= 0.5),
+fl AS (SELECT *, CASE WHEN start - before > 0 AND start - before <= 36 AND EXISTS (SELECT 1 FROM st WHERE st.media_id = lg.media_id AND t >= before - 12 AND t <= before + 6.5) AND EXISTS (SELECT 1 FROM st WHERE st.media_id = lg.media_id AND t >= start - 6.5 AND t <= start + 12) THEN 0 ELSE 1 END AS fresh FROM lg),
+il AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY start, rally_id ROWS UNBOUNDED PRECEDING) AS island FROM fl)
+SELECT media_id, arg_min(rally_id, (start, rally_id))::BIGINT AS rally_id, round(min(start), 6) AS start, round(arg_max(end_, (start, rally_id)), 6) AS "end", count(*) AS n FROM il GROUP BY media_id, island""",
+    ),
     "flt_roi": (
         lambda s, d: tb.boxes(s, d).where(sp.near_polygon((F.col("x1") + F.col("x2")) / 2, F.col("y2"), COURT, MARGIN)).select("media_id", "frame", "box_id"),
         _BOXES + f"SELECT media_id, frame, box_id FROM m WHERE {' AND '.join(_edges())}",
@@ -153,7 +161,7 @@ ALL = {
         _LABELS + f", gp AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t, hit_idx) AS gap FROM hits), c AS (SELECT *, sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, hit_idx ROWS UNBOUNDED PRECEDING) AS cluster FROM gp), n AS (SELECT *, row_number() OVER (PARTITION BY media_id, cluster ORDER BY t, hit_idx) AS nth FROM c) SELECT media_id, cluster::BIGINT AS cluster, hit_idx, round(t, 3) AS time, CASE nth WHEN 1 THEN 'serve' WHEN 2 THEN 'receive' ELSE 'unknown' END AS kind FROM n",
     ),
     "sg_anchor": (lambda s, d: _anchors(s, d), _LABELS + _anchor_sql("true", True, True)),
-    "en_exp_two_tier": (lambda s, d: _anchors(s, d, strong=True), _LABELS + _anchor_sql("strength >= 0.3", False, False)),
+    "en_exp_two_tier": (lambda s, d: _anchors(s, d, strong=True), _LABELS + _anchor_sql(f"strength >= {STRONG} OR media_id NOT IN (SELECT media_id FROM hits WHERE strength >= {STRONG} GROUP BY 1 HAVING count(*) >= 2)", False, False)),
     "ag_hist_1d": (
         lambda s, d: rounded(sp.histogram_steps(tb.boxes(s, d), "conf", 8), "step"),
         _BOXES + ", n AS (SELECT media_id, frame, least(7, floor(conf * 8))::INT AS bin, count(*) AS k FROM m GROUP BY 1, 2, 3), p AS (SELECT media_id, frame, bin, k / sum(k) OVER (PARTITION BY media_id, frame) AS share FROM n), fr AS (SELECT media_id, frame, lag(frame) OVER (PARTITION BY media_id ORDER BY frame) AS prev FROM (SELECT DISTINCT media_id, frame FROM m)), bins AS (SELECT unnest(range(8))::INT AS bin) SELECT fr.media_id, fr.frame, round(sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2, 6) AS step FROM fr CROSS JOIN bins LEFT JOIN p a ON a.media_id = fr.media_id AND a.frame = fr.frame AND a.bin = bins.bin LEFT JOIN p b ON b.media_id = fr.media_id AND b.frame = fr.prev AND b.bin = bins.bin WHERE prev IS NOT NULL GROUP BY 1, 2",
