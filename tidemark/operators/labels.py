@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import prf
+from tidemark.operators.intervals import binned, prf
 from tidemark.operators.series import spread
 
 KEYS = ("media_id", "rally_id")
@@ -155,16 +155,33 @@ def snapped(intervals: DataFrame, valleys: DataFrame, radius: float) -> DataFram
     return best.select(*KEYS, F.col("m.u").alias("snap"))
 
 
-def segment_quality(intervals: DataFrame) -> DataFrame:
-    """(media_id, quality) in [0, 1]: rests between intervals, even durations, durations in [4, 90], confidence, weighing .45, .25, .15, .15."""
-    run = W.partitionBy("media_id").orderBy("start", "rally_id")
-    rows = intervals.withColumn("gap", F.lead("start").over(run) - F.col("end")).withColumn("d", F.col("end") - F.col("start"))
-    out = rows.groupBy("media_id").agg(
-        F.coalesce(F.avg((F.col("gap") > 1).cast("double")), F.lit(0.0)).alias("rest"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"),
-        F.avg(F.col("d").between(4, 90).cast("double")).alias("fits"), F.avg("confidence").alias("conf"),
+def segment_quality(intervals: DataFrame, keys: tuple[str, ...] = ("media_id",), density: DataFrame | None = None, fps: float = 0.0) -> DataFrame:
+    """(keys, quality) of each set of intervals (keys, rally_id, start, end, confidence): pauses between them, lengths that vary but not wildly, and their confidence.
+
+    Where a density of hits (media_id, idx, value) is not all zeros, how much of it the intervals hold and how dense it is in them (their
+    F-measure) counts for seven tenths.
+    """
+    order = W.partitionBy(*keys).orderBy("start", "rally_id")
+    rows = intervals.withColumns({"gap": F.lead("start").over(order) - F.col("end"), "d": F.col("end") - F.col("start")})
+    one = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    out = rows.groupBy(*keys).agg(
+        F.coalesce(F.avg((F.col("gap") > 1).cast("double")), F.lit(0.0)).alias("rest"), (F.stddev_pop("d") / F.greatest(F.avg("d"), F.lit(1e-6))).alias("cv"),
+        F.avg(F.col("d").between(4, 90).cast("double")).alias("fair"), F.avg("confidence").alias("sure"),
     )
-    even = F.greatest(F.lit(0.0), 1 - F.col("sd") / F.greatest("mean", F.lit(1e-9)))
-    return out.select("media_id", (0.45 * F.col("rest") + 0.25 * even + 0.15 * F.col("fits") + 0.15 * F.col("conf")).alias("quality"))
+    spread_out = F.when(F.col("cv") < 0.45, one(F.col("cv") / 0.45)).otherwise(one((1.2 - F.col("cv")) / 0.6))
+    out = out.select(*keys, one(0.45 * F.col("rest") + 0.25 * spread_out + 0.15 * F.col("fair") + 0.15 * F.coalesce("sure", F.lit(0.0))).alias("shape"))
+    if density is None:
+        return out.withColumnRenamed("shape", "quality")
+    total = density.groupBy("media_id").agg(F.sum("value").alias("total"), (F.max("idx") + 1).alias("n")).where("total > 0")
+    lo = F.greatest(F.lit(0), F.least(F.col("n") - 1, (F.col("start") * fps).cast("long")))
+    spans = rows.join(total, "media_id").withColumn("lo", lo).withColumn("top", F.greatest(F.col("lo") + 1, F.least(F.col("n"), (F.col("end") * fps).cast("long"))) - 1)
+    wide = 4096
+    held = density.withColumn("bin", F.floor(F.col("idx") / wide)).join(binned(spans.select(*keys, "lo", "top"), wide, "lo", "top"), ["media_id", "bin"]).where("idx between lo and top")
+    held = held.select(*keys, "idx", "value").distinct().groupBy(*keys).agg(F.avg("value").alias("p"), F.sum("value").alias("in")).join(total, "media_id")
+    r = F.col("in") / F.col("total")
+    held = held.select(*keys, F.coalesce(F.try_divide(2 * F.col("p") * r, F.col("p") + r), F.lit(0.0)).alias("f"))
+    out = out.join(held, list(keys), "left")
+    return out.select(*keys, one(F.when(F.col("f").isNull(), F.col("shape")).otherwise(0.3 * F.col("shape") + 0.7 * one(F.col("f")))).alias("quality"))
 
 
 def left_one_out(scores: DataFrame) -> DataFrame:

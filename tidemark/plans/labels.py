@@ -185,8 +185,8 @@ ALL = {
         _WITH + ", r AS (SELECT media_id % 100 AS media_id, rally_id, start - 9000 AS start, end_ - 9000 AS end_ FROM rallies), b AS (SELECT *, lag(end_) OVER (PARTITION BY media_id ORDER BY start, rally_id) AS before FROM r), v AS (SELECT media_id % 100 AS media_id, (t / 24 * 100) % 2000 AS u, 1 - strength AS depth FROM hits), p AS (SELECT b.media_id, rally_id, u, row_number() OVER (PARTITION BY b.media_id, rally_id ORDER BY depth DESC, u DESC) AS rn FROM b JOIN v ON v.media_id = b.media_id AND u <= start AND u >= start - 3 AND (before IS NULL OR u >= before)) SELECT media_id, rally_id, round(u, 6) AS snap FROM p WHERE rn = 1",
     ),
     "ag_segquality": (
-        _r(lambda r: rounded(lb.segment_quality(r), "quality")),
-        _WITH + "SELECT media_id, round(0.45::DOUBLE * coalesce(avg((gap > 1)::INT), 0) + 0.25::DOUBLE * greatest(0, 1 - stddev_pop(d) / greatest(avg(d), 1e-9)) + 0.15::DOUBLE * avg((d BETWEEN 4 AND 90)::INT) + 0.15::DOUBLE * avg(confidence), 6) AS quality FROM g GROUP BY 1",
+        _r(lambda r: rounded(lb.segment_quality(r), "quality", to=9)),
+        _WITH + "SELECT media_id, round(least(1, greatest(0, 0.45::DOUBLE * coalesce(avg((gap > 1)::INT), 0) + 0.25::DOUBLE * least(1, greatest(0, CASE WHEN stddev_pop(d) / greatest(avg(d), 1e-6) < 0.45 THEN stddev_pop(d) / greatest(avg(d), 1e-6) / 0.45 ELSE (1.2 - stddev_pop(d) / greatest(avg(d), 1e-6)) / 0.6 END)) + 0.15::DOUBLE * avg((d BETWEEN 4 AND 90)::INT) + 0.15::DOUBLE * avg(confidence))), 9)::DOUBLE AS quality FROM g GROUP BY 1",
     ),
     "ag_loco": (
         _r(lambda r: rounded(_loco(r), "trained", "held")),

@@ -8,6 +8,7 @@ from tidemark.operators import evidence as be
 from tidemark.operators import kernels
 from tidemark.operators import optimise as op
 from tidemark.operators import refine as rf
+from tidemark.operators import resegment as rs
 from tidemark.operators import segmentation as sg
 from tidemark.operators import series as se
 from tidemark.plans import evidence as pe
@@ -89,6 +90,30 @@ def _refined(s, d):
     return out.select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "start_gain", "end_gain")))
 
 
+def _stored(s, d):
+    """Signals of the suppliers at FPS; two in three also have hits, where their values are high."""
+    x, raw = smoothed(s, d, 9), tb.signal(s, d)
+    hits = raw.where("value >= 46 and media_id % 3 > 0").select("media_id", F.col("idx").alias("hit_idx"), (F.col("idx") / FPS).alias("t"), (F.col("value") / 50).alias("strength"), (F.pmod(F.col("idx") * 7, F.lit(10)) / 9.0).alias("confidence"))
+    return x, smoothed(s, d, 15), hits, media(x, FPS), covered(x)
+
+
+def _resegmented(s, d):
+    motion, activity, hits, m, cover = _stored(s, d)
+    fallback = _above(motion, SEEN).where("score >= 0.1")
+    out = rs.resegmented(motion, activity, hits, m, FPS, 3.0, 8.0, cover, fallback, least=1.5, core=0.5, rest=0.3, pre=0.3, post=0.5)
+    return out.select("media_id", "method", "n", *(F.round(c, 6).alias(c) for c in ("start", "end", "confidence")))
+
+
+def _dispatched(hybrid: bool):
+    def query(s, d):
+        motion, activity, hits, m, _ = _stored(s, d)
+        one = lambda x, mark: _above(x, mark).withColumns({"start": F.col("start") * SLOW / FPS, "end": F.col("end") * SLOW / FPS})
+        out = rs.dispatched([("player_motion", one(motion, 28.0)), ("activity_valleys", one(activity, 25.0))], rs.hit_density(hits, m, FPS), FPS, hybrid)
+        return out.groupBy("media_id", "method").agg(F.count("*").alias("n"), F.round(F.first("quality"), 6).alias("quality"))
+
+    return query
+
+
 _WITH = f"""WITH signal AS (
   SELECT l_suppkey AS media_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx, l_quantity AS value FROM lineitem),
 nn AS (SELECT media_id, count(*) AS n, count(*) / {SLOW}::DOUBLE AS duration FROM signal GROUP BY 1),
@@ -121,6 +146,9 @@ ALL = {
     "sg_player": (_cut(sg.by_motion, coverage=True), None),
     "sg_activity": (_cut(sg.by_activity), None),
     "sg_refine": (_refined, None),
+    "sg_dispatch": (_dispatched(False), None),
+    "sg_dispatch_hybrid": (_dispatched(True), None),
+    "en_reseg": (_resegmented, None),
     "opt_predict": (_search(lambda x: x.predicted(x.base(least=1.5, core=0.5)).select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "score")))), None),
     "opt_stages": (_search(lambda x: op.optimised(x, VALUES, FIELDS)), None),
     "en_sweep": (_search(lambda x: op.swept(x, VALUES | {"rest": [0.4, 0.8], "apart": [0.6, 1.0]})), None),
