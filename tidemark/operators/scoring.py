@@ -83,8 +83,9 @@ def overall_percentiles(df: DataFrame, wanted: list[tuple[str, str, float]], bin
 def measured(rallies: DataFrame, batch: list[str]) -> DataFrame:
     """rallies with the measures of their batch: of the rows that share the batch's columns, or of all if it has none."""
     if batch:
-        tops = rallies.groupBy(*batch).agg(*[F.percentile(c, F.lit(q)).alias(name) for name, c, q in MEASURES], (F.max("shuttle_speed") > 0).alias("has_shuttle"))
-        return rallies.join(tops, batch)
+        of = {c: [(name, q) for name, x, q in MEASURES if x == c] for c in dict.fromkeys(c for _, c, _ in MEASURES)}  # one percentile for each feature
+        tops = rallies.groupBy(*batch).agg(*[F.percentile(c, F.array(*[F.lit(q) for _, q in wanted])).alias(c) for c, wanted in of.items()], (F.max("shuttle_speed") > 0).alias("has_shuttle"))
+        return rallies.join(tops.select(*batch, "has_shuttle", *[F.col(c)[i].alias(name) for c, wanted in of.items() for i, (name, _) in enumerate(wanted)]), batch)
     tops = overall_percentiles(rallies, MEASURES).crossJoin(rallies.agg((F.max("shuttle_speed") > 0).alias("has_shuttle")))
     return rallies.crossJoin(F.broadcast(tops))  # one row
 
@@ -103,19 +104,21 @@ def scores(rallies: DataFrame, batch: list[str]) -> DataFrame:
     """
     zeros = {c: 0.0 for c in ("duration", "shots", "tempo", "finish_tempo", "speed", "motion_peak", "strength_p90", "shuttle_speed", "presence", "smashes", "tempo_variance", "speech_bonus")}
     given = rallies.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in {**zeros, "streak": 1.0}.items()})
-    rows = measured(given, batch).crossJoin(F.broadcast(presets(rallies.sparkSession)))  # six rows
-    grows = lambda x, s: 1 - F.exp(-F.col(x) / F.greatest(0.55 * F.col(s), F.lit(1.0)))
+    rows = measured(given, batch)
     over = lambda x, top: clipped(F.col(x) / F.greatest(F.col(top), F.lit(1.0)), 0.0, 1.0)
     strength, presence = capped("strength_p90", "strength_85", 1.2), capped("presence", "presence_85", 1.2)
+    # what no preset changes comes before they are crossed in
     rows = rows.withColumns({
-        "length": 100 * clipped(0.62 * grows("shots", "shot_saturate") + 0.38 * grows("duration", "dur_saturate"), 0, 1),
         "intensity": 100 * clipped(0.38 * capped("speed", "speed_85", 1.2) + 0.22 * capped("motion_peak", "motion_85", 1.2) + 0.18 * capped("tempo", "tempo_85", 1.2) + 0.22 * capped("finish_tempo", "finish_85", 1.3), 0, 1),
         "technique": 100 * clipped(F.when(F.col("has_shuttle"), 0.42 * capped("shuttle_speed", "shuttle_85", 1.2) + 0.34 * strength + 0.24 * presence).otherwise(0.55 * strength + 0.45 * presence), 0, 1),
         "highlight": 100 * clipped(0.40 * over("smashes", "smashes_90") + 0.35 * over("streak", "streak_90") + 0.25 * over("tempo_variance", "variance_90"), 0, 1),
         "production": F.coalesce(100 * clipped(0.45 * clipped(F.col("sharpness"), 0, 1) + 0.25 * (1 - clipped(F.col("shake"), 0, 1)) + 0.30 * clipped(F.when(F.col("subject_size").isNotNull(), F.col("subject_size") / 0.35), 0, 1), 0, 1) + F.col("sharpness") * 0 + F.col("shake") * 0 + F.col("subject_size") * 0, F.lit(70.0)),
-    })
-    surge = clipped((F.col("finish_tempo") - F.col("finish_50")) / (F.col("finish_90") - F.col("finish_50") + 1e-9), 0.0, 1.0)
-    rows = rows.withColumn("excitement", 100 * clipped(0.30 * F.col("length") / 100 + 0.30 * F.col("intensity") / 100 + 0.20 * surge + 0.20 * clipped((F.col("shots") - 6.0) / 14.0, 0.0, 1.0), 0, 1))
+        "surge": clipped((F.col("finish_tempo") - F.col("finish_50")) / (F.col("finish_90") - F.col("finish_50") + 1e-9), 0.0, 1.0),
+    }).drop(*[name for name, _, _ in MEASURES], "has_shuttle")
+    rows = rows.crossJoin(F.broadcast(presets(rallies.sparkSession)))  # six rows
+    grows = lambda x, s: 1 - F.exp(-F.col(x) / F.greatest(0.55 * F.col(s), F.lit(1.0)))
+    rows = rows.withColumn("length", 100 * clipped(0.62 * grows("shots", "shot_saturate") + 0.38 * grows("duration", "dur_saturate"), 0, 1))
+    rows = rows.withColumn("excitement", 100 * clipped(0.30 * F.col("length") / 100 + 0.30 * F.col("intensity") / 100 + 0.20 * F.col("surge") + 0.20 * clipped((F.col("shots") - 6.0) / 14.0, 0.0, 1.0), 0, 1)).drop("surge")
     total = sum((F.col(f"w_{p}") * F.col(p) for p in PARTS[1:]), F.col("w_length") * F.col("length")) * (0.75 + 0.25 * clipped(F.coalesce("confidence", F.lit(0.5)), 0, 1)) + F.col("speech_bonus")
     return rows.withColumn("raw", total).withColumn("total", clipped(F.col("raw"), 0, 100))
 
