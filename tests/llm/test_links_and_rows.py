@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_as_sql_says(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         duck.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = duck.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SF).select(*want.columns).collect()
