@@ -186,3 +186,44 @@ def holes(boxes: DataFrame, fps: float, longest: float = 2.0) -> DataFrame:
     sides = [(F.col(f"b.{c}") + (F.col(f"c.{c}") - F.col(f"b.{c}")) * part).alias(c) for c in ("x1", "y1", "x2", "y2")]
     filled = rows.select("media_id", F.col("f").alias("frame"), "track", *sides, ((F.col("b.conf") + F.col("c.conf")) / 2).alias("conf"))
     return filled.join(boxes.select(*FRAME).distinct(), list(FRAME), "left_anti")
+
+
+def shifted_out(polygons: DataFrame, by: float) -> DataFrame:
+    """polygons (..., polygon: array<struct<x, y>>) with every edge moved outward by by, meeting at the corners' mitres.
+
+    Edges without length go. Two edges in line meet where the first one's start went. Polygons of fewer than three
+    edges, and those that don't become larger, stay as they are. A null polygon stays null.
+    """
+    p = F.col("polygon")
+    n = F.size(p)
+    to = lambda xs, i, m: F.get(xs, F.pmod(i + 1, m))
+    wedge = lambda xs: F.aggregate(F.transform(xs, lambda a, i: a["x"] * to(xs, i, F.size(xs))["y"] - to(xs, i, F.size(xs))["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    ways = F.transform(p, lambda a, i: F.struct(a["x"].alias("x"), a["y"].alias("y"), (to(p, i, n)["x"] - a["x"]).alias("dx"), (to(p, i, n)["y"] - a["y"]).alias("dy")))
+    rows = polygons.withColumns({"signed": wedge(p), "ways": F.filter(ways, lambda e: F.hypot(e["dx"], e["dy"]) >= 1e-9)})
+    sign = F.when(F.col("signed") > 0, by).otherwise(-by)
+    unit = lambda e, c: e[c] / F.hypot(e["dx"], e["dy"])
+    rows = rows.withColumn("lines", F.transform("ways", lambda e: F.struct((e["x"] + sign * unit(e, "dy")).alias("x"), (e["y"] - sign * unit(e, "dx")).alias("y"), unit(e, "dx").alias("dx"), unit(e, "dy").alias("dy"))))
+
+    def corner(i: Column) -> Column:
+        """Where the line before the corner meets its own."""
+        m = F.size("lines")
+        a, b = F.get("lines", F.pmod(i - 1, m)), F.get("lines", i)
+        turn = a["dx"] * b["dy"] - a["dy"] * b["dx"]
+        t = F.when(F.abs(turn) < 1e-9, 0.0).otherwise(((b["x"] - a["x"]) * b["dy"] - (b["y"] - a["y"]) * b["dx"]) / turn)
+        return F.struct((a["x"] + a["dx"] * t).alias("x"), (a["y"] + a["dy"] * t).alias("y"))
+
+    rows = rows.withColumn("out", F.when(F.size("lines") >= 3, F.transform("lines", lambda _, i: corner(i))))
+    larger = F.abs(wedge(F.col("out"))) > F.abs(F.col("signed"))
+    return rows.withColumn("polygon", F.when(larger & F.lit(by > 0), F.col("out")).otherwise(p)).drop("signed", "ways", "lines", "out")
+
+
+def within(x: Column, y: Column, polygon: Column) -> Column:
+    """in_polygon for a column of polygons, a point on an edge's right side included; true for fewer than three corners, null for a null polygon."""
+    n = F.size(polygon)
+
+    def crosses(a: Column, i: Column) -> Column:
+        b = F.get(polygon, F.pmod(i + 1, n))
+        return ((a["y"] > y) != (b["y"] > y)) & (x <= (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+    hits = F.aggregate(F.transform(polygon, lambda a, i: crosses(a, i).cast("int")), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    return F.when(n < 3, True).otherwise(F.pmod(hits, F.lit(2)) == 1)

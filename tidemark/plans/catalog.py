@@ -9,7 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import scoring as sc
 from tidemark.operators import series as se
-from tidemark.plans import boxes, evidence, fusion, labels, records, scores, segmentation, spans, tracks
+from tidemark.plans import boxes, evidence, fusion, labels, players, records, scores, segmentation, spans, tracks
 from tidemark.sources import tables as tb
 
 FLAGSHIP = "segment_score"
@@ -187,7 +187,7 @@ _ALL = {
 }
 
 
-for _more in (boxes, labels, records, fusion, scores, spans, evidence, segmentation, tracks):
+for _more in (boxes, labels, records, fusion, scores, spans, evidence, segmentation, tracks, players):
     if _twice := _ALL.keys() & _more.ALL.keys():
         raise ValueError(f"queries of the same name: {sorted(_twice)}")
     _ALL |= _more.ALL

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 
 def with_time(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("media_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("strength"))
+    return events.select(F.col("user_id").alias("media_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("strength"))
 
 
 def arriving(spark: SparkSession, folder: str, schema, late: str, files_at_once: int = 1) -> DataFrame:
@@ -57,3 +59,96 @@ def hysteresis(events: DataFrame, lo: float, hi: float) -> DataFrame:
         yield pd.DataFrame(out, columns=["media_id", "ts", "on"])
 
     return events.select("media_id", "ts", "strength").groupBy("media_id").applyInPandasWithState(turns, "media_id long, ts timestamp, on boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _high(xs: list[float], share: float) -> float:
+    """The share's percentile, linear between the values beside it."""
+    xs, at = sorted(xs), share * (len(xs) - 1)
+    lo = int(at)
+    return xs[lo] + (xs[min(lo + 1, len(xs) - 1)] - xs[lo]) * (at - lo)
+
+
+def against_ring(events: DataFrame, silence: float, half: int = 15, share: float = 0.85) -> DataFrame:
+    """(media_id, us, event_id, excess): an event's strength above the share's percentile of the ring of 2 * half + 1 events around it.
+
+    events are (media_id, ts, event_id, strength); a gap of over silence seconds ends a run. A run's first half events
+    are its warm-up and have no row, nor has a run that doesn't fill the ring; its last half events are held against
+    its last ring. Equal times go by event_id. Rows with a null are ignored, as are those of an empty table.
+    """
+    size = 2 * half + 1
+    rows = events.select("media_id", F.unix_micros("ts").alias("us"), "event_id", F.col("strength").cast("double").alias("strength")).dropna()
+    order = W.partitionBy("media_id").orderBy("us", "event_id")
+    begins = F.coalesce(F.col("us") - F.lag("us").over(order) > int(silence * 1e6), F.lit(False))
+    rows = rows.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    of = W.partitionBy("media_id", "run").orderBy("us", "event_id")
+    rows = rows.withColumns({"ring": F.collect_list(F.struct("us", "event_id", "strength")).over(of.rowsBetween(1 - size, 0)), "ends": F.lead("us").over(of).isNull()}).where(F.size("ring") == size)
+    at = share * (size - 1)
+    values = F.array_sort(F.transform("ring", lambda r: r["strength"]))
+    lo, hi = F.get(values, F.lit(int(at))), F.get(values, F.lit(min(int(at) + 1, size - 1)))
+    rows = rows.withColumn("high", lo + (hi - lo) * (at - int(at)))
+    held = F.explode(F.when(F.col("ends"), F.slice("ring", half + 1, half + 1)).otherwise(F.slice("ring", half + 1, 1))).alias("e")
+    return rows.select("media_id", held, "high").select("media_id", "e.us", "e.event_id", (F.col("e.strength") - F.col("high")).alias("excess"))
+
+
+class _Ring(StatefulProcessor):
+    """Events wait until the watermark has passed them, then enter the ring in order; a timer ends a silent run."""
+
+    def __init__(self, silence: float, half: int, share: float) -> None:
+        self.silence, self.half, self.share = int(silence * 1e6), half, share
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, strength double")
+        self.ring = handle.getListState("ring", "us long, event_id long, strength double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [(int(u), int(e), float(x)) for df in rows for u, e, x in zip(df.us, df.event_id, df.strength) if u > passed]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0], passed)
+        return iter(())
+
+    def _wake(self, us: int, passed: int) -> None:
+        self.handle.registerTimer(max(us, passed) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        ring, size, out = [tuple(r) for r in self.ring.get()], 2 * self.half + 1, []
+
+        def held(first: int, last: int) -> None:
+            if len(ring) == size:
+                high = _high([r[2] for r in ring], self.share)
+                out.extend((key[0], u, e, x - high) for u, e, x in ring[first:last])
+
+        later = [r for r in waiting if r[0] > passed]
+        for row in waiting[: len(waiting) - len(later)]:
+            if ring and row[0] - ring[-1][0] > self.silence:
+                held(self.half + 1, size)
+                ring = []
+            ring = (ring + [row])[-size:]
+            held(self.half, self.half + 1)
+        if ring and passed >= ring[-1][0] + self.silence:
+            held(self.half + 1, size)
+            ring = []
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.ring.put(ring) if ring else self.ring.clear()
+        if later:
+            self._wake(later[0][0], passed)
+        if ring:
+            self._wake(ring[-1][0] + self.silence, passed)
+        yield pd.DataFrame(out, columns=["media_id", "us", "event_id", "excess"])
+
+    def close(self) -> None:
+        pass
+
+
+def ring_stream(events: DataFrame, silence: float, half: int = 15, share: float = 0.85) -> DataFrame:
+    """against_ring for a stream with a watermark on ts: the rows of the stored table but for events that came behind the watermark, which are ignored.
+
+    State is the ring and what the watermark hasn't passed yet; a medium that falls silent leaves none. It needs the
+    RocksDB state store.
+    """
+    rows = events.select("media_id", "ts", F.unix_micros("ts").alias("us"), "event_id", F.col("strength").cast("double").alias("strength")).dropna()
+    return rows.groupBy("media_id").transformWithStateInPandas(_Ring(silence, half, share), "media_id long, us long, event_id long, excess double", "append", "EventTime")
