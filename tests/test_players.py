@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boxes as bx
+from tidemark.operators import evidence as be
 from tidemark.operators import heat, players, pose
 from tidemark.operators import spans as sp
+from tidemark.operators import timeline as tl
 
 BOX = "media_id long, frame long, track long, box_id long, x1 double, y1 double, x2 double, y2 double, conf double"
 PEOPLE = "media_id long, frame long, person long, points array<struct<x: double, y: double, conf: double>>"
@@ -243,3 +245,115 @@ def test_polygons_that_cannot_grow_stay(spark):
     grown = [(p.x, p.y) for p in bx.shifted_out(_polygon(spark, CONVEX), 0.1).first().polygon]
     round_ = sum(math.dist(a, b) for a, b in zip(CONVEX, CONVEX[1:] + CONVEX[:1]))
     assert area(grown) > area(CONVEX) + 0.1 * round_
+
+
+def test_next_targets(spark):
+    rnd = random.Random(8)
+    queue = [(s, m, m + 10 * s, 100 * s + 20 * m + k, st, st + rnd.choice([1.0, 4.0])) for s in range(2) for m in (1, 3, 4) for k in range(6) for st in [float(rnd.randrange(0, 30))]]
+    asks = [(i, rnd.choice([0, 1, 2, None]), m, None, rnd.choice([None, *[rnd.randrange(0, 360) / 10 for _ in range(9)], 30.94, 0.0])) for i in range(400) for m in [rnd.choice([0, 1, 2, 3, 4, 5])]]
+    asks = [(i, s, m, None if s is None else m + 10 * s, t) for i, s, m, _, t in asks]
+    got = {r.position: (r.verdict, r.next_media, r.next_id) for r in tl.next_targets(spark.createDataFrame(asks, "position long, scope long, nth_medium long, media_id long, t double").repartition(3), spark.createDataFrame(queue, "scope long, nth_medium long, media_id long, rally_id long, start double, end double").repartition(3), 3.0).collect()}
+    assert len(got) == 400
+    for i, s, m, media, t in asks:
+        q = sorted((r for r in queue if r[0] == s), key=lambda r: (r[1], r[4], r[3]))
+        want, at = None, [k for k, r in enumerate(q) if t is not None and r[2] == media and r[4] <= t <= r[5]]
+        if t is None:
+            pass
+        elif at and t < q[at[0]][5] - 0.06:
+            assert got[i] == ("stay", None, None)
+            continue
+        elif at:
+            want = q[at[0] + 1] if at[0] + 1 < len(q) else None
+        else:
+            want = next((r for r in q if (r[4] > t + 0.02 if r[2] == media else r[1] > m)), None)
+        assert got[i] == (("go", want[2], want[3]) if want else ("end", None, None))
+
+
+def view_by_loops(rows, calibrated, foreshort, area, h, hint, aspect):
+    if not rows:
+        return hint or "unknown", 0.9 if hint else 0.0
+    if len(rows) < 8:
+        return "unknown", 0.0
+    x, y = np.array([(r[1] + r[3]) / 2 for r in rows]), np.array([(r[2] + r[4]) / 2 for r in rows])
+    tall = np.array([abs(r[4] - r[2]) for r in rows])
+    spread = lambda v: np.percentile(v, 92) - np.percentile(v, 8)
+    frames, ratios = {}, []
+    for r, t in zip(rows, tall):
+        frames.setdefault(r[0], []).append(t)
+    for ts in frames.values():
+        ts = sorted(ts, reverse=True)
+        if len(ts) > 1 and ts[1] > 1e-9:
+            ratios.append(ts[0] / ts[1])
+    size, mid = (np.median(ratios) if ratios else 1.0), np.median(tall)
+    wide = spread(x) * aspect / max(spread(y), 1e-3)
+    if not calibrated:
+        if mid < 0.11 and wide < 1.6 and size < 2:
+            return "elevated", 0.45
+        if wide > 1.8 and size < 2.2:
+            return "side", 0.5
+        return ("rear", 0.55) if size > 1.8 and wide < 1.6 else ("unknown", 0.3)
+    k = h[6] * x + h[7] * y + h[8]
+    u, v = (h[0] * x + h[1] * y + h[2]) / k, (h[3] * x + h[4] * y + h[5]) / k
+    good = (abs(u) < 3) & (abs(v) < 3)
+    court = spread(u[good]) / max(spread(v[good]), 1e-3) if good.sum() >= 8 else 0.0
+    if hint:
+        return hint, 0.9
+    if mid < 0.11:
+        return ("overhead", min(0.9, 0.5 + area * 0.5)) if foreshort > 0.8 and area > 0.3 else ("elevated", 0.6)
+    if court > 1.5 and size < 2.2:
+        return "side", min(0.9, 0.5 + 0.12 * min(court - 1.5, 3))
+    if court < 1 and size > 1.35:
+        return "rear", min(0.9, 0.5 + 0.15 * min(size - 1.35, 3))
+    if wide > 1.8 and size < 2.2:
+        return "side", 0.5
+    if mid >= 0.16:
+        return "rear", 0.55 if size > 1.6 else 0.4
+    return "unknown", 0.3
+
+
+def test_viewpoints(spark):
+    rnd, rows, media = random.Random(9), {}, []
+    for m in range(150):
+        tall, sx, sy, other = rnd.choice([0.05, 0.14, 0.3]), rnd.choice([0.1, 0.4, 0.8]), rnd.choice([0.1, 0.4]), rnd.choice([1.0, 1.5, 3.0])
+        n = rnd.choice([0, 3, 20, 20, 20, 20])
+        rows[m] = [(f, 0.5 + sx * (x - 0.5), 0.5 + sy * (y - 0.5), 0.6 + sx * (x - 0.5), 0.5 + sy * (y - 0.5) + tall / (1 if k == 0 else other)) for f in range(n) for k in range(rnd.choice([1, 2, 3])) for x, y in [(rnd.random(), rnd.random())]]
+        h = rnd.choice([[1.0, 0, 0, 0, 1, 0, 0, 0, 1], [1.2, 0.1, 0, 0, 2.5, 0, 0.1, 0.2, 1], [0.0] * 6 + [0.0, 0.0, 0.01]])
+        media.append((m, rnd.random() < 0.7, rnd.choice([0.5, 0.9]), rnd.choice([0.2, 0.5]), [float(v) for v in h], rnd.choice([None] * 6 + ["side"])))
+    boxes = spark.createDataFrame([(m, *r) for m, rs in rows.items() for r in rs] + [(0, 0, None, 0.1, 0.2, 0.3)], "media_id long, frame long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.media_id: (r.viewpoint, r.confidence) for r in players.viewpoints(boxes.repartition(3), spark.createDataFrame(media, "media_id long, calibrated boolean, foreshort double, area_ratio double, h array<double>, hint string"), 1.78).collect()}
+    for m, *rest in media:
+        want = view_by_loops(rows[m], *rest, 1.78)
+        assert got[m][0] == want[0] and got[m][1] == pytest.approx(want[1])
+    assert {v for v, _ in got.values()} == {"unknown", "elevated", "side", "rear", "overhead"}
+
+
+def test_rows_of_boundary_samples(spark):
+    labels = spark.createDataFrame([(1, 0.4), (1, 9.9), (1, 50.0), (2, 1.0), (1, None)], "media_id long, t double")
+    stops = spark.createDataFrame([(1, 7, 0.75), (1, 8, 0.75)], "media_id long, rally_id long, t double")
+    channels = spark.createDataFrame([(1, i, float(i)) for i in range(21)], "media_id long, idx long, c double")
+    got = sorted((r.t, r.positive, r.c) for r in be.boundary_samples(labels, stops, channels, 2.0).collect())
+    assert got == [(0.4, True, 1.0), (0.75, False, 2.0), (9.9, True, 20.0), (50.0, True, 20.0)]
+    assert be.boundary_samples(labels, stops, channels, 2.0, (0.0, 5.0)).count() == 2
+
+
+def test_density_weighs_hits_by_evidence(spark):
+    rnd = random.Random(10)
+    value = {m: [rnd.random() for _ in range(60)] for m in range(3)}
+    hits = [(m, rnd.uniform(-1, 70), rnd.choice([None, -0.5, 0.1, 0.5, 1.0, 2.0])) for m in (0, 2) for _ in range(40)]
+    hits += [(1, 5.0, 0.1)]
+    signal = spark.createDataFrame([(m, i, v) for m, vs in value.items() for i, v in enumerate(vs)], "media_id long, idx long, value double")
+    got = {(r.media_id, r.idx): (r.density, r.activity) for r in be.weighted_density(spark.createDataFrame(hits, "media_id long, t double, evidence double"), signal, 1.0, 5, 2.0, 0.6).collect()}
+
+    def scaled(a):
+        lo, hi = np.percentile(a, [5, 95])
+        return np.clip((a - lo) / (hi - lo), 0, 1) if hi - lo >= 1e-9 else np.zeros_like(a)
+
+    for m in range(3):
+        d = np.zeros(60)
+        for _, t, e in (h for h in hits if h[0] == m):
+            w = 0.0 if e is None else min(1, max(0, e)) ** 2
+            d[min(59, max(0, round(t)))] += w if w > 0.02 else 0.0
+        dens = scaled(np.convolve(np.pad(d, 2, mode="edge"), np.ones(5) / 5, mode="valid"))
+        own = scaled(np.array(value[m]))
+        act = scaled(own * (0.4 + 0.6 * dens)) if d.any() else scaled(own)
+        assert [got[m, i][0] for i in range(60)] == pytest.approx(dens) and [got[m, i][1] for i in range(60)] == pytest.approx(act)

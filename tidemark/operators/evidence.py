@@ -152,3 +152,39 @@ def pauses(signal: DataFrame, intervals: DataFrame, fps: float, margin: float, l
     low = (F.col("value") < F.lag("value").over(run)) & (F.col("value") <= F.lead("value").over(run)) & level
     at = signal.withColumn("low", low).where("low").select("media_id", (F.col("idx") / fps).alias("t")).withColumn("bin", F.floor(F.col("t") / width))
     return at.join(binned(intervals.select("media_id", "rally_id", "start", "end"), width), ["media_id", "bin"]).where((F.col("t") >= F.col("start") + margin) & (F.col("t") <= F.col("end") - margin)).select("media_id", "rally_id", "t")
+
+
+def boundary_samples(labels: DataFrame, stops: DataFrame, channels: DataFrame, fps: float, window: tuple[float, float] | None = None) -> DataFrame:
+    """(media_id, t, positive, channels' columns): what a side's boundary template is fitted on.
+
+    labels are (media_id, t) of the side, those within window count; stops are the negatives (see pauses), the same
+    ones for both sides, each once however many labels hold it. The features are those of the nearest frame,
+    halves to the even one, the last frame for later times. channels are (media_id, idx, ...). Times without a medium's channels go.
+    """
+    rows = labels.where("t is not null").select("media_id", "t", F.lit(True).alias("positive"))
+    if window:
+        rows = rows.where(F.col("t").between(*window))
+    rows = rows.unionByName(stops.select("media_id", "t").distinct().withColumn("positive", F.lit(False)))
+    tops = channels.groupBy("media_id").agg(F.max("idx").alias("top"))
+    idx = F.least("top", F.greatest(F.lit(0), F.bround(F.col("t") * fps))).cast("long")
+    return rows.join(tops, "media_id").withColumn("idx", idx).drop("top").join(channels, ["media_id", "idx"]).drop("idx")
+
+
+def weighted_density(hits: DataFrame, signal: DataFrame, fps: float, width: int, power: float = 1.0, weight: float = 0.5, least: float = 0.02) -> DataFrame:
+    """(media_id, idx, density, activity): hits' density, each hit as heavy as its evidence says, and the signal damped where it is thin.
+
+    hits are (media_id, t, evidence from 0 to 1, its power counts; below least, or null, none); signal is
+    (media_id, idx, value) without holes. A medium without heavy hits has density 0 and its signal as it is,
+    both scaled to [0, 1].
+    """
+    w = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("evidence"))), F.lit(power))
+    tops = signal.groupBy("media_id").agg(F.max("idx").alias("top"))
+    at = F.least("top", F.greatest(F.lit(0), F.bround(F.col("t") * fps))).cast("long")
+    heavy = hits.withColumn("w", w).where(F.col("w") > least).join(tops, "media_id").groupBy("media_id", at.alias("idx")).agg(F.sum("w").alias("w"))
+    some = heavy.groupBy("media_id").agg(F.lit(True).alias("some"))
+    rows = signal.join(heavy, ["media_id", "idx"], "left").select("media_id", "idx", F.col("value").alias("raw"), F.coalesce("w", F.lit(0.0)).alias("value"))
+    rows = se.smooth(rows, width).withColumn("value", F.col("smooth"))
+    rows = se.robust_norm(rows, out="density").withColumn("value", F.col("raw"))
+    rows = se.robust_norm(rows, out="own").join(some, "media_id", "left")
+    rows = rows.withColumn("value", F.col("own") * F.when(F.col("some"), 1 - weight + weight * F.col("density")).otherwise(1.0))
+    return se.robust_norm(rows, out="activity").select("media_id", "idx", "density", "activity")

@@ -150,3 +150,51 @@ def shot_sides(shots: DataFrame, servers: DataFrame) -> DataFrame:
     out = shots.join(servers, ["media_id", "rally_id"], "left")
     player = F.when(F.pmod("nth", F.lit(2)) == 0, F.col("server")).otherwise(F.col("receiver"))
     return out.withColumn("player", F.coalesce(player, F.lit("unknown"))).drop("server", "receiver")
+
+
+def viewpoints(boxes: DataFrame, media: DataFrame, aspect: float) -> DataFrame:
+    """(media_id, viewpoint, confidence, spread_x, spread_y, median_height, size_ratio) of each of media: where its camera stands.
+
+    media are (media_id, calibrated, foreshort, area_ratio, h: array of nine numbers, hint). How widely boxes spread
+    in the picture and, through h, on the court, how tall they are and how much a frame's two tallest differ decide.
+    A medium without boxes has its hint, one with fewer than 8 none; a hint counts where the court is calibrated.
+    Null corners make a box count nowhere.
+    """
+    rows = boxes.dropna(subset=["media_id", "frame", "x1", "y1", "x2", "y2"]).select("media_id", "frame", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), bx.height().alias("tall"))
+    tallest = rows.withColumn("nth", F.row_number().over(W.partitionBy("media_id", "frame").orderBy(F.desc("tall")))).where("nth <= 2")
+    two = tallest.groupBy("media_id", "frame").agg(F.max("tall").alias("a"), F.min("tall").alias("b"), F.count("*").alias("k")).where((F.col("k") == 2) & (F.col("b") > 1e-9))
+    ratios = two.groupBy("media_id").agg(F.percentile(F.col("a") / F.col("b"), F.lit(0.5)).alias("size_ratio"))
+    spread = lambda c: F.percentile(c, F.lit(0.92)) - F.percentile(c, F.lit(0.08))
+    part = lambda k: F.get("h", F.lit(k)) * F.col("x") + F.get("h", F.lit(k + 1)) * F.col("y") + F.get("h", F.lit(k + 2))
+    third = F.when(F.abs(part(6)) > 1e-12, part(6))
+    placed = rows.join(media.where("calibrated").select("media_id", "h"), "media_id", "left").withColumns({"u": part(0) / third, "v": part(3) / third})
+    good = (F.abs("u") < 3) & (F.abs("v") < 3)
+    stats = placed.groupBy("media_id").agg(F.count("*").alias("n"), (spread("x") * aspect).alias("spread_x"), spread("y").alias("spread_y"), F.percentile("tall", F.lit(0.5)).alias("median_height"), F.count_if(good).alias("good"), spread(F.when(good, F.col("u"))).alias("su"), spread(F.when(good, F.col("v"))).alias("sv"))
+    rows = media.join(stats, "media_id", "left").join(ratios, "media_id", "left")
+    size, tall = F.coalesce("size_ratio", F.lit(1.0)), F.col("median_height")
+    least = F.lit(1e-3)
+    wide = F.col("spread_x") / F.greatest("spread_y", least)
+    on_court = F.when(F.col("good") >= 8, F.col("su") / F.greatest("sv", least)).otherwise(0.0)
+    short, ok, few = tall < 0.11, F.coalesce("calibrated", F.lit(False)), F.col("n") < 8
+    grown = lambda base, rate, x: F.least(F.lit(0.9), base + rate * F.least(x, F.lit(3.0)))
+    none = F.lit("unknown")
+    rules = [
+        (F.col("n").isNull(), F.coalesce("hint", none), F.when(F.col("hint").isNotNull(), 0.9).otherwise(0.0)),
+        (few, none, F.lit(0.0)),
+        (~ok & short & (wide < 1.6) & (size < 2.0), F.lit("elevated"), F.lit(0.45)),
+        (~ok & (wide > 1.8) & (size < 2.2), F.lit("side"), F.lit(0.5)),
+        (~ok & (size > 1.8) & (wide < 1.6), F.lit("rear"), F.lit(0.55)),
+        (~ok, none, F.lit(0.3)),
+        (F.col("hint").isin("rear", "side", "elevated", "overhead"), F.col("hint"), F.lit(0.9)),
+        (short & (F.col("foreshort") > 0.80) & (F.col("area_ratio") > 0.30), F.lit("overhead"), F.least(F.lit(0.9), 0.5 + 0.5 * F.col("area_ratio"))),
+        (short, F.lit("elevated"), F.lit(0.6)),
+        ((on_court > 1.5) & (size < 2.2), F.lit("side"), grown(0.5, 0.12, on_court - 1.5)),
+        ((on_court < 1.0) & (size > 1.35), F.lit("rear"), grown(0.5, 0.15, size - 1.35)),
+        ((wide > 1.8) & (size < 2.2), F.lit("side"), F.lit(0.5)),
+        ((size > 1.6) & (tall >= 0.16), F.lit("rear"), F.lit(0.55)),
+        (tall >= 0.16, F.lit("rear"), F.lit(0.4)),
+    ]
+    seen, sure = none, F.lit(0.3)
+    for when, name, confidence in reversed(rules):
+        seen, sure = F.when(when, name).otherwise(seen), F.when(when, confidence).otherwise(sure)
+    return rows.select("media_id", seen.alias("viewpoint"), sure.alias("confidence"), "spread_x", "spread_y", "median_height", F.when(F.col("n").isNotNull(), size).alias("size_ratio"))

@@ -86,3 +86,31 @@ def next_after(rallies: DataFrame, margin: float) -> DataFrame:
     ahead = W.partitionBy("media_id").orderBy("p", "kind", "rally_id").rowsBetween(1, W.unboundedFollowing)
     found = F.first(F.when(F.col("kind") == 1, F.col("rally_id")), ignorenulls=True).over(ahead)
     return points.withColumn("next_id", found).where("kind = 2").select("media_id", "rally_id", "next_id")
+
+
+def next_targets(positions: DataFrame, queue: DataFrame, width: float, tail: float = 0.06, ahead: float = 0.02) -> DataFrame:
+    """positions (position, scope, media_id, t) with verdict, next_media and next_id: what to play next.
+
+    queue is (scope, nth_medium, media_id, rally_id, start, end), played by nth_medium, start and rally_id; positions
+    carry nth_medium, too, as their medium need not have a rally. Inside a rally (of several, the first in the queue) the verdict is 'stay' until tail before its end, and then the rally
+    after it. Outside, it is the medium's first one that starts more than ahead later, else the first of a later
+    medium. The verdict is 'go', or 'end' where the queue has no more; width is about a rally's length.
+    Positions without a time or scope end. An empty queue ends all.
+    """
+    order = W.partitionBy("scope").orderBy("nth_medium", "start", "rally_id")
+    q = queue.withColumn("next", F.lead(F.struct("media_id", "rally_id")).over(order))
+    inside = q.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    here = positions.withColumn("bin", F.floor(F.col("t") / width)).join(inside.select("scope", "media_id", "bin", "start", "end", "rally_id", "next"), ["scope", "media_id", "bin"])
+    here = here.where(F.col("t").between(F.col("start"), F.col("end"))).groupBy("position").agg(F.min_by(F.struct("end", "next"), F.struct("start", "rally_id")).alias("now"))
+    marks = q.select("scope", "nth_medium", F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("position"), F.struct("start", "rally_id", "media_id").alias("rally"))
+    asks = positions.select("scope", "nth_medium", (F.col("t") + ahead).alias("at"), F.lit(1).alias("kind"), "position", F.lit(None).cast(marks.schema["rally"].dataType).alias("rally"))
+    later = W.partitionBy("scope").orderBy(F.desc("nth_medium"), F.desc("at"), F.desc("kind"), F.desc("rally.rally_id"))
+    found = marks.unionByName(asks)
+    found = found.where("at is not null").withColumn("after", F.last("rally", ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, 0)))
+    found = found.where("kind = 1").select("position", "after")
+    rows = positions.join(here, "position", "left").join(found, "position", "left")
+    target = F.when(F.col("now").isNotNull(), F.col("now.next")).otherwise(F.struct(F.col("after.media_id").alias("media_id"), F.col("after.rally_id").alias("rally_id")))
+    stay = F.col("now").isNotNull() & (F.col("t") < F.col("now.end") - tail)
+    rows = rows.withColumn("target", F.when(~F.coalesce(stay, F.lit(False)), target))
+    verdict = F.when(F.coalesce(stay, F.lit(False)), "stay").when(F.col("target.rally_id").isNotNull(), "go").otherwise("end")
+    return rows.select("position", verdict.alias("verdict"), F.col("target.media_id").alias("next_media"), F.col("target.rally_id").alias("next_id"))

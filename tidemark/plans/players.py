@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import boxes as bx
+from tidemark.operators import evidence as be
 from tidemark.operators import heat, players, pose
+from tidemark.operators import timeline as tl
+from tidemark.plans import evidence as pe
+from tidemark.plans.boxes import MAP
 from tidemark.plans.boxes import _WITH as _BOXES
 from tidemark.plans.labels import rounded
 from tidemark.plans.tracks import SLOW, fragments
@@ -62,6 +66,34 @@ def _ring(s, d):
     return rounded(twins.against_ring(twins.with_time(tb.read(s, d, "events")), SILENCE), "excess")
 
 
+def _views(s, d):
+    """Labels in place of media, their camera in place of a customer's account."""
+    b = tb.boxes(s, d).select(F.col("track").alias("media_id"), "frame", "x1", "y1", "x2", "y2")
+    k = F.col("c_custkey")
+    media = tb.read(s, d, "customer").where("c_custkey < 40").select(k.alias("media_id"), (k % 3 > 0).alias("calibrated"), (k % 10 / 9.0).alias("foreshort"), (k % 7 / 6.0).alias("area_ratio"), F.array(*[F.lit(float(v)) for v in MAP]).alias("h"), F.when(k % 5 == 0, "rear").alias("hint"))
+    return rounded(players.viewpoints(b, media, 1.78), "confidence", "spread_x", "spread_y", "median_height", "size_ratio")
+
+
+def _next(s, d):
+    """Nations as scopes, hits as the places where playing stands."""
+    who = tb.read(s, d, "customer").select(F.col("c_custkey").alias("media_id"), F.col("c_custkey").alias("nth_medium"), F.col("c_nationkey").alias("scope"))
+    queue = tb.rallies(s, d).where("rally_id % 3 = 0").join(who, "media_id").select("scope", "nth_medium", "media_id", "rally_id", "start", "end")
+    first = queue.groupBy("media_id").agg(F.min("start").alias("first"))
+    asks = tb.hits(s, d).join(who, "media_id").join(first, "media_id", "left").select(F.col("hit_idx").alias("position"), "scope", "nth_medium", "media_id", (F.col("first") - 5 + F.pmod("hit_idx", F.lit(5000)) / 2.0).alias("t"))
+    return tl.next_targets(asks, queue, 30.0)
+
+
+def _density(s, d):
+    first = tb.hits(s, d).groupBy("media_id").agg(F.min("t").alias("first"))
+    h = tb.hits(s, d).join(first, "media_id").select("media_id", (F.col("t") - F.col("first")).alias("t"), F.col("confidence").alias("evidence"))
+    return rounded(be.weighted_density(h, tb.signal(s, d), 1.0, 5, 2.0, 0.6), "density", "activity")
+
+
+def _samples(s, d):
+    ends = pe._span_intervals(s, d).select("media_id", F.col("end").alias("t"))
+    return rounded(be.boundary_samples(ends, pe._pauses(s, d), be.side_channels(pe._motion(s, d), "end", pe.FPS, 0.2), pe.FPS), "t", *be.CHANNELS)
+
+
 _CELLS = """WITH p AS (SELECT vec_id % 4 AS media_id, vec_id // 4 AS idx, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT a.media_id, a.idx - 1 AS idx, unnest(range(64)) AS cell, unnest(a.e) AS v, unnest(b.e) AS w FROM p a JOIN p b ON a.media_id = b.media_id AND a.idx = b.idx + 1),
 d AS (SELECT media_id, idx, cell % 8 AS cell_x, cell // 8 AS cell_y, abs(v - w) AS value FROM c)"""
@@ -127,7 +159,54 @@ r AS (SELECT *, sum(begins) OVER (PARTITION BY media_id ORDER BY us, event_id) A
 n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY media_id, run) AS n, quantile_cont(v, 0.85) OVER (w ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS high FROM r WINDOW w AS (PARTITION BY media_id, run ORDER BY us, event_id))
 SELECT e.media_id, e.us, e.event_id, round(e.v - g.high, 6) AS excess FROM n e JOIN n g ON g.media_id = e.media_id AND g.run = e.run AND g.i = least(e.n, e.i + 15) WHERE e.n >= 31 AND e.i >= 16"""
 
+_VIEWS_SQL = _BOXES + """, b AS (SELECT track AS media_id, frame, x, (y1 + y2) / 2 AS y, h FROM m),
+c AS (SELECT c_custkey AS media_id, c_custkey % 3 > 0 AS ok, (c_custkey % 10) / 9.0::DOUBLE AS fore, (c_custkey % 7) / 6.0::DOUBLE AS area, CASE WHEN c_custkey % 5 = 0 THEN 'rear' END AS hint FROM customer WHERE c_custkey < 40),
+w AS (SELECT *, 0.1::DOUBLE * x + 0.2::DOUBLE * y + 1 AS k FROM b),
+p AS (SELECT *, (1.2 * x + 0.1 * y - 0.05) / k AS u, (0.05 * x + 0.9 * y + 0.02) / k AS v FROM w),
+s AS (SELECT media_id, count(*) AS n, (quantile_cont(x, 0.92) - quantile_cont(x, 0.08)) * 1.78 AS sx, quantile_cont(y, 0.92) - quantile_cont(y, 0.08) AS sy, quantile_cont(h, 0.5) AS mh, count_if(abs(u) < 3 AND abs(v) < 3) AS good,
+  quantile_cont(u, 0.92) FILTER (abs(u) < 3 AND abs(v) < 3) - quantile_cont(u, 0.08) FILTER (abs(u) < 3 AND abs(v) < 3) AS su, quantile_cont(v, 0.92) FILTER (abs(u) < 3 AND abs(v) < 3) - quantile_cont(v, 0.08) FILTER (abs(u) < 3 AND abs(v) < 3) AS sv FROM p GROUP BY 1),
+t AS (SELECT media_id, frame, h, row_number() OVER (PARTITION BY media_id, frame ORDER BY h DESC) AS nth FROM b),
+r AS (SELECT media_id, quantile_cont(a / z, 0.5) AS sr FROM (SELECT media_id, frame, max(h) AS a, min(h) AS z FROM t WHERE nth <= 2 GROUP BY 1, 2 HAVING count(*) = 2 AND min(h) > 1e-9) GROUP BY 1),
+f AS (SELECT c.*, n, sx, sy, mh, CASE WHEN n IS NOT NULL THEN coalesce(sr, 1) END AS sr, sx / greatest(sy, 1e-3) AS hz, CASE WHEN ok AND good >= 8 THEN su / greatest(sv, 1e-3) ELSE 0 END AS uv FROM c LEFT JOIN s USING (media_id) LEFT JOIN r USING (media_id)),
+g AS (SELECT *, CASE WHEN n IS NULL THEN (coalesce(hint, 'unknown'), CASE WHEN hint IS NULL THEN 0 ELSE 0.9 END::DOUBLE) WHEN n < 8 THEN ('unknown', 0::DOUBLE)
+  WHEN NOT ok AND mh < 0.11 AND hz < 1.6 AND sr < 2 THEN ('elevated', 0.45::DOUBLE) WHEN NOT ok AND hz > 1.8 AND sr < 2.2 THEN ('side', 0.5::DOUBLE) WHEN NOT ok AND sr > 1.8 AND hz < 1.6 THEN ('rear', 0.55::DOUBLE) WHEN NOT ok THEN ('unknown', 0.3::DOUBLE)
+  WHEN hint IS NOT NULL THEN (hint, 0.9::DOUBLE) WHEN mh < 0.11 AND fore > 0.8 AND area > 0.3 THEN ('overhead', least(0.9, 0.5 + 0.5 * area)::DOUBLE) WHEN mh < 0.11 THEN ('elevated', 0.6::DOUBLE)
+  WHEN uv > 1.5 AND sr < 2.2 THEN ('side', least(0.9, 0.5 + 0.12 * least(uv - 1.5, 3))::DOUBLE) WHEN uv < 1 AND sr > 1.35 THEN ('rear', least(0.9, 0.5 + 0.15 * least(sr - 1.35, 3))::DOUBLE)
+  WHEN hz > 1.8 AND sr < 2.2 THEN ('side', 0.5::DOUBLE) WHEN sr > 1.6 AND mh >= 0.16 THEN ('rear', 0.55::DOUBLE) WHEN mh >= 0.16 THEN ('rear', 0.4::DOUBLE) ELSE ('unknown', 0.3::DOUBLE) END AS z FROM f)
+SELECT media_id, z[1] AS viewpoint, round(z[2], 6)::DOUBLE AS confidence, round(sx, 6)::DOUBLE AS spread_x, round(sy, 6)::DOUBLE AS spread_y, round(mh, 6)::DOUBLE AS median_height, round(sr, 6)::DOUBLE AS size_ratio FROM g"""
+
+_NEXT_SQL = """WITH q AS (SELECT c_nationkey AS scope, o_custkey AS media_id, o_orderkey AS rally_id, epoch_us(o_orderdate) / 8.64e10 AS start, epoch_us(o_orderdate) / 8.64e10 + o_totalprice / 10000 AS end_ FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY media_id, start, rally_id) AS k FROM q),
+s AS (SELECT media_id, min(start) AS first FROM q GROUP BY 1),
+a AS (SELECT event_id AS position, c_nationkey AS scope, user_id AS media_id, first - 5 + (event_id % 5000) / 2.0::DOUBLE AS t FROM events JOIN customer ON c_custkey = user_id LEFT JOIN s ON s.media_id = user_id),
+i AS (SELECT position, arg_min(n.end_, k) AS end_, min(k) AS k FROM a JOIN n ON n.media_id = a.media_id AND t BETWEEN n.start AND n.end_ GROUP BY 1),
+l AS (SELECT position, min(k) AS k FROM a JOIN n ON n.scope = a.scope AND ((n.media_id = a.media_id AND n.start > t + 0.02::DOUBLE) OR (n.media_id > a.media_id AND t IS NOT NULL)) GROUP BY 1),
+r AS (SELECT a.*, i.k IS NOT NULL AND t < i.end_ - 0.06::DOUBLE AS stay, coalesce(i.k + 1, l.k) AS k FROM a LEFT JOIN i USING (position) LEFT JOIN l USING (position))
+SELECT position, CASE WHEN stay THEN 'stay' WHEN n.rally_id IS NOT NULL THEN 'go' ELSE 'end' END AS verdict, CASE WHEN NOT stay THEN n.media_id END AS next_media, CASE WHEN NOT stay THEN n.rally_id END AS next_id FROM r LEFT JOIN n ON n.scope = r.scope AND n.k = r.k"""
+
+_SAMPLES_SQL = pe._SPANS + pe._channels_sql("end")[len(pe._MOTION):] + f""", lw AS (SELECT *, lag(value) OVER (PARTITION BY media_id ORDER BY idx) AS b, lead(value) OVER (PARTITION BY media_id ORDER BY idx) AS a FROM motion QUALIFY value < b AND value <= a AND value <= 0.5),
+st AS (SELECT DISTINCT g.media_id, idx / {pe.FPS}::DOUBLE AS t FROM mg g JOIN lw ON lw.media_id = g.media_id AND idx / {pe.FPS}::DOUBLE >= g.first / {pe.FPS}::DOUBLE + 1 AND idx / {pe.FPS}::DOUBLE <= (g.last + 1) / {pe.FPS}::DOUBLE - 1),
+al AS (SELECT media_id, (last + 1) / {pe.FPS}::DOUBLE AS t, true AS positive FROM mg UNION ALL SELECT media_id, t, false FROM st), tp AS (SELECT media_id, max(idx) AS top FROM motion GROUP BY 1)
+SELECT al.media_id, round(t, 6) AS t, positive, {", ".join(f"round(ch.{c}, 6) AS {c}" for c in be.CHANNELS)} FROM al JOIN tp USING (media_id) JOIN ch ON ch.media_id = al.media_id AND ch.idx = least(top, round_even(t * {pe.FPS}, 0))"""
+
+_NORM = "CASE WHEN p95_{0} - p5_{0} < 1e-9 THEN 0 ELSE least(1, greatest(0, ({0} - p5_{0}) / (p95_{0} - p5_{0}))) END"
+_ENDS = "quantile_cont({0}, 0.05) OVER (PARTITION BY media_id) AS p5_{0}, quantile_cont({0}, 0.95) OVER (PARTITION BY media_id) AS p95_{0}"
+_DENSITY_SQL = f"""WITH h AS (SELECT user_id AS media_id, epoch_us(ts) / 3.6e9 - min(epoch_us(ts) / 3.6e9) OVER (PARTITION BY user_id) AS t, (json_extract_string(props, '$.k')::DOUBLE / 99) ^ 2 AS w FROM events),
+g AS (SELECT l_suppkey AS media_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS idx, l_quantity AS value FROM lineitem),
+top AS (SELECT media_id, max(idx) AS top FROM g GROUP BY 1),
+b AS (SELECT media_id, least(top, greatest(0, round_even(t, 0)))::BIGINT AS idx, sum(w) AS w FROM h JOIN top USING (media_id) WHERE w > 0.02 GROUP BY 1, 2),
+r AS (SELECT g.*, coalesce(w, 0) AS w, top FROM g JOIN top USING (media_id) LEFT JOIN b USING (media_id, idx)),
+s AS (SELECT *, (sum(w) OVER (z ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(0, 2 - idx) * first_value(w) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + greatest(0, 2 - (top - idx)) * last_value(w) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 5 AS sm FROM r WINDOW z AS (PARTITION BY media_id ORDER BY idx)),
+e AS (SELECT *, {_ENDS.format('sm')}, {_ENDS.format('value')}, max(w) OVER (PARTITION BY media_id) > 0 AS heavy FROM s),
+d AS (SELECT media_id, idx, heavy, {_NORM.format('sm')} AS density, {_NORM.format('value')} AS own FROM e),
+a AS (SELECT *, own * CASE WHEN heavy THEN 0.4::DOUBLE + 0.6::DOUBLE * density ELSE 1 END AS act FROM d), k AS (SELECT *, {_ENDS.format('act')} FROM a)
+SELECT media_id, idx, round(density, 6)::DOUBLE AS density, round({_NORM.format('act')}, 6)::DOUBLE AS activity FROM k"""
+
 ALL = {
+    "ag_viewpoint": (_views, _VIEWS_SQL),
+    "so_next_target": (_next, _NEXT_SQL),
+    "sg_sample_rows": (_samples, _SAMPLES_SQL),
+    "en_exp_density": (_density, _DENSITY_SQL),
     "jn_pip_margin": (_on_court, _COURT_SQL),
     "wn_activity_scan": (lambda s, d: rounded(_moved(s, d), "level"), _CELLS + """, a AS (SELECT media_id, idx, avg(value) AS value FROM d GROUP BY 1, 2)
 SELECT a.media_id, a.idx, round(sum(b.value * CASE WHEN b.idx = 0 THEN 1 ELSE 0.015::DOUBLE END * pow(0.985::DOUBLE, a.idx - b.idx)), 6) AS level FROM a JOIN a b ON a.media_id = b.media_id AND b.idx <= a.idx GROUP BY 1, 2"""),
