@@ -2,6 +2,7 @@ import json
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import files
@@ -26,18 +27,61 @@ def test_hopping_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_turns_of_a_stream_are_those_of_its_events_in_order(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def _turned_by_loops(rows, lo, hi, forget):
+    """rows are (media_id, us, event_id, strength)."""
+    out, on, last = [], {}, {}
+    for m, us, _, x in sorted(rows, key=lambda r: r[:3]):
+        if m in last and us - last[m] > forget * 1e6:
+            on[m] = False
+        last[m] = us
+        says = True if x >= hi else False if x < lo else on.get(m, False)
+        if says != on.get(m, False):
+            on[m] = says
+            out.append((m, us, says))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("forget", [3e4, 1e9])
+def test_turns_of_stored_events(spark, forget):
+    events = twins.with_time(spark.read.parquet(f"{SF}/events.parquet"))
+    rows = [(r.media_id, r.us, r.event_id, r.strength) for r in events.select("*", F.unix_micros("ts").alias("us")).collect()]
+    got = sorted(map(tuple, twins.turns(events.repartition(3), 0.1, 0.4, forget).collect()))
+    assert got == _turned_by_loops(rows, 0.1, 0.4, forget) and len(got) > 20
+    with pytest.raises(ValueError):
+        twins.turns(events, 0.5, 0.4, forget)
+
+
+def test_turns_of_a_stream_in_disorder_are_those_of_its_events_in_order(spark, tmp_path, rocksdb):
+    """Three files hold the events at random, all within the delay; a last one brings one event behind the watermark."""
     events = spark.read.parquet(f"{SF}/events.parquet")
-    events.coalesce(1).write.parquet(str(tmp_path / "events"))
-    got = _streamed(twins.hysteresis(twins.arriving(spark, str(tmp_path / "events"), events.schema, "1 day"), 0.1, 0.4), "turns", "append")
-    want = []
-    on = {}
-    for r in sorted(twins.with_time(events).collect(), key=lambda r: r.ts):
-        says = True if r.strength >= 0.4 else False if r.strength < 0.1 else on.get(r.media_id, False)
-        if says != on.get(r.media_id, False):
-            on[r.media_id] = says
-            want.append((r.media_id, r.ts, says))
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    top = events.agg(F.max("ts")).first()[0]
+    folder = str(tmp_path / "events")
+    events.where("event_id % 3 > 0").coalesce(1).write.parquet(folder)
+    events.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(folder)
+    end = lambda user, days: events.limit(1).select(*[F.lit(user).cast("long").alias(c) if c == "user_id" else F.timestamp_add("DAY", F.lit(days), F.lit(top)).cast(events.schema["ts"].dataType).alias(c) if c == "ts" else c for c in events.columns])
+    run = lambda: _kept(twins.turns_stream(twins.arriving(spark, folder, events.schema, "60 days"), 0.1, 0.4, 1e9), tmp_path)
+    for days in (100, 200):
+        end(-1, days).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    end(1, -10).withColumn("value", F.lit(500.0)).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    rows = [(r.media_id, r.us, r.event_id, r.strength) for r in twins.with_time(events).select("*", F.unix_micros("ts").alias("us")).collect()]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.media_id >= 0)
+    assert got == _turned_by_loops(rows, 0.1, 0.4, 1e9)
+
+
+def _kept(stream, tmp_path):
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None
 
 
 def test_projects_with_and_without_sidecars_and_broken_documents(spark, tmp_path):
@@ -108,9 +152,8 @@ def test_rings_of_stored_events(spark):
     assert twins.against_ring(df.where("media_id < 0"), 20.0, 3).count() == 0
 
 
-def test_rings_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
+def test_rings_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path, rocksdb):
     """Files come in disorder within the watermark's delay; a row behind it is ignored; the second half comes to a query restarted from its checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _ring_rows(2)
     rows.sort(key=lambda r: (r[1], r[2]))
     top = max(r[1] for r in rows)
@@ -131,20 +174,15 @@ def test_rings_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
 
     def run():
         src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withWatermark("ts", "90 seconds")
-        query = twins.ring_stream(src, 20.0, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(180)
-        assert query.exception() is None
-
-    try:
-        half = len(parts) // 2
-        for n, part in enumerate(parts[:half]):
-            add(n, part)
-        run()
-        for n, part in enumerate(parts[half:] + ends):
-            add(half + n, part)
-        run()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        _kept(twins.ring_stream(src, 20.0, 3), tmp_path)
+
+    half = len(parts) // 2
+    for n, part in enumerate(parts[:half]):
+        add(n, part)
+    run()
+    for n, part in enumerate(parts[half:] + ends):
+        add(half + n, part)
+    run()
     got = [((r.media_id, r.us, r.event_id), r.excess) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     want = _held_by_loops(rows, 20.0, 3, 0.85)
     assert len(got) == len(dict(got)) and dict(got).keys() == want.keys()

@@ -202,6 +202,12 @@ d AS (SELECT media_id, idx, heavy, {_NORM.format('sm')} AS density, {_NORM.forma
 a AS (SELECT *, own * CASE WHEN heavy THEN 0.4::DOUBLE + 0.6::DOUBLE * density ELSE 1 END AS act FROM d), k AS (SELECT *, {_ENDS.format('act')} FROM a)
 SELECT media_id, idx, round(density, 6)::DOUBLE AS density, round({_NORM.format('act')}, 6)::DOUBLE AS activity FROM k"""
 
+_TURNS_SQL = """WITH h AS (SELECT user_id AS media_id, event_id, epoch_us(ts) AS us, value / 500::DOUBLE AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+b AS (SELECT *, coalesce(us - lag(us) OVER w > 259200000000, false)::INT AS begins FROM h WINDOW w AS (PARTITION BY media_id ORDER BY us, event_id)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY media_id ORDER BY us, event_id) AS run, CASE WHEN v >= 0.4 THEN true WHEN v < 0.1 THEN false END AS says FROM b),
+t AS (SELECT *, coalesce(last_value(says IGNORE NULLS) OVER (PARTITION BY media_id, run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), false) AS turned FROM r)
+SELECT media_id, us, turned FROM t QUALIFY turned <> coalesce(lag(turned) OVER (PARTITION BY media_id, run ORDER BY us, event_id), false)"""
+
 ALL = {
     "ag_viewpoint": (_views, _VIEWS_SQL),
     "so_next_target": (_next, _NEXT_SQL),
@@ -221,4 +227,5 @@ SELECT a.media_id, a.idx, round(sum(b.value * CASE WHEN b.idx = 0 THEN 1 ELSE 0.
     "so_active_topk": (lambda s, d: players.picked(players.scored(fragments(s, d), SLOW)), None),
     "sg_attr_sides": (_sides, _SIDES_SQL),
     "st_ring": (_ring, _RING_SQL),
+    "st_turns": (lambda s, d: twins.turns(twins.with_time(tb.read(s, d, "events")), 0.1, 0.4, SILENCE), _TURNS_SQL),
 }

@@ -6,13 +6,10 @@ results equal those of the stored table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 
@@ -38,29 +35,6 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("media_id", "first", "last", "n")
 
 
-def hysteresis(events: DataFrame, lo: float, hi: float) -> DataFrame:
-    """(media_id, ts, on) whenever a medium turns on (strength >= hi) or off (< lo): one flag of state for each medium.
-
-    The events of a trigger are taken in order of time; those of a later trigger that are older come after them.
-    """
-    if lo > hi:
-        raise ValueError("lo must not be above hi")
-
-    def turns(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on = state.get[0] if state.exists else False
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        out = []
-        for ts, x in zip(rows.ts, rows.strength):
-            says = True if x >= hi else False if x < lo else on
-            if says != on:
-                on = says
-                out.append((key[0], ts, on))
-        state.update((bool(on),))
-        yield pd.DataFrame(out, columns=["media_id", "ts", "on"])
-
-    return events.select("media_id", "ts", "strength").groupBy("media_id").applyInPandasWithState(turns, "media_id long, ts timestamp, on boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def _high(xs: list[float], share: float) -> float:
     """The share's percentile, linear between the values beside it."""
     xs, at = sorted(xs), share * (len(xs) - 1)
@@ -90,16 +64,30 @@ def against_ring(events: DataFrame, silence: float, half: int = 15, share: float
     return rows.select("media_id", held, "high").select("media_id", "e.us", "e.event_id", (F.col("e.strength") - F.col("high")).alias("excess"))
 
 
-class _Ring(StatefulProcessor):
-    """Events wait until the watermark has passed them, then enter the ring in order; a timer ends a silent run."""
+class _InOrder(StatefulProcessor):
+    """Events wait until the watermark has passed them, then are taken by time and event_id; a timer ends a run that stays silent.
 
-    def __init__(self, silence: float, half: int, share: float) -> None:
-        self.silence, self.half, self.share = int(silence * 1e6), half, share
+    A machine keeps rows of state for its run, the last of which begins with the last event's time. Events that come
+    behind the watermark are ignored.
+    """
+
+    kept_as: str
+    columns: list[str]
+
+    def __init__(self, silence: float) -> None:
+        self.silence = int(silence * 1e6)
+
+    def take(self, key, kept: list[tuple], row: tuple, out: list[tuple]) -> list[tuple]:
+        """The state after an event; what it says goes to out."""
+        raise NotImplementedError
+
+    def end(self, key, kept: list[tuple], out: list[tuple]) -> None:
+        """What the end of a run says."""
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, event_id long, strength double")
-        self.ring = handle.getListState("ring", "us long, event_id long, strength double")
+        self.kept = handle.getListState("kept", self.kept_as)
 
     def handleInputRows(self, key, rows, timerValues):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -115,40 +103,105 @@ class _Ring(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(r) for r in self.waiting.get())
-        ring, size, out = [tuple(r) for r in self.ring.get()], 2 * self.half + 1, []
-
-        def held(first: int, last: int) -> None:
-            if len(ring) == size:
-                high = _high([r[2] for r in ring], self.share)
-                out.extend((key[0], u, e, x - high) for u, e, x in ring[first:last])
-
-        later = [r for r in waiting if r[0] > passed]
+        kept, later, out = [tuple(r) for r in self.kept.get()], [r for r in waiting if r[0] > passed], []
         for row in waiting[: len(waiting) - len(later)]:
-            if ring and row[0] - ring[-1][0] > self.silence:
-                held(self.half + 1, size)
-                ring = []
-            ring = (ring + [row])[-size:]
-            held(self.half, self.half + 1)
-        if ring and passed >= ring[-1][0] + self.silence:
-            held(self.half + 1, size)
-            ring = []
+            if kept and row[0] - kept[-1][0] > self.silence:
+                self.end(key, kept, out)
+                kept = []
+            kept = self.take(key, kept, row, out)
+        if kept and passed >= kept[-1][0] + self.silence:
+            self.end(key, kept, out)
+            kept = []
         self.waiting.put(later) if later else self.waiting.clear()
-        self.ring.put(ring) if ring else self.ring.clear()
+        self.kept.put(kept) if kept else self.kept.clear()
         if later:
             self._wake(later[0][0], passed)
-        if ring:
-            self._wake(ring[-1][0] + self.silence, passed)
-        yield pd.DataFrame(out, columns=["media_id", "us", "event_id", "excess"])
+        if kept:
+            self._wake(kept[-1][0] + self.silence, passed)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+class _Ring(_InOrder):
+    kept_as = "us long, event_id long, strength double"
+    columns = ["media_id", "us", "event_id", "excess"]
+
+    def __init__(self, silence: float, half: int, share: float) -> None:
+        super().__init__(silence)
+        self.half, self.share = half, share
+
+    def _held(self, key, ring: list[tuple], first: int, out: list[tuple]) -> None:
+        if len(ring) == 2 * self.half + 1:
+            high = _high([r[2] for r in ring], self.share)
+            out.extend((key[0], u, e, x - high) for u, e, x in ring[first:])
+
+    def take(self, key, kept, row, out):
+        ring = [*kept, row][-2 * self.half - 1 :]
+        held = []
+        self._held(key, ring, self.half, held)
+        out.extend(held[:1])
+        return ring
+
+    def end(self, key, kept, out):
+        self._held(key, kept, self.half + 1, out)
+
+
+class _Switch(_InOrder):
+    kept_as = "us long, turned boolean"
+    columns = ["media_id", "us", "turned"]
+
+    def __init__(self, forget: float, lo: float, hi: float) -> None:
+        super().__init__(forget)
+        self.lo, self.hi = lo, hi
+
+    def take(self, key, kept, row, out):
+        was = kept[-1][1] if kept else False
+        says = True if row[2] >= self.hi else False if row[2] < self.lo else was
+        if says != was:
+            out.append((key[0], row[0], says))
+        return [(row[0], says)]
+
+
+def _machine(events: DataFrame, machine: _InOrder, made: str) -> DataFrame:
+    rows = events.select("media_id", "ts", F.unix_micros("ts").alias("us"), "event_id", F.col("strength").cast("double").alias("strength")).dropna()
+    return rows.groupBy("media_id").transformWithStateInPandas(machine, made, "append", "EventTime")
+
+
 def ring_stream(events: DataFrame, silence: float, half: int = 15, share: float = 0.85) -> DataFrame:
     """against_ring for a stream with a watermark on ts: the rows of the stored table but for events that came behind the watermark, which are ignored.
 
     State is the ring and what the watermark hasn't passed yet; a medium that falls silent leaves none. It needs the
     RocksDB state store.
     """
-    rows = events.select("media_id", "ts", F.unix_micros("ts").alias("us"), "event_id", F.col("strength").cast("double").alias("strength")).dropna()
-    return rows.groupBy("media_id").transformWithStateInPandas(_Ring(silence, half, share), "media_id long, us long, event_id long, excess double", "append", "EventTime")
+    return _machine(events, _Ring(silence, half, share), "media_id long, us long, event_id long, excess double")
+
+
+def turns(events: DataFrame, lo: float, hi: float, forget: float) -> DataFrame:
+    """(media_id, us, turned) whenever a medium turns on (strength >= hi) or off (< lo), in order of time and event_id.
+
+    A medium begins off, and is off again, without a turn, after forget seconds without an event. Rows with a null
+    are ignored.
+    """
+    if lo > hi:
+        raise ValueError("lo must not be above hi")
+    rows = events.select("media_id", F.unix_micros("ts").alias("us"), "event_id", F.col("strength").cast("double").alias("strength")).dropna()
+    order = W.partitionBy("media_id").orderBy("us", "event_id")
+    begins = F.coalesce(F.col("us") - F.lag("us").over(order) > int(forget * 1e6), F.lit(False))
+    rows = rows.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    of = W.partitionBy("media_id", "run").orderBy("us", "event_id")
+    says = F.when(F.col("strength") >= hi, True).when(F.col("strength") < lo, False)
+    rows = rows.withColumn("turned", F.coalesce(F.last(says, ignorenulls=True).over(of.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)))
+    return rows.withColumn("was", F.lag("turned", 1, False).over(of)).where("turned <> was").select("media_id", "us", "turned")
+
+
+def turns_stream(events: DataFrame, lo: float, hi: float, forget: float) -> DataFrame:
+    """turns for a stream with a watermark on ts: those of the stored table but for events behind the watermark.
+
+    State is one flag a medium and what the watermark hasn't passed yet; both end with the medium's silence. It needs
+    the RocksDB state store.
+    """
+    if lo > hi:
+        raise ValueError("lo must not be above hi")
+    return _machine(events, _Switch(forget, lo, hi), "media_id long, us long, turned boolean")
