@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import boxes as bx
 from tidemark.operators import evidence as be
 from tidemark.operators import heat, players, pose
+from tidemark.operators import labels as lb
 from tidemark.operators import spans as sp
 from tidemark.operators import timeline as tl
 
@@ -357,3 +358,15 @@ def test_density_weighs_hits_by_evidence(spark):
         own = scaled(np.array(value[m]))
         act = scaled(own * (0.4 + 0.6 * dens)) if d.any() else scaled(own)
         assert [got[m, i][0] for i in range(60)] == pytest.approx(dens) and [got[m, i][1] for i in range(60)] == pytest.approx(act)
+
+
+def test_medians_of_the_other_clips(spark):
+    rnd = random.Random(11)
+    rows = [(c, v, rnd.choice([None, 0.1, 0.2, 0.2, 0.5, rnd.random()])) for v, n in ((0, 1), (1, 2), (2, 3), (3, 8), (4, 41)) for c in range(n)]
+    got = {(r.clip, r.variant): (r.trained, r.held) for r in lb.left_one_out(spark.createDataFrame(rows, "clip long, variant long, score double").repartition(3)).collect()}
+    want = {}
+    for c, v, x in rows:
+        others = [s for k, w, s in rows if w == v and k != c and s is not None]
+        if x is not None and others:
+            want[c, v] = (np.median(others), x)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

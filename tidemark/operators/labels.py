@@ -185,10 +185,19 @@ def segment_quality(intervals: DataFrame, keys: tuple[str, ...] = ("media_id",),
 
 
 def left_one_out(scores: DataFrame) -> DataFrame:
-    """(clip, variant, trained, held): per clip and variant, the median score of all other clips beside its own."""
-    other = scores.select(F.col("clip").alias("c"), "variant", F.col("score").alias("s"))
-    rows = scores.join(other, "variant").where("c <> clip")
-    return rows.groupBy("clip", "variant").agg(F.percentile("s", F.lit(0.5)).alias("trained"), F.first("score").alias("held"))
+    """(clip, variant, trained, held): per clip and variant, the median score of all other clips beside its own.
+
+    A clip has one score for a variant; a null one counts nowhere, and a variant's only clip has no row. Without a
+    clip's own rank the middle of the others is one of the ranks around the middle of all, so one sort serves all clips.
+    """
+    rows = scores.select("clip", "variant", "score").where("score is not null")
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("variant").orderBy("score", "clip")))
+    rows = rows.join(rows.groupBy("variant").agg(F.max("r").alias("n")), "variant").where("n > 1")
+    rows = rows.withColumns({"low": F.floor(F.col("n") / 2), "high": F.floor((F.col("n") + 1) / 2)})  # middle ranks of n - 1 others
+    at = lambda k: F.max(F.when(F.col("r") == k, F.col("score")))
+    middle = rows.groupBy("variant").agg(at(F.col("low")).alias("a"), at(F.col("low") + 1).alias("b"), at(F.col("high")).alias("c"), at(F.col("high") + 1).alias("d"))
+    value = lambda rank, own, after: F.when(F.col("r") > F.col(rank), F.col(own)).otherwise(F.col(after))
+    return rows.join(middle, "variant").select("clip", "variant", ((value("low", "a", "b") + value("high", "c", "d")) / 2).alias("trained"), F.col("score").alias("held"))
 
 
 def to_csv_rows(intervals: DataFrame, fps: float) -> DataFrame:
