@@ -25,7 +25,7 @@ def pictures(s, d):
     rows = tb.read(s, d, "embeddings").select(F.pmod("vec_id", F.lit(4)).alias("media_id"), F.floor(F.col("vec_id") / 4).alias("idx"), F.col("embedding").cast("array<double>").alias("e"))
     before = rows.select("media_id", (F.col("idx") + 1).alias("idx"), F.col("e").alias("before"))
     cells = rows.join(before, ["media_id", "idx"]).select("media_id", (F.col("idx") - 1).alias("idx"), F.posexplode(F.zip_with("e", "before", lambda a, b: F.abs(a - b))).alias("cell", "value"))
-    return cells.select("media_id", "idx", F.pmod("cell", F.lit(8)).alias("cell_x"), F.floor(F.col("cell") / 8).alias("cell_y"), "value")
+    return cells.select("media_id", "idx", F.pmod("cell", F.lit(8)).cast("long").alias("cell_x"), F.floor(F.col("cell") / 8).alias("cell_y"), "value")
 
 
 def people(s, d):
