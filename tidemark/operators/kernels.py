@@ -1,15 +1,18 @@
 """Steps that depend on their order, over one bounded group (a medium's events, a frame's boxes) at a time: grouped maps with numpy.
 
-Each visits its rows in a total order, named in its docstring, so equal inputs give equal results.
+Each visits its rows in a total order, named in its docstring, so equal inputs give equal results. Where groups are
+many and small, a task walks all of its groups in one pass (walked).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +21,58 @@ from tidemark.operators.events import named_clusters
 HIT = "media_id long, hit_idx long, t double, strength double, confidence double"
 
 
+def _begins(batch: pa.RecordBatch | pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """The rows whose keys are not those of the row before, the first among them."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        null, x = (np.asarray(c) for c in (batch.column(k).is_null(), batch.column(k).fill_null(0)))
+        new[1:] |= (x[1:] != x[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def walked(rows: DataFrame, keys: tuple[str, ...], order: list[str | Column], keep: list[str], make: Callable[[dict[str, np.ndarray], int, int], Iterable[tuple]], **made: str) -> DataFrame:
+    """The columns keep of rows and those made (name=type, double or long), group by group, many groups in one pass.
+
+    Rows are dealt by the keys (longs, nulls are a group) and sorted by them and the order. make(columns, lo, hi) has
+    a group in the rows lo to hi of numpy arrays and gives (row, made values ...) for each row of the result, keep being read from that row. A
+    grouped map would call Python and build a frame for each group, which takes a thousand times as long as a small
+    group's own work; here a task holds a batch, and of larger groups one.
+    """
+    types = {"double": pa.float64(), "long": pa.int64()}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"`{k}` {v}" for k, v in made.items()])
+
+    def results(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        columns = {c: table.column(c).to_numpy() for c in table.column_names}
+        begins = _begins(table, keys).tolist()
+        out = [r for lo, hi in zip(begins, [*begins[1:], table.num_rows], strict=True) for r in make(columns, lo, hi)]
+        if out:
+            at, *values = zip(*out, strict=True)
+            kept = table.select(keep).take(pa.array(at, pa.int64()))
+            for (name, kind), v in zip(made.items(), values, strict=True):
+                kept = kept.append_column(name, pa.array(v, types[kind]))
+            yield from kept.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(_begins(batch, keys)[-1])
+            if last == 0 and held and len(_begins(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]), keys)) == 1:
+                held.append(batch)
+                continue
+            whole = [*held, batch.slice(0, last)] if last else held
+            if whole:
+                yield from results(whole)
+            held = [batch.slice(last)]
+        if held:
+            yield from results(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def _low_before(x: np.ndarray) -> np.ndarray:
     """The least value after the last one before it that is higher, up to it, for each."""
     out, stack = np.empty(len(x)), []
@@ -59,21 +114,19 @@ def peaks(x: np.ndarray, distance: int, prominence: float) -> list[int]:
 def thinned(hits: DataFrame, least_gap: float) -> DataFrame:
     """Hits at least least_gap apart, chosen by strength * (0.5 + 0.5 confidence), of equal ones the lower hit_idx."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        score = g.strength * (0.5 + 0.5 * g.confidence.clip(0, 1))
+    def run(c, lo, hi):
+        score = c["strength"][lo:hi] * (0.5 + 0.5 * np.clip(c["confidence"][lo:hi], 0, 1))
         kept: list[float] = []
-        rows = []
-        for i in np.lexsort((g.hit_idx, -score)):
-            t = g.t.iat[i]
-            at = int(np.searchsorted(kept, t))
+        for i in np.lexsort((c["hit_idx"][lo:hi], -score)).tolist() if hi - lo > 1 else [0]:
+            t = c["t"][lo + i]
+            at = bisect_left(kept, t)
             if (at == 0 or t - kept[at - 1] >= least_gap) and (at == len(kept) or kept[at] - t >= least_gap):
                 kept.insert(at, t)
-                rows.append(i)
-        return g.iloc[sorted(rows)]
+                yield (lo + i,)
 
     rows = hits.select("media_id", "hit_idx", "t", "strength", "confidence")
     islands = named_clusters(rows, float(np.nextafter(least_gap, 0)))  # hits of two islands are least_gap apart at least
-    return islands.groupBy("media_id", "cluster").applyInPandas(lambda g: run(g.drop(columns="cluster")), HIT)
+    return walked(islands, ("media_id", "cluster"), ["t", "hit_idx"], rows.columns, run)
 
 
 def found_peaks(signal: DataFrame, distance: int, prominence: float, valleys: bool = False) -> DataFrame:
