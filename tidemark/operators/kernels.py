@@ -319,23 +319,22 @@ def longest_of_overlapping(intervals: DataFrame, keys: tuple[str, ...] = ("media
     ones is chosen from by itself.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(size=g.start - g.end).sort_values(["start", "size", "rally_id"])
+    def run(c, lo, hi):
+        start, end = c["start"][lo:hi].tolist(), c["end"][lo:hi].tolist()
         kept: list[int] = []
-        start, end = g.start.to_numpy(), g.end.to_numpy()
-        for i in range(len(g)):
+        for i in range(hi - lo):
             if not kept or start[i] >= end[kept[-1]] - 0.05:
                 kept.append(i)
             elif end[i] - start[i] > end[kept[-1]] - start[kept[-1]]:
                 kept[-1] = i
-        return g.iloc[kept].drop(columns=["island", "size"])
+        return [(lo + i,) for i in kept]
 
     order = W.partitionBy(*keys).orderBy("start", "rally_id")
     apart = F.col("start") >= F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)) - 0.05
     slim = intervals.select(*keys, "rally_id", "start", "end")
     rows = slim.withColumn("new", F.when(apart, 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
-    return rows.groupBy(*keys, "island").applyInPandas(run, slim.schema)
+    return walked(rows, (*keys, "island"), [F.col("start").asc_nulls_last(), (F.col("start") - F.col("end")).asc_nulls_last(), "rally_id"], slim.columns, run)
 
 
 def matched(pairs: DataFrame, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
