@@ -296,20 +296,23 @@ def cut_overlaps(intervals: DataFrame, hits: DataFrame, least: float = 0.5) -> D
             return max(a, min(inside[0] - 0.15, b))
         return (a + b) / 2
 
-    def run(key, a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        ts, kept = np.sort(h.t.to_numpy()), []
-        for r in a.sort_values(["start", "rally_id"]).itertuples():
-            start = r.start
-            if kept and start < kept[-1][3] - 0.05:
-                cut = cut_of(ts, start, min(kept[-1][3], r.end))
-                kept[-1][3], start = min(kept[-1][3], cut), max(start, cut)
-                if r.end - start < least:
+    def run(c, lo, hi):
+        n = lo + int((c["kind"][lo:hi] == 0).sum())
+        ts, kept = c["t"][lo:n], []
+        for i, start, end in zip(range(n, hi), c["start"][n:hi].tolist(), c["end"][n:hi].tolist(), strict=True):
+            if kept and start < kept[-1][2] - 0.05:
+                cut = cut_of(ts, start, min(kept[-1][2], end))
+                kept[-1][2], start = min(kept[-1][2], cut), max(start, cut)
+                if end - start < least:
                     continue
-            kept.append([key[0], r.rally_id, start, r.end])
-        return pd.DataFrame([k for k in kept if k[3] - k[2] >= least], columns=["media_id", "rally_id", "start", "end"])
-
-    left = intervals.select("media_id", "rally_id", "start", "end").groupBy("media_id")
-    return left.cogroup(hits.select("media_id", "t").groupBy("media_id")).applyInPandas(run, "media_id long, rally_id long, start double, end double")
+            kept.append([i, start, end])
+        return [tuple(k) for k in kept if k[2] - k[1] >= least]
+
+    spans = intervals.select("media_id", "rally_id", "start", "end", F.lit(None).cast("double").alias("t"), F.lit(1).alias("kind"))
+    times = hits.where("t is not null").select("media_id", F.lit(None).cast("long").alias("rally_id"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), "t", F.lit(0).alias("kind"))
+    rows = spans.union(times.select("media_id", "rally_id", "start", "end", "t", "kind"))
+    order = ["kind", "t", F.col("start").asc_nulls_last(), "rally_id"]
+    return walked(rows, ("media_id",), order, ["media_id", "rally_id"], run, start="double", end="double")
 
 
 def longest_of_overlapping(intervals: DataFrame, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
