@@ -343,16 +343,15 @@ def longest_of_overlapping(intervals: DataFrame, keys: tuple[str, ...] = ("media
 def matched(pairs: DataFrame, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
     """(keys, rally_id, other_id, iou): one-to-one, greedily by iou, of equal ones the larger ids first."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b, rows = set(), set(), []
-        g = g.sort_values(["iou", "rally_id", "other_id"], ascending=False)
-        for i, (x, y) in enumerate(zip(g.rally_id, g.other_id)):
+    def run(c, lo, hi):
+        a, b = set(), set()
+        for i, x, y in zip(range(lo, hi), c["rally_id"][lo:hi].tolist(), c["other_id"][lo:hi].tolist(), strict=True):
             if x not in a and y not in b:
-                a.add(x), b.add(y), rows.append(i)
-        return g.iloc[rows]
+                a.add(x), b.add(y)
+                yield (i,)
 
     rows = pairs.select(*keys, "rally_id", "other_id", "iou")
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    return walked(rows, keys, [F.desc("iou"), F.desc("rally_id"), F.desc("other_id")], rows.columns, run)
 
 
 def merged_events(events: DataFrame, within: float) -> DataFrame:
