@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.boxes import speeds, touches_edge
+from tidemark.operators.kernels import walked
 from tidemark.operators.series import clipped
 
 TRACK = ("media_id", "track")
@@ -21,13 +22,13 @@ def stretches(frames: DataFrame, most: float, at: str = "frame") -> DataFrame:
     return frames.withColumn("new", new).withColumn("stretch", F.sum("new").over(order.rangeBetween(W.unboundedPreceding, 0))).drop("new")
 
 
-def _linked(g: pd.DataFrame, fps: float, height: float, least: int, patience: int, top_speed: float) -> list[list[int]]:
-    """The rows of each track, in time's order, of one stretch of points."""
-    g = g.sort_values(["frame", "point"], ignore_index=True)
-    xy, score, frame = g[["x", "y"]].to_numpy(), g.score.to_numpy(), g.frame.to_numpy()
+def _linked(frame: np.ndarray, xy: np.ndarray, score: np.ndarray, fps: float, height: float, least: int, patience: int, top_speed: float) -> list[list[int]]:
+    """The rows of each track, in time's order, of one stretch of points, by frame and point."""
+    if len(frame) < least:
+        return []
     live, ended = [], []
     cuts = np.flatnonzero(np.diff(frame)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(g)], strict=True):
+    for lo, hi in zip([0, *cuts], [*cuts, len(frame)], strict=True):
         now, free = int(frame[lo]), np.ones(hi - lo, bool)
         live.sort(key=lambda rows: frame[rows[-1]])
         ended += [rows for rows in live if now - frame[rows[-1]] > patience + 1]
@@ -44,7 +45,7 @@ def _linked(g: pd.DataFrame, fps: float, height: float, least: int, patience: in
                 free[k] = False
                 rows.append(lo + k)
         live += [[lo + int(k)] for k in np.flatnonzero(free)]
-    return [[int(g.point.iat[i]) for i in rows] for rows in ended + live if len(rows) >= least]
+    return [rows for rows in ended + live if len(rows) >= least]
 
 
 def linked(points: DataFrame, fps: float, height: float, least: int = 5, patience: int = 2, top_speed: float = 0.6) -> DataFrame:
@@ -58,11 +59,13 @@ def linked(points: DataFrame, fps: float, height: float, least: int = 5, patienc
     """
     rows = points.select("media_id", "frame", "point", "x", "y", F.coalesce("score", F.lit(0.0)).alias("score")).where("frame is not null and x is not null and y is not null")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = _linked(g, fps, height, least, patience, top_speed)
-        return pd.DataFrame([(g.media_id.iat[0], t[0], p) for t in found for p in t], columns=["media_id", "track", "point"])
+    def run(c, lo, hi):
+        for t in _linked(c["frame"][lo:hi], np.stack([c["x"][lo:hi], c["y"][lo:hi]], axis=1), c["score"][lo:hi], fps, height, least, patience, top_speed):
+            for i in t:
+                yield lo + i, int(c["point"][lo + t[0]])
 
-    return stretches(rows, patience + 1).groupBy("media_id", "stretch").applyInPandas(run, "media_id long, track long, point long")
+    found = walked(stretches(rows, patience + 1), ("media_id", "stretch"), ["frame", "point"], ["media_id", "point"], run, track="long")
+    return found.select("media_id", "track", "point")
 
 
 def fitted(points: DataFrame, fps: float, height: float, least: int = 5, max_resid: float = 0.035, speeds_in: tuple[float, float] = (0.02, 0.6), min_span: float = 0.04, accel_in: tuple[float, float] = (0.25, 12.0)) -> DataFrame:
