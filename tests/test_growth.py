@@ -68,3 +68,15 @@ def test_groups_that_go_on_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_resampled_lengths(spark, n):
+    x = [(1, i, float(i * i % 7)) for i in range(n)]
+    got = {r.i: r.value for r in se.resample(spark.createDataFrame(x, "media_id long, idx long, value double"), 12.0, 8.0).collect()}
+    at = [min(i * 1.5, n - 1.0) for i in range(int(n * (8.0 / 12.0)))]
+    assert got == pytest.approx(dict(enumerate(np.interp(at, range(n), [v for *_, v in x]))))
+
+
+def test_resampling_joins_nothing(spark, capsys):
+    assert "Join" not in plan(se.resample(signal(spark), 12.0, 8.0), capsys)

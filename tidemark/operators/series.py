@@ -97,14 +97,14 @@ def fill(df: DataFrame, column: str, out: str = "filled") -> DataFrame:
 
 
 def resample(df: DataFrame, src_fps: float, dst_fps: float) -> DataFrame:
-    """The signal read at idx / dst_fps by linear interpolation: equi-joins with the samples before and after."""
-    spans = df.groupBy("media_id").agg(F.max("idx").alias("top"))
-    grid = spans.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("top") + 1) * (dst_fps / src_fps)).cast("int") - 1)))
-    grid = grid.withColumn("p", F.least(F.col("i") * (src_fps / dst_fps), F.col("top").cast("double"))).withColumn("a", F.floor("p").cast("int"))
-    grid = grid.withColumn("b", F.least(F.col("a") + 1, F.col("top")))
-    side = lambda k: df.select("media_id", F.col("idx").alias(k), F.col("value").alias(f"v_{k}"))
-    out = grid.join(side("a"), ["media_id", "a"]).join(side("b"), ["media_id", "b"])
-    return out.select("media_id", "i", (F.col("v_a") + (F.col("v_b") - F.col("v_a")) * (F.col("p") - F.col("a"))).alias("value"))
+    """The signal read at idx / dst_fps by linear interpolation. Each sample makes the points from it up to the next one, so nothing is joined; points whose neighbours are missing drop out."""
+    ratio, order = src_fps / dst_fps, run()
+    rows = df.select("media_id", "idx", "value", F.max("idx").over(key()).alias("top"), F.lead("idx").over(order).alias("after"), F.lead("value").over(order).alias("next"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.floor(F.col("idx") / ratio).cast("int") - 1, F.ceil((F.col("idx") + 1) / ratio).cast("int") + 1)))
+    rows = rows.withColumn("p", F.least(F.col("i") * ratio, F.col("top").cast("double")))
+    rows = rows.where((F.col("i") >= 0) & (F.col("i") < F.floor((F.col("top") + 1) * (dst_fps / src_fps))) & (F.floor("p") == F.col("idx")))
+    rows = rows.where((F.col("idx") == F.col("top")) | (F.col("after") == F.col("idx") + 1))
+    return rows.select("media_id", "i", (F.col("value") + (F.coalesce("next", "value") - F.col("value")) * (F.col("p") - F.col("idx"))).alias("value"))
 
 
 def pooled(df: DataFrame, step: int) -> DataFrame:
