@@ -70,6 +70,17 @@ def test_groups_that_go_on_over_batches(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("window", ["fill", "nearest_frame", "hit_feature", "next_after"])
+def test_frames_only_grow(spark, capsys, window):
+    h, r, x = hits(spark), rallies(spark), signal(spark)
+    marks = h.select("media_id", F.col("t").alias("u"))
+    made = {
+        "fill": lambda: se.fill(x, "value"), "nearest_frame": lambda: sp.nearest_frame(h, marks, 5.0), "next_after": lambda: tl.next_after(r, 1.0),
+        "hit_feature": lambda: ed.hit_feature(x.withColumn("t", F.col("idx") / 4), h, "start", 4.0), "around": lambda: lb.around(r.withColumn("at", F.col("start")), valley=marks),
+    }[window]()
+    assert "unboundedfollowing" not in plan(made, capsys)
+
+
 @pytest.mark.parametrize("n", range(1, 12))
 def test_resampled_lengths(spark, n):
     x = [(1, i, float(i * i % 7)) for i in range(n)]

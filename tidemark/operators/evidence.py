@@ -59,7 +59,7 @@ def hit_feature(points: DataFrame, hits: DataFrame, side: str, cap: float) -> Da
     both = points.select("media_id", "idx", F.col("t").alias("at"), (F.col("t") + shift).alias("key"), F.lit(None).cast("double").alias("u"))
     both = both.union(hits.select("media_id", F.lit(None).cast("long"), F.lit(None).cast("double"), F.col("t"), F.col("t")))
     if side == "start":
-        near = F.first("u", ignorenulls=True).over(W.partitionBy("media_id").orderBy("key", F.col("u").asc_nulls_first()).rowsBetween(0, W.unboundedFollowing))
+        near = F.last("u", ignorenulls=True).over(W.partitionBy("media_id").orderBy(F.desc("key"), F.col("u").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     else:
         near = F.last("u", ignorenulls=True).over(W.partitionBy("media_id").orderBy("key", F.col("u").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     rows = both.withColumn("near", near).where("idx is not null")

@@ -89,9 +89,9 @@ def runs(df: DataFrame, flag: str) -> DataFrame:
 
 def fill(df: DataFrame, column: str, out: str = "filled") -> DataFrame:
     """Nulls by linear interpolation on idx, the ends by the nearest value."""
-    back, ahead = run().rowsBetween(W.unboundedPreceding, 0), run().rowsBetween(0, W.unboundedFollowing)
+    back, ahead = (order.rowsBetween(W.unboundedPreceding, 0) for order in (run(), key().orderBy(F.desc("idx"))))  # a frame that only grows is one pass; one that shrinks is read anew at each row
     at = F.when(F.col(column).isNotNull(), F.struct("idx", F.col(column).alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+    a, b = F.last(at, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(ahead)
     line = a["v"] + (b["v"] - a["v"]) * (F.col("idx") - a["idx"]) / (b["idx"] - a["idx"])
     return df.withColumn(out, F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.coalesce(line, a["v"], b["v"])))
 

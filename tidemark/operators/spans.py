@@ -57,8 +57,9 @@ def nearest_frame(times: DataFrame, frames: DataFrame, tolerance: float) -> Data
     """
     both = times.select("media_id", "t", "hit_idx", F.lit(None).cast("double").alias("u")).union(frames.select("media_id", F.col("u").alias("t"), F.lit(None).cast("long"), "u"))
     order = W.partitionBy("media_id").orderBy("t", F.col("u").asc_nulls_last(), "hit_idx")
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
-    rows = both.withColumn("a", F.last("u", ignorenulls=True).over(back)).withColumn("b", F.first("u", ignorenulls=True).over(ahead)).where("hit_idx is not null")
+    turned = W.partitionBy("media_id").orderBy(F.desc("t"), F.col("u").desc_nulls_first(), F.desc("hit_idx"))
+    back, ahead = (o.rowsBetween(W.unboundedPreceding, 0) for o in (order, turned))
+    rows = both.withColumn("a", F.last("u", ignorenulls=True).over(back)).withColumn("b", F.last("u", ignorenulls=True).over(ahead)).where("hit_idx is not null")
     nearest = F.when(F.col("a").isNull() | (F.col("t") - F.col("a") > F.col("b") - F.col("t")), F.col("b")).otherwise(F.col("a"))
     rows = rows.withColumn("near", nearest).withColumn("age", F.abs(F.col("t") - F.col("near")))
     kept = F.col("age") <= tolerance

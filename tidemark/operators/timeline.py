@@ -83,8 +83,8 @@ def next_after(rallies: DataFrame, margin: float) -> DataFrame:
     Ends and starts are put in one order, so each medium is sorted once instead of joined with itself.
     """
     points = rallies.select("media_id", F.col("start").alias("p"), F.lit(1).alias("kind"), "rally_id").unionAll(rallies.select("media_id", (F.col("end") + margin).alias("p"), F.lit(2).alias("kind"), "rally_id"))
-    ahead = W.partitionBy("media_id").orderBy("p", "kind", "rally_id").rowsBetween(1, W.unboundedFollowing)
-    found = F.first(F.when(F.col("kind") == 1, F.col("rally_id")), ignorenulls=True).over(ahead)
+    ahead = W.partitionBy("media_id").orderBy(F.desc("p"), F.desc("kind"), F.desc("rally_id")).rowsBetween(W.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("kind") == 1, F.col("rally_id")), ignorenulls=True).over(ahead)
     return points.withColumn("next_id", found).where("kind = 2").select("media_id", "rally_id", "next_id")
 
 
