@@ -35,7 +35,7 @@ def signal(spark, n=50):
     return spark.range(n).select((F.floor(F.col("id") / 100000) + 1).alias("media_id"), F.col("id").alias("idx"), (F.col("id") % 9).cast("double").alias("value"))
 
 
-@pytest.mark.parametrize("kernel", ["thinned", "longest", "cut_overlaps", "matched", "linked"])
+@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked"])
 def test_small_groups_cost_no_call_each(spark, capsys, kernel):
     h, r, x = hits(spark), rallies(spark), signal(spark)
     points = h.select("media_id", F.col("hit_idx").alias("frame"), F.col("hit_idx").alias("point"), F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0.1).alias("score"))
@@ -70,7 +70,7 @@ def test_groups_that_go_on_over_batches(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("window", ["fill", "nearest_frame", "hit_feature", "next_after"])
+@pytest.mark.parametrize("window", ["fill", "nearest_frame", "hit_feature", "next_after", "around"])
 def test_frames_only_grow(spark, capsys, window):
     h, r, x = hits(spark), rallies(spark), signal(spark)
     marks = h.select("media_id", F.col("t").alias("u"))
@@ -91,3 +91,21 @@ def test_resampled_lengths(spark, n):
 
 def test_resampling_joins_nothing(spark, capsys):
     assert "Join" not in plan(se.resample(signal(spark), 12.0, 8.0), capsys)
+
+
+def test_an_audit_broadcasts_nothing(spark, capsys):
+    r = rallies(spark)
+    marks = hits(spark).select("media_id", F.col("t").alias("u"), F.lit(0.5).alias("depth"))
+    notes = lb.audit(r, marks, marks, signal(spark), 4.0)
+    assert "Broadcast" not in plan(notes, capsys)
+
+
+def test_an_audit_of_several_signals_reads_each_sample_once(spark, capsys):
+    r, x = spark.createDataFrame([(1, 1, 4.0, 8.0)], "media_id long, rally_id long, start double, end double"), signal(spark, 60)
+    x = x.withColumn("value", F.when(F.col("idx").between(16, 31), 0.0).otherwise(9.0))
+    none = x.where("false").select("media_id", F.lit(0.0).alias("u"), F.lit(0.0).alias("depth"))
+    many = x
+    for k in (1.0, 2.0):
+        many = many.union(x.withColumn("value", F.col("value") + k))
+    got = {(n.code, n.side): n.distance for n in lb.audit(r, none, none, many, 4.0).collect()}
+    assert got == {("evidence_contradiction", s): round(-9.0 / float(np.ptp(np.percentile(np.r_[[v + k for v in [0.0] * 16 + [9.0] * 44 for k in (0, 1, 2)]], [20, 95]))), 3) for s in ("start", "end")}

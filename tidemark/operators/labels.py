@@ -80,12 +80,14 @@ def error_classes(preds: DataFrame, golds: DataFrame, overlapping: DataFrame, ta
     return both.groupBy("media_id", "class").agg(F.count("*").alias("n"))
 
 
-def around(points: DataFrame, marks: DataFrame) -> DataFrame:
-    """points (media_id, rally_id, side, at) with the last mark (media_id, u) at or before each and the first at or after it."""
-    both = points.select("media_id", "rally_id", "side", "at", F.lit(None).cast("double").alias("u")).union(marks.select("media_id", F.lit(None).cast("long"), F.lit(None).cast("string"), F.col("u"), F.col("u")))
-    order = W.partitionBy("media_id").orderBy("at")
-    rows = both.withColumns({"last": F.max("u").over(order.rangeBetween(W.unboundedPreceding, 0)), "next": F.min("u").over(order.rangeBetween(0, W.unboundedFollowing))})
-    return rows.where("rally_id is not null").drop("u")
+def around(points: DataFrame, **marks: DataFrame) -> DataFrame:
+    """points (media_id, rally_id, at, ...) with last_NAME and next_NAME for each kind of marks (media_id, u): the last at or before a point and the first at or after it. All are put in one order, and frames only grow."""
+    rows = points
+    for name, some in marks.items():
+        rows = rows.unionByName(some.select("media_id", F.col("u").alias("at"), F.col("u").alias(name)), allowMissingColumns=True)
+    back, ahead = (W.partitionBy("media_id").orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    rows = rows.withColumns({f"last_{m}": F.max(m).over(back) for m in marks}).withColumns({f"next_{m}": F.min(m).over(ahead) for m in marks})
+    return rows.where("rally_id is not null").drop(*marks)
 
 
 def audit(intervals: DataFrame, valleys: DataFrame, hits: DataFrame, activity: DataFrame, fps: float, close: float = 0.5, far: float = 3.5, least: int = 5, quiet: float = 2.0, radius: float = 3.0, hit_far: float = 2.5, contrast: float = 1.0) -> DataFrame:
@@ -105,10 +107,10 @@ def audit(intervals: DataFrame, valleys: DataFrame, hits: DataFrame, activity: D
     gaps = {"start": F.col("start") - F.col("before"), "end": F.col("after") - F.col("end")}
     found = [F.when(g < -1e-9, note("overlap", "warn", side, -g)).when((g >= 0) & (g < close), note("too_close", "info", side, g)) for side, g in gaps.items()]
     mid = rows.groupBy("media_id").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("mid"))
-    mad = rows.join(mid, "media_id").groupBy("media_id", "n", "mid").agg(F.percentile(F.abs(F.col("d") - F.col("mid")), F.lit(0.5)).alias("mad"))
+    mad = rows.hint("merge").join(mid, "media_id").groupBy("media_id", "n", "mid").agg(F.percentile(F.abs(F.col("d") - F.col("mid")), F.lit(0.5)).alias("mad"))
     z = 0.6745 * F.abs(F.col("d") - F.col("mid")) / F.col("mad")
     found.append(F.when((F.col("n") >= least) & (F.col("mad") > 1e-9) & (z > far), note("duration_outlier", "warn", None, z)))
-    shape = rows.join(mad, "media_id").select(*KEYS, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    shape = rows.hint("merge").join(mad, "media_id").select(*KEYS, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
     sides = F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("end").alias("at")))
     ends = rows.select(*KEYS, "before", "after", F.inline(sides))
@@ -117,20 +119,22 @@ def audit(intervals: DataFrame, valleys: DataFrame, hits: DataFrame, activity: D
     step = lambda lo, hi: F.sequence(F.bround((F.col("at") + lo) * fps).cast("long"), F.bround((F.col("at") + hi) * fps).cast("long") - 1)
     some = lambda s: F.filter(F.when(F.element_at(s, -1) >= F.element_at(s, 1), s).otherwise(F.array().cast("array<bigint>")), lambda i: i >= 0)
     windows = F.array(F.struct(F.lit("pre").alias("part"), some(step(-contrast, 0.0)).alias("i")), F.struct(F.lit("post").alias("part"), some(step(0.0, contrast)).alias("i")))
-    read = ends.select(*KEYS, "side", F.inline(windows)).select(*KEYS, "side", "part", F.explode("i").alias("idx")).join(activity.select("media_id", "idx", "value"), ["media_id", "idx"])
-    mean = lambda part: F.avg(F.when(F.col("part") == part, F.col("value")))
-    turn = read.groupBy(*KEYS, "side").agg(mean("pre").alias("pre"), mean("post").alias("post")).join(spread(activity, 0.2, 0.95), "media_id")
+    at_once = activity.groupBy("media_id", "idx").agg(F.sum("value").alias("sum"), F.count("value").alias("n"))  # a medium may have several signals
+    read = ends.select(*KEYS, "side", F.inline(windows)).select(*KEYS, "side", "part", F.explode("i").alias("idx")).hint("merge").join(at_once, ["media_id", "idx"])
+    mean = lambda part: F.try_divide(F.sum(F.when(F.col("part") == part, F.col("sum"))), F.sum(F.when(F.col("part") == part, F.col("n"))))
+    turn = read.groupBy(*KEYS, "side").agg(mean("pre").alias("pre"), mean("post").alias("post")).hint("merge").join(spread(activity, 0.2, 0.95), "media_id")
     rise = F.when(rising, F.col("post") - F.col("pre")).otherwise(F.col("pre") - F.col("post")) / F.col("width")
     against = turn.where(rise < -0.1).select(*KEYS, F.lit("evidence_contradiction").alias("code"), F.lit("warn").alias("severity"), "side", F.round(rise, 3).alias("distance"))
 
-    near = around(ends, valleys).join(ends.select(*KEYS, "side", "before", "after"), [*KEYS, "side"])
-    valley = F.when(rising & (F.col("before").isNull() | (F.col("last") > F.col("before"))), F.col("at") - F.col("last")).when(~rising & (F.col("after").isNull() | (F.col("next") < F.col("after"))), F.col("next") - F.col("at"))
-    near = near.select(*KEYS, "side", "at", "before", "after", valley.alias("valley")).join(around(ends, hits).select(*KEYS, "side", F.least(F.col("at") - F.col("last"), F.col("next") - F.col("at")).alias("hit")), [*KEYS, "side"])
+    near = around(ends, valley=valleys, hit=hits)
+    last, following = F.col("last_valley"), F.col("next_valley")
+    valley = F.when(rising & (F.col("before").isNull() | (last > F.col("before"))), F.col("at") - last).when(~rising & (F.col("after").isNull() | (following < F.col("after"))), following - F.col("at"))
+    near = near.select(*KEYS, "side", "at", "before", "after", valley.alias("valley"), F.least(F.col("at") - F.col("last_hit"), F.col("next_hit") - F.col("at")).alias("hit"))
     bins = valleys.withColumn("bin", F.floor(F.col("u") / radius))
-    reach = near.where(F.col("valley") > quiet).withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / radius) - 1, F.floor(F.col("at") / radius) + 1))).join(bins, ["media_id", "bin"])
+    reach = near.where(F.col("valley") > quiet).withColumn("bin", F.explode(F.sequence(F.floor(F.col("at") / radius) - 1, F.floor(F.col("at") / radius) + 1))).hint("merge").join(bins, ["media_id", "bin"])
     inside = F.when(rising, (F.col("u") <= F.col("at")) & (F.col("before").isNull() | (F.col("u") > F.col("before")))).otherwise((F.col("u") >= F.col("at")) & (F.col("after").isNull() | (F.col("u") < F.col("after"))))
     snap = reach.where(inside & (F.abs(F.col("u") - F.col("at")) <= radius)).groupBy(*KEYS, "side").agg(F.max(F.struct("depth", (-F.abs(F.col("u") - F.col("at"))).alias("near"), "u")).alias("s"))
-    off = near.where(F.col("valley") > quiet).join(snap, [*KEYS, "side"], "left").select(*KEYS, F.lit("boundary_off_quiet").alias("code"), F.lit("warn").alias("severity"), "side", F.round("valley", 3).alias("distance"), F.round("s.u", 3).alias("snap"), F.round("hit", 3).alias("nearest_hit"))
+    off = near.where(F.col("valley") > quiet).hint("merge").join(snap, [*KEYS, "side"], "left").select(*KEYS, F.lit("boundary_off_quiet").alias("code"), F.lit("warn").alias("severity"), "side", F.round("valley", 3).alias("distance"), F.round("s.u", 3).alias("snap"), F.round("hit", 3).alias("nearest_hit"))
     silent = near.where(F.col("valley").isNull() & (F.col("hit") > hit_far)).select(*KEYS, F.lit("boundary_no_hit").alias("code"), F.lit("info").alias("severity"), "side", F.round("hit", 3).alias("distance"))
     none = F.lit(None).cast("double")
     plain = shape.select(*KEYS, "code", "severity", "side", "distance").union(against).union(silent)
