@@ -97,7 +97,7 @@ def test_an_audit_broadcasts_nothing(spark, capsys):
     r = rallies(spark)
     marks = hits(spark).select("media_id", F.col("t").alias("u"), F.lit(0.5).alias("depth"))
     notes = lb.audit(r, marks, marks, signal(spark), 4.0)
-    assert "Broadcast" not in plan(notes, capsys)
+    assert "Broadcast" not in plan(lb.severities(r, notes), capsys)
 
 
 def test_an_audit_of_several_signals_reads_each_sample_once(spark, capsys):

@@ -144,7 +144,7 @@ def audit(intervals: DataFrame, valleys: DataFrame, hits: DataFrame, activity: D
 def severities(intervals: DataFrame, notes: DataFrame) -> DataFrame:
     """(severity, n): the intervals by their worst note: warn, info, or ok without any."""
     worst = notes.groupBy(*KEYS).agg(F.max("severity").alias("severity"))
-    return intervals.where("end > start").select(*KEYS).join(worst, list(KEYS), "left").groupBy(F.coalesce("severity", F.lit("ok")).alias("severity")).agg(F.count("*").alias("n"))
+    return intervals.where("end > start").select(*KEYS).hint("merge").join(worst, list(KEYS), "left").groupBy(F.coalesce("severity", F.lit("ok")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 def snapped(intervals: DataFrame, valleys: DataFrame, radius: float) -> DataFrame:
