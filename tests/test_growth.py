@@ -35,7 +35,7 @@ def signal(spark, n=50):
     return spark.range(n).select((F.floor(F.col("id") / 100000) + 1).alias("media_id"), F.col("id").alias("idx"), (F.col("id") % 9).cast("double").alias("value"))
 
 
-@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked"])
+@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked", "quiet_by", "split_at_quiet"])
 def test_small_groups_cost_no_call_each(spark, capsys, kernel):
     h, r, x = hits(spark), rallies(spark), signal(spark)
     points = h.select("media_id", F.col("hit_idx").alias("frame"), F.col("hit_idx").alias("point"), F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0.1).alias("score"))

@@ -192,26 +192,27 @@ def quietest_cuts(x: np.ndarray, at: int, start: float, end: float, fps: float,
 def split_at_quiet(samples: DataFrame, fps: float) -> DataFrame:
     """(media_id, span, start, end): quietest_cuts of each span (media_id, span, start, end, apart, ratio, core) in its samples (idx, value)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        one = g.iloc[0]
-        cuts = quietest_cuts(g.value.to_numpy(), int(one.idx), one.start, one.end, fps, one.apart, one.ratio, one.core)
-        return pd.DataFrame([(g.media_id.iat[0], g.span.iat[0], *c) for c in cuts], columns=["media_id", "span", "start", "end"])
+    def run(c, lo, hi):
+        for cut in quietest_cuts(c["value"][lo:hi], int(c["idx"][lo]), c["start"][lo], c["end"][lo], fps, c["apart"][lo], c["ratio"][lo], c["core"][lo]):
+            yield lo, *cut
 
     rows = samples.select("media_id", "span", "start", "end", "apart", "ratio", "core", "idx", "value")
-    return rows.groupBy("media_id", "span").applyInPandas(run, "media_id long, span long, start double, end double")
+    return walked(rows, ("media_id", "span"), ["idx"], ["media_id", "span"], run, start="double", end="double")
 
 
 def quiet_by(signal: DataFrame, marks: DataFrame, fps: float) -> DataFrame:
     """(media_id, apart, ratio, first, last, bottom): the quiet stretches of each medium for each of its marks (media_id, apart, ratio)."""
 
-    def run(key, g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("idx").value.to_numpy()
-        rows = [(key[0], a, r, *q[:3]) for a, r in zip(m.apart, m.ratio) for q in quiet_depths(x, fps, a, 0.0, r)]
-        return pd.DataFrame(rows, columns=["media_id", "apart", "ratio", "first", "last", "bottom"])
-
-    wanted = marks.select(F.col("media_id").alias("of"), "apart", "ratio").distinct().groupBy("of")
-    return signal.select("media_id", "idx", "value").groupBy("media_id").cogroup(wanted).applyInPandas(run, "media_id long, apart double, ratio double, first long, last long, bottom long")
+    def run(c, lo, hi):
+        first = lo + int(np.isnan(c["idx"][lo:hi]).sum())
+        for i in range(lo, first):
+            for q in quiet_depths(c["value"][first:hi], fps, c["apart"][i], 0.0, c["ratio"][i]):
+                yield i, *q[:3]
+
+    none = lambda t: F.lit(None).cast(t)
+    wanted = marks.select("media_id", "apart", "ratio").distinct().select("media_id", none("double").alias("idx"), none("double").alias("value"), "apart", "ratio")
+    rows = wanted.union(signal.where("idx is not null").select("media_id", F.col("idx").cast("double"), "value", none("double"), none("double")))
+    return walked(rows, ("media_id",), ["idx", "apart", "ratio"], ["media_id", "apart", "ratio"], run, first="long", last="long", bottom="long")
 
 
 def quiet_spans(signal: DataFrame, fps: float, apart: float, longest: float, ratio: float) -> DataFrame:
