@@ -35,7 +35,7 @@ def signal(spark, n=50):
     return spark.range(n).select((F.floor(F.col("id") / 100000) + 1).alias("media_id"), F.col("id").alias("idx"), (F.col("id") % 9).cast("double").alias("value"))
 
 
-@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked", "quiet_by", "split_at_quiet"])
+@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked", "quiet_by", "split_at_quiet", "quiet_spans"])
 def test_small_groups_cost_no_call_each(spark, capsys, kernel):
     h, r, x = hits(spark), rallies(spark), signal(spark)
     points = h.select("media_id", F.col("hit_idx").alias("frame"), F.col("hit_idx").alias("point"), F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0.1).alias("score"))
@@ -93,6 +93,14 @@ def test_resampling_joins_nothing(spark, capsys):
     assert "Join" not in plan(se.resample(signal(spark), 12.0, 8.0), capsys)
 
 
+def test_samples_meet_the_spans_near_them(spark):
+    n = 3000
+    spans = spark.range(n // 10).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("span"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 9).alias("hi"))
+    pairs = signal(spark, n).withColumn("bin", F.floor(F.col("idx") / iv.SPAN)).join(iv.binned(spans, iv.SPAN, "lo", "hi"), ["media_id", "bin"])
+    assert pairs.count() < 10 * n
+    assert sg.samples_in(spans, signal(spark, n)).count() == n - n // 10
+
+
 def test_an_audit_broadcasts_nothing(spark, capsys):
     r = rallies(spark)
     marks = hits(spark).select("media_id", F.col("t").alias("u"), F.lit(0.5).alias("depth"))

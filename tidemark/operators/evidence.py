@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as se
-from tidemark.operators.intervals import binned
+from tidemark.operators.intervals import SPAN, binned
 
 #: Seconds: outside and inside of a start, of an end; the slope's window and how far it looks; the swing's window.
 START, END, SLOPE, LOOK, SWING = (1.5, 1.5), (1.5, 1.5), 0.5, 0.5, 1.0
@@ -85,8 +85,7 @@ def active_spans(signal: DataFrame, ends: DataFrame, on: int, off: int, gap: int
     order = W.partitionBy("media_id").orderBy("first")
     named = turns.withColumn("new", F.when(F.col("first") - F.lag("last").over(order) <= gap, 0).otherwise(1)).withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = named.groupBy("media_id", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(F.col("last") - F.col("first") >= least)
-    width = 4096
-    inside = signal.withColumn("bin", F.floor(F.col("idx") / width)).join(binned(spans, width, "first", "last"), ["media_id", "bin"]).where("idx between first and last")
+    inside = signal.withColumn("bin", F.floor(F.col("idx") / SPAN)).join(binned(spans, SPAN, "first", "last"), ["media_id", "bin"]).where("idx between first and last")
     means = inside.groupBy("media_id", "first", "last").agg(F.avg("value").alias("mean")).join(ends, "media_id")
     conf = se.clipped(se.clipped(F.col("mean") / F.greatest("hi", F.lit(1e-9)), 0.0, 1.5) / 1.5, 0.05, 1.0)
     return means.select("media_id", "first", "last", conf.alias("confidence"))

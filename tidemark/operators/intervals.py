@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Samples of a bin in which samples meet intervals: about as many as a short interval has. Wider ones pair each sample with all intervals near it, narrower ones repeat long intervals.
+SPAN = 64
+
+
 def run():
     return W.partitionBy("media_id").orderBy("start", "rally_id")
 

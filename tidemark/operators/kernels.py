@@ -218,11 +218,11 @@ def quiet_by(signal: DataFrame, marks: DataFrame, fps: float) -> DataFrame:
 def quiet_spans(signal: DataFrame, fps: float, apart: float, longest: float, ratio: float) -> DataFrame:
     """(media_id, first, last, bottom): the quiet stretches of each medium's signal (quiet_around)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = quiet_around(g.sort_values("idx").value.to_numpy(), fps, apart, longest, ratio)
-        return pd.DataFrame([(g.media_id.iat[0], *f) for f in found], columns=["media_id", "first", "last", "bottom"])
+    def run(c, lo, hi):
+        for q in quiet_around(c["value"][lo:hi], fps, apart, longest, ratio):
+            yield lo, *q
 
-    return signal.select("media_id", "idx", "value").groupBy("media_id").applyInPandas(run, "media_id long, first long, last long, bottom long")
+    return walked(signal.select("media_id", "idx", "value"), ("media_id",), ["idx"], ["media_id"], run, first="long", last="long", bottom="long")
 
 
 def split_long(times: list[float], longest: float, least_gap: float) -> list[list[float]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import binned, prf
+from tidemark.operators.intervals import SPAN, binned, prf
 from tidemark.operators.series import spread
 
 KEYS = ("media_id", "rally_id")
@@ -179,8 +179,7 @@ def segment_quality(intervals: DataFrame, keys: tuple[str, ...] = ("media_id",),
     total = density.groupBy("media_id").agg(F.sum("value").alias("total"), (F.max("idx") + 1).alias("n")).where("total > 0")
     lo = F.greatest(F.lit(0), F.least(F.col("n") - 1, (F.col("start") * fps).cast("long")))
     spans = rows.join(total, "media_id").withColumn("lo", lo).withColumn("top", F.greatest(F.col("lo") + 1, F.least(F.col("n"), (F.col("end") * fps).cast("long"))) - 1)
-    wide = 4096
-    held = density.withColumn("bin", F.floor(F.col("idx") / wide)).join(binned(spans.select(*keys, "lo", "top"), wide, "lo", "top"), ["media_id", "bin"]).where("idx between lo and top")
+    held = density.withColumn("bin", F.floor(F.col("idx") / SPAN)).join(binned(spans.select(*keys, "lo", "top"), SPAN, "lo", "top"), ["media_id", "bin"]).where("idx between lo and top")
     held = held.select(*keys, "idx", "value").distinct().groupBy(*keys).agg(F.avg("value").alias("p"), F.sum("value").alias("in")).join(total, "media_id")
     r = F.col("in") / F.col("total")
     held = held.select(*keys, F.coalesce(F.try_divide(2 * F.col("p") * r, F.col("p") + r), F.lit(0.0)).alias("f"))

@@ -11,18 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import binned, join_abutting
+from tidemark.operators.intervals import SPAN, binned, join_abutting
 from tidemark.operators.kernels import longest_of_overlapping, split_at_quiet
 from tidemark.operators.series import clipped, spread
 
-#: Samples of a bin in which samples meet intervals.
-WIDTH = 4096
-
-
 def samples_in(spans: DataFrame, samples: DataFrame) -> DataFrame:
     """The samples with the columns of the spans (media_id, span, lo, hi) that hold them, lo <= idx < hi."""
     rows = spans.withColumn("top", F.col("hi") - 1).where("top >= lo")
-    found = samples.withColumn("bin", F.floor(F.col("idx") / WIDTH)).join(binned(rows, WIDTH, "lo", "top"), ["media_id", "bin"])
+    found = samples.withColumn("bin", F.floor(F.col("idx") / SPAN)).join(binned(rows, SPAN, "lo", "top"), ["media_id", "bin"])
     return found.where("idx >= lo and idx <= top").drop("bin", "top")
 
 
