@@ -35,7 +35,7 @@ def signal(spark, n=50):
     return spark.range(n).select((F.floor(F.col("id") / 100000) + 1).alias("media_id"), F.col("id").alias("idx"), (F.col("id") % 9).cast("double").alias("value"))
 
 
-@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked", "quiet_by", "split_at_quiet", "quiet_spans"])
+@pytest.mark.parametrize("kernel", ["thinned", "longest", "matched", "cut_overlaps", "linked", "quiet_spans", "quiet_by", "split_at_quiet"])
 def test_small_groups_cost_no_call_each(spark, capsys, kernel):
     h, r, x = hits(spark), rallies(spark), signal(spark)
     points = h.select("media_id", F.col("hit_idx").alias("frame"), F.col("hit_idx").alias("point"), F.col("t").alias("x"), F.col("t").alias("y"), F.lit(0.1).alias("score"))
@@ -117,3 +117,14 @@ def test_an_audit_of_several_signals_reads_each_sample_once(spark, capsys):
         many = many.union(x.withColumn("value", F.col("value") + k))
     got = {(n.code, n.side): n.distance for n in lb.audit(r, none, none, many, 4.0).collect()}
     assert got == {("evidence_contradiction", s): round(-9.0 / float(np.ptp(np.percentile(np.r_[[v + k for v in [0.0] * 16 + [9.0] * 44 for k in (0, 1, 2)]], [20, 95]))), 3) for s in ("start", "end")}
+
+
+def test_a_long_person_is_not_kept_whole():
+    box = np.array([[0.4, 0.4, 0.5, 0.6]] * 8)
+    person = tr._Fragments(np.arange(8) / 2, box)
+    for k in range(1, 400):
+        new = tr._Fragments(4.0 * k + np.arange(8) / 2, box)
+        assert person.goes_on_as(new, 1.78)
+        person.take(new)
+        person.forget(new.t[0])
+    assert person.n == 3200 and len(person.t) < 20

@@ -162,10 +162,10 @@ def junctions(boxes: DataFrame, fps: float, aspect: float = 1.78) -> DataFrame:
 
 
 class _Fragments:
-    """The boxes of the fragments taken together so far: times, boxes, the last centre and its velocity, the bounding box."""
+    """The boxes of the fragments taken together so far: times, boxes, their number, the last centre and its velocity, the bounding box."""
 
     def __init__(self, t: np.ndarray, box: np.ndarray):
-        self.t, self.box, self.around = t, box, np.r_[box[:, :2].min(0), box[:, 2:].max(0)]
+        self.t, self.box, self.n, self.around = t, box, len(t), np.r_[box[:, :2].min(0), box[:, 2:].max(0)]
         centre, v = (box[:, :2] + box[:, 2:]) / 2, np.zeros(2)
         for step, dt in zip(np.diff(centre, axis=0), np.diff(t), strict=True):
             v = 0.5 * v + 0.5 * np.clip(step / dt, -4.0, 4.0)
@@ -174,10 +174,16 @@ class _Fragments:
     def take(self, other: "_Fragments") -> None:
         if other.t[-1] >= self.t[-1]:
             self.last, self.v = other.last, other.v
+        self.n += other.n
         order = np.argsort(np.r_[self.t, other.t], kind="stable")
         self.t, self.box = np.r_[self.t, other.t][order], np.r_[self.box, other.box][order]
         self.around = np.r_[np.minimum(self.around[:2], other.around[:2]), np.maximum(self.around[2:], other.around[2:])]
 
+    def forget(self, t: float) -> None:
+        """Leave out the boxes that no fragment from t on is compared with: all within TRIM of the last and from NEAR before t on stay, and their number stays what it was."""
+        k = int(np.searchsorted(self.t, min(t - NEAR, self.t[-1] - TRIM) - 1e-6))
+        self.t, self.box = self.t[k:], self.box[k:]
+
     def whole(self, back: bool) -> int | None:
         """The whole box nearest to an end, within TRIM of it."""
         away = self.t[-1] - self.t if back else self.t - self.t[0]
@@ -197,7 +203,7 @@ class _Fragments:
             a, b = size(self.box[i]), size(new.box[j])
             led = self.last[1] + self.v * max(0.0, new.t[j] - self.last[0])
             return bool(off(led, mid(new.box[j])) <= OFF and min(a, b) > 1e-9 and max(a, b) <= LARGER * min(a, b))
-        short, long = (self, new) if len(self.t) <= len(new.t) else (new, self)
+        short, long = (self, new) if self.n <= new.n else (new, self)
         lo, hi = max(self.t[0], new.t[0]), min(self.t[-1], new.t[-1])
         at = np.flatnonzero((short.t >= lo) & (short.t <= hi))
         if not len(at):
@@ -222,14 +228,16 @@ def merged(boxes: DataFrame, fps: float, aspect: float = 1.78) -> DataFrame:
     spans = rows.groupBy("media_id", "track").agg(F.min("stretch").alias("stretch"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        people: list[tuple[int, _Fragments]] = []
+        people: list[tuple[int, _Fragments]] = []  # that can still go on, as tracks come by start
         found = []
         tracks = [(k, h.sort_values("t")) for k, h in g.groupby("track")]
         for k, h in sorted(tracks, key=lambda x: (x[1].t.iat[0], -len(x[1]), x[0])):
             new = _Fragments(h.t.to_numpy(), h[["x1", "y1", "x2", "y2"]].to_numpy())
-            person = next(((p, old) for p, old in people if old.t[0] <= new.t[-1] and old.goes_on_as(new, aspect)), None)
+            people = [(p, old) for p, old in people if new.t[0] - old.t[-1] <= GAP]
+            person = next(((p, old) for p, old in people if old.goes_on_as(new, aspect)), None)
             if person:
                 person[1].take(new)
+                person[1].forget(new.t[0])
             else:
                 people.append((k, new))
             found.append((g.media_id.iat[0], k, person[0] if person else k))
