@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import series as se
 from tidemark.operators.evidence import CHANNELS, packed
 from tidemark.operators.intervals import binned
+from tidemark.operators.kernels import walked
 
 #: What a channel must reach of its range to fire; how many must.
 FIRES, LEAST_CHANNELS = 0.5, 2
@@ -65,9 +66,6 @@ def moves(intervals: DataFrame, valleys: DataFrame, evidence: DataFrame, media:
     return found.where((F.col("score") >= F.col("least")) & (F.col("score") >= F.col("before") + margin)).select("media_id", "rally_id", "side", "bottom", "score", (F.col("score") - F.col("before")).alias("gain"))
 
 
-_REFINED = "media_id long, rally_id long, start double, end double, start_gain double, end_gain double"
-
-
 def refined(intervals: DataFrame, valleys: DataFrame, evidence: DataFrame, media: DataFrame, fps: float, reach: float = 3.0, margin: float = 0.12, thresholds: dict[str, float] | None = None, least: float = 0.5, least_pose: float = 0.35) -> DataFrame:
     """(media_id, rally_id, start, end, start_gain, end_gain): each interval with its ends moved to the best valley that may take them (moves), and by how much the score rose; null where an end stays.
 
@@ -88,23 +86,22 @@ def refined(intervals: DataFrame, valleys: DataFrame, evidence: DataFrame, media
     rows = rows.join(lists, ["media_id", "rally_id"], "left").join(media.select("media_id", "duration"), "media_id", "left")
     rows = rows.withColumn("movable", F.max(F.coalesce(F.size("starts") + F.size("ends"), F.lit(0))).over(W.partitionBy("media_id", "chain")) > 0)
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g, out, end = g.sort_values(["start", "rally_id"], ignore_index=True), [], None
+    def walk(c, lo, hi):
+        end = None
         frame = lambda t: round(t * fps)
         best = lambda options, lo, hi: max((o for o in options if frame(lo) <= o["bottom"] <= frame(hi)), key=lambda o: (o["score"], -o["bottom"]), default=None) if hi > lo else None
         listed = lambda x: x if x is not None and not isinstance(x, float) else []
-        for i, r in enumerate(g.itertuples()):
-            a, b, gains = r.start, r.end, [None, None]
-            before = end if i else (0.0 if pd.isna(r.before) else r.before)
-            if o := best(listed(r.starts), max(0.0, a - reach, before), min(r.duration, a + reach, b - least)):
+        for i in range(lo, hi):
+            a, b, duration, gains = float(c["start"][i]), float(c["end"][i]), float(c["duration"][i]), [None, None]
+            before = end if i > lo else (0.0 if np.isnan(c["before"][i]) else float(c["before"][i]))
+            if o := best(listed(c["starts"][i]), max(0.0, a - reach, before), min(duration, a + reach, b - least)):
                 a, gains[0] = round(o["bottom"] / fps, 3), o["gain"]
-            after = r.duration if pd.isna(r.after) else r.after
-            if o := best(listed(r.ends), max(0.0, b - reach, a + least), min(r.duration, b + reach, after)):
+            after = duration if np.isnan(c["after"][i]) else float(c["after"][i])
+            if o := best(listed(c["ends"][i]), max(0.0, b - reach, a + least), min(duration, b + reach, after)):
                 b, gains[1] = round(o["bottom"] / fps, 3), o["gain"]
             end = b
-            out.append((r.media_id, r.rally_id, a, b, *gains))
-        return pd.DataFrame(out, columns=["media_id", "rally_id", "start", "end", "start_gain", "end_gain"])
+            yield i, a, b, *gains
 
     none = F.lit(None).cast("double")
-    walked = rows.where("movable").groupBy("media_id", "chain").applyInPandas(walk, _REFINED)
-    return walked.union(rows.where("not movable").select("media_id", "rally_id", "start", "end", none, none))
+    moved = walked(rows.where("movable"), ("media_id", "chain"), ["start", "rally_id"], ["media_id", "rally_id"], walk, start="double", end="double", start_gain="double", end_gain="double")
+    return moved.union(rows.where("not movable").select("media_id", "rally_id", "start", "end", none, none))
