@@ -84,7 +84,7 @@ class Search:
     width: float = 30.0
 
     def __post_init__(self):
-        self.labels = self.labels.where("end > start")
+        self.labels = cut(self.labels.where("end > start"))
         box = self.labels.groupBy("media_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.count("*").alias("labels"))
         if self.focus is not None:
             seen = self.focus.select("media_id", F.col("lo").alias("flo"), F.col("hi").alias("fhi"))
@@ -95,7 +95,7 @@ class Search:
     def predicted(self, params: DataFrame) -> DataFrame:
         """(media_id, param_id, rally_id, start, end, score): what the parameters (media_id, param_id, settings) make of the signal, in the window."""
         media = params.select(*OWN, *SETTINGS).join(self.media.select("media_id", "n", "duration"), "media_id")
-        quiet = quiet_by(self.signal, params, self.fps)
+        quiet = cut(quiet_by(self.signal, params, self.fps))
         found = sg.cut_by_motion(self.signal, quiet, media, self.fps, self.coverage)
         return found.join(self.media.select("media_id", "lo", "hi"), "media_id").where("end > lo and start < hi").drop("lo", "hi")
 

@@ -29,7 +29,7 @@ def hit_density(hits: DataFrame, media: DataFrame, fps: float, window: float = 2
     counts = at.groupBy("media_id", "idx").agg(F.count("*").cast("double").alias("value"))
     grid = media.join(at.select("media_id").distinct(), "media_id", "left_semi").select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
     rows = grid.join(counts, ["media_id", "idx"], "left").select("media_id", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
-    smooth = se.smooth(rows, max(1, round(window * fps))).select("media_id", "idx", F.col("smooth").alias("value"))
+    smooth = cut(se.smooth(rows, max(1, round(window * fps))).select("media_id", "idx", F.col("smooth").alias("value")))
     return se.robust_norm(smooth).select("media_id", "idx", F.col("norm").alias("value"))
 
 
@@ -39,6 +39,7 @@ def joint_evidence(motion: DataFrame, density: DataFrame, weight: float = 0.7) -
     h = se.robust_norm(density).select("media_id", "idx", F.col("norm").alias("h"))
     heard = density.groupBy("media_id").agg((F.max("value") > 0).alias("heard"))
     rows = p.join(h, ["media_id", "idx"], "left").join(heard, "media_id", "left").withColumn("heard", F.coalesce("heard", F.lit(False)))
+    rows = cut(rows)
     both = rows.where("heard").select("media_id", "idx", (F.col("p") * ((1 - weight) + weight * F.coalesce("h", F.lit(0.0)))).alias("value"))
     return se.robust_norm(both).select("media_id", "idx", F.col("norm").alias("value")).union(rows.where("not heard").select("media_id", "idx", F.col("p").alias("value")))
 
@@ -52,6 +53,7 @@ def dispatched(candidates: list[tuple[str, DataFrame]], density: DataFrame | Non
     for place, (name, segments) in enumerate(candidates):
         one = segments.select("media_id", "rally_id", "start", "end", "score").withColumns({"method": F.lit(name), "place": F.lit(place)})
         rows = one if rows is None else rows.union(one)
+    rows = cut(rows)
     found = segment_quality(rows.withColumnRenamed("score", "confidence"), ("media_id", "method", "place"), density, fps)
     better = F.col("quality") - F.when(F.col("place") > 0, AHEAD + 1e-12).otherwise(0.0) if hybrid else F.col("quality")
     best = found.withColumn("nth", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc(better), "place"))).where("nth = 1").select("media_id", "method", "quality")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import SPAN, binned, join_abutting
 from tidemark.operators.kernels import longest_of_overlapping, split_at_quiet
+from tidemark.operators.lineage import cut
 from tidemark.operators.series import clipped, spread
 
 def samples_in(spans: DataFrame, samples: DataFrame) -> DataFrame:
@@ -103,11 +104,12 @@ def rolled_out(cores: DataFrame, signal: DataFrame, media: DataFrame, fps: float
     rows = rows.withColumns({"start": F.greatest(F.lit(0.0), F.col("first") / fps - F.col("pre")), "end": F.least("duration", (F.col("last") + 1) / fps + F.col("post"))})
     rows = rows.where(F.col("end") - F.col("start") >= F.col("least"))
     fits = (F.col("most") <= 0) | (F.col("end") - F.col("start") <= F.col("most"))
+    rows = cut(rows)
     long = rows.where(~fits).select("media_id", "span", "start", "end", "apart", (F.col("ratio") * 0.7).alias("ratio"), "core", (F.col("start") * fps).cast("long").alias("lo"), (F.col("end") * fps).cast("long").alias("hi"))
-    cut = split_at_quiet(samples_in(long, signal), fps)
-    rows = rows.where(fits).select("media_id", "span", "start", "end", "score").union(cut.select("media_id", "span", "start", "end", F.lit(0.0)))
+    pieces = split_at_quiet(samples_in(long, signal), fps)
+    rows = rows.where(fits).select("media_id", "span", "start", "end", "score").union(pieces.select("media_id", "span", "start", "end", F.lit(0.0)))
     rows = rows.withColumn("param_id", F.shiftright("span", BITS))
-    rows = rows.withColumn("rally_id", F.row_number().over(W.partitionBy(*OWN).orderBy("start", F.desc("end"), "span")).cast("long"))
+    rows = cut(rows.withColumn("rally_id", F.row_number().over(W.partitionBy(*OWN).orderBy("start", F.desc("end"), "span")).cast("long")))
     return longest_of_overlapping(rows, OWN).join(rows.select(*OWN, "rally_id", "score"), [*OWN, "rally_id"])
 
 
@@ -118,10 +120,10 @@ def cut_by_motion(signal: DataFrame, quiet: DataFrame, media: DataFrame, fps: fl
     else:
         known = coverage.where("value >= 0.5")
         media = media.join(known.groupBy("media_id").agg(F.min("idx").cast("long").alias("known")), "media_id")
-    spans = between_quiet(quiet, media, fps, True).where("hi > lo")
+    spans = cut(between_quiet(quiet, media, fps, True).where("hi > lo"))
     moving = signal.join(spread(signal, 0.2, 0.95), "media_id").where(F.col("value") >= F.col("base") + 0.25 * F.col("width")).select("media_id", "idx")
     tight = with_settings(spans.join(longest_clumps(spans, moving, max(1, round(0.35 * fps))), ["media_id", "span"]), media, "core")
-    tight = tight.where((F.col("n") / (F.col("last") - F.col("first") + 1) >= 0.35) & ((F.col("last") - F.col("first")) / fps >= F.col("core")))
+    tight = cut(tight.where((F.col("n") / (F.col("last") - F.col("first") + 1) >= 0.35) & ((F.col("last") - F.col("first")) / fps >= F.col("core"))))
     if coverage is not None:
         tight = near_known(tight, known, round(0.75 * fps), [F.col("lo"), F.col("hi") - 1, F.col("first"), F.col("last")])
     inside = samples_in(tight.select("media_id", "span", "first", "last", F.col("first").alias("lo"), (F.col("last") + 1).alias("hi")), signal)
@@ -160,7 +162,7 @@ def by_activity(signal: DataFrame, quiet: DataFrame, durations: DataFrame, fps:
     which must last a core; its score is how far its mean stands between these percentiles. Media of under two
     seconds or eight samples give nothing. settings: those of SETTINGS; there is no rest.
     """
-    levels = spread(signal, 0.2, 0.95)
+    levels = cut(spread(signal, 0.2, 0.95))
     media = settled(lengths(signal).where(F.col("n") >= max(8, int(fps * 2))).join(durations, "media_id"), **settings)
     spans = with_settings(between_quiet(marked(quiet, **settings), media, fps, False), media, "core").where(F.col("hi") - F.col("lo") >= F.greatest(F.lit(1), F.floor(F.col("core") * fps)))
     live = signal.join(levels, "media_id").where(F.col("value") >= F.col("base") + 0.3 * F.col("width")).select("media_id", "idx")
@@ -203,7 +205,7 @@ def chosen_windows(seen: DataFrame, active: DataFrame, media: DataFrame, fps: fl
     to 35 % at least and with holes of 0.35 s at most, active does (rescued). Elsewhere active decides
     (activity_valleys). Windows for which the one that decides has no interval are empty.
     """
-    windows = elementary([seen, active], media, least)
+    windows = cut(elementary([seen, active], media, least))
     spans = windows.join(media.select("media_id", "n"), "media_id").select("media_id", "span", *sample_range(F.col("w0"), F.col("w1"), F.col("n"), fps))
     rows = windows
     if coverage is None:
@@ -213,7 +215,7 @@ def chosen_windows(seen: DataFrame, active: DataFrame, media: DataFrame, fps: fl
         rows = rows.join(share, ["media_id", "span"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     mine = longest_at(windows, seen, width).select("media_id", "span", F.struct("start", "end", "score").alias("mine"))
     theirs = longest_at(windows, active, width).select("media_id", "span", F.struct("start", "end", "score").alias("theirs"))
-    rows = rows.join(mine, ["media_id", "span"], "left").join(theirs, ["media_id", "span"], "left")
+    rows = cut(rows.join(mine, ["media_id", "span"], "left").join(theirs, ["media_id", "span"], "left"))
     if motion is None:
         rows = rows.withColumn("moved", F.lit(False))
     else:
@@ -233,7 +235,7 @@ def by_availability(seen: DataFrame, active: DataFrame, media: DataFrame, fps: f
 
     In a medium that one segmentation has no intervals in, those of the other stay as they are.
     """
-    both = seen.select("media_id").distinct().join(active.select("media_id").distinct(), "media_id")
+    both = cut(seen.select("media_id").distinct().join(active.select("media_id").distinct(), "media_id"))
     mixed = chosen_windows(seen.join(both, "media_id", "left_semi"), active.join(both, "media_id", "left_semi"), media.join(both, "media_id", "left_semi"), fps, width, coverage, motion)
     taken = mixed.where("source <> 'empty'").select("media_id", F.col("span").alias("rally_id"), "start", "end", F.col("score").alias("confidence"))
     merged = join_abutting(taken, gap).where(F.col("end") - F.col("start") >= least).select("media_id", "start", "end", F.col("confidence").alias("score"))

@@ -11,6 +11,7 @@ from tidemark.operators import refine as rf
 from tidemark.operators import resegment as rs
 from tidemark.operators import segmentation as sg
 from tidemark.operators import series as se
+from tidemark.operators.lineage import cut
 from tidemark.plans import evidence as pe
 from tidemark.sources import tables as tb
 
@@ -20,8 +21,14 @@ FPS, SLOW = 12.0, 4.0
 SEEN, ACTIVE = 27.0, 23.0
 
 
-def smoothed(s, d, width: int = 7):
-    return se.smooth(tb.signal(s, d), width).select("media_id", "idx", F.col("smooth").alias("value"))
+def raw(s, d):
+    """The signal, numbered once: a query reads it several times, and each time would sort all samples anew."""
+    return cut(tb.signal(s, d))
+
+
+def smoothed(signal, width: int = 7):
+    """The smoothed signal, written once as well."""
+    return cut(se.smooth(signal, width).select("media_id", "idx", F.col("smooth").alias("value")))
 
 
 def media(signal, fps: float):
@@ -36,8 +43,8 @@ def covered(signal):
 
 def _cut(how, **more):
     def query(s, d):
-        x = smoothed(s, d, 9)
-        quiet = kernels.quiet_spans(x, FPS, 0.7, 0.0, 0.18)
+        x = smoothed(tb.signal(s, d), 9)
+        quiet = cut(kernels.quiet_spans(x, FPS, 0.7, 0.0, 0.18))
         out = how(x, quiet, media(x, FPS).select("media_id", "duration"), FPS, most=4.0, **({"coverage": covered(x)} if more else {}))
         return out.select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "score")))
 
@@ -51,9 +58,9 @@ def _above(x, mark: float):
 
 def _chosen(f):
     def query(s, d):
-        x = smoothed(s, d)
-        signal = tb.signal(s, d)
-        return f(_above(x, SEEN), _above(x, ACTIVE), media(signal, SLOW), SLOW, 8.0, covered(signal), signal)
+        signal = raw(s, d)
+        x = smoothed(signal)
+        return f(cut(_above(x, SEEN)), cut(_above(x, ACTIVE)), cut(media(signal, SLOW)), SLOW, 8.0, covered(signal), signal)
 
     return query
 
@@ -66,7 +73,7 @@ def _search(f):
     """Stretches above a mark are the labels that the settings are to fit."""
 
     def query(s, d):
-        x = smoothed(s, d, 9)
+        x = smoothed(tb.signal(s, d), 9)
         runs = se.runs(x.withColumn("on", (F.col("value") >= SEEN).cast("int")), "on").where("n >= 12")
         labels = runs.select("media_id", F.col("first").alias("rally_id"), (F.col("first") / FPS).alias("start"), ((F.col("last") + 1) / FPS).alias("end"))
         return f(op.Search(x, media(x, FPS).select("media_id", "duration"), labels, FPS, width=8.0))
@@ -92,9 +99,10 @@ def _refined(s, d):
 
 def _stored(s, d):
     """Signals of the suppliers at FPS; two in three also have hits, where their values are high."""
-    x, raw = smoothed(s, d, 9), tb.signal(s, d)
-    hits = raw.where("value >= 46 and media_id % 3 > 0").select("media_id", F.col("idx").alias("hit_idx"), (F.col("idx") / FPS).alias("t"), (F.col("value") / 50).alias("strength"), (F.pmod(F.col("idx") * 7, F.lit(10)) / 9.0).alias("confidence"))
-    return x, smoothed(s, d, 15), hits, media(x, FPS), covered(x)
+    signal = raw(s, d)
+    x = smoothed(signal, 9)
+    hits = signal.where("value >= 46 and media_id % 3 > 0").select("media_id", F.col("idx").alias("hit_idx"), (F.col("idx") / FPS).alias("t"), (F.col("value") / 50).alias("strength"), (F.pmod(F.col("idx") * 7, F.lit(10)) / 9.0).alias("confidence"))
+    return x, smoothed(signal, 15), cut(hits), cut(media(x, FPS)), covered(x)
 
 
 def _resegmented(s, d):
@@ -108,7 +116,7 @@ def _dispatched(hybrid: bool):
     def query(s, d):
         motion, activity, hits, m, _ = _stored(s, d)
         one = lambda x, mark: _above(x, mark).withColumns({"start": F.col("start") * SLOW / FPS, "end": F.col("end") * SLOW / FPS})
-        out = rs.dispatched([("player_motion", one(motion, 28.0)), ("activity_valleys", one(activity, 25.0))], rs.hit_density(hits, m, FPS), FPS, hybrid)
+        out = rs.dispatched([("player_motion", one(motion, 28.0)), ("activity_valleys", one(activity, 25.0))], cut(rs.hit_density(hits, m, FPS)), FPS, hybrid)
         return out.groupBy("media_id", "method").agg(F.count("*").alias("n"), F.round(F.first("quality"), 6).alias("quality"))
 
     return query
