@@ -16,7 +16,7 @@ from tidemark.operators import series as se
 from tidemark.operators import spans as sp
 from tidemark.operators import timeline as tl
 from tidemark.operators import tracks as tr
-from tidemark.plans import catalog, segmentation
+from tidemark.plans import catalog, fusion, segmentation
 
 
 def plan(df, capsys):
@@ -132,12 +132,12 @@ def test_a_long_person_is_not_kept_whole():
     assert person.n == 3200 and len(person.t) < 20
 
 
-@pytest.mark.parametrize("name", ["en_reseg", "opt_predict", "opt_stages", "sg_activity", "sg_avail_windows", "sg_dispatch", "sg_dispatch_hybrid", "sg_merge_avail"])
+@pytest.mark.parametrize("name", ["en_reseg", "opt_predict", "opt_stages", "sg_activity", "sg_avail_windows", "sg_dispatch", "sg_dispatch_hybrid", "sg_merge_avail", "sg_segment"])
 def test_samples_are_numbered_once(spark, capsys, monkeypatch, name):
     """Each read of the table sorts all samples anew."""
     plans = []
-    for module in (segmentation, sg, optimise, resegment):
+    for module in (fusion, segmentation, sg, optimise, resegment):
         if hasattr(module, "cut"):
             monkeypatch.setattr(module, "cut", lambda df: plans.append(plan(df, capsys)) or lineage.cut(df))
     plans.append(plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"), capsys))
-    assert sum(p.count("lineitem.parquet") for p in plans) == 1
+    assert sum(p.count("lineitem.parquet") for p in plans) == (2 if name == "sg_segment" else 1)  # once for the weights

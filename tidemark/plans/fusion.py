@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import events as ev
 from tidemark.operators import fusion as fu
 from tidemark.operators import series as se
+from tidemark.operators.lineage import cut
 from tidemark.plans.labels import rounded
 from tidemark.sources import tables as tb
 from tidemark.streaming import twins
@@ -82,7 +83,7 @@ ALL = {
     "sg_combine": (_act(lambda a: rounded(a, "value")), _SIGNAL + "SELECT media_id, idx, round(value, 6) AS value FROM act"),
     "sg_thresholds": (_act(lambda a: rounded(fu.thresholds(a), "hi", "lo")), _SIGNAL + "SELECT media_id, round(hi, 6) AS hi, round(lo, 6) AS lo FROM th"),
     "sg_segment": (
-        _act(lambda a: rounded(fu.active_runs(a, 2, 1), "confidence")),
+        _act(lambda a: rounded(fu.active_runs(cut(a), 2, 1), "confidence")),
         _SIGNAL + ", f AS (SELECT act.*, coalesce(last_value(CASE WHEN value >= hi THEN 1 WHEN value < least(lo, hi) THEN 0 END IGNORE NULLS) OVER (PARTITION BY act.media_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 0) AS o FROM act JOIN th ON th.media_id = act.media_id), n AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY media_id ORDER BY idx) <= 2 THEN 0 ELSE 1 END AS nw FROM f WHERE o = 1), i AS (SELECT *, sum(nw) OVER (PARTITION BY media_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS k FROM n), s AS (SELECT media_id, k, min(idx) AS first, max(idx) AS last, avg(value) AS mean FROM i GROUP BY 1, 2 HAVING max(idx) - min(idx) + 1 >= 2), z AS (SELECT media_id, quantile_cont(value, 0.2) AS a, quantile_cont(value, 0.95) AS b FROM act GROUP BY 1) SELECT s.media_id, first, last, round(least(1, greatest(0.05, (mean - a) / greatest(b - a, 1e-9))), 6)::DOUBLE AS confidence FROM s JOIN z ON z.media_id = s.media_id",
     ),
     "sg_blend": (
