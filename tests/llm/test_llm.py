@@ -215,6 +215,35 @@ def test_a_short_text_refines_its_weights(monkeypatch):
     assert (start == np.float32(0.3)).all()
 
 
+def test_words_of_a_block_are_unpacked_without_copies():
+    import tracemalloc
+
+    n, none = 200_000, 10
+    counts = np.arange(n, 0, -1) + 1
+    code, length, way = context_mixing.halving_code(counts)
+    blob = lambda lo, hi: context_mixing.pack_words(np.arange(lo, hi), counts[lo:hi], (code + (np.int64(1) << length))[lo:hi], np.zeros(hi - lo, bool), [w.tobytes() for w in way[lo:hi]], [])
+    unknown = [f"zz{i}" for i in range(none)]
+    spelled = context_mixing.pack_words(np.arange(n, n + none), np.zeros(none, np.int64), np.zeros(none, np.int64), np.zeros(none, bool), [b""] * none, unknown)
+    blobs = [blob(lo, lo + 5000) for lo in range(0, n, 5000)] + [spelled]
+    tracemalloc.start()
+    try:
+        words = context_mixing.Words(blobs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words.known == length.sum() and words.sizes[:n].tolist() == length.tolist()
+    slots, bits, _, sizes = context_mixing.spelled(unknown)
+    assert words.sizes[n:].tolist() == sizes.tolist() and words.spelling.tolist() == slots.tolist()
+    assert (words.packed[words.known :] & np.uint64(1)).tolist() == bits.tolist()
+    assert words.at[n:].tolist() == (words.known + np.cumsum(sizes) - sizes).tolist()
+    assert peak < 1.9 * words.packed.nbytes
+
+
+def test_logarithms_are_those_of_one_and_x():
+    x = np.r_[0, np.exp(np.arange(-40, 61, 0.01))].astype(np.float32)
+    assert np.allclose(context_mixing.log_of_1_and(x), np.log1p(x.astype(np.float64)), rtol=1e-6, atol=0)
+
+
 def test_a_long_text_in_pieces_is_read_as_one(spark, tmp_path, monkeypatch):
     rnd = random.Random(7)
     texts = [(i, " ".join(rnd.choice(["red", "green", "blue", f"w{rnd.randrange(40)}"]) for _ in range(n))) for i, n in enumerate([700, 20, 900, 5] * 10)]
