@@ -135,6 +135,27 @@ def test_encoder_parts_texts_safely():
     assert [x.tolist() for x in e.encode(pa.array(texts))] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tasks_share_an_encoder_and_small_texts_a_call(monkeypatch):
+    import public_tokenizers
+
+    path, calls, made = str(public_tokenizers.path("byte_bpe_50k.json")), [], []
+    encode, make = packing.Encoder.encode, packing.Encoder.__init__
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    monkeypatch.setattr(packing.Encoder, "__init__", lambda self, path: made.append(path) or make(self, path))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([None, "one two", "three"] * 1000)], ["doc_id", "text"])
+    packing.encoder_of.cache_clear()
+    for _ in range(2):
+        got = list(packing._tokenise(path, 2, 1024)(iter([batch])))
+        assert sum(len(b) for b in got) == 3000
+    packing.encoder_of.cache_clear()
+    assert calls == [3000, 3000] and made == [path]
+    rnd = np.random.default_rng(5)
+    for sizes in ([], [0, 0], [9, 1, 1, 0, 10, 11, 3], rnd.integers(0, 12, 50).tolist()):
+        cuts = packing.runs_of(np.array(sizes, np.int64), 10)
+        assert [k for a, b in cuts for k in range(a, b)] == list(range(len(sizes)))
+        assert all(b - a == 1 or sum(sizes[a:b]) <= 10 for a, b in cuts) and all(sum(sizes[a : b + 1]) > 10 for a, b in cuts[:-1])
+
+
 def test_best_fit_is_the_tightest():
     rnd = random.Random(3)
     lengths = sorted((rnd.randint(1, 100) for _ in range(400)), reverse=True)

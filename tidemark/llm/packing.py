@@ -8,6 +8,7 @@ open sequences held in a segment tree over the remaining capacities.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
+#: Bytes of text encoded in one go: a word that they repeat is looked up once.
+AT_ONCE = 12 << 20
 #: Two adjoining characters of white space, as RE2 writes them.
 _PAIR = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]{2}"
 
@@ -103,12 +106,29 @@ def piece_bounds(n: int, most: int) -> list[int]:
     return [0, *range(n % most or most, n + 1, most)]
 
 
+def runs_of(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where rows of these sizes are cut, so that no run of two rows or more has more than `most` together."""
+    upto, out, lo = np.cumsum(sizes, dtype=np.int64), [], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A Python worker's encoder: tasks that follow each other in it share the file that is read and the words that are known."""
+    return Encoder(path)
+
+
 def _tokenise(path: str, end_id: int, most: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.slice(lo, 1000)
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in runs_of(sizes, AT_ONCE):
+                batch = whole.slice(lo, hi - lo)
                 texts = pc.fill_null(batch.column(1), "")
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(texts)):
