@@ -109,6 +109,40 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(docs).count() == sum(r.reps for r in got)
 
 
+def test_mixed_rows_are_those_of_the_plan(spark, tmp_path):
+    """Sources of many rows, of rows that all share one id or none, and of texts without words."""
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.randint(0, 9), "abc"[i % 3], i) for i in range(400)]
+    rows += [(rnd.choice([7, 7, None]), "v " * rnd.randint(1, 5), "d", 1000 + i) for i in range(60)]
+    rows += [(5, "u " * (i % 4), None, 2000 + i) for i in range(40)] + [(3, None, "e", 3000), (4, "", "e", 3001)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, at int").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    key = lambda r: (r.doc_id, r.source, r.size)
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[key(r)] += r.reps
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = Counter(out.select("doc_id", "source", "at", mixing.n_words(F.col("text")).alias("size")).collect())
+    by_key = Counter()
+    for r, n in got.items():
+        by_key[key(r)] += n
+        assert n <= 2
+    assert by_key == +plan
+
+
+def test_mixing_neither_copies_nor_shuffles_texts(spark, tmp_path, monkeypatch):
+    text = F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(k)))) for k in range(40)])
+    spark.range(2000).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 3).cast("string").alias("source")).repartition(4).write.parquet(str(tmp_path / "d"))
+    docs, written = spark.read.parquet(str(tmp_path / "d")), []
+    staged = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, name: written.append(df.columns) or staged(df, name))
+    monkeypatch.setattr("tidemark.llm.common.staged", lambda df, name: written.append(df.columns) or staged(df, name))
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert written and not any({"text", "doc"} & set(c) for c in written)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_pack(docs, none):
     import public_tokenizers
 

@@ -34,20 +34,15 @@ def water_fill(sources: DataFrame, share: float, most_epochs: int) -> DataFrame:
     return out.select("source", "source_size", "weight", F.least(fair, F.col("room").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 0, buckets: int = 1024, row: str | None = None) -> DataFrame:
-    """Per row of docs: row_id, doc_id, source, size, source_size, target, reps, taken.
+def unit(seed: int) -> Column:
+    """48 bits of a seeded hash of doc_id: a row's place in the order of its source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
 
-    size: words of the text (null: 0). Sources in code-point order, a null source last, weigh weights in
-    turn. Each text of a source is repeated floor(target / source_size) times, and seeded ones once more, in
-    the order of a seeded hash until the target is met to within half a text. That order is taken in buckets
-    of the hash: whole buckets by their sums, and row by row only in the one where the target falls, so no
-    source has to be sorted in one task. Rows that are equal in id and size may change places. A source
-    without words has target 0. Null ids are hashed as the empty text; an empty table gives no rows. row: a
-    column that numbers the rows, else they are numbered here.
-    """
-    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
-    sized = staged(sized.withColumn("unit", unit).withColumn("bucket", F.shiftright("unit", 48 - (buckets - 1).bit_length()).cast("int")), "sizes")
+
+def _planned(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int = 2, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """What mix returns, with how often each row of a source is taken (whole), whether this one is taken once more, and its unit."""
+    sized = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = staged(sized.withColumn("unit", unit(seed)).withColumn("bucket", F.shiftright("unit", 48 - (buckets - 1).bit_length()).cast("int")), "sizes")
 
     by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     turn = W.orderBy(F.col("source").asc_nulls_last())
@@ -63,21 +58,52 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most_epochs: int
 
     rows = sized.hint("merge").join(marks, sized["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     cut = (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("bucket_size"))
-    clear = rows.where(~cut).withColumn("more", (F.col("rest") >= F.col("before") + F.col("bucket_size")) & (F.col("bucket_size") > 0))
+    clear = rows.where(~cut).withColumn("more", (F.col("rest") >= F.col("before") + F.col("bucket_size")) & (F.col("rest") > F.col("before")))
     run = W.partitionBy("source", "bucket").orderBy("unit", F.col("doc_id").asc_nulls_first(), "size", "row_id").rowsBetween(W.unboundedPreceding, -1)
     edge = rows.where(cut).withColumn("more", F.col("rest") > F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2)
-    out = clear.unionByName(edge).withColumn("reps", (F.col("whole") + F.col("more").cast("long")))
+    return clear.unionByName(edge)
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """Per row of docs: row_id, doc_id, source, size, source_size, target, reps, taken.
+
+    size: words of the text (null: 0). Sources in code-point order, a null source last, weigh weights in
+    turn. Each text of a source is repeated floor(target / source_size) times, and seeded ones once more, in
+    the order of a seeded hash until the target is met to within half a text. That order is taken in buckets
+    of the hash: whole buckets by their sums, and row by row only in the one where the target falls, so no
+    source has to be sorted in one task. Rows that are equal in id and size may change places. A source
+    without words has target 0. Null ids are hashed as the empty text; an empty table gives no rows.
+    """
+    out = _planned(docs, **how).withColumn("reps", F.col("whole") + F.col("more").cast("long"))
     return out.select("row_id", "doc_id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The rows of docs as often as mix takes them, with their columns, whatever their names.
 
     A text without words (null, empty) is taken as often as its source's others; an empty table gives no rows.
+    docs is read twice, so it should be a stored table; its texts are neither copied nor shuffled. Rows that mix
+    takes once more are the first of their source's order, so a row's place against the last of them says how
+    often it is taken. Only those that share the id of that last one, where not all are taken, are numbered and
+    counted off.
     """
-    rows, row = numbered(docs)
-    reps = mix(rows, row=row, **how).where("reps > 0").select(F.col("row_id").alias(row), F.array_repeat(F.lit(0), F.col("reps").cast("int")).alias(f"{row}_times"))
-    return rows.hint("merge").join(reps, row).select(*docs.columns, F.explode(f"{row}_times").alias(f"{row}_time")).drop(f"{row}_time")
+    place = lambda unit: F.struct(unit.alias("unit"), F.col("doc_id").alias("doc_id"))
+    planned = _planned(docs, seed=seed, **how).select("source", "whole", "more", place(F.col("unit")).alias("at"))
+    levels = planned.groupBy(F.col("source").alias("of")).agg(F.min("whole").alias("whole"), F.max(F.when(F.col("more"), F.col("at"))).alias("last"), F.min(F.when(~F.col("more"), F.col("at"))).alias("next"))
+    levels = staged(levels.withColumn("parted", F.coalesce(F.col("last") == F.col("next"), F.lit(False))), "levels")
+
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", place(unit(seed)).alias("at")).join(levels, F.col("source").eqNullSafe(F.col("of")))
+    tied = F.col("parted") & (F.col("at") == F.col("last"))
+    out = rows.where(~tied | F.col("last").isNull()).select("doc", (F.col("whole") + F.coalesce(F.col("at") <= F.col("last"), F.lit(False)).cast("long")).alias("reps"))
+    if levels.where("parted").count():
+        parted = levels.where("parted")
+        more = planned.where("more").join(parted.select("of", "last"), F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("last"))).groupBy("of").agg(F.count("*").alias("k"))
+        some, row = numbered(rows.where(tied).select("doc", "source", "whole"))
+        nth = F.row_number().over(W.partitionBy("source").orderBy("size", row))
+        reps = some.select(row, "source", "whole", n_words(F.col("doc.text")).alias("size")).withColumn("nth", nth).join(more, F.col("source").eqNullSafe(F.col("of")))
+        reps = reps.select(row, (F.col("whole") + (F.col("nth") <= F.col("k")).cast("long")).alias("reps"))
+        out = out.union(some.hint("merge").join(reps, row).select("doc", "reps"))
+    return out.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("reps").cast("int"))).alias("time")).select("doc.*")
 
 
 def op4(spark, sf_dir):
