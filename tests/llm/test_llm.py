@@ -299,6 +299,29 @@ def test_logarithms_are_those_of_one_and_x():
     assert np.allclose(context_mixing.log_of_1_and(x), np.log1p(x.astype(np.float64)), rtol=1e-6, atol=0)
 
 
+def test_costs_are_those_of_a_logarithm_a_bit():
+    rnd = np.random.default_rng(3)
+    sizes, of = np.array([1, 8, 9, 300, 7]), np.array([1, 0, 1, 3, 0])
+    x = np.exp(rnd.uniform(-40, 60, sizes.sum())).astype(np.float32)
+    want = np.bincount(np.repeat(of, sizes), np.log1p(x.astype(np.float64)), 4)
+    assert np.allclose(context_mixing.log_of_products(x, np.cumsum(sizes) - sizes, sizes, of, 4), want, rtol=1e-12, atol=0)
+
+
+def test_what_a_text_had_at_a_node_against_a_loop():
+    rnd = np.random.default_rng(4)
+    sizes = np.array([0, 30, 2000, 900, 20_000, 1, 16_384, 0])
+    nodes, bits = rnd.integers(0, 500, sizes.sum()).astype(np.uint32) << np.uint32(32 - context_mixing.HISTORY), rnd.integers(0, 2, sizes.sum()).astype(np.int32)
+    want, at = [], 0
+    for n in sizes:
+        had = {}
+        for node, bit in zip(nodes[at : at + n].tolist(), bits[at : at + n].tolist()):
+            seen = had.setdefault(node, [0, 0])
+            want.append(np.log((min(63, seen[1]) + 0.4) / (min(63, seen[0]) + 0.4)))
+            seen[bit] += 1
+        at += n
+    assert np.allclose(context_mixing.before_in_text(nodes, sizes, bits, None), want, atol=1e-6)
+
+
 def test_a_long_text_in_pieces_is_read_as_one(spark, tmp_path, monkeypatch):
     rnd = random.Random(7)
     texts = [(i, " ".join(rnd.choice(["red", "green", "blue", f"w{rnd.randrange(40)}"]) for _ in range(n))) for i, n in enumerate([700, 20, 900, 5] * 10)]
