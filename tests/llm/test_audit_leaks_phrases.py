@@ -171,6 +171,20 @@ def test_phrases(spark, seed, least, most, absorbed):
     assert {tuple(r) for r in got} == phrases_by_loops(rows, least, most, absorbed)
 
 
+@pytest.mark.parametrize("part_bits", [8, 16])
+def test_rare_triples_of_frequent_pairs_are_not_counted(spark, monkeypatch, part_bits):
+    rnd, made, real = random.Random(7), [], collocations.triples
+    rows = [(i, " ".join(rnd.choices("abcdefghijkl", k=100) + ["x y z"] * (i % 2)), "en", "a") for i in range(300)]
+    monkeypatch.setattr(collocations, "triples", lambda bits, told, words, least: made.append(real(bits, told, words, least, part_bits)) or made[0])
+    got = collocations.collocations(frame(spark, rows)).collect()
+    assert {tuple(r) for r in got} == phrases_by_loops(rows, 100, 2000, 100)
+    counted = Counter()
+    for r in made[0].collect():
+        counted[tuple(r.ids)] += r.n
+    assert max(counted.values()) == 150
+    assert len(counted) < 1000  # of 1729
+
+
 def test_phrases_of_nothing(spark):
     assert collocations.collocations(frame(spark, [])).collect() == []
     assert collocations.collocations(frame(spark, [(1, None, None, None), (2, " .,", "en", None)])).collect() == []

@@ -6,7 +6,9 @@ positions, as sorted 16-bit numbers where these are the shorter, else as bits. A
 and combined by AND with another word's holds the ends of the phrase that the two make, and its popcount is how
 often the shard has it. Popcounts are summed over the shards: of words first, then of pairs of frequent words and
 of triples of frequent pairs, and what is frequent is told to the shards that have it; longer phrases are grown
-depth-first, one block of triples after another, along frequent triples.
+depth-first, one block of triples after another, along frequent triples. Triples of frequent pairs are many and
+mostly rare, so their windows are first counted by a hash, in slots that grow in number with the text: a slot's
+count is at least that of each triple in it, so only triples of slots that have enough are counted themselves.
 
 At any position stands at most one word, so a shifted bitmap meets those of all words at once: what a set bit meets
 is the word that has the bit.
@@ -28,6 +30,8 @@ from tidemark.llm.common import staged, table
 MOST_WORDS, LEAST, REPORTED, ABSORBED = 5, 100, 2000, 100
 #: Positions of a shard (a text begins in one and ends in it), places or set bits looked at in one go, parts a language's phrases are dealt into to find the first.
 SHARD, BLOCK, PARTS = 1 << 22, 1 << 18, 64
+#: Words of text for each slot of the hashed triples, and log2 of the slots that are added up in one go.
+WORDS_A_SLOT, PART_BITS = 8, 20
 #: ASCII letters in lower case; what ends a piece becomes a byte that UTF-8 doesn't have.
 _PIECES = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = b"\xff"
@@ -160,32 +164,92 @@ def _pairs(key, shard, words):
     return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py(), np.int64)), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "n": pa.array(n)})
 
 
+def _begun(shard: pa.Table, told: pa.Table, k: int):
+    """(ids, word, frequent phrases of k words as numbers, whether one begins at a place, the places, which of them begins there). told: as `_longer` has it."""
+    valid, missing = pc.is_valid(told.column("row")), pc.is_null(told.column("id"))
+    phrases = told.filter(pc.and_not(pc.invert(valid), missing))
+    ids, word = _opened(shard, told.filter(valid))
+    many, by_id = len(ids), np.argsort(ids)
+    known = np.zeros(len(phrases), np.int64)
+    for column in ("id", "b", "c")[:k]:
+        known = known * many + by_id[np.searchsorted(ids, phrases.column(column).to_numpy(), sorter=by_id)]
+    known = np.sort(known)
+    joins, begin, which = np.zeros(len(word), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, number in _met(word, many, k) if len(known) else ():
+        slot = np.searchsorted(known, number)
+        fits = slot < len(known)
+        fits[fits] = known[slot[fits]] == number[fits]
+        begin.append(at[fits])
+        which.append(slot[fits])
+        joins[at[fits]] = True
+    return ids, word, known, joins, np.concatenate(begin), np.concatenate(which)
+
+
+def _slots(ids: np.ndarray, word: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """The slots, of 2^bits, of the three words at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(3):
+        out = (out ^ ids[word[at + i]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+_HASHED, _ENOUGH = "shard long, part long, slots binary, counts binary", "shard long, part long, enough binary"
+
+
+def _hashed(bits: int, part_bits: int, least: int):
+    """The function that counts the windows of two frequent pairs of a shard in their slots, up to `least` each: a row a part of the slots, with those that have any."""
+
+    def run(key, shard, told):
+        ids, word, _, joins, at, _ = _begun(shard, told, 2)
+        slot, n = np.unique(_slots(ids, word, at[joins[at + 1]], bits), return_counts=True)
+        cuts = np.flatnonzero(np.diff(slot >> part_bits)) + 1
+        slot, n = (np.split(x, cuts) if len(x) else [] for x in (slot, np.minimum(n, least)))
+        columns = [int(x[0]) >> part_bits for x in slot], [(x & (1 << part_bits) - 1).astype(np.uint32).tobytes() for x in slot], [x.astype(np.uint32).tobytes() for x in n]
+        return pa.table([pa.array([key[0].as_py()] * len(slot), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["shard", "part", "slots", "counts"])
+
+    return run
+
+
+def _enough(part_bits: int, least: int):
+    """The function that tells each shard, of a part of the slots, which of its own have `least` windows in all shards."""
+
+    def run(key, rows):
+        total = np.zeros(1 << part_bits, np.int64)
+        for slots, counts in zip(rows.column("slots").to_pylist(), rows.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(slots, np.uint32)] += np.frombuffer(counts, np.uint32)
+        enough = [np.packbits(total[np.frombuffer(x, np.uint32)] >= least).tobytes() for x in rows.column("slots").to_pylist()]
+        return pa.table([rows.column("shard"), rows.column("part"), pa.array(enough, pa.binary())], ["shard", "part", "enough"])
+
+    return run
+
+
+def _kept(ids: np.ndarray, word: np.ndarray, at: np.ndarray, enough: pa.Table, bits: int, part_bits: int) -> np.ndarray:
+    """Whether the slot of each window has enough; enough: the rows that `_enough` makes for the shard."""
+    slot, which = np.unique(_slots(ids, word, at, bits), return_inverse=True)
+    flags = np.zeros(len(slot), bool)
+    for part, raw in zip(enough.column("part").to_pylist(), enough.column("enough").to_pylist(), strict=True):
+        a, b = np.searchsorted(slot, [part << part_bits, part + 1 << part_bits])
+        flags[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
+    return flags[which]
+
+
 _LONGER = "shard long, ids array<long>, n long"
 _GROWN = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
-def _longer(k: int, most: int):
-    """The function that grows a shard's frequent phrases of k words to `most`. told: its frequent words (row, id), and where row is null phrases (id, b, c, ...)."""
+def _longer(k: int, most: int, bits: int = 0, part_bits: int = 0):
+    """The function that grows a shard's frequent phrases of k words to `most`. told: its frequent words (row, id), where row is null phrases (id, b, c, ...) and, with bits, where id is, too, which slots of triples have enough (part, enough)."""
 
     def grown(key, shard, told):
-        phrases, words = told.filter(pc.is_null(told.column("row"))), told.filter(pc.is_valid(told.column("row")))
-        if not len(phrases):
+        ids, word, known, joins, at, which = _begun(shard, told, k)
+        if bits:
+            at, which = at[joins[at + 1]], which[joins[at + 1]]
+            keep = _kept(ids, word, at, told.filter(pc.is_valid(told.column("part"))), bits, part_bits)
+            at, which = at[keep], which[keep]
+        if not len(at):
             return _GROWN.empty_table()
-        ids, word = _opened(shard, words)
-        many, by_id = len(ids), np.argsort(ids)
-        known = np.zeros(len(phrases), np.int64)
-        for column in ("id", "b", "c")[:k]:
-            known = known * many + by_id[np.searchsorted(ids, phrases.column(column).to_numpy(), sorter=by_id)]
-        known = np.sort(known)
-        joins, begin, which = np.zeros(len(word), bool), [], []  # whether a frequent phrase begins at a place
-        for at, number in _met(word, many, k):
-            slot = np.searchsorted(known, number)
-            fits = slot < len(known)
-            fits[fits] = known[slot[fits]] == number[fits]
-            begin.append(at[fits])
-            which.append(slot[fits])
-            joins[at[fits]] = True
-        at, which, found = np.concatenate(begin), np.concatenate(which), []
+        many, found = len(ids), []
         first = [known // many ** (k - 1 - i) % many for i in range(k)]
 
         def grow(phrases: np.ndarray, phrase: np.ndarray, at: np.ndarray) -> None:
@@ -212,6 +276,15 @@ def _longer(k: int, most: int):
     return grown
 
 
+def triples(bits: DataFrame, told: DataFrame, words: int, least: int, part_bits: int = PART_BITS) -> DataFrame:
+    """(shard, ids, n) of the triples of frequent pairs that may occur `least` times: all that do, and those that share a slot with others. told: shards' frequent words and pairs."""
+    slots = max(part_bits, (words // WORDS_A_SLOT).bit_length())
+    hashed = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_hashed(slots, part_bits, least), _HASHED)
+    enough = hashed.groupBy("part").applyInArrow(_enough(part_bits, least), _ENOUGH)
+    told = told.unionByName(enough, allowMissingColumns=True)
+    return bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer(2, 3, slots, part_bits), _LONGER)
+
+
 def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, id, word, f) of the frequent words, (lang, n) of all words, and (ids, f) of the frequent phrases of two words and more."""
     every, bits = bitmaps(docs)
@@ -225,7 +298,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     often = staged(often.select("shard", "a", "b", "f"), "frequent-pairs")
     none, heard = F.lit(None).cast("long"), known.select("shard", "row", "id", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("c"))
     told = heard.union(often.select("shard", none, "a", "b", none))
-    three = bits.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer(2, 3), _LONGER)
+    three = triples(bits, told, langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least)
     three = three.withColumn("f", F.sum("n").over(W.partitionBy("ids"))).where(F.col("f") >= least)
     three = staged(three.select("shard", "ids", "f"), "frequent-triples")
     told = heard.union(three.select("shard", none, *(F.col("ids")[i] for i in range(3))))
