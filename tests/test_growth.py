@@ -132,6 +132,28 @@ def test_a_long_person_is_not_kept_whole():
     assert person.n == 3200 and len(person.t) < 20
 
 
+def test_a_fragment_is_compared_with_those_near_it_alone(monkeypatch):
+    """Tracks that are seen again long after don't end for all those between."""
+    asked, fits, rnd = [], tr._Fragments.goes_on_as, random.Random(5)
+    monkeypatch.setattr(tr._Fragments, "goes_on_as", lambda self, new, aspect: asked.append(1) or fits(self, new, aspect))
+    tracks = []
+    for k in range(300):
+        t = np.r_[k + np.arange(rnd.randint(1, 6)) / 2, 9000.0 + k + np.arange(3) / 2]
+        x = np.array([[rnd.choice([0.2, 0.5]) + rnd.uniform(-0.02, 0.02), 0.4] for _ in t])
+        tracks.append((t, np.c_[x, x + 0.1]))
+    people, got = tr._People(), []
+    for k, (t, box) in enumerate(tracks):
+        got.append(people.person(k, tr._Fragments(t, box), 1.78))
+    near = len(asked)
+    every, want = [], []
+    for k, (t, box) in enumerate(tracks):
+        new = tr._Fragments(t, box)
+        hit = next(((p, old) for p, old in every if fits(old, new, 1.78)), None)
+        hit[1].take(new) if hit else every.append((k, new))
+        want.append(hit[0] if hit else k)
+    assert got == want and len(set(got)) < 300 and near < 10 * 300
+
+
 @pytest.mark.parametrize("name", ["en_reseg", "opt_predict", "opt_stages", "sg_activity", "sg_avail_windows", "sg_dispatch", "sg_dispatch_hybrid", "sg_merge_avail", "sg_segment"])
 def test_samples_are_numbered_once(spark, capsys, monkeypatch, name):
     """Each read of the table sorts all samples anew."""

@@ -169,12 +169,13 @@ class _Fragments:
         centre, v = (box[:, :2] + box[:, 2:]) / 2, np.zeros(2)
         for step, dt in zip(np.diff(centre, axis=0), np.diff(t), strict=True):
             v = 0.5 * v + 0.5 * np.clip(step / dt, -4.0, 4.0)
-        self.last, self.v = (t[-1], centre[-1]), v
+        self.last, self.v, self.found = (t[-1], centre[-1]), v, {}
 
     def take(self, other: "_Fragments") -> None:
         if other.t[-1] >= self.t[-1]:
             self.last, self.v = other.last, other.v
         self.n += other.n
+        self.found = {}
         order = np.argsort(np.r_[self.t, other.t], kind="stable")
         self.t, self.box = np.r_[self.t, other.t][order], np.r_[self.box, other.box][order]
         self.around = np.r_[np.minimum(self.around[:2], other.around[:2]), np.maximum(self.around[2:], other.around[2:])]
@@ -184,11 +185,13 @@ class _Fragments:
         k = int(np.searchsorted(self.t, min(t - NEAR, self.t[-1] - TRIM) - 1e-6))
         self.t, self.box = self.t[k:], self.box[k:]
 
-    def whole(self, back: bool) -> int | None:
-        """The whole box nearest to an end, within TRIM of it."""
-        away = self.t[-1] - self.t if back else self.t - self.t[0]
-        at = np.flatnonzero((away <= TRIM) & (self.box[:, :2] > 0.01).all(1) & (self.box[:, 2:] < 0.99).all(1))
-        return int(at[-1 if back else 0]) if len(at) else None
+    def whole(self, back: bool) -> tuple[float, np.ndarray] | None:
+        """The time and place of the whole box nearest to an end, within TRIM of it; looked for once."""
+        if back not in self.found:
+            away = self.t[-1] - self.t if back else self.t - self.t[0]
+            at = np.flatnonzero((away <= TRIM) & (self.box[:, :2] > 0.01).all(1) & (self.box[:, 2:] < 0.99).all(1))
+            self.found[back] = (self.t[k := at[-1 if back else 0]], self.box[k]) if len(at) else None
+        return self.found[back]
 
     def goes_on_as(self, new: "_Fragments", aspect: float) -> bool:
         if new.t[0] - self.t[-1] > GAP or (new.around[:2] - self.around[2:] > APART).any() or (self.around[:2] - new.around[2:] > APART).any():
@@ -200,9 +203,9 @@ class _Fragments:
             i, j = self.whole(True), new.whole(False)
             if i is None or j is None:
                 return False
-            a, b = size(self.box[i]), size(new.box[j])
-            led = self.last[1] + self.v * max(0.0, new.t[j] - self.last[0])
-            return bool(off(led, mid(new.box[j])) <= OFF and min(a, b) > 1e-9 and max(a, b) <= LARGER * min(a, b))
+            a, b = size(i[1]), size(j[1])
+            led = self.last[1] + self.v * max(0.0, j[0] - self.last[0])
+            return bool(off(led, mid(j[1])) <= OFF and min(a, b) > 1e-9 and max(a, b) <= LARGER * min(a, b))
         short, long = (self, new) if self.n <= new.n else (new, self)
         lo, hi = max(self.t[0], new.t[0]), min(self.t[-1], new.t[-1])
         at = np.flatnonzero((short.t >= lo) & (short.t <= hi))
@@ -217,6 +220,45 @@ class _Fragments:
         return bool(alike.mean() >= ALIKE)
 
 
+class _People:
+    """The people so far, by when they end and when they have boxes, so that a fragment is compared only with those that it may go on from or show again."""
+
+    def __init__(self):
+        self.all: list[tuple[int, _Fragments]] = []
+        self.ending: dict[int, set[int]] = {}
+        self.seen: dict[int, set[int]] = {}
+
+    def near(self, new: _Fragments) -> list[int]:
+        """In their order, those whose last box is at most GAP before the fragment's first, and those with a box within NEAR of one of its; one without either doesn't fit."""
+        at = int(new.t[0] // GAP)
+        found = set().union(*(self.ending.get(k, ()) for k in range(at - 2, at + 1)))
+        for k in {int(b) + d for b in np.unique(new.t // NEAR) for d in (-2, -1, 0, 1, 2)}:
+            found |= self.seen.get(k, set())
+        return sorted(found)
+
+    def hold(self, i: int, t: np.ndarray, ended: float | None = None) -> None:
+        """Person i has boxes at times t, too, and ended before."""
+        if ended is not None:
+            self.ending[int(ended // GAP)].discard(i)
+        self.ending.setdefault(int(self.all[i][1].t[-1] // GAP), set()).add(i)
+        for k in np.unique(t // NEAR).tolist():
+            self.seen.setdefault(int(k), set()).add(i)
+
+    def person(self, track: int, new: _Fragments, aspect: float) -> int:
+        """The first person that the fragment fits, which takes it, or the fragment's own track as a new one."""
+        for i in self.near(new):
+            person, old = self.all[i]
+            if old.goes_on_as(new, aspect):
+                ended = old.t[-1]
+                old.take(new)
+                old.forget(new.t[0])
+                self.hold(i, new.t, ended)
+                return person
+        self.all.append((track, new))
+        self.hold(len(self.all) - 1, new.t.copy())
+        return track
+
+
 def merged(boxes: DataFrame, fps: float, aspect: float = 1.78) -> DataFrame:
     """(media_id, track, person): each track's person, the first of the tracks (by start, more boxes, id) that are its fragments.
 
@@ -228,19 +270,11 @@ def merged(boxes: DataFrame, fps: float, aspect: float = 1.78) -> DataFrame:
     spans = rows.groupBy("media_id", "track").agg(F.min("stretch").alias("stretch"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        people: list[tuple[int, _Fragments]] = []  # that can still go on, as tracks come by start
-        found = []
-        tracks = [(k, h.sort_values("t")) for k, h in g.groupby("track")]
-        for k, h in sorted(tracks, key=lambda x: (x[1].t.iat[0], -len(x[1]), x[0])):
-            new = _Fragments(h.t.to_numpy(), h[["x1", "y1", "x2", "y2"]].to_numpy())
-            people = [(p, old) for p, old in people if new.t[0] - old.t[-1] <= GAP]
-            person = next(((p, old) for p, old in people if old.goes_on_as(new, aspect)), None)
-            if person:
-                person[1].take(new)
-                person[1].forget(new.t[0])
-            else:
-                people.append((k, new))
-            found.append((g.media_id.iat[0], k, person[0] if person else k))
+        g = g.sort_values(["track", "t"])
+        track, t, box, people = g.track.to_numpy(), g.t.to_numpy(), g[["x1", "y1", "x2", "y2"]].to_numpy(), _People()
+        begins = np.flatnonzero(np.r_[True, track[1:] != track[:-1]])
+        tracks = sorted((t[lo], lo - hi, track[lo], lo, hi) for lo, hi in zip(begins, np.r_[begins[1:], len(g)], strict=True))
+        found = [(g.media_id.iat[0], k, people.person(k, _Fragments(t[lo:hi], box[lo:hi]), aspect)) for _, _, k, lo, hi in tracks]
         return pd.DataFrame(found, columns=["media_id", "track", "person"])
 
     rows = rows.drop("stretch").join(chained(spans, rows.select("media_id", "track", "stretch").distinct()), ["media_id", "track"])
