@@ -154,6 +154,23 @@ def test_a_fragment_is_compared_with_those_near_it_alone(monkeypatch):
     assert got == want and len(set(got)) < 300 and near < 10 * 300
 
 
+def test_tables_that_take_little_in_a_file_are_not_broadcast(spark, capsys):
+    """Two million rows of a few bytes each would take 100 MB of the driver."""
+    rows = lineage.cut(spark.range(2000000).select(F.floor(F.col("id") / 200000).alias("media_id"), F.col("id").alias("idx"), (F.col("id") % 9).alias("n"), (F.col("id") % 5).alias("k")))
+    assert rows.count() == 2000000 and rows.where("n <> idx % 9").count() == 0
+    other = spark.range(50000000).select((F.col("id") % 9).alias("media_id"), F.col("id").alias("idx"))
+    assert "Broadcast" not in plan(other.join(rows, ["media_id", "idx"]), capsys)
+    few = lineage.cut(rows.where("idx < 1000"))
+    assert "Broadcast" in plan(other.join(few, ["media_id", "idx"]), capsys)
+
+
+def test_samples_near_spans_are_not_made_up(spark, capsys):
+    spans = spark.range(100).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("span"), (F.col("id") * 100).alias("lo"))
+    known = signal(spark, 10000).where("idx % 300 < 5")
+    near = sg.near_known(spans, known, 9, [F.col("lo"), F.col("lo") + 12])
+    assert {r.span for r in near.collect()} == set(range(0, 100, 3)) and "sequence" not in plan(near, capsys)
+
+
 @pytest.mark.parametrize("name", ["en_reseg", "opt_predict", "opt_stages", "sg_activity", "sg_avail_windows", "sg_dispatch", "sg_dispatch_hybrid", "sg_merge_avail", "sg_segment"])
 def test_samples_are_numbered_once(spark, capsys, monkeypatch, name):
     """Each read of the table sorts all samples anew."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import SPAN, binned, join_abutting
 from tidemark.operators.kernels import longest_of_overlapping, split_at_quiet
+from tidemark.operators.labels import around
 from tidemark.operators.lineage import cut
 from tidemark.operators.series import clipped, spread
 
@@ -87,10 +88,10 @@ def with_settings(spans: DataFrame, media: DataFrame, *columns: str) -> DataFram
 
 
 def near_known(spans: DataFrame, known: DataFrame, reach: int, places: list[Column]) -> DataFrame:
-    """The spans all of whose places have a known sample (media_id, idx) at most reach off."""
-    at = spans.select("media_id", "span", F.posexplode(F.array(*places)).alias("place", "i"))
-    near = at.select("media_id", "span", "place", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("idx")).join(known.select("media_id", "idx").distinct(), ["media_id", "idx"])
-    fine = near.groupBy("media_id", "span").agg(F.count_distinct("place").alias("fine")).where(F.col("fine") == len(places))
+    """The spans all of whose places have a known sample (media_id, idx) at most reach off: the last before or the next after it, from one order of both."""
+    at = spans.select("media_id", F.col("span").alias("rally_id"), F.explode(F.array(*places)).alias("at"))
+    near = around(at, known=known.select("media_id", F.col("idx").alias("u"))).where((F.col("at") - F.col("last_known") <= reach) | (F.col("next_known") - F.col("at") <= reach))
+    fine = near.groupBy("media_id", F.col("rally_id").alias("span")).agg(F.count("*").alias("fine")).where(F.col("fine") == len(places))
     return spans.join(fine.select("media_id", "span"), ["media_id", "span"], "left_semi")
 
 
