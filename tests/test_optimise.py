@@ -4,10 +4,12 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_segmentation import FPS, SIGNAL, motion_by_loops, squares
 
 from tidemark.operators import optimise as op
 from tidemark.operators import segmentation as sg
+from tidemark.plans import segmentation
 
 LABEL = "media_id long, rally_id long, start double, end double"
 
@@ -136,3 +138,23 @@ def test_suggested_values(spark):
 def test_nothing_to_search(spark):
     job = search(spark, {}, {})
     assert op.optimised(job, VALUES).collect() == [] == op.swept(job, VALUES).collect()
+
+
+@pytest.mark.parametrize("more", [{}, {"most": 5.0}, {"coverage": True}])
+def test_a_sweep_is_the_best_of_the_whole_grid(spark, more):
+    signals, labels = task(7)
+    job = search(spark, signals, labels)
+    if more.pop("coverage", False):
+        job.coverage = job.signal.withColumn("value", F.when((F.col("idx") % 240 > 100) & (F.col("media_id") < 2), 1.0).otherwise(0.0))
+    values = {"ratio": [0.1, 0.3], "core": [0.8, 2.5], "rest": [0.3, 1.2], "apart": [0.6, 1.0], "least": [1.5, 3.0]}
+    every = job.segmented(job.base(**more), values).withColumn("exact", F.col("tp") / (F.col("n") + F.col("fn") + F.col("tp")))
+    want = {r.media_id: r for r in op.best_of(every, "exact").drop("exact", "start_off", "end_off").collect()}
+    got = {r.media_id: r for r in op.swept(job, values, **more).collect()}
+    assert got == want and len(got) == 3 and any(r.tp for r in got.values())
+
+
+def test_the_query_tries_the_whole_sweep(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(segmentation.op, "swept", lambda job, values=op.SWEPT: tried.append(values))
+    segmentation.ALL["en_sweep"][0](spark, "/root/testdata/sf0.001")
+    assert [{k: len(v) for k, v in t.items()} for t in tried] == [{"ratio": 4, "core": 4, "rest": 3, "apart": 2, "least": 3}]

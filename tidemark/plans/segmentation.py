@@ -159,7 +159,7 @@ ALL = {
     "en_reseg": (_resegmented, None),
     "opt_predict": (_search(lambda x: x.predicted(x.base(least=1.5, core=0.5)).select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "score")))), None),
     "opt_stages": (_search(lambda x: op.optimised(x, VALUES, FIELDS)), None),
-    "en_sweep": (_search(lambda x: op.swept(x, VALUES | {"rest": [0.4, 0.8], "apart": [0.6, 1.0]})), None),
+    "en_sweep": (_search(lambda x: op.swept(x)), None),
     "sg_avail_windows": (
         _chosen(lambda *a: sg.chosen_windows(*a).groupBy("media_id", "source").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w1") - F.col("w0")), 6).alias("seconds"))),
         _WITH + "SELECT media_id, source, count(*) AS n, round(sum(w1 - w0), 6) AS seconds FROM ch GROUP BY 1, 2",
