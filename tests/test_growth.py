@@ -180,3 +180,12 @@ def test_samples_are_numbered_once(spark, capsys, monkeypatch, name):
             monkeypatch.setattr(module, "cut", lambda df: plans.append(plan(df, capsys)) or lineage.cut(df))
     plans.append(plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"), capsys))
     assert sum(p.count("lineitem.parquet") for p in plans) == (2 if name == "sg_segment" else 1)  # once for the weights
+
+
+def test_refining_joins_no_samples_with_themselves(spark, capsys, monkeypatch):
+    plans = []
+    monkeypatch.setattr(segmentation, "cut", lambda df: plans.append(plan(df, capsys)) or lineage.cut(df))
+    plans.append(plan(catalog.queries()["sg_refine"](spark, "/root/testdata/sf0.001"), capsys))
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1
+    scores = [p for p in plans if "overhead" in p and "lineitem" not in p]
+    assert len(scores) == 1 and "Join" not in scores[0]

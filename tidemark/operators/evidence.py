@@ -18,8 +18,8 @@ def samples(seconds: float, fps: float) -> int:
     return max(1, round(seconds * fps))
 
 
-def side_channels(signal: DataFrame, side: str, fps: float, quiet: float = 0.0) -> DataFrame:
-    """signal (media_id, idx, value, swing, overhead) with the channels of one side, start or end.
+def side_channels(signal: DataFrame, side: str, fps: float, quiet: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(media_id, idx, keep, channels) of the signal (media_id, idx, value, swing, overhead), the channels being those of one side, start or end.
 
     The contrast is the mean after a start (before an end) less that on the other side; the slope is the
     steepest rise (fall) of the smoothed value near the sample; the swing is the largest in its window above
@@ -42,29 +42,35 @@ def side_channels(signal: DataFrame, side: str, fps: float, quiet: float = 0.0)
         "swing_near": F.greatest(F.lit(0.0), F.max("swing").over(swings) - quiet),
         "overhead_near": ahead("overhead", w) if rising else behind("overhead", w),
     }
-    return rows.withColumns(made).select("media_id", "idx", "motion_contrast", "motion_slope", F.col("swing_near").alias("swing"), F.col("overhead_near").alias("overhead"))
+    return rows.withColumns(made).select("media_id", "idx", *keep, "motion_contrast", "motion_slope", F.col("swing_near").alias("swing"), F.col("overhead_near").alias("overhead"))
 
 
-def packed(channels: DataFrame, ranges: dict[str, tuple[float, float]], weights: dict[str, float]) -> DataFrame:
-    """(media_id, idx, score): the weighted mean of the channels, each from 0 to 1 over its range."""
+def packing(ranges: dict[str, tuple[float, float]], weights: dict[str, float]) -> Column:
+    """The weighted mean of the channels, each from 0 to 1 over its range."""
     used = {c: w for c in CHANNELS if (w := weights.get(c, 0.0)) > 1e-9}
     total = sum(used.values())
     parts = [w * se.clipped((F.col(c) - ranges[c][0]) / max(ranges[c][1] - ranges[c][0], 1e-9), 0.0, 1.0) for c, w in used.items()]
-    return channels.select("media_id", "idx", (sum(parts[1:], parts[0]) / total if parts else F.lit(0.0)).alias("score"))
+    return sum(parts[1:], parts[0]) / total if parts else F.lit(0.0)
+
+
+def packed(channels: DataFrame, ranges: dict[str, tuple[float, float]], weights: dict[str, float]) -> DataFrame:
+    """(media_id, idx, score): packing of the channels."""
+    return channels.select("media_id", "idx", packing(ranges, weights).alias("score"))
 
 
 def hit_feature(points: DataFrame, hits: DataFrame, side: str, cap: float) -> DataFrame:
-    """(media_id, idx, hit) of points (media_id, idx, t): from 1 at a hit to 0 at cap before a start's next hit (after an end's last); hits 0.05 on the wrong side count as there. One sort, no join."""
+    """(media_id, idx, other columns, hit) of points (media_id, idx, t, other columns): from 1 at a hit to 0 at cap before a start's next hit (after an end's last); hits 0.05 on the wrong side count as there. One sort, no join."""
     shift = -0.05 if side == "start" else 0.05
-    both = points.select("media_id", "idx", F.col("t").alias("at"), (F.col("t") + shift).alias("key"), F.lit(None).cast("double").alias("u"))
-    both = both.union(hits.select("media_id", F.lit(None).cast("long"), F.lit(None).cast("double"), F.col("t"), F.col("t")))
+    others = [c for c in points.columns if c not in ("media_id", "idx", "t")]
+    both = points.select("media_id", "idx", *others, F.col("t").alias("at"), (F.col("t") + shift).alias("key"), F.lit(None).cast("double").alias("u"))
+    both = both.unionByName(hits.select("media_id", F.col("t").alias("key"), F.col("t").alias("u")), allowMissingColumns=True)
     if side == "start":
         near = F.last("u", ignorenulls=True).over(W.partitionBy("media_id").orderBy(F.desc("key"), F.col("u").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     else:
         near = F.last("u", ignorenulls=True).over(W.partitionBy("media_id").orderBy("key", F.col("u").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     rows = both.withColumn("near", near).where("idx is not null")
     gap = F.greatest(F.lit(0.0), F.col("near") - F.col("at") if side == "start" else F.col("at") - F.col("near"))
-    return rows.select("media_id", "idx", F.coalesce(se.clipped(1 - gap / cap, 0.0, 1.0), F.lit(0.0)).alias("hit"))
+    return rows.select("media_id", "idx", *others, F.coalesce(se.clipped(1 - gap / cap, 0.0, 1.0), F.lit(0.0)).alias("hit"))
 
 
 def active_spans(signal: DataFrame, ends: DataFrame, on: int, off: int, gap: int, least: int) -> DataFrame:

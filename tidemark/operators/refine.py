@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as se
-from tidemark.operators.evidence import CHANNELS, packed
+from tidemark.operators.evidence import CHANNELS, packing
 from tidemark.operators.intervals import binned
 from tidemark.operators.kernels import walked
 
@@ -16,13 +16,14 @@ from tidemark.operators.kernels import walked
 FIRES, LEAST_CHANNELS = 0.5, 2
 
 
-def joint_scores(channels: DataFrame, hits: DataFrame, ranges: dict[str, tuple[float, float]], weights: dict[str, float]) -> DataFrame:
-    """(media_id, idx, score, fires) of the channels (media_id, idx, ...) and the hit feature (media_id, idx, hit; none: 0).
+def joint_scores(channels: DataFrame, hits: DataFrame | None, ranges: dict[str, tuple[float, float]], weights: dict[str, float]) -> DataFrame:
+    """(media_id, idx, other columns, score, fires) of the channels (media_id, idx, ...) and the hit feature (media_id, idx, hit; none: 0); without hits, the channels have it.
 
     The score is the mean of all channels over their ranges by weight; fires counts those of positive weight that
     reach half of their range. Without weights both are 0.
     """
-    rows = channels.join(hits, ["media_id", "idx"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+    rows = channels if hits is None else channels.join(hits, ["media_id", "idx"], "left")
+    rows = rows.withColumn("hit", F.coalesce("hit", F.lit(0.0)))
     motion = sum(max(0.0, weights.get(c, 0.0)) for c in CHANNELS)
     total = motion + max(0.0, weights.get("hit", 0.0))
 
@@ -31,16 +32,16 @@ def joint_scores(channels: DataFrame, hits: DataFrame, ranges: dict[str, tuple[f
         return se.clipped((F.col(c) - lo) / (hi - lo), 0.0, 1.0) if hi - lo > 1e-9 else F.lit(0.0)
 
     fires = [F.when(part(c) >= FIRES, 1).otherwise(0) for c in (*CHANNELS, "hit") if weights.get(c, 0.0) > 1e-9]
-    rows = rows.join(packed(channels, ranges, weights).withColumnRenamed("score", "curve"), ["media_id", "idx"])
-    score = se.clipped((F.col("curve") * motion + part("hit") * (total - motion)) / total, 0.0, 1.0) if total > 1e-9 else F.lit(0.0)
-    return rows.select("media_id", "idx", score.alias("score"), (sum(fires[1:], fires[0]) if fires else F.lit(0)).alias("fires"))
+    score = se.clipped((packing(ranges, weights) * motion + part("hit") * (total - motion)) / total, 0.0, 1.0) if total > 1e-9 else F.lit(0.0)
+    others = [c for c in channels.columns if c not in ("media_id", "idx", "hit", *CHANNELS)]
+    return rows.select("media_id", "idx", *others, score.alias("score"), (sum(fires[1:], fires[0]) if fires else F.lit(0)).alias("fires"))
 
 
 def well_covered(coverage: DataFrame, fps: float) -> DataFrame:
-    """(media_id, idx, covered): whether half of the samples within half a second are 0.5 or more."""
+    """coverage (media_id, idx, value, other columns) with `covered` in place of value: whether half of the samples within half a second are 0.5 or more."""
     w = max(1, round(0.5 * fps))
     share = F.avg((F.col("value") >= 0.5).cast("double")).over(se.run().rowsBetween(-w, w))
-    return coverage.select("media_id", "idx", (share >= 0.5).alias("covered"))
+    return coverage.withColumn("covered", share >= 0.5).drop("value")
 
 
 def moves(intervals: DataFrame, valleys: DataFrame, evidence: DataFrame, media: DataFrame, fps: float, reach: float, margin: float, thresholds: dict[str, float], least: float = 0.5) -> DataFrame:

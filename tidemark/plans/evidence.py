@@ -54,9 +54,9 @@ def _evidence_sql():
     return f"{start}{end} SELECT a.media_id, a.idx, round(a.s, 6) AS start, round(b.s, 6) AS \"end\" FROM (SELECT media_id, idx, {score} AS s FROM ch) a JOIN (SELECT media_id, idx, {score} AS s FROM ch2) b USING (media_id, idx)"
 
 
-def _span_intervals(s, d):
-    """Spans of the motion as intervals in seconds."""
-    spans = be.active_spans(_motion(s, d).select("media_id", "idx", "value"), _ends(s, d), 2, 3, 4, 6)
+def _span_intervals(s, d, motion=None):
+    """Spans of the motion, which is read unless given, as intervals in seconds."""
+    spans = be.active_spans((motion or _motion(s, d)).select("media_id", "idx", "value"), _ends(s, d), 2, 3, 4, 6)
     return spans.select("media_id", F.col("first").alias("rally_id"), (F.col("first") / FPS).alias("start"), ((F.col("last") + 1) / FPS).alias("end"))
 
 

@@ -82,18 +82,18 @@ def _search(f):
 
 
 def _refined(s, d):
-    rows, sides = pe._motion(s, d), []
-    points = rows.select("media_id", "idx", (F.col("idx") / pe.FPS).alias("t"))
+    rows, sides = cut(pe._motion(s, d)), []  # numbered once
     hits = rows.where("swing > 0.9").select("media_id", (F.col("idx") / pe.FPS).alias("t"))
-    for side in ("start", "end"):
-        scores = rf.joint_scores(be.side_channels(rows, side, pe.FPS, 0.2), be.hit_feature(points, hits, side, 4.0), pe.RANGES | {"hit": (0.25, 1.0)}, pe.WEIGHTS | {"hit": 1.0})
+    seen = rf.well_covered(rows.withColumns({"motion": F.col("value"), "value": F.col("overhead") + 0.3}), pe.FPS).withColumnRenamed("motion", "value")
+    for side in ("start", "end"):  # the columns go along from step to step, so that no samples are joined with themselves
+        channels = be.side_channels(seen, side, pe.FPS, 0.2, ("covered",)).withColumn("t", F.col("idx") / pe.FPS)
+        scores = rf.joint_scores(be.hit_feature(channels, hits, side, 4.0), None, pe.RANGES | {"hit": (0.25, 1.0)}, pe.WEIGHTS | {"hit": 1.0})
         sides.append(scores.withColumn("side", F.lit(side)))
-    covered = rf.well_covered(rows.select("media_id", "idx", (F.col("overhead") + 0.3).alias("value")), pe.FPS)
-    evidence = sides[0].unionByName(sides[1]).join(covered, ["media_id", "idx"])
+    evidence = cut(sides[0].unionByName(sides[1]))
     signal = rows.select("media_id", "idx", "value")
-    valleys = kernels.quiet_spans(signal, pe.FPS, 0.6, 0.0, 0.10)
+    valleys = cut(kernels.quiet_spans(signal, pe.FPS, 0.6, 0.0, 0.10))
     pose = media(signal, pe.FPS).withColumn("pose", F.when(F.col("media_id") % 5 == 0, 0.2).otherwise(0.9))
-    out = rf.refined(pe._span_intervals(s, d), valleys, evidence, pose, pe.FPS, 3.0, 0.05, {"start": 0.4, "end": 0.4})
+    out = rf.refined(cut(pe._span_intervals(s, d, rows)), valleys, evidence, pose, pe.FPS, 3.0, 0.05, {"start": 0.4, "end": 0.4})
     return out.select("media_id", "rally_id", *(F.round(c, 6).alias(c) for c in ("start", "end", "start_gain", "end_gain")))
 
 
